@@ -7,18 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .mixing import MIX_SQL, mix_to_targets
+from .simhash import near_duplicates
+from .tokens import read_tokens, write_tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def public_tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards, folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+    return read_tokens(shards, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_mix_targets": op5_mix_targets}
+    return {f.__name__: f for f in (op4_simhash_gph, op5_mix_targets, op8_token_arrow)}
 
 
 def oracle_sql() -> dict[str, str]:
