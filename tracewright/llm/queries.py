@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import digest_examples, expand_examples, probe_conversation
 from .mixing import MIX_SQL, mix_to_targets
+from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .tokens import read_tokens, write_tokens
 
@@ -29,13 +31,21 @@ def op5_mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_to_targets(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_examples(expand_examples(probe_conversation(table(spark, sf_dir, "conversations"))))
+
+
 def op8_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
     return read_tokens(shards, folder)
 
 
+def op9_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_gph, op5_mix_targets, op8_token_arrow)}
+    return {f.__name__: f for f in (op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
