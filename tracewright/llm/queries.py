@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_examples, expand_examples, probe_conversation
 from .mixing import MIX_SQL, mix_to_targets
+from .quality import classify_quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .tokens import read_tokens, write_tokens
@@ -23,6 +24,10 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -45,7 +50,7 @@ def op9_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
