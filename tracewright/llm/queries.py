@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import digest_examples, expand_examples, probe_conversation
+from .decontam import find_contamination
 from .mixing import MIX_SQL, mix_to_targets
 from .quality import classify_quality
 from .secrets import scan_secrets
@@ -49,8 +50,12 @@ def op9_assignment_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
