@@ -13,12 +13,17 @@ from .quality import classify_quality
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .tokens import read_tokens, write_tokens
+from .vectors import near_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def public_tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -55,7 +60,7 @@ def op10_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
+    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
