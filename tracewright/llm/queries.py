@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .chat import digest_examples, expand_examples, probe_conversation
 from .decontam import find_contamination
@@ -14,6 +15,7 @@ from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .tokens import read_tokens, write_tokens
 from .vectors import near_vectors
+from .warc import WARC_SQL, parse_records, records_of_pages, resolve_revisits
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,13 @@ def op2_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The headers of the result are joined by name for the digest; the operator returns a map."""
+    found = resolve_revisits(parse_records(records_of_pages(table(spark, sf_dir, "pages"))))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return found.select("record_id", "url", "base_id", F.unix_seconds("base_at").alias("base_at"), "verdict", headers.alias("headers"))
+
+
 def op4_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -60,8 +69,8 @@ def op10_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_qda, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
+    return {f.__name__: f for f in (op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_targets": MIX_SQL}
+    return {"op3_warc_revisits": WARC_SQL, "op5_mix_targets": MIX_SQL}
