@@ -61,7 +61,7 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards, folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"))
+    shards, folder = write_tokens(table(spark, sf_dir, "documents"), public_tokenizer("word_bpe_49k.json"), by_word=True)
     return read_tokens(shards, folder)
 
 

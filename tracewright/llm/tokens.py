@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,83 @@ def _tokenizer(path: str):
     return _loaded[path]
 
 
+MARK = "\x01"
+#: Between an ASCII letter or digit and a sign: the tokenizer cuts here anyway.
+PART = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+
+
+class WordIds:
+    """Ids of words as bytes, for tokenizers that lower-case, drop white space, and part letters from signs: a text's ids are those of its words in turn, each encoded once.
+
+    Two generations of words are kept; a full one becomes the old one, so memory is bounded and frequent words stay.
+    """
+
+    def __init__(self, tokenizer, kind: type, most: int = 250_000):
+        self.encode, self.kind, self.most = tokenizer.encode_batch_fast, kind, most
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        probe = [e.ids for e in self.encode([f"Ab., c {MARK} D1", "ab", ".,", "c", MARK, "d", "1"], add_special_tokens=False)]
+        if probe[0] != [i for p in probe[1:] for i in p] or len(probe[4]) != 1:
+            raise ValueError("by_word doesn't suit this tokenizer")
+        self.mark = probe[4][0]
+        self.last = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+        self.last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def texts(self, texts: list[bytes]) -> list[bytes]:
+        """White space here is ASCII; other white space inside a word is the tokenizer's to handle."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        words = [PART.sub(b" ", t.lower()).split() for t in texts]
+        young, old, new = self.young, self.old, []
+        for w in set().union(*words):
+            if w not in young:
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+        plain, rest = [], []
+        for w in new:
+            t = w.decode()
+            (plain if t.isalpha() and t.lower().isalpha() and is_normalized("NFC", t) else rest).append(t)
+        for some, method in ((plain, self._plain), (rest, self._marked)):
+            for k in range(0, len(some), 4096):
+                part = some[k : k + 4096]
+                young.update(zip((t.encode() for t in part), method(part), strict=True))
+        return [b"".join(map(young.__getitem__, w)) for w in words]
+
+    def _cut(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+        return [flat[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)]
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Words of letters alone end with their only token that ends a word."""
+        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return self._marked(words)
+        return self._cut(ids, np.concatenate(([0], ends[:-1])), ends)
+
+    def _marked(self, words: list[str]) -> list[bytes]:
+        """All words in one call with a mark between; one by one if a word holds the mark."""
+        if not any(MARK in t for t in words):
+            ids = np.array(self.encode([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) == len(words) - 1:
+                return self._cut(ids, np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])))
+        return [np.array(e.ids, self.kind).tobytes() for e in self.encode(words, add_special_tokens=False)]
+
+
+def _encoder(path: str, kind: type, by_word: bool):
+    """texts as UTF-8 -> ids of each as bytes."""
+    if by_word:
+        key = f"{path} {np.dtype(kind)}"
+        if key not in _loaded:
+            _loaded[key] = WordIds(_tokenizer(path), kind)
+        return _loaded[key].texts
+    encode = _tokenizer(path).encode_batch_fast
+    return lambda texts: [np.array(e.ids, kind).tobytes() for e in encode([t.decode() for t in texts], add_special_tokens=False)]
+
+
 def _open(path: str):
     from pyarrow import fs
 
@@ -82,29 +161,30 @@ class ShardWriter:
             self.fs.move(self.part + end, f"{self.folder}/{self.name}{end}")
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = SEQUENCE, folder: str | None = None, wide: bool | None = None) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = SEQUENCE, folder: str | None = None, by_word: bool = False) -> tuple[DataFrame, str]:
     """Encode docs (doc_id, text), append end_id to each, and write the ids in ascending doc_id order as shards in `folder` (default: a new one in the shared folder).
 
     Returns the written list of shards (shard, n_docs, n_tokens, base: ids in all shards before it) and the folder. A shard is one range of doc_id, sorted in its task, which holds a batch at a time. Ids are 16 bits wide where the vocabulary allows.
+    by_word: encode each distinct word once, by the tokenizer; only for tokenizers that lower-case, drop white space and part letters from signs, where the ids are the same (others are refused).
     Null text: empty, so end_id alone. Null doc_id: first. Rows of the same doc_id: by text. Empty table: no shards. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
-    wide = (_tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535) if wide is None else wide
-    docs = pick(docs, doc_id="long", text="string")
+    wide = _tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535
+    docs = pick(docs, doc_id="long", text="binary")
     parts = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        shard, writer, n_docs, end = TaskContext.get().partitionId(), None, 0, np.array([end_id], np.uint32 if wide else np.uint16)
-        encode = _tokenizer(tokenizer).encode_batch_fast
+        shard, writer, n_docs, kind = TaskContext.get().partitionId(), None, 0, np.uint32 if wide else np.uint16
+        encode, end = _encoder(tokenizer, kind, by_word), np.array([end_id], kind).tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                some = b.slice(k, 64)
-                found = encode([t or "" for t in some.column(1).to_pylist()], add_special_tokens=False)
+            for k in range(0, b.num_rows, 256):
+                some = b.slice(k, 256)
+                found = encode([t or b"" for t in some.column(1).to_pylist()])
                 writer = writer or ShardWriter(folder, f"shard-{shard:07d}", length, wide)
-                writer.add(some.column(0).to_pylist(), [np.append(np.array(e.ids, end.dtype), end) for e in found])
+                writer.add(some.column(0).to_pylist(), [np.frombuffer(e + end, kind) for e in found])
                 n_docs += some.num_rows
         if writer:
             writer.close()
