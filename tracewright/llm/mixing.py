@@ -38,16 +38,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return s.withColumn("whole", whole).withColumn("rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))).select("source", "source_size", "target", "whole", "rest")
 
 
-def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, repeats, taken.
+def _sizes(docs: DataFrame) -> DataFrame:
+    n = F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
+    return materialize(pick(docs, doc_id="long", text="string", source="string").select("doc_id", "source", F.greatest(n, F.lit(0)).alias("size"), hash48().alias("h")), "mix-sizes")
 
-    Every document is taken floor(target / source_size) times, and once more if its hash is below the threshold of its source. The last document at the threshold is taken if that comes nearer to the target.
-    Null text: size 0. Null source: a source like any other, last in order. Null doc_id: hashed by its text. Rows of the same doc_id are taken together. Other columns are not read. Empty table: no rows. Same input, same rows.
-    """
-    sized = pick(docs, doc_id="long", text="string", source="string").select(
-        "doc_id", "source", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), F.lit(0)).cast("long").alias("size"), hash48().alias("h")
-    ).withColumn("size", F.greatest("size", F.lit(0)))
-    sized = materialize(sized, "mix-sizes")
+
+def mix_limits(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """sized (source, size, h) -> one row per source: source_size, target, whole (times that every document is taken) and end (documents with a hash below it are taken once more)."""
     targets = materialize(source_targets(sized, weights, share, most), "mix-targets")
     state = targets.where("rest > 0").select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("tied"))
     for level in range(LEVELS):
@@ -59,11 +56,29 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
         edge = hist.groupBy("source", "rest").agg(F.min_by(F.struct("bucket", "n", "upto"), "bucket").alias("e"))
         state = materialize(edge.select("source", (F.col("rest") - F.col("e.upto") + F.col("e.n")).alias("rest"), F.col("e.bucket").alias("prefix"), F.col("e.n").alias("tied")), "mix-edge")
     ends = state.select("source", (F.col("prefix") + (2 * F.col("rest") >= F.col("tied")).cast("long")).alias("end"))
-    limits = materialize(_by_source(targets, ends, "left").select("source", "source_size", "target", "whole", F.coalesce("end", F.lit(0)).alias("end")), "mix-limits")
+    return materialize(_by_source(targets, ends, "left").select("source", "source_size", "target", "whole", F.coalesce("end", F.lit(0)).alias("end")), "mix-limits")
+
+
+def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, repeats, taken.
+
+    Every document is taken floor(target / source_size) times, and once more if its hash is below the threshold of its source. The last document at the threshold is taken if that comes nearer to the target.
+    Null text: size 0. Null source: a source like any other, last in order. Null doc_id: hashed by its text. Rows of the same doc_id are taken together. Other columns are not read. Empty table: no rows. Same input, same rows.
+    """
+    sized = _sizes(docs)
+    limits = mix_limits(sized, weights, share, most)
     repeats = F.col("whole") + (F.col("h") < F.col("end")).cast("int")
     return _by_source(sized, limits).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
 
 
+def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """docs with each row as often as the mix takes it, with all its columns. Only the small table of limits meets the texts, which are not shuffled unless that table is too large to broadcast."""
+    limits = mix_limits(_sizes(docs), weights, share, most).select(F.col("source").cast(docs.schema["source"].dataType).alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("end").alias("_mix_end"))
+    joined = docs.join(limits, docs["source"].eqNullSafe(limits["_mix_source"]))
+    repeats = F.col("_mix_whole") + (hash48() < F.col("_mix_end")).cast("int")
+    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("_mix_turn") <= repeats).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     """Join by source, null like any other. The right side is a small written table, so the planner broadcasts it if its measured size allows, and else sorts and splits a hot source."""
     right = right.withColumnRenamed("source", "_source")

@@ -175,3 +175,31 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, most: int =
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = nodes.join(least, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
+    """One row of docs for every near-duplicate class, with all its columns: the row whose doc_id is the class's component_id. If several rows have that doc_id, or a class has null ids alone, one of them stays."""
+    found = near_duplicates(docs, **settings)
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = materialize(kept, "simhash-kept").select("_kept", "_rows")
+    once, often = kept.where("_rows = 1 and _kept is not null"), kept.where("_rows > 1 or _kept is null").select("_kept").distinct()
+    out = docs.join(once, docs["doc_id"].cast("long") == once["_kept"], "left_semi")
+    if often.isEmpty():
+        return out
+    from pyspark.sql import Window
+
+    many = docs.join(often, docs["doc_id"].cast("long").eqNullSafe(often["_kept"]), "left_semi")
+    classes = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("fp").distinct()
+    first = Window.partitionBy("_fp").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c == "text"))
+    schema = docs.schema
+
+    def add(batches):
+        for b in batches:
+            fps = [fingerprint(t, settings.get("width", 3), settings.get("seed", 42)) for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            yield b.append_column("_fp", pa.array(np.array(fps, np.uint64).view(np.int64)))
+
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    many = many.mapInArrow(add, StructType([*schema.fields, StructField("_fp", LongType())]))
+    many = many.join(classes, many["_fp"] == classes["fp"], "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    return out.unionByName(many.select(*(F.col(f"`{c}`") for c in docs.columns)))
