@@ -1,0 +1,18 @@
+"""Registered queries of all operators."""
+
+from __future__ import annotations
+
+
+def _load():
+    from tracewright.plans import registry
+    from tracewright.plans import represent_queries  # noqa: F401
+
+    return registry
+
+
+def all_queries():
+    return _load().QUERIES
+
+
+def all_sql():
+    return _load().SQL
