@@ -5,14 +5,24 @@ Inputs are DataFrames in the shapes of tracewright.model. All per-trace windows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewright.model import DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, STEP_KINDS
 
-BY_TRACE = Window.partitionBy("trace_id").orderBy("idx")
-BEFORE = BY_TRACE.rowsBetween(Window.unboundedPreceding, -1)
-UPTO = BY_TRACE.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def by_trace() -> WindowSpec:
+    return Window.partitionBy("trace_id").orderBy("idx")
+
+
+def before() -> WindowSpec:
+    """All events of the trace before the current one."""
+    return by_trace().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def upto() -> WindowSpec:
+    """All events of the trace up to the current one."""
+    return by_trace().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def collapse(text: Column) -> Column:
@@ -87,7 +97,7 @@ def fold(events: DataFrame, min_fold: int = 120, digest: int = 100) -> DataFrame
     c = F.col("content")
     how = F.when(c.rlike(ERROR_OBS) | c.rlike(FAILURE_WORD), "keep_error").when(c.rlike(DIFF_MARK), "keep_patch").when(F.length(c) <= min_fold, "keep_short").otherwise("fold")
     e = e.select("trace_id", "idx", "content", how.alias("decision"))
-    n = F.sum((F.col("decision") == "fold").cast("int")).over(UPTO)
+    n = F.sum((F.col("decision") == "fold").cast("int")).over(upto())
     fid = F.when(F.col("decision") == "fold", F.concat(F.lit("F"), n.cast("string")))
     text = F.when(fid.isNotNull(), F.concat(F.lit("⟦folded:"), fid, F.lit(" | "), F.substring(collapse(c), 1, digest), F.lit("⟧")))
     return e.select("trace_id", "idx", "decision", fid.alias("fid"), text.alias("placeholder"), "content")
@@ -221,16 +231,16 @@ def step_tree(events: DataFrame, explore: tuple[str, ...] = EXPLORE) -> DataFram
     """Steps with parent and depth: exploring calls are siblings of the step before, others its children. Closed form over two windows."""
     s = events.where(F.col("kind").isin(*STEP_KINDS))
     state = ~((F.col("kind") == "TOOL_CALL") & F.coalesce(F.col("action").isin(*explore), F.lit(False)))
-    s = s.withColumns({"_state": state, "_prev": F.lag("id").over(BY_TRACE)})
-    parent = F.last(F.when(F.col("_state"), F.struct("_prev")), ignorenulls=True).over(UPTO)["_prev"]
-    first = F.first("_state").over(UPTO)
-    depth = 1 + F.sum(F.col("_state").cast("int")).over(UPTO) - first.cast("int")
+    s = s.withColumns({"_state": state, "_prev": F.lag("id").over(by_trace())})
+    parent = F.last(F.when(F.col("_state"), F.struct("_prev")), ignorenulls=True).over(upto())["_prev"]
+    first = F.first("_state").over(upto())
+    depth = 1 + F.sum(F.col("_state").cast("int")).over(upto()) - first.cast("int")
     return s.withColumns({"parent_step": parent, "depth": depth.cast("int"), "step_class": F.when(F.col("_state"), "state").otherwise("explore")}).drop("_state", "_prev")
 
 
 def step_summaries(events: DataFrame) -> DataFrame:
     """Per step: summary (agent, action, first payload field; cut at 60) and outcome (observations up to the next step, joined, cut at 100)."""
-    group = F.last(F.when(F.col("kind").isin(*STEP_KINDS), F.col("idx")), ignorenulls=True).over(UPTO)
+    group = F.last(F.when(F.col("kind").isin(*STEP_KINDS), F.col("idx")), ignorenulls=True).over(upto())
     e = events.withColumn("step", group).where("step is not null")
     obs = F.transform(F.array_sort(F.collect_list(F.when((F.col("idx") != F.col("step")) & (F.coalesce("content", F.lit("")) != ""), F.struct("idx", "content")))), lambda o: o["content"])
     field = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("query", "doc_id", "answer", "to_agent")), F.substring(F.coalesce("content", F.lit("")), 1, 30))
@@ -241,8 +251,8 @@ def step_summaries(events: DataFrame) -> DataFrame:
 def stage_ranges(events: DataFrame) -> DataFrame:
     """Intervals of the same phase over events that have one: (trace_id, stage_no, phase, start_idx, end_idx)."""
     e = events.where("phase is not null")
-    change = F.coalesce((F.lag("phase").over(BY_TRACE) != F.col("phase")).cast("int"), F.lit(1))
-    e = e.withColumn("stage_no", F.sum(F.col("_c")).over(UPTO)) if "_c" in e.columns else e.withColumn("_c", change).withColumn("stage_no", F.sum("_c").over(UPTO))
+    change = F.coalesce((F.lag("phase").over(by_trace()) != F.col("phase")).cast("int"), F.lit(1))
+    e = e.withColumn("stage_no", F.sum(F.col("_c")).over(upto())) if "_c" in e.columns else e.withColumn("_c", change).withColumn("stage_no", F.sum("_c").over(upto()))
     return e.groupBy("trace_id", "stage_no").agg(F.first("phase").alias("phase"), F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"))
 
 
@@ -250,7 +260,7 @@ def tree_markdown(events: DataFrame) -> DataFrame:
     """The step tree of each trace as indented lines, with a marker where the stage changes."""
     t = step_tree(events).join(step_summaries(events).withColumnRenamed("step", "idx"), ["trace_id", "idx"])
     stage = F.coalesce("phase", F.lit("?"))
-    t = t.withColumn("_mark", F.coalesce(F.lag(stage).over(BY_TRACE) != stage, F.lit(True)))
+    t = t.withColumn("_mark", F.coalesce(F.lag(stage).over(by_trace()) != stage, F.lit(True)))
     line = F.concat(F.when(F.col("_mark"), F.concat(F.lit("## "), stage, F.lit("\n"))).otherwise(F.lit("")), F.repeat(F.lit("  "), F.col("depth") - 1), F.lit("- ["), F.col("idx").cast("string"), F.lit("] "), "summary", F.when(F.col("outcome") != "", F.concat(F.lit(" => "), "outcome")).otherwise(F.lit("")))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))), lambda x: x["line"])
     return t.groupBy("trace_id").agg(F.array_join(lines, "\n").alias("markdown"))
@@ -258,9 +268,9 @@ def tree_markdown(events: DataFrame) -> DataFrame:
 
 def with_subtask(events: DataFrame) -> DataFrame:
     """Events with the number of their subtask: phase intervals that tile the trace."""
-    last = F.last("phase", ignorenulls=True).over(BEFORE)
+    last = F.last("phase", ignorenulls=True).over(before())
     e = events.withColumn("_c", (F.col("phase").isNotNull() & F.coalesce(last != F.col("phase"), F.lit(True))).cast("int"))
-    return e.withColumn("subtask", (F.greatest(F.lit(1), F.sum("_c").over(UPTO)) - 1).cast("int")).drop("_c")
+    return e.withColumn("subtask", (F.greatest(F.lit(1), F.sum("_c").over(upto())) - 1).cast("int")).drop("_c")
 
 
 def subtasks(events: DataFrame) -> DataFrame:
@@ -294,7 +304,7 @@ CLAIM_KINDS = ("fact", "process", "plan", "constraint", "answer", "memory")
 
 def rule_claims(events: DataFrame, most: int = 5) -> DataFrame:
     """Claims by rule: plans (memory or process), handoffs, grounded answers, and the constraint of the first submit; at most five a trace, by step."""
-    e = events.withColumn("effective", F.first(F.when(F.col("kind").isin("HANDOFF", "LLM_CALL", "TOOL_CALL"), F.col("idx")), ignorenulls=True).over(BY_TRACE.rowsBetween(1, Window.unboundedFollowing)))
+    e = events.withColumn("effective", F.first(F.when(F.col("kind").isin("HANDOFF", "LLM_CALL", "TOOL_CALL"), F.col("idx")), ignorenulls=True).over(by_trace().rowsBetween(1, Window.unboundedFollowing)))
     submit = F.row_number().over(Window.partitionBy("trace_id", "kind", "action").orderBy("idx")) == 1
     e = e.withColumn("_first", submit)
     kind = (
@@ -304,7 +314,7 @@ def rule_claims(events: DataFrame, most: int = 5) -> DataFrame:
         .when((F.col("kind") == "TOOL_CALL") & (F.col("action") == "submit") & F.col("_first"), "constraint")
     )
     c = e.withColumn("claim_type", kind).where("claim_type is not null")
-    c = c.withColumn("n", F.row_number().over(BY_TRACE)).where(F.col("n") <= most)
+    c = c.withColumn("n", F.row_number().over(by_trace())).where(F.col("n") <= most)
     return c.select("trace_id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("claim_id"), "claim_type", F.col("idx").alias("introduced"), "effective", F.coalesce("content", "answer").alias("text"))
 
 
