@@ -40,6 +40,13 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()))
 
 
+def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """df, with Arrow batches of at most `rows` rows in its session, so that a Python worker holds a few MB of texts at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df.sparkSession.conf.set(key, str(min(rows, int(df.sparkSession.conf.get(key, "10000")))))
+    return df
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

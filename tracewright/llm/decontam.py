@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import bounded_batches, pick
 from .simhash import LOWER
 
 #: Items that one pass over the documents holds; more items take more passes.
@@ -252,7 +252,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float
     """
     out = None
     for block in _blocks(benchmark):
-        found = pick(docs, doc_id="long", text="binary").mapInArrow(_finder(block, similarity, walks, samples, min_words), "doc_id long, item_id long, edits long, similarity double, first_word long, end_word long")
+        found = bounded_batches(pick(docs, doc_id="long", text="binary")).mapInArrow(_finder(block, similarity, walks, samples, min_words), "doc_id long, item_id long, edits long, similarity double, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -285,5 +285,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
                         keep[at + t] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = bounded_batches(docs).mapInArrow(run, schema)
     return docs

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import bounded_batches, materialize, pick
 
 FEATURES = ("log_words", "log_word_len", "upper", "digit", "punct", "symbol", "space", "distinct", "top_word", "same_next", "log_line", "distinct_lines", "ends", "odd_words")
 _KIND = np.zeros(256, np.uint8)  # 0 letter or other, 1 upper, 2 digit, 3 sentence punctuation, 4 other ASCII symbol, 5 white space, 6 UTF-8 continuation
@@ -57,7 +57,7 @@ def document_features(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(0, x.size + 1, len(FEATURES), dtype=np.int32))
             yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["doc_id", "x"])
 
-    return pick(docs, doc_id="long", text="binary").mapInArrow(run, "doc_id long, x array<double>")
+    return bounded_batches(pick(docs, doc_id="long", text="binary")).mapInArrow(run, "doc_id long, x array<double>")
 
 
 @dataclass(frozen=True)
@@ -157,4 +157,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 s = model.score(np.array([features(t) for t in b.column(at).cast(pa.binary()).to_pylist()]))
                 yield b.filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)

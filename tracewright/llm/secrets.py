@@ -10,7 +10,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick
+from .common import bounded_batches, pick
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -139,4 +139,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(c, pa.int64()) for c in found[:4]] + [pa.array(c, pa.string()) for c in found[4:]]
                 yield pa.record_batch([some.column(0), *columns], names=names)
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)
+    return bounded_batches(pick(docs, doc_id="long", text="string")).mapInArrow(run, SCHEMA)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, pick
+from .common import bounded_batches, connected_components, materialize, pick
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
@@ -41,7 +41,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             fps = [fingerprint(t, width, seed) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs, doc_id="long", text="binary").mapInArrow(run, "doc_id long, fp long")
+    return bounded_batches(pick(docs, doc_id="long", text="binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -181,15 +181,15 @@ def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
     """One row of docs for every near-duplicate class, with all its columns: the row whose doc_id is the class's component_id. If several rows have that doc_id, or a class has null ids alone, one of them stays."""
     found = near_duplicates(docs, **settings)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
-    kept = materialize(kept, "simhash-kept").select("_kept", "_rows")
-    once, often = kept.where("_rows = 1 and _kept is not null"), kept.where("_rows > 1 or _kept is null").select("_kept").distinct()
-    out = docs.join(once, docs["doc_id"].cast("long") == once["_kept"], "left_semi")
+    kept = materialize(kept, "simhash-kept")
+    once, often = kept.where("_rows = 1 and _kept is not null").select("_kept"), kept.where("_rows > 1 or _kept is null").select("_kept", "fp")
+    out = docs.join(once.hint("merge"), docs["doc_id"].cast("long") == once["_kept"], "left_semi")  # the ids grow with the texts: the same plan at every size
     if often.isEmpty():
         return out
     from pyspark.sql import Window
 
-    many = docs.join(often, docs["doc_id"].cast("long").eqNullSafe(often["_kept"]), "left_semi")
-    classes = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("fp").distinct()
+    ids, classes = often.select("_kept").distinct(), often.select(F.col("fp").alias("_kept_fp")).distinct()
+    many = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept"]), "left_semi")
     first = Window.partitionBy("_fp").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c == "text"))
     schema = docs.schema
 
@@ -200,6 +200,6 @@ def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
 
     from pyspark.sql.types import LongType, StructField, StructType
 
-    many = many.mapInArrow(add, StructType([*schema.fields, StructField("_fp", LongType())]))
-    many = many.join(classes, many["_fp"] == classes["fp"], "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
+    many = bounded_batches(many).mapInArrow(add, StructType([*schema.fields, StructField("_fp", LongType())]))
+    many = many.join(classes, many["_fp"] == classes["_kept_fp"], "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
     return out.unionByName(many.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, shared_path
+from .common import bounded_batches, materialize, pick, shared_path
 
 SEQUENCE, BATCH = 2048, 64
 _loaded: dict[str, object] = {}
@@ -171,7 +171,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "tokens")
     wide = _tokenizer(tokenizer).get_vocab_size() > 65536 or end_id > 65535
-    docs = pick(docs, doc_id="long", text="binary")
+    docs = bounded_batches(pick(docs, doc_id="long", text="binary"))
     parts = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def run(batches):
