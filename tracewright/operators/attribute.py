@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.model import ASSERTION, DOC_ID, NO_RESULT
 from tracewright.operators.classify import primary_symptom, segment_symptoms, symptoms
 from tracewright.operators.represent import before, upto, first_answer, subtasks, with_subtask
+from tracewright.tables import durable
 
 
 def hypotheses(df: DataFrame, algo: str, code: Column, confidence: Column, rank: Column | None = None) -> DataFrame:
@@ -120,7 +121,7 @@ def clamp_verdicts(verdicts: DataFrame, events: DataFrame, modes: DataFrame) ->
     return j.select("trace_id", F.when(known, F.col("v.agent")).otherwise(F.col("first_agent")).alias("agent"), step.alias("step"), F.col("_code").alias("code"), F.col("v.confidence").alias("confidence"), notes.alias("notes"))
 
 
-def bisect(events: DataFrame, traces: DataFrame, materialize=lambda df: df.checkpoint()) -> DataFrame:
+def bisect(events: DataFrame, traces: DataFrame, materialize=durable) -> DataFrame:
     """Step of every failed trace by bisection: a job a round halves the range of all traces at once, downwards where the lower half shows a symptom of its own."""
     failed = events.join(traces.where("not success").select("trace_id"), "trace_id", "left_semi")
     state = failed.groupBy("trace_id").agg(F.lit(0).alias("lo"), F.max("idx").alias("hi"))

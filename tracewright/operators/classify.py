@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.model import ASSERTION, DOC_ID, ERROR_OBS, FORMAT_ISSUE, MEMORY, NO_RESULT, REJECT, RULE_CODE, SYMPTOM_CODE
 from tracewright.operators.represent import before, by_trace, upto, first_answer
+from tracewright.tables import durable
 
 FINDING = ("trace_id", "rule", "step", "agent", "code")
 
@@ -155,7 +156,7 @@ def similar_pairs(symptoms_: DataFrame, threshold: float = 0.35) -> DataFrame:
     return j.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000, materialize=lambda df: df.checkpoint()) -> DataFrame:
+def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000, materialize=durable) -> DataFrame:
     """nodes (ord) and similar pairs (a < b) -> (ord, leader): the greedy clusters of a pass in order, by rounds. An undecided node without an undecided or leading earlier neighbour leads; later neighbours of a leader join the earliest one."""
     left, leaders = nodes.select("ord"), None
     pairs = pairs.select("a", "b")

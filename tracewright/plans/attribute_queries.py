@@ -95,6 +95,12 @@ def t8(events, traces):
     return t.single_pass(events)
 
 
+@trace_query("t9_bisection")
+def t9(events, traces):
+    """Rounds of joins; compared with a sequential model in the tests."""
+    return t.walk_back(events, t.bisect(events, traces))
+
+
 @trace_query("t11_agent_walk_back", "s AS (SELECT trace_id, max(idx) AS step FROM ev GROUP BY ALL), w AS (SELECT *, last_value(CASE WHEN kind IN ('LLM_CALL', 'TOOL_CALL', 'HANDOFF') THEN agent END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx) AS a FROM ev) SELECT s.trace_id, step, coalesce(a, agent) AS agent FROM s JOIN w ON w.trace_id = s.trace_id AND idx = step")
 def t11(events, traces):
     return t.walk_back(events, events.groupBy("trace_id").agg(F.max("idx").alias("step")))

@@ -96,3 +96,22 @@ def c12(events, traces):
     t = traces.select(F.col("task").alias("a"), F.concat(F.lit("task report "), "time_window").alias("b")).distinct()
     x, y = c.trigrams(F.col("a")), c.trigrams(F.col("b"))
     return t.select("a", "b", (F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).alias("similarity"))
+
+
+def symptom_texts(events):
+    """Distinct messages and novel symptoms, numbered by text."""
+    texts = c.novel_symptoms(events).select("symptom").where("symptom is not null").distinct()
+    return texts.select(F.row_number().over(Window.orderBy("symptom")).alias("ord"), "symptom")
+
+
+@trace_query("c13_leader_clusters")
+def c13(events, traces):
+    """Rounds of joins; compared with the greedy pass in the tests."""
+    nodes = symptom_texts(events)
+    return c.leader_clusters(nodes, c.similar_pairs(nodes))
+
+
+@trace_query("c15_cluster_sizes")
+def c15(events, traces):
+    nodes = symptom_texts(events)
+    return c.leader_clusters(nodes, c.similar_pairs(nodes)).groupBy("leader").agg(F.count("*").alias("size"))
