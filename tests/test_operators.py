@@ -142,6 +142,45 @@ def test_leader_clusters_match_greedy_pass(spark):
     assert {r["ord"]: r["leader"] for r in leader_clusters(nodes, pairs).collect()} == leader_of
 
 
+def test_alignment_is_a_longest_common_subsequence():
+    import numpy as np
+
+    from tracewright.operators.align import longest_match
+
+    rnd = random.Random(11)
+    for _ in range(200):
+        a, b = [rnd.randrange(4) for _ in range(rnd.randint(0, 7))], [rnd.randrange(4) for _ in range(rnd.randint(0, 7))]
+        found = longest_match(np.array([[x == y for y in b] for x in a], bool).reshape(len(a), len(b)))
+        places = [(r, k) for k, r in enumerate(found) if r >= 0]
+        assert all(a[r] == b[k] for r, k in places) and all(p[0] < q[0] for p, q in zip(places, places[1:]))
+        best = max((len(s) for s in _subsequences(b) if _is_subsequence(s, a)), default=0)
+        assert len(places) == best
+
+
+def _subsequences(x):
+    for mask in range(1 << len(x)):
+        yield [v for k, v in enumerate(x) if mask >> k & 1]
+
+
+def _is_subsequence(s, x):
+    it = iter(x)
+    return all(v in it for v in s)
+
+
+def test_half_answers_and_votes(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import attribute, recover
+
+    said = [("the lower half", "lower"), ("not the lower half", "upper"), ("upper, not lower", "upper"), ("lower and upper", None), ("", None)]
+    df = spark.createDataFrame([(t,) for t, _ in said], "t string")
+    assert [r["h"] for r in df.select(attribute.parse_half(F.col("t")).alias("h")).collect()] == [w for _, w in said]
+    votes = spark.createDataFrame([("a", 0, "validated"), ("a", 0, "success"), ("a", 0, "fail"), ("b", 0, "fail"), ("b", 0, "removed"), ("c", 0, "?"), ("d", 0, "refuted")], "trace_id string, trial int, outcome string")
+    assert {r["trace_id"]: r["verdict"] for r in recover.intervention_votes(votes).collect()} == {"a": "Validated", "b": "Partially validated", "c": "Inconclusive", "d": "Refuted"}
+    hid = df.limit(1).select(recover.redact_faults(F.lit("a step-repetition and Disobey task_SPEC")).alias("t")).first()["t"]
+    assert hid == "a <edited> and <edited>"
+
+
 def test_formats_round_trip_and_guard(spark, tmp_path):
     from pyspark.sql import functions as F
 

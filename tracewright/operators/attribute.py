@@ -123,12 +123,12 @@ def clamp_verdicts(verdicts: DataFrame, events: DataFrame, modes: DataFrame) ->
 
 def bisect(events: DataFrame, traces: DataFrame, materialize=durable) -> DataFrame:
     """Step of every failed trace by bisection: a job a round halves the range of all traces at once, downwards where the lower half shows a symptom of its own."""
-    failed = events.join(traces.where("not success").select("trace_id"), "trace_id", "left_semi")
+    failed = materialize(events.join(traces.where("not success").select("trace_id"), "trace_id", "left_semi"))
     state = failed.groupBy("trace_id").agg(F.lit(0).alias("lo"), F.max("idx").alias("hi"))
     rounds = math.ceil(math.log2(max(2, (state.agg(F.max("hi")).first()[0] or 0) + 1)))
     for _ in range(rounds):
         open_ = state.where("lo < hi").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
-        seg = failed.join(open_.select("trace_id", "lo", "mid"), "trace_id").where("idx between lo and mid").drop("lo", "mid")
+        seg = materialize(failed.join(open_.select("trace_id", "lo", "mid"), "trace_id").where("idx between lo and mid").drop("lo", "mid"))
         low = segment_symptoms(seg).withColumn("low", F.lit(True))
         nxt = open_.join(low, "trace_id", "left").select("trace_id", F.when(F.col("low"), F.col("lo")).otherwise(F.col("mid") + 1).alias("lo"), F.when(F.col("low"), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
         state = materialize(nxt.unionByName(state.where("lo >= hi")))
@@ -248,3 +248,18 @@ def symptom_at(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """Whether a candidate's step is the step of a symptom, and of which."""
     s = symptoms(events, fallback=False).groupBy("trace_id", "step").agg(F.min_by("fault", "rule_no").alias("fault"))
     return candidates.join(s, ["trace_id", "step"], "left").withColumn("is_symptom", F.col("fault").isNotNull())
+
+
+def refine(hyps: DataFrame, refined: DataFrame) -> DataFrame:
+    """Root cause and confidence from a refining verdict (trace_id, step, root_cause, confidence) where there is one; else a plain text and 0.5."""
+    j = hyps.join(refined, ["trace_id", "step"], "left")
+    plain = F.concat(F.lit("step "), F.col("step").cast("string"), F.lit(" by "), "agent", F.lit(" decided the failure"))
+    return j.withColumns({"root_cause": F.coalesce("root_cause", plain), "confidence": F.coalesce("confidence", F.lit(0.5))})
+
+
+def clamp_mechanism(said: Column, least: float = 0.75) -> Column:
+    """The mechanism nearest to what was said, by edit distance over length; 'unknown' below `least`."""
+    s = F.lower(F.trim(said))
+    each = F.array(*(F.struct((1 - F.levenshtein(s, F.lit(m)) / F.greatest(F.length(s), F.lit(len(m)))).alias("r"), F.lit(m).alias("m")) for m in sorted(set(MECHANISM.values()))))
+    best = F.array_max(each)
+    return F.when(best["r"] >= least, best["m"]).otherwise("unknown")

@@ -171,3 +171,34 @@ def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000, mate
     own = leaders.select("ord", F.col("ord").alias("leader"))
     near = pairs.join(leaders.select(F.col("ord").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     return own.unionByName(near.join(leaders, "ord", "left_anti"))
+
+
+def extended_modes(proposals: DataFrame, builtin: DataFrame) -> DataFrame:
+    """proposals (code, name, definition) -> with status: accepted, skipped without a definition, or clash with a built-in code."""
+    j = proposals.join(builtin.select("code", F.lit(True).alias("_own")).distinct(), "code", "left")
+    return j.select("code", "name", "definition", F.when(F.col("_own"), "clash").when(F.coalesce(F.trim("definition"), F.lit("")) == "", "skipped").otherwise("accepted").alias("status"))
+
+
+def content_tokens(text: Column) -> Column:
+    """Different words of three or more letters that aren't stop words, in order."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS)))
+
+
+def match_modes(symptoms_: DataFrame, modes: DataFrame) -> DataFrame:
+    """symptoms (id, symptom) with the mode (code, name) that shares most of their words, two at least; by code on ties."""
+    s = symptoms_.select("id", F.explode(content_tokens(F.col("symptom"))).alias("w"))
+    m = modes.select("code", F.explode(content_tokens(F.col("name"))).alias("w"))
+    n = s.join(m, "w").groupBy("id", "code").agg(F.count("*").alias("overlap")).where("overlap >= 2")
+    return n.groupBy("id").agg(F.min_by(F.struct("code", "overlap"), F.struct(-F.col("overlap"), "code")).alias("b")).select("id", "b.*")
+
+
+def proposals(clusters: DataFrame, symptoms_: DataFrame, support: int = 3, most: int = 5) -> DataFrame:
+    """clusters (ord, leader) and symptoms (ord, symptom) -> proposals of new modes: clusters of at least `support`, named by their three most frequent words; NM-n in order of leaders, `most` at most."""
+    c = clusters.join(symptoms_, "ord")
+    big = c.groupBy("leader").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    w = c.join(big, "leader").select("leader", "ord", F.posexplode(F.filter(F.regexp_extract_all(F.lower("symptom"), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))).alias("pos", "word"))
+    w = w.groupBy("leader", "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("seen"))
+    top = w.withColumn("k", F.row_number().over(Window.partitionBy("leader").orderBy(F.col("n").desc(), "seen"))).where("k <= 3")
+    name = top.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("name"))
+    p = big.join(name, "leader", "left").withColumn("n", F.row_number().over(Window.orderBy("leader"))).where(F.col("n") <= most)
+    return p.select(F.concat(F.lit("NM-"), F.col("n").cast("string")).alias("mode_id"), F.coalesce("name", F.lit("unclassified residual")).alias("name"), "support", "leader")

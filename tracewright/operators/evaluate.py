@@ -95,3 +95,11 @@ def trace_summaries(events: DataFrame, traces: DataFrame, hyps: DataFrame) -> Da
 def error_tally(errors: DataFrame) -> DataFrame:
     """errors (stage, name, trace_id, error) -> per algorithm: rows and traces."""
     return errors.groupBy("stage", "name").agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))
+
+
+def scorecard(hyps: DataFrame, traces: DataFrame) -> DataFrame:
+    """Per algorithm: traces with ground truth that it speaks of, and how often its first hypothesis has the step."""
+    w = Window.partitionBy("trace_id", "algo").orderBy(F.col("confidence").desc(), "rank")
+    top = hyps.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    j = top.join(traces.where("gt_step is not null").select("trace_id", "gt_step"), "trace_id")
+    return j.groupBy("algo").agg(F.sum((F.col("step") == F.col("gt_step")).cast("long")).alias("primary_hits"), F.count("*").alias("total"))

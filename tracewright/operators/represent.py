@@ -318,6 +318,16 @@ def rule_claims(events: DataFrame, most: int = 5) -> DataFrame:
     return c.select("trace_id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("claim_id"), "claim_type", F.col("idx").alias("introduced"), "effective", F.coalesce("content", "answer").alias("text"))
 
 
+def claim_ledger(verdicts: DataFrame, events: DataFrame, most: int = 6) -> DataFrame:
+    """verdicts (trace_id, response: JSON {claims: [{claim_id, type, introduced, effective}]}) -> claims with steps clamped into the trace, effective not before introduced, unknown types marked; `most` a trace, in order."""
+    v = verdicts.withColumn("v", F.from_json("response", "claims array<struct<claim_id:string,type:string,introduced:int,effective:int>>"))
+    v = v.select("trace_id", F.posexplode("v.claims").alias("pos", "c")).where(F.col("pos") < most)
+    v = v.join(events.groupBy("trace_id").agg(F.max("idx").alias("last")), "trace_id")
+    clamp = lambda x: F.greatest(F.lit(0), F.least(x, "last"))
+    v = v.withColumn("i", clamp(F.col("c.introduced")))
+    return v.select("trace_id", "c.claim_id", F.col("c.type").isin(*CLAIM_KINDS).alias("valid"), F.col("i").alias("introduced"), F.greatest("i", clamp(F.col("c.effective"))).alias("effective"))
+
+
 def render_lines(events: DataFrame, folds: DataFrame | None = None) -> DataFrame:
     """One line per event: [i] KIND agent action payload :: content; folded contents show their placeholder. No ground truth enters a line."""
     e = events

@@ -150,3 +150,35 @@ def skip_scored(traces: DataFrame, payloads: DataFrame, scores: DataFrame, force
     done = scores.where("name = 'root-cause'").select("trace_id", F.lit(True).alias("_done")).distinct()
     j = traces.select("trace_id").join(has, "trace_id", "left").join(done, "trace_id", "left")
     return j.select("trace_id", F.when(F.col("_has").isNull(), "no-hypotheses").when(F.col("_done") & F.lit(not force), "skipped").otherwise("written").alias("decision"))
+
+
+BODY = "struct<id:string,traceId:string,name:string,parentObservationId:string,input:string,type:string,metadata:struct<own:struct<id:string,kind:string,agent:string,action:string,phase:string,refs:array<string>,index:int>,task_id:string,success:boolean>>"
+PAYLOAD = "content string, query string, doc_id string, answer string, to_agent string"
+
+
+def to_batches(events: DataFrame, traces: DataFrame) -> DataFrame:
+    """One ingestion batch per trace (batch): a trace record, then one observation per event, decisions as generations; ids follow from trace and event."""
+    fields = [x.split()[0] for x in PAYLOAD.split(", ")]
+    null = F.lit(None).cast("string")
+    own = F.struct("id", "kind", "agent", "action", "phase", "refs", F.col("idx").alias("index"))
+    obs = F.struct(F.when(F.col("kind") == "LLM_CALL", "generation-create").otherwise("span-create").alias("type"), F.struct(
+        F.concat_ws("-", F.lit("obs"), "trace_id", "id").alias("id"), F.col("trace_id").alias("traceId"), F.coalesce("action", "kind").alias("name"), F.when(F.col("parent").isNotNull(), F.concat_ws("-", F.lit("obs"), "trace_id", "parent")).alias("parentObservationId"),
+        F.to_json(F.struct(*fields)).alias("input"), null.alias("type"), F.struct(own.alias("own"), null.alias("task_id"), F.lit(None).cast("boolean").alias("success")).alias("metadata"),
+    ).cast(BODY).alias("body"))
+    each = events.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", obs.alias("o")))), lambda x: x["o"]).alias("obs"))
+    head = F.struct(F.lit("trace-create").alias("type"), F.struct(F.col("trace_id").alias("id"), null.alias("traceId"), "task_id", null.alias("parentObservationId"), F.col("task").alias("input"), null.alias("type"), F.struct(F.lit(None).alias("own"), "task_id", "success").alias("metadata")).cast(BODY).alias("body"))
+    return traces.join(each, "trace_id").select("trace_id", F.to_json(F.struct(F.concat(F.array(head), "obs").alias("batch"))).alias("batch"))
+
+
+def from_batches(batches: DataFrame) -> DataFrame:
+    """Events of ingestion batches (batch). Older batches give an observation's type in its body; own metadata wins over it; order by own index, then position."""
+    b = batches.select(F.from_json("batch", f"batch array<struct<type:string,body:{BODY}>>").alias("b")).select(F.posexplode("b.batch").alias("pos", "x")).select("pos", "x.type", "x.body")
+    o = b.where("type <> 'trace-create'").withColumns({"p": F.from_json("body.input", PAYLOAD), "own": F.col("body.metadata.own")})
+    kind_ = F.when(F.col("type") == "observation-create", F.upper("body.type")).otherwise(F.upper(F.regexp_replace("type", "-create$", "")))
+    guess = F.when(kind_ == "GENERATION", "LLM_CALL").when(kind_ == "EVENT", "AGENT_MESSAGE").otherwise("TOOL_CALL")
+    idx = (F.row_number().over(Window.partitionBy("body.traceId").orderBy(F.col("own.index").asc_nulls_last(), "pos")) - 1).cast("int")
+    o = o.withColumn("idx", idx)
+    return o.select(
+        F.col("body.traceId").alias("trace_id"), "idx", F.coalesce("own.id", F.format_string("e%03d", "idx")).alias("id"), F.coalesce("own.kind", guess).alias("kind"), F.coalesce("own.agent", F.lit("unknown")).alias("agent"), F.col("own.action").alias("action"), F.col("own.phase").alias("phase"),
+        *(F.col(f"p.{x.split()[0]}").alias(x.split()[0]) for x in PAYLOAD.split(", ")), F.coalesce("own.refs", F.array().cast("array<string>")).alias("refs"),
+    )
