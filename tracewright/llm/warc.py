@@ -66,7 +66,9 @@ def resolve_revisits(records: DataFrame, span_seconds: int = 86_400) -> DataFram
     asked = asked.select("record_id", "url", "at", "headers", "digest", "base.base_id", "base.base_at")
     lost = key.where(revisit & (F.col("url").isNull() | F.col("at").isNull())).select("record_id", "url", "at", "headers", "digest", F.lit(None).cast("long").alias("base_id"), F.lit(None).cast("timestamp").alias("base_at"))
     bases = r.where(full).groupBy(F.col("record_id").alias("base_id")).agg(F.max_by(F.struct(F.col("headers").alias("h"), F.col("digest").alias("d")), F.coalesce("digest", F.lit(""))).alias("b"))
-    return _judge(asked.unionByName(lost).join(bases, "base_id", "left"))
+    asked = materialize(asked.unionByName(lost), "warc-asked")
+    lost = asked.where("base_id is null").withColumn("b", F.lit(None).cast(bases.schema["b"].dataType))  # kept out of the join, where they would be one key
+    return _judge(asked.where("base_id is not null").join(bases, "base_id", "left").unionByName(lost))
 
 
 def _judge(pairs: DataFrame) -> DataFrame:
