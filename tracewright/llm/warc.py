@@ -31,7 +31,7 @@ def parse_records(raw: DataFrame) -> DataFrame:
 
     kind is the WARC-Type in lower case; headers are those of the HTTP part, names in lower case, later ones winning; digest is WARC-Payload-Digest. Null or broken records: null fields.
     """
-    text = F.regexp_replace("record", "\r\n", "\n")
+    text = F.replace(F.col("record"), F.lit("\r\n"), F.lit("\n"))
     parts = F.split(text, "\n\n", 3)
     fields = lambda block: F.map_from_entries(F.array_distinct(F.transform(F.filter(F.split(block, "\n"), lambda h: h.contains(":")), lambda h: F.struct(F.lower(F.trim(F.substring_index(h, ":", 1))), F.trim(F.regexp_replace(h, r"^[^:]*:", ""))))))
     w, http = fields(F.element_at(parts, 1)), F.try_element_at(parts, F.lit(2))
