@@ -321,6 +321,26 @@ def test_contamination_recall_and_precision(spark, monkeypatch):
     assert decontam.find_contamination(edge_docs(spark), b).count() == 0
 
 
+def test_long_and_short_items_are_all_found():
+    rnd = random.Random(11)
+    voc = [f"w{k}" for k in range(3000)]
+    items = [[rnd.choice(voc) for _ in range(n)] for n in (5, 9, 20, 100, 150, 220, 300)]
+    index = decontam.Index([(k, " ".join(w).encode()) for k, w in enumerate([*items, ["what", "is", "it"], []])], 0.8, 24, 3, 5)
+    for kind in ("deletion", "insertion", "substitution", "mixed"):
+        for k, item in enumerate(items):
+            for _ in range(3):
+                w, n = list(item), len(item) // 5
+                for at in sorted(rnd.sample(range(len(item)), n), reverse=True):
+                    how = rnd.choice(("deletion", "insertion", "substitution")) if kind == "mixed" else kind
+                    w[at : at + (how != "insertion")] = [] if how == "deletion" else ["new"]
+                text = [rnd.choice(voc) for _ in range(rnd.randint(0, 40))] + w + [rnd.choice(voc) for _ in range(rnd.randint(0, 40))]
+                found = {(t, i): (edits, x, y) for t, i, edits, x, y in index.find([b"w1 w2", " ".join(text).encode(), b"w3"])}
+                assert (1, k) in found and found[1, k][0] <= n, (kind, len(item))
+                edits, x, y = found[1, k]
+                assert slow_edits(item, text[x:y]) == edits
+    assert [(t, i, edits) for t, i, edits, _, _ in index.find([b"so What\nis it then", b"what is", b"it", b"what is that it", b"it what is"])] == [(0, 7, 0)]
+
+
 # --- 1 licences, 3 WARC ------------------------------------------------------
 
 

@@ -1,6 +1,8 @@
 """Benchmark decontamination: CGK random walks over words, bit-sampling LSH on item-sized windows, exact edit verification.
 
 A CGK walk maps a word sequence to a longer one: at every step it writes the word under a pointer and a random bit of (step, word) says whether the pointer moves on. Sequences a few edits apart fall into step again, so they agree at most steps; samples of a few steps of many walks are LSH keys.
+
+Walks drift apart with the number of edits, so walks alone lose long items. Each item is therefore also cut into one piece more than the edits it may have: in any match one piece at least is whole (pigeonhole), and all whole pieces are looked up. Recall at the similarity bound is 1.
 """
 
 from __future__ import annotations
@@ -69,14 +71,14 @@ def _member(sorted_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Index:
-    """LSH tables of one block of items. `walks` walks of `samples` sampled steps each; items of like length share steps."""
+    """LSH tables of one block of items, `walks` walks of `samples` sampled steps each (items of like length share steps), and tables of the items' pieces by length. Items of under `min_words` words may have no edits."""
 
     def __init__(self, items: list[tuple[int, bytes]], similarity: float, walks: int, samples: int, min_words: int):
         self.similarity = similarity
         self.ids, words = [], []
         for item_id, text in items:
             h = word_hashes(np.frombuffer(text.translate(LOWER), np.uint8), np.zeros(1, np.int64))[0] if text else np.zeros(0, np.uint64)
-            if len(h) >= min_words:
+            if len(h):
                 self.ids.append(item_id)
                 words.append(h)
         self.vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
@@ -86,10 +88,11 @@ class Index:
         self.maybe_pair = np.zeros(1 << 18, bool)
         self.maybe_pair[(self.pairs >> np.uint64(40)) & np.uint64((1 << 18) - 1)] = True
         self.items = [np.searchsorted(self.vocab, h) + 1 for h in words]
-        self.spare = [int((1 - similarity) * len(x) + 1e-9) for x in self.items]
+        self.spare = [int((1 - similarity) * len(x) + 1e-9) if len(x) >= min_words else 0 for x in self.items]
+        self.words_of, self.spare_of = np.array([len(x) for x in self.items], np.int64), np.array(self.spare, np.int64)
         rng = np.random.default_rng(7)
         self.classes = []
-        order = sorted(range(len(self.items)), key=lambda i: len(self.items[i]))
+        order = sorted((i for i in range(len(self.items)) if len(self.items[i]) >= min_words), key=lambda i: len(self.items[i]))
         while order:
             top = max(len(self.items[order[0]]) * 1.25, len(self.items[order[0]]) + 3)
             own = [i for i in order if len(self.items[i]) <= top]
@@ -99,6 +102,23 @@ class Index:
             pairs = min(len(self.items[i]) - 1 - 2 * self.spare[i] for i in own)
             self.classes.append((need, pairs, span, [self._walk(own, low, samples, rng) for _ in range(walks)]))
 
+        self.pieces = self._pieces()
+
+    def _pieces(self) -> list[tuple]:
+        """(length, sorted keys, item of each, place in the item of each): every item in spare + 1 pieces of like length, so spare edits leave one whole."""
+        by_length: dict[int, list[tuple[int, int]]] = {}
+        for i, item in enumerate(self.items):
+            cuts = [len(item) * k // (self.spare[i] + 1) for k in range(self.spare[i] + 2)]
+            for a, e in zip(cuts, cuts[1:]):
+                if e > a:
+                    by_length.setdefault(e - a, []).append((i, a))
+        out = []
+        for length, own in sorted(by_length.items()):
+            key = self._key(list(np.array([self.items[i][a : a + length] for i, a in own]).T), len(self.vocab) + 1)
+            sort = np.argsort(key, kind="stable")
+            out.append((length, key[sort], *np.array(own, np.int64)[sort].T))
+        return out
+
     def _walk(self, own: list[int], low: int, samples: int, rng) -> tuple:
         steps = np.sort(rng.choice(2 * low, min(samples, 2 * low), replace=False))
         factors = rng.integers(0, 2**63, int(steps[-1]) + 1, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -131,8 +151,16 @@ class Index:
             key = _mix(key * np.uint64(base) + s.astype(np.uint64))
         return key
 
-    def candidates(self, hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window start, item) pairs that share a key. Windows with too few words, or pairs of adjoining words, of any item are left out first: an edit spoils one word and two pairs at most, so they can't reach the similarity."""
+    @staticmethod
+    def _matches(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in key, place in the sorted keys) of all equal pairs."""
+        a, e = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
+        m = e - a
+        rows = np.repeat(np.arange(len(key)), m)
+        return rows, a[rows] + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+
+    def candidates(self, hashes: np.ndarray, ids: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window start, item) pairs that share a key or a piece. Windows with too few words, or pairs of adjoining words, of any item are left out first: an edit spoils one word and two pairs at most, so they can't reach the similarity."""
         count = np.concatenate(([0], np.cumsum(ids > 0)))
         pair = _pair(hashes)
         known = self.maybe_pair[(pair >> np.uint64(40)) & np.uint64((1 << 18) - 1)]
@@ -161,12 +189,20 @@ class Index:
                 if not len(alive) or k < len(steps):
                     continue
                 key = self._key(seen, len(self.vocab) + 1)
-                a, e = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                m = e - a
-                rows = np.repeat(np.arange(len(key)), m)
-                off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                rows, at = self._matches(keys, key)
                 windows.append(alive[rows])
-                items.append(owners[a[rows] + off])
+                items.append(owners[at])
+        for length, keys, owners, places in self.pieces:
+            if length > n:
+                continue
+            start = np.flatnonzero((count[length:] - count[:-length] == length) & (double[length - 1 : n] - double[: n - length + 1] == length - 1))
+            rows, at = self._matches(keys, self._key([ids[start + k] for k in range(length)], len(self.vocab) + 1))
+            found, item, begin = start[rows], owners[at], start[rows] - places[at]
+            words, spare = self.words_of[item], self.spare_of[item]
+            a, e = np.clip(begin - spare, 0, n), np.clip(begin + words + spare, 0, n)
+            ok = (count[e] - count[a] >= words - spare) & (double[np.maximum(e - 1, a)] - double[a] >= words - 1 - 2 * spare)
+            windows.append(np.maximum(begin[ok], np.searchsorted(text_of, text_of[found[ok]])))
+            items.append(item[ok])
         if not windows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.stack([np.concatenate(items), np.concatenate(windows)]), axis=1)
@@ -187,7 +223,7 @@ class Index:
         at, known = _member(self.vocab, hashes[some])
         ids[some] = np.where(known, at + 1, 0)
         text_of = np.searchsorted(begin, first, "right") - 1
-        windows, items = self.candidates(hashes, ids)
+        windows, items = self.candidates(hashes, ids, text_of)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         for p, i in sorted(zip(windows.tolist(), items.tolist(), strict=True)):
@@ -248,7 +284,7 @@ def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 24, samples: int = 3, min_words: int = 5) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, edits, similarity (1 - edits / words of the item), first_word, end_word: the best place of every item that a document holds with at least that similarity.
 
-    Words are lower-cased (A-Z) runs of anything but ASCII white space. Documents are not shuffled; each task reads whole texts in slices. Items of under min_words words (5: the shingle length) never match. Null or blank texts, null items: no match. Null doc_id or item_id: carried as null. Repeated rows of docs: each has its rows; repeated items: one. Other columns are not read. Empty tables: no rows.
+    Words are lower-cased (A-Z) runs of anything but ASCII white space. Documents are not shuffled; each task reads whole texts in slices. Every place with that similarity is found. Items of under min_words words (5: the shingle length) match by their exact sequence of words alone; items without words never match. Null or blank texts, null items: no match. Null doc_id or item_id: carried as null. Repeated rows of docs: each has its rows; repeated items: one. Other columns are not read. Empty tables: no rows.
     """
     out = None
     for block in _blocks(benchmark):
