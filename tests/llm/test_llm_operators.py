@@ -220,6 +220,22 @@ def test_tokens_round_trip(spark):
     assert tokens.read_tokens(shards, folder).count() == 0
 
 
+def test_added_tokens_as_by_the_plain_call(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["end <|endoftext|> next", "End <|ENDOFTEXT|> Next", "in<|startoftext|>side a.b", "<|startoftext|><|endoftext|>", "<|endoftext |> none", "plain words. End"]
+    for by_word in (True, False):
+        shards, folder = tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, by_word=by_word)
+        got = {r[0]: (r[2], r[3]) for r in rows_of(tokens.read_tokens(shards, folder))}
+        for k, text in enumerate(texts):
+            ids = t.encode(text, add_special_tokens=False).ids + [1]
+            assert got[k] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), (by_word, text)
+    assert t.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1131]
+
+
 def test_by_word_refuses_other_tokenizers():
     import public_tokenizers
 

@@ -25,7 +25,6 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _loaded[path] = Tokenizer.from_file(path)
-        _loaded[path].encode_special_tokens = True
     return _loaded[path]
 
 
@@ -42,6 +41,9 @@ class WordIds:
 
     def __init__(self, tokenizer, kind: type, most: int = 250_000):
         self.encode, self.kind, self.most = tokenizer.encode_batch_fast, kind, most
+        added = [re.escape(t.content.lower().strip().encode()) for t in tokenizer.get_added_tokens_decoder().values()]
+        #: A text that may hold an added token, in any case, is encoded whole.
+        self.added = re.compile(b"|".join(sorted(filter(None, added), key=len, reverse=True))) if any(added) else None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         probe = [e.ids for e in self.encode([f"Ab., c {MARK} D1", "ab", ".,", "c", MARK, "d", "1"], add_special_tokens=False)]
@@ -55,7 +57,9 @@ class WordIds:
         """White space here is ASCII; other white space inside a word is the tokenizer's to handle."""
         if len(self.young) > self.most:
             self.young, self.old = {}, self.young
-        words = [PART.sub(b" ", t.lower()).split() for t in texts]
+        low = [t.lower() for t in texts]
+        whole = {k for k, t in enumerate(low) if self.added and self.added.search(t)}
+        words = [[] if k in whole else PART.sub(b" ", t).split() for k, t in enumerate(low)]
         young, old, new = self.young, self.old, []
         for w in set().union(*words):
             if w not in young:
@@ -71,7 +75,10 @@ class WordIds:
             for k in range(0, len(some), 4096):
                 part = some[k : k + 4096]
                 young.update(zip((t.encode() for t in part), method(part), strict=True))
-        return [b"".join(map(young.__getitem__, w)) for w in words]
+        out = [b"".join(map(young.__getitem__, w)) for w in words]
+        for k in whole:
+            out[k] = np.array(self.encode([texts[k].decode()], add_special_tokens=False)[0].ids, self.kind).tobytes()
+        return out
 
     def _cut(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
         flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
@@ -165,7 +172,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
     """Encode docs (doc_id, text), append end_id to each, and write the ids in ascending doc_id order as shards in `folder` (default: a new one in the shared folder).
 
     Returns the written list of shards (shard, n_docs, n_tokens, base: ids in all shards before it) and the folder. A shard is one range of doc_id, sorted in its task, which holds a batch at a time. Ids are 16 bits wide where the vocabulary allows.
-    by_word: encode each distinct word once, by the tokenizer; only for tokenizers that lower-case, drop white space and part letters from signs, where the ids are the same (others are refused).
+    by_word: encode each distinct word once, by the tokenizer; only for tokenizers that lower-case, drop white space and part letters from signs, where the ids are the same (others are refused). Added tokens in a text are found as the library's plain call does; such texts are encoded whole.
     Null text: empty, so end_id alone. Null doc_id: first. Rows of the same doc_id: by text. Empty table: no shards. Other columns are not read.
     """
     spark = docs.sparkSession
