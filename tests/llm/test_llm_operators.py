@@ -369,6 +369,73 @@ def test_license_rules(spark):
     assert licenses.scan_licenses(edge_docs(spark)).count() == 11
 
 
+MIT_FILE = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+GPL_HEADER = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD_FILE = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+def test_wrapped_license_texts(spark):
+    slashes = lambda t: "\n".join(f"// {x}".rstrip() for x in t.split("\n"))
+    stars = lambda t: "/*\n" + "\n".join(f" * {x}".rstrip() for x in t.split("\n")) + "\n */"
+    whole = {MIT_FILE: ("MIT", "mit-permission,mit-notice,as-is,no-liability"), GPL_HEADER: ("GPL-family", "gpl-free,gpl-no-warranty"), BSD_FILE: ("BSD-3-Clause", "bsd-redistribution,bsd-endorse,bsd-as-is"), APACHE_HEADER: ("Apache-2.0", "apache-2-grant,apache-2-comply,apache-2-copy,apache-2-basis")}
+    cases = [(f(t), *want) for t, want in whole.items() for f in (str, slashes, stars, lambda t: t.replace("\n", "\r\n"))]
+    cases += [("// Licensed under the MIT License.", "MIT", "mit-grant"), ("x\nLicensed under the MIT License\nCopyright me", "MIT", "mit-grant"), ("/* SPDX-License-Identifier: MIT */", "MIT", "spdx-mit"), ("Licensed under the Apache License, Version 2.0\nother words\nAll rights reserved", "Apache-2.0,proprietary", "apache-2-grant,reserved")]
+    got = {r[0]: r for r in rows_of(licenses.scan_licenses(spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")))}
+    for k, (text, names, found) in enumerate(cases):
+        assert (got[k][3], got[k][2]) == (names, found), text
+
+
 def test_revisits(spark):
     from datetime import datetime
 

@@ -72,28 +72,51 @@ LETTER = {name: chr(ord("A") + k) if k < 26 else chr(ord("a") + k - 26) for k, (
 PATTERN = "|".join("".join(LETTER[s] for s in rule) for _, rule in RULES)
 
 
-def normalise(sentence: Column) -> Column:
-    """Lower case; other signs than . + : / - become one blank; no blanks or dots at the ends."""
-    return F.regexp_replace(F.regexp_replace(F.lower(sentence), r"[^a-z0-9.+:/-]+", " "), r"^ +|[ .]+$", "")
+#: Parts of a text that aren't words of it: comment leaders and list numbers at the start of a line, comment ends at its end.
+LEADER = r"(?m)^[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|<!--|%+|REM\b|dnl\b)[ \t]*)?(?:\(?[0-9]{1,2}[.)][ \t]+)?|[ \t]*(?:\*+/|-->)[ \t]*$"
+#: The address that ends "a copy of the License at" may stand on a line of its own, and "you may not" may follow a semicolon.
+ADDRESS = r"(?i)(license at):?[ \t]*\n\s*<?(https?://[^\s>]+)>?[ \t]*(?=\n|$)"
+GRANT_END = r"(?i);\s+(?=you\s+may\s+not\s)"
+#: A sentence ends here, or with a paragraph; a single line break may be a blank.
+ENDS = r"\n(?:[ \t]*\n)+|[.!?]+[ \t\x0B\f\n]+"
+#: Conditions that stand between the sentences of a licence and don't part them.
+BETWEEN = (r"^redistributions of source code must retain the above copyright", r"^redistributions in binary form must reproduce the above copyright")
+
+
+def wrapped(form: str) -> str:
+    """A form over whole lines; its blanks may be line breaks. A form with an open end takes the rest of its line."""
+    body = form.replace(" ?", "[ \\n]?").replace(" (", "[ \\n](").replace(".*", "[^<>]*?")
+    body = "".join("[ \\n]" if c == " " else c for c in body.replace("[ \\n]", "\0")).replace("\0", "[ \\n]")
+    return "(?m)" + ("" if form.startswith("^") else r"^[^\n<]*") + body + ("" if form.endswith("$") else r"[^\n<]*$")
+
+
+def normalise(part: Column) -> Column:
+    """Lower case; other signs than . + : / - become one blank; no blanks or dots at the ends of lines; no empty lines."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(part), r"[^a-z0-9.+:/\n-]+", " "), r"(?m)^ +|[ .]+$", ""), r"^\n+|\n+$|(?<=\n)\n+", "")
 
 
 def letters(text: Column) -> Column:
-    """The document's sentences as letters."""
+    """The document's sentences as letters. A form may start at the start of any line and, where it has an end, end with any line, so both wrapped sentences and one-line statements are found."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), LEADER, "")
+    parts = F.split(F.regexp_replace(F.regexp_replace(text, ADDRESS, "$1 $2\n\n"), GRANT_END, ";\n"), ENDS)
+    open_ends = "".join(LETTER[name] for name, form in SENTENCES if not form.endswith("$"))
 
-    def letter(sentence: Column) -> Column:
-        out = F.lit(".")
-        for name, form in reversed(SENTENCES):
-            out = F.when(sentence.rlike(form), LETTER[name]).otherwise(out)
-        return out
+    def part(p: Column) -> Column:
+        out = normalise(p)
+        for name, form in SENTENCES:
+            out = F.regexp_replace(out, wrapped(form), f"<{LETTER[name]}>")
+        for form in BETWEEN:
+            out = F.regexp_replace(out, wrapped(form), "<_>")
+        out = F.regexp_replace(out, rf"(<[{open_ends}_]>)(?:\n[^<\n]+)+", "$1")
+        return F.regexp_replace(F.regexp_replace(out, r"(?m)^[^<\n]+$", "."), r"[<>_\n]", "")
 
-    sentences = F.filter(F.transform(F.split(text, SPLIT), lambda s: F.when(s.rlike(HINT), normalise(s)).when(F.trim(s) == "", "").otherwise(".")), lambda s: s != "")
-    return F.array_join(F.transform(sentences, lambda s: F.when(s == ".", ".").otherwise(letter(s))), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(HINT), part(p)).when(F.trim(F.regexp_replace(p, r"\s+", " ")) == "", "").otherwise(".")), "")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_known (licence sentences), sentences (their identifiers in order), licenses (of the rules that match in order, leftmost first, no sentence twice), one row per row.
 
-    Sentences of a rule must follow each other without another sentence between. Only whole texts with a hint of a licence are split. Null or empty text: nothing found. Null doc_id and repeated rows stay. Other columns are not read. Empty table: no rows. Nothing is shuffled.
+    Sentences of a rule must follow each other without another sentence between. Sentences may be wrapped over lines and stand in comments; the SQL knows them on single lines only. Only whole texts with a hint of a licence are split. Null or empty text: nothing found. Null doc_id and repeated rows stay. Other columns are not read. Empty table: no rows. Nothing is shuffled.
     """
     d = pick(docs, doc_id="long", text="string").withColumn("seq", F.when(F.col("text").rlike(HINT), letters(F.col("text"))).otherwise(F.lit("")))
     names = F.create_map(*[F.lit(v) for pair in [(c, n) for n, c in LETTER.items()] for v in pair])
