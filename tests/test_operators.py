@@ -142,6 +142,35 @@ def test_leader_clusters_match_greedy_pass(spark):
     assert {r["ord"]: r["leader"] for r in leader_clusters(nodes, pairs).collect()} == leader_of
 
 
+def test_proposals_count_candidates(spark):
+    import re
+    from collections import Counter
+
+    from tracewright.model import MODES
+    from tracewright.operators.classify import STOP_WORDS
+    from tracewright.plans.classify_queries import c15
+    from tracewright.plans.more_queries import c14
+
+    near = next(" ".join(w) for w in (re.findall("[a-z]{3,}", m.lower()) for m in MODES.values()) if len([x for x in w if x not in STOP_WORDS]) >= 2)
+    texts = ["zebra quota exhausted"] * 4 + ["zebra quota exhausted twice"] + [near] * 6 + ["lonely words here"] * 2 + ["  "] * 5 + [f"{x * 4} {y * 5}" for x, y in ("bq", "dw", "fz", "gx", "hj") for _ in range(3)]
+    rows = [event(f"t{k:02d}", 0, "LLM_CALL", content=t) for k, t in enumerate(texts)]
+    events = spark.createDataFrame(rows, COLS)
+    clusters = []
+    for t in sorted(x.strip() for x in texts if x.strip()):
+        own = next((c for c in clusters if len(grams(c[0]) & grams(t)) / len(grams(c[0]) | grams(t)) >= 0.35), None)
+        clusters.append([t]) if own is None else own.append(t)
+    words = lambda t: [w for w in re.findall("[a-z]{3,}", t.lower()) if w not in STOP_WORDS]
+    want = []
+    for c in clusters:
+        freq = Counter(w for t in c for w in words(t))
+        kin = max(len(freq.keys() & set(words(m))) / len(freq) for m in MODES.values())
+        if len(c) >= 3 and kin < 0.8 and len(want) < 5:
+            want.append((f"NM-{len(want) + 1}", " ".join(sorted(freq, key=lambda w: -freq[w])[:3]), len(c), round(kin, 4)))
+    got = sorted((r["mode_id"], r["name"], r["support"], r["overlap"] or 0.0) for r in c14(events, None).collect())
+    assert got == want and len(want) == 5
+    assert sorted(r["size"] for r in c15(events, None).collect()) == sorted(map(len, clusters))
+
+
 def test_alignment_is_a_longest_common_subsequence():
     import numpy as np
 

@@ -192,13 +192,28 @@ def match_modes(symptoms_: DataFrame, modes: DataFrame) -> DataFrame:
     return n.groupBy("id").agg(F.min_by(F.struct("code", "overlap"), F.struct(-F.col("overlap"), "code")).alias("b")).select("id", "b.*")
 
 
-def proposals(clusters: DataFrame, symptoms_: DataFrame, support: int = 3, most: int = 5) -> DataFrame:
-    """clusters (ord, leader) and symptoms (ord, symptom) -> proposals of new modes: clusters of at least `support`, named by their three most frequent words; NM-n in order of leaders, `most` at most."""
+def cluster_sizes(clusters: DataFrame, symptoms_: DataFrame) -> DataFrame:
+    """clusters (ord, leader) and symptoms (ord, n: candidates of the text) -> (leader, size in candidates)."""
+    return clusters.join(symptoms_, "ord").groupBy("leader").agg(F.sum("n").alias("size"))
+
+
+def kinship(words: DataFrame, modes: DataFrame) -> DataFrame:
+    """words (leader, word; different) and modes (code, name) -> (leader, kin, overlap) of the mode that holds the largest share of a cluster's words; by code on ties, no row without a common word."""
+    m = modes.select("code", F.explode(content_tokens(F.col("name"))).alias("word"))
+    n = words.groupBy("leader").agg(F.count("*").alias("n_words"))
+    k = words.join(m, "word").groupBy("leader", "code").agg(F.count("*").alias("common")).join(n, "leader")
+    k = k.groupBy("leader").agg(F.min_by(F.struct("code", "common", "n_words"), F.struct(-F.col("common"), "code")).alias("k"))
+    return k.select("leader", F.col("k.code").alias("kin"), F.round(F.col("k.common") / F.col("k.n_words"), 4).alias("overlap"))
+
+
+def proposals(clusters: DataFrame, symptoms_: DataFrame, modes: DataFrame, support: int = 3, most: int = 5, dedup: float = 0.8) -> DataFrame:
+    """clusters (ord, leader), symptoms (ord, symptom, n: candidates of the text) and built-in modes (code, name) -> proposals of new modes: clusters of at least `support` candidates, named by their three most frequent words, with the mode they are next to; those that share `dedup` or more of their words with it are dropped; NM-n in order of leaders, `most` at most."""
     c = clusters.join(symptoms_, "ord")
-    big = c.groupBy("leader").agg(F.count("*").alias("support")).where(F.col("support") >= support)
-    w = c.join(big, "leader").select("leader", "ord", F.posexplode(F.filter(F.regexp_extract_all(F.lower("symptom"), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))).alias("pos", "word"))
-    w = w.groupBy("leader", "word").agg(F.count("*").alias("n"), F.min(F.struct("ord", "pos")).alias("seen"))
+    big = c.groupBy("leader").agg(F.sum("n").alias("support")).where(F.col("support") >= support)
+    w = c.join(big, "leader").select("leader", "ord", F.col("n").alias("copies"), F.posexplode(F.filter(F.regexp_extract_all(F.lower("symptom"), F.lit("[a-z]{3,}"), F.lit(0)), lambda x: ~x.isin(*STOP_WORDS))).alias("pos", "word"))
+    w = w.groupBy("leader", "word").agg(F.sum("copies").alias("n"), F.min(F.struct("ord", "pos")).alias("seen"))
     top = w.withColumn("k", F.row_number().over(Window.partitionBy("leader").orderBy(F.col("n").desc(), "seen"))).where("k <= 3")
     name = top.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("name"))
-    p = big.join(name, "leader", "left").withColumn("n", F.row_number().over(Window.orderBy("leader"))).where(F.col("n") <= most)
-    return p.select(F.concat(F.lit("NM-"), F.col("n").cast("string")).alias("mode_id"), F.coalesce("name", F.lit("unclassified residual")).alias("name"), "support", "leader")
+    kin = kinship(w.select("leader", "word"), modes)
+    p = big.join(name, "leader", "left").join(kin, "leader", "left").where(F.coalesce("overlap", F.lit(0.0)) < dedup).withColumn("n", F.row_number().over(Window.orderBy("leader"))).where(F.col("n") <= most)
+    return p.select(F.concat(F.lit("NM-"), F.col("n").cast("string")).alias("mode_id"), F.coalesce("name", F.lit("unclassified residual")).alias("name"), "support", "leader", "kin", "overlap")

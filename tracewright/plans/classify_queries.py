@@ -99,9 +99,9 @@ def c12(events, traces):
 
 
 def symptom_texts(events):
-    """Distinct messages and novel symptoms, numbered by text."""
-    texts = c.novel_symptoms(events).select("symptom").where("symptom is not null").distinct()
-    return texts.select(F.row_number().over(Window.orderBy("symptom")).alias("ord"), "symptom")
+    """Distinct messages and novel symptoms, numbered by text, each with its number of candidates (trace, symptom)."""
+    texts = c.novel_symptoms(events).select(F.regexp_replace("symptom", r"^\s+|\s+$", "").alias("symptom")).where("symptom <> ''").groupBy("symptom").agg(F.count("*").alias("n"))
+    return texts.select(F.row_number().over(Window.orderBy("symptom")).alias("ord"), "symptom", "n")
 
 
 @trace_query("c13_leader_clusters")
@@ -114,4 +114,4 @@ def c13(events, traces):
 @trace_query("c15_cluster_sizes")
 def c15(events, traces):
     nodes = symptom_texts(events)
-    return c.leader_clusters(nodes, c.similar_pairs(nodes)).groupBy("leader").agg(F.count("*").alias("size"))
+    return c.cluster_sizes(c.leader_clusters(nodes, c.similar_pairs(nodes)), nodes)

@@ -58,7 +58,7 @@ def c11(events, traces):
 @trace_query("c14_proposals")
 def c14(events, traces):
     nodes = symptom_texts(events)
-    return c.proposals(c.leader_clusters(nodes, c.similar_pairs(nodes)), nodes)
+    return c.proposals(c.leader_clusters(nodes, c.similar_pairs(nodes)), nodes, events.sparkSession.createDataFrame(list(MODES.items()), "code string, name string"))
 
 
 ANSWERS = ("the error lies in the lower half", "it is not in the lower half", "upper half, clearly", "both the lower and the upper half", "cannot say")
