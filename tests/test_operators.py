@@ -171,6 +171,28 @@ def test_proposals_count_candidates(spark):
     assert sorted(r["size"] for r in c15(events, None).collect()) == sorted(map(len, clusters))
 
 
+def test_long_chains_are_whole(spark):
+    from tracewright.operators.represent import ancestors, flatten_spans
+
+    n = 67
+    quick = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in quick}
+    for k, v in quick.items():
+        spark.conf.set(k, v)
+    events = spark.createDataFrame([event("t", i, "LLM_CALL", refs=[f"e{i - 1:03d}"] if i else []) for i in range(n)] + [event("u", i, "LLM_CALL", refs=[f"e{i - 1:03d}"] if i else []) for i in range(3)], COLS).coalesce(1)
+    got = {(r["trace_id"], r["id"]): r["depth"] for r in ancestors(events).collect()}
+    assert got == {("t", f"e{i:03d}"): n - 1 - i for i in range(n)} | {("u", f"e{i:03d}"): 2 - i for i in range(3)}
+    chain = [("t", f"s{k}", f"s{k - 1}" if k else None, k) for k in range(n)] + [("t", "x", "y", 0), ("t", "y", "x", 0), ("u", "a", None, 0), ("u", "b", "a", 1), ("u", "a", "b", 2)]
+    spans = spark.createDataFrame(chain, "trace_id string, span_id string, parent_span_id string, ordinal int").coalesce(1)
+    rows = flatten_spans(spans.where("trace_id = 't'")).collect()
+    assert {(r["span_id"], r["depth"]) for r in rows} == {(f"s{k}", k + 1) for k in range(n)} and len(rows) == n
+    assert {(r["span_id"], r["depth"]) for r in flatten_spans(spans.where("trace_id = 'u'")).collect()} == {("a", 1), ("b", 2)}
+    with pytest.raises(ValueError):
+        flatten_spans(spans, max_depth=3)
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     import numpy as np
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewright.model import DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, STEP_KINDS
+from tracewright.tables import durable
 
 
 def by_trace() -> WindowSpec:
@@ -35,21 +36,25 @@ def shorten(text: Column, limit: int = 400) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s)
 
 
-def flatten_spans(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """spans (trace_id, span_id, parent_span_id, ordinal) -> with depth, idx (pre-order) and parent_id (event id of the parent).
 
-    A bounded loop of joins carries each span's path of ordinals from its root; a span whose parent is absent is a root. Spans of a cycle are never reached and stay out.
+    A loop of joins carries each span's path of ordinals from its root, until no span is left; a span whose parent is absent is a root. Spans of a cycle are never reached and stay out. Spans deeper than a given max_depth are an error.
     """
     s = spans.select("trace_id", "span_id", "parent_span_id", "ordinal")
     parents = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
     level = s.join(parents, ["trace_id", "parent_span_id"], "left").where("_has is null")
     level = level.select("trace_id", "span_id", F.lit(None).cast("string").alias("parent_span_id"), F.array(F.struct("ordinal", "span_id")).alias("path"))
     out, depth = level, 1
-    while depth < max_depth:
+    while True:
         up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("_path"))
-        level = s.join(up, ["trace_id", "parent_span_id"]).select("trace_id", "span_id", "parent_span_id", F.concat("_path", F.array(F.struct("ordinal", "span_id"))).alias("path"))
-        if depth > 2 and level.isEmpty():
+        level = s.join(up, ["trace_id", "parent_span_id"]).where(~F.exists("_path", lambda p: p["span_id"] == F.col("span_id"))).select("trace_id", "span_id", "parent_span_id", F.concat("_path", F.array(F.struct("ordinal", "span_id"))).alias("path"))
+        if depth > 2:
+            level = durable(level)
+        if (depth > 2 or depth == max_depth) and level.isEmpty():
             break
+        if depth == max_depth:
+            raise ValueError(f"spans deeper than {max_depth} levels")
         out, depth = out.unionByName(level), depth + 1
     return number_spans(out)
 
@@ -212,14 +217,13 @@ def graph_stats(events: DataFrame) -> DataFrame:
     return out.select("trace_id", "n_nodes", "n_edges", "n_sources", (F.col("n_nodes") / F.col("n_events")).alias("node_ratio"), F.when(F.col("n_nodes") > 0, F.col("n_edges") / F.col("n_nodes")).otherwise(0.0).alias("edges_per_node"))
 
 
-def ancestors(events: DataFrame, rounds: int = 64) -> DataFrame:
+def ancestors(events: DataFrame) -> DataFrame:
     """(trace_id, id, depth) of all that a trace's last event depends on, itself included: a frontier join a round, until nothing new is reached (refs point backwards, so it ends)."""
     last = events.groupBy("trace_id").agg(F.max_by("id", "idx").alias("id")).withColumn("depth", F.lit(0))
     edges, seen, front = graph_edges(events, nodes_only=False).select("trace_id", "src", F.col("dst").alias("id")), last, last
-    for _ in range(rounds):
-        front = front.join(edges, ["trace_id", "id"]).select("trace_id", F.col("src").alias("id"), (F.col("depth") + 1).alias("depth")).distinct()
-        if front.isEmpty():
-            break
+    edges = durable(edges)
+    while not front.isEmpty():
+        front = durable(front.join(edges, ["trace_id", "id"]).select("trace_id", F.col("src").alias("id"), (F.col("depth") + 1).alias("depth")).distinct())
         seen = seen.unionByName(front)
     return seen.groupBy("trace_id", "id").agg(F.min("depth").alias("depth"))
 
