@@ -236,6 +236,21 @@ def test_added_tokens_as_by_the_plain_call(spark):
     assert t.encode(texts[0], add_special_tokens=False).ids == [806, 49407, 1131]
 
 
+def test_texts_by_words_are_those_of_the_plain_call():
+    import public_tokenizers
+
+    t = tokens._tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    few, many = tokens.WordIds(t, np.uint16, most=50), tokens.WordIds(t, np.uint16)
+    rnd = random.Random(8)
+    bits = ["a", "B", "é", "É", "e\u0301", "'", "'s", "'LL", "1", "23", ".", ",", "...", "!?", "<", "|", ">", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "漢", "字", "한", "\u0338", "=", "-", "_", "ΣΑΣ", "İ", "ß", "ﬁ", "😀", "\x00", "\x1c", "\x01", "word", "Another", "x" * 40, "longcompoundwordofmanyletters", "\u200b", "\u0085", "ǅ", "٣", "\u037e", "\u0345"]
+    for _ in range(100):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(20)]
+        for words in (few, many):
+            for text, ids in zip(texts, words.texts([x.encode() for x in texts]), strict=True):
+                assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert few.texts([]) == [] and [len(i) for i in few.texts([b"", b" "])] == [0, 0]
+
+
 def test_by_word_refuses_other_tokenizers():
     import public_tokenizers
 
@@ -272,6 +287,49 @@ def test_named_literals_and_constants():
     assert spans('<apiKey>a8f7d6s5d4</apiKey>') == {"a8f7d6s5d4"}
     assert spans('token_name = "a8f7d6s5d4"') == set() and spans('password = "changeme"') == set() and spans("colour: a8f7d6s5d4") == set()
     assert spans('A = "kd83"\nB = A + "9fKLs2"\npassword = B') == {"kd83", "9fKLs2"}
+    assert spans('A = "k8"\nB = A + "9fKLs2"\npassword = B') == {"k8", "9fKLs2"}
+    many = "\n".join(f'p{k} = "a{k}Zq"' for k in range(100)) + "\nx = " + " + ".join(f"p{k}" for k in range(100))
+    assert spans(many + "\npassword = x") == {f"a{k}Zq" for k in range(100)}
+    assert spans('a = "Xk29dkLq0z"\n' + "a = a + a\n" * 300 + "password = a") == {"Xk29dkLq0z"}
+
+
+def slow_literal_score(value):
+    if len(value) < 8 or any(c.isspace() for c in value) or secrets.PLACEHOLDER.match(value):
+        return 0.0
+    shares = [value.count(c) / len(value) for c in set(value)]
+    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, -sum(p * np.log2(p) for p in shares) / 4.0) * (0.5 + 0.25 * min(2, kinds - 1))
+
+
+def slow_named(text):
+    """Constants written out in full, on lines name = piece + piece."""
+    known, out = {}, set()
+    for m in re.finditer(r"(?m)^(\w+) = (.*)$", text):
+        leaves = []
+        for piece in re.finditer(r'"([^"\n]*)"|(\w+)', m[2]):
+            if piece[2] is None:
+                leaves.append((m.start(2) + piece.start(1), m.start(2) + piece.end(1), piece[1]))
+            else:
+                leaves += known.get(piece[2], [(m.start(2) + piece.start(), m.start(2) + piece.end(), piece[2])])
+        known[m[1]] = leaves
+        score, weight = slow_literal_score("".join(v for _, _, v in leaves)), secrets.name_score(m[1])
+        if weight and score >= 0.5 and weight + score > 1.0:
+            out |= {(a, e, "named") for a, e, v in leaves if v}
+    return sorted(out)
+
+
+def test_named_spans_match_brute_force():
+    rnd = random.Random(12)
+    names = ["a", "b", "c", "password", "db_secret", "token_name", "auth_key", "colour"]
+    pieces = ['"Xk29dkLq0z"', '"kd83"', '"changeme"', '"xxxxxxxxxxxx"', '"<tag"', '"end>"', '"${v"', '"two words"', '""', "Zx81kqLm"]
+    for _ in range(1500):
+        text = "\n".join(f"{rnd.choice(names)} = " + " + ".join(rnd.choice(pieces + names[:3]) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(1, 8)))
+        assert secrets.named_spans(text) == slow_named(text), text
+    for _ in range(3000):
+        value = "".join(rnd.choice(["x", "X", "*", ".", "<", ">", "${", "%(", "{{", "example", "your_", "A", "b", "9", "é", "xxxxxxxx", "-"]) for _ in range(rnd.randint(0, 12))) * rnd.choice((1, 1, 5))
+        cut = rnd.randint(0, len(value))
+        chain = secrets.Value(0, 0, "", (secrets.Value(0, 1, value[:cut]), secrets.Value(1, 2, value[cut:])))
+        assert abs(slow_literal_score(value) - secrets.literal_score(value)) < 1e-9 and abs(slow_literal_score(value) - chain.score()) < 1e-9, value
 
 
 def test_secret_edges(spark):

@@ -33,6 +33,9 @@ SENSITIVE = {
 #: Words of a name that say the value only describes a secret.
 HARMLESS = {"name", "path", "file", "url", "uri", "field", "label", "length", "size", "type", "count", "prompt", "hint", "policy", "expiry", "ttl", "public", "id", "header", "format"}
 PLACEHOLDER = re.compile(r"(?i)(?:x{3,}|\*{3,}|\.{3,}|<.*>|\$\{.*|%\(.*|\{\{.*|changeme|change_me|example.*|placeholder|your[_-].*|none|null|true|false|undefined|todo|test|dummy|default|redacted)$")
+OPEN_PLACEHOLDER = re.compile(r"(?i)(?:\$\{|%\(|\{\{|example|your[_-])")
+#: Characters of a value that are kept as they are; longer than every closed placeholder.
+HEAD = 32
 NAME_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 SCORE = 1.0
 
@@ -54,12 +57,46 @@ def name_score(name: str) -> float:
 
 def literal_score(value: str) -> float:
     """0 for short, blank, placeholder or prose values; else up to 1 by entropy and mix of characters."""
-    if len(value) < 8 or any(c.isspace() for c in value) or PLACEHOLDER.match(value):
-        return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return min(1.0, bits / 4.0) * (0.5 + 0.25 * min(2, kinds - 1))
+    return Value(0, 0, value).score()
+
+
+class Value:
+    """A literal at [start, end), or a chain of values joined by +. A chain refers to its parts and keeps what its score needs of the whole string, so that constants built from constants are never written out."""
+
+    __slots__ = ("counted", "end", "head", "n", "parts", "start", "tail", "text")
+
+    def __init__(self, start: int, end: int, text: str, parts: tuple[Value, ...] = ()):
+        self.start, self.end, self.text, self.parts = start, end, text, parts
+        self.counted: Counter | None = None
+        self.n, self.head, self.tail = len(text), text[:HEAD], text[-1:]
+        if parts:
+            self.counted = Counter()
+            for p in parts:
+                self.counted.update(p.counts())
+                self.head, self.n = (self.head + p.head)[:HEAD] if self.n < HEAD else self.head, self.n + p.n
+                self.tail = p.tail or self.tail
+
+    def counts(self) -> Counter:
+        if self.counted is None:
+            self.counted = Counter(self.text)
+        return self.counted
+
+    def score(self) -> float:
+        if self.n < 8:
+            return 0.0
+        counts = self.counts()
+        if any(map(str.isspace, counts)) or self._placeholder():
+            return 0.0
+        bits = -sum(k / self.n * math.log2(k / self.n) for k in counts.values())
+        kinds = {"a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "0" if "0" <= c <= "9" else "-" for c in counts}
+        return min(1.0, bits / 4.0) * (0.5 + 0.25 * min(2, len(kinds) - 1))
+
+    def _placeholder(self) -> bool:
+        """PLACEHOLDER on the whole value; of values longer than their kept head, by head, last character and the set of characters."""
+        if self.n <= HEAD:
+            return bool(PLACEHOLDER.match(self.head))
+        used = set(self.counts())
+        return used <= {"x", "X"} or used in ({"*"}, {"."}) or bool(OPEN_PLACEHOLDER.match(self.head)) or (self.head[0] == "<" and self.tail == ">")
 
 
 def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], bool]]:
@@ -88,24 +125,30 @@ def lex_pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], bool]]:
 
 
 def named_spans(text: str) -> list[tuple[int, int, str]]:
-    """Literals that reach a sensitive name, directly, through constants assigned before, or joined by +. Each is reported where it is written."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
-    spans = set()
+    """Literals that reach a sensitive name, directly, through constants assigned before, or joined by +, however many. Each is reported where it is written, short pieces of a secret included."""
+    constants: dict[str, Value] = {}
+    spans: set[tuple[int, int, str]] = set()
+    told: dict[int, Value] = {}
     for name, parts, _ in lex_pairs(text):
-        reach: list[tuple[int, int, str]] = []
+        values = []
         for a, b, token in parts:
             bare = token[1:].strip("{}") if token[0] == "$" else token
             if token[0] in "\"'`":
-                reach.append((a, b, token[1:-1]))
+                values.append(Value(a, b, token[1:-1]))
             elif bare in constants:
-                reach += constants[bare][:64]
+                values.append(constants[bare])
             elif token[0] != "$":
-                reach.append((a, b, token))
-        constants[name] = reach[:64]
+                values.append(Value(a, b, token))
+        value = constants[name] = values[0] if len(values) == 1 else Value(0, 0, "", tuple(values))
         weight = name_score(name)
-        whole = "".join(v for _, _, v in reach)
-        if weight and weight + literal_score(whole) > SCORE and literal_score(whole) >= 0.5:
-            spans |= {(a, b, "named") for a, b, v in reach if len(v) >= 4}
+        if weight and (strong := value.score()) >= 0.5 and weight + strong > SCORE:
+            open_ = [value]
+            while open_:  # every value is told once, so shared parts cost nothing again
+                if id(v := open_.pop()) not in told:
+                    told[id(v)] = v
+                    open_ += v.parts
+                    if not v.parts and v.n:
+                        spans.add((v.start, v.end, "named"))
     return sorted(spans)
 
 
