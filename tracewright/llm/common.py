@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,26 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
-    """df, with Arrow batches of at most `rows` rows in its session, so that a Python worker holds a few MB of texts at a time."""
+    """df, with Arrow batches of at most `rows` rows in its session, so that a Python worker holds a few MB of texts at a time. A smaller positive setting stays; 0 and less mean no limit."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    df.sparkSession.conf.set(key, str(min(rows, int(df.sparkSession.conf.get(key, "10000")))))
+    if not 0 < int(df.sparkSession.conf.get(key, "10000")) <= rows:
+        df.sparkSession.conf.set(key, str(rows))
     return df
 
 
+def slices(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts) of runs of texts of about `size` bytes, null as empty; a longer text is one of its own."""
+    at, held, total = 0, [], 0
+    for k, t in enumerate(texts):
+        held.append(t or b"")
+        total += len(held[-1])
+        if total >= size:
+            yield at, held
+            at, held, total = k + 1, [], 0
+    if held:
+        yield at, held
+
+
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, pick, shared_path
+from .common import bounded_batches, materialize, pick, shared_path, slices
 
 SEQUENCE, BATCH = 2048, 64
 _loaded: dict[str, object] = {}
@@ -29,88 +29,158 @@ def _tokenizer(path: str):
 
 
 MARK = "\x01"
-#: Between an ASCII letter or digit and a sign: the tokenizer cuts here anyway.
-PART = re.compile(rb"(?<=[a-z0-9])(?=[.,;:!?])")
+#: Words of up to this many bytes are told apart by whole-array comparison; longer ones are looked up one by one.
+LANES = 4
+_BLANK, _ALNUM, _SIGN = (np.zeros(256, bool) for _ in range(3))
+_BLANK[list(b" \t\n\v\f\r")] = True
+_ALNUM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+#: After an ASCII letter or digit the tokenizer cuts before these anyway.
+_SIGN[list(b".,;:!?")] = True
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: What may differ between a text and its words in turn: contractions, marks to compose, digits, signs in a row, scripts without blanks, blanks beyond ASCII, letters that change length in lower case.
+PROBES = (
+    "Ab., c D1", "It's we'LL 'tis o'clock 're", "café Éa ́x", "12,345.67 1a2b ٣٤", "a...b ?!? --x;:y", "漢字かな 한국어 한", "a b c　d\u0085e​f",
+    "İSTANBUL Straße ΣΑΣ ǅ Å", "😀👍🏽 ☃.x", "x̸= ≮ ;̸", "a\x00b\x1cc\x1fd ﻿e", "नमस्ते ไทย",
+)
 
 
 class WordIds:
-    """Ids of words as bytes, for tokenizers that lower-case, drop white space, and part letters from signs: a text's ids are those of its words in turn, each encoded once.
+    """Ids of whole texts from those of their distinct words, for tokenizers that lower-case, drop white space, and part letters from signs.
 
-    Two generations of words are kept; a full one becomes the old one, so memory is bounded and frequent words stay.
+    Words are cut, packed into 8-byte lanes and grouped as arrays; each distinct word of a batch is looked up once, and encoded by the tokenizer if it is new. Equal keys are compared in all their bytes. The store of words starts anew when it holds `most`, so memory is bounded.
     """
 
-    def __init__(self, tokenizer, kind: type, most: int = 250_000):
+    def __init__(self, tokenizer, kind: type, most: int = 500_000):
         self.encode, self.kind, self.most = tokenizer.encode_batch_fast, kind, most
         added = [re.escape(t.content.lower().strip().encode()) for t in tokenizer.get_added_tokens_decoder().values()]
         #: A text that may hold an added token, in any case, is encoded whole.
         self.added = re.compile(b"|".join(sorted(filter(None, added), key=len, reverse=True))) if any(added) else None
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        probe = [e.ids for e in self.encode([f"Ab., c {MARK} D1", "ab", ".,", "c", MARK, "d", "1"], add_special_tokens=False)]
-        if probe[0] != [i for p in probe[1:] for i in p] or len(probe[4]) != 1:
+        mark = self._ids([MARK])[0]
+        if len(mark) != 1:
             raise ValueError("by_word doesn't suit this tokenizer")
-        self.mark = probe[4][0]
+        self.mark = int(mark[0])
         self.last = np.zeros(tokenizer.get_vocab_size() + 1, bool)
         self.last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+        for text in PROBES:
+            if self.texts([text.encode()])[0].tobytes() != self._ids([text])[0].tobytes():
+                raise ValueError("by_word doesn't suit this tokenizer")
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.encode(texts, add_special_tokens=False)]
+
+    def _forget(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, self.kind), 0
+        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of every text. White space here is ASCII; other white space inside a word is the tokenizer's to handle."""
+        if len(self.place) > self.most:
+            self._forget()
+        joined = b" ".join(texts).lower()
+        whole = [k for k, t in enumerate(texts) if self.added.search(t.lower())] if self.added and self.added.search(joined) else []
+        buffer = np.frombuffer(joined + b" " * (8 * LANES), np.uint8)
+        begin, end = self._cut(buffer[: len(joined)])
+        word = self._places(joined, buffer, begin, end)
+        size = self.size[word]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.flat[np.repeat(self.first[word] - upto[:-1], size) + np.arange(upto[-1])]
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        cuts = upto[np.searchsorted(begin, np.concatenate(([0], np.cumsum(lens))))].tolist()
+        out = [ids[a:e] for a, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in whole:
+            out[k] = self._ids([texts[k].decode()])[0]
+        return out
+
+    @staticmethod
+    def _cut(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First byte and end of every word."""
+        blank = np.concatenate(([True], _BLANK[b], [True]))
+        cut = np.zeros(len(b) + 1, bool)
+        cut[1:-1] = _SIGN[b[1:]] & _ALNUM[b[:-1]]
+        return np.flatnonzero(~blank[1:-1] & (blank[:-2] | cut[:-1])), np.flatnonzero(~blank[1:-1] & (blank[2:] | cut[1:])) + 1
+
+    def _places(self, joined: bytes, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Where the store holds each word."""
+        n = end - begin
+        out = np.zeros(len(n), np.int64)
+        short = np.flatnonzero(n <= 8 * LANES)
+        a, m = begin[short], n[short]
+        eight = np.lib.stride_tricks.as_strided(buffer.view(np.uint8), (max(0, len(buffer) - 7), 8), (1, 1)).view("<u8")[:, 0] if len(buffer) >= 8 else np.zeros(0, np.uint64)
+        lanes, key = [], m.astype(np.uint64)
+        for k in range(LANES):
+            some = np.flatnonzero(m > 8 * k) if k else slice(None)
+            lane = np.zeros(len(a), np.uint64)
+            lane[some] = eight[a[some] + 8 * k] & _KEEP[np.clip(m[some] - 8 * k, 0, 8)]
+            lanes.append(lane)
+            key[some] = (key[some] ^ lane[some]) * np.uint64(0x9E3779B97F4A7C15)
+            key[some] ^= key[some] >> np.uint64(29)
+        _, first, group = np.unique(key, return_index=True, return_inverse=True)
+        if all((lane == lane[first][group]).all() for lane in lanes) and (m == m[first][group]).all():
+            out[short] = self._stored([joined[x:y] for x, y in zip(a[first].tolist(), end[short][first].tolist(), strict=True)])[group]
+            rest = np.flatnonzero(n > 8 * LANES)
+        else:  # different words of one key
+            rest = np.arange(len(n))
+        if len(rest):
+            out[rest] = self._stored([joined[x:y] for x, y in zip(begin[rest].tolist(), end[rest].tolist(), strict=True)])
+        return out
 
-    def texts(self, texts: list[bytes]) -> list[bytes]:
-        """White space here is ASCII; other white space inside a word is the tokenizer's to handle."""
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        low = [t.lower() for t in texts]
-        whole = {k for k, t in enumerate(low) if self.added and self.added.search(t)}
-        words = [[] if k in whole else PART.sub(b" ", t).split() for k, t in enumerate(low)]
-        young, old, new = self.young, self.old, []
-        for w in set().union(*words):
-            if w not in young:
-                if w in old:
-                    young[w] = old[w]
-                else:
-                    new.append(w)
+    def _stored(self, words: list[bytes]) -> np.ndarray:
+        """Places of words; new ones are encoded."""
+        place = self.place
         plain, rest = [], []
-        for w in new:
-            t = w.decode()
-            (plain if t.isalpha() and t.lower().isalpha() and is_normalized("NFC", t) else rest).append(t)
+        for w in dict.fromkeys([w for w in words if w not in place]):
+            if w.isalpha():
+                plain.append(w)
+            else:
+                t = w.decode()
+                (plain if t.isalpha() and t.lower().isalpha() and is_normalized("NFC", t) else rest).append(w)
         for some, method in ((plain, self._plain), (rest, self._marked)):
             for k in range(0, len(some), 4096):
                 part = some[k : k + 4096]
-                young.update(zip((t.encode() for t in part), method(part), strict=True))
-        out = [b"".join(map(young.__getitem__, w)) for w in words]
-        for k in whole:
-            out[k] = np.array(self.encode([texts[k].decode()], add_special_tokens=False)[0].ids, self.kind).tobytes()
-        return out
-
-    def _cut(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        flat, size = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
-        return [flat[a:b] for a, b in zip((starts * size).tolist(), (ends * size).tolist(), strict=True)]
-
-    def _plain(self, words: list[str]) -> list[bytes]:
-        """Words of letters alone end with their only token that ends a word."""
-        ids = np.array(self.encode([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+                self._store(part, *method(part))
+        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+
+    def _store(self, words: list[bytes], ids: np.ndarray, size: np.ndarray) -> None:
+        at = len(self.place)
+        while at + len(words) > len(self.first):
+            self.first, self.size = (np.concatenate((v, np.zeros_like(v))) for v in (self.first, self.size))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.first[at : at + len(words)] = self.used + np.cumsum(size) - size
+        self.size[at : at + len(words)] = size
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.place.update(zip(words, range(at, at + len(words)), strict=True))
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in turn, and how many each has. Words of letters alone end with their only token that ends a word."""
+        ids = self._ids([b" ".join(words).decode()])[0]
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            return self._marked(words)
-        return self._cut(ids, np.concatenate(([0], ends[:-1])), ends)
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._marked(words)
 
-    def _marked(self, words: list[str]) -> list[bytes]:
+    def _marked(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words in one call with a mark between; one by one if a word holds the mark."""
-        if not any(MARK in t for t in words):
-            ids = np.array(self.encode([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        line = f" {MARK} ".encode().join(words)
+        if line.count(MARK.encode()) == len(words) - 1:
+            ids = self._ids([line.decode()])[0]
             cuts = np.flatnonzero(ids == self.mark)
             if len(cuts) == len(words) - 1:
-                return self._cut(ids, np.concatenate(([0], cuts + 1)), np.concatenate((cuts, [len(ids)])))
-        return [np.array(e.ids, self.kind).tobytes() for e in self.encode(words, add_special_tokens=False)]
+                return np.delete(ids, cuts), np.diff(cuts, prepend=-1, append=len(ids)) - 1
+        one = self._ids([w.decode() for w in words])
+        return np.concatenate(one), np.fromiter(map(len, one), np.int64, len(one))
 
 
 def _encoder(path: str, kind: type, by_word: bool):
-    """texts as UTF-8 -> ids of each as bytes."""
+    """texts as UTF-8 -> ids of each."""
     if by_word:
         key = f"{path} {np.dtype(kind)}"
         if key not in _loaded:
             _loaded[key] = WordIds(_tokenizer(path), kind)
         return _loaded[key].texts
     encode = _tokenizer(path).encode_batch_fast
-    return lambda texts: [np.array(e.ids, kind).tobytes() for e in encode([t.decode() for t in texts], add_special_tokens=False)]
+    return lambda texts: [np.array(e.ids, kind) for e in encode([t.decode() for t in texts], add_special_tokens=False)]
 
 
 def _open(path: str):
@@ -185,14 +255,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
         from pyspark import TaskContext
 
         shard, writer, n_docs, kind = TaskContext.get().partitionId(), None, 0, np.uint32 if wide else np.uint16
-        encode, end = _encoder(tokenizer, kind, by_word), np.array([end_id], kind).tobytes()
+        encode, end = _encoder(tokenizer, kind, by_word), np.array([end_id], kind)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                some = b.slice(k, 256)
-                found = encode([t or b"" for t in some.column(1).to_pylist()])
+            for at, texts in slices(b.column(1).to_pylist()):
                 writer = writer or ShardWriter(folder, f"shard-{shard:07d}", length, wide)
-                writer.add(some.column(0).to_pylist(), [np.frombuffer(e + end, kind) for e in found])
-                n_docs += some.num_rows
+                writer.add(b.column(0).slice(at, len(texts)).to_pylist(), [np.append(e, end) for e in encode(texts)])
+            n_docs += b.num_rows
         if writer:
             writer.close()
             yield pa.record_batch([[shard], [n_docs], [writer.total]], schema=pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
