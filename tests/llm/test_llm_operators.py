@@ -515,6 +515,20 @@ def test_revisits(spark):
     assert rows_of(warc.parse_records(spark.createDataFrame([(1, None), (2, "junk")], "record_id long, record string")).select("record_id", "uri", "kind")) == [(1, None, None), (2, None, None)]
 
 
+def test_records_as_servers_send_them(spark):
+    head = "WARC/1.1\r\nWARC-Type: Response\r\nWARC-Target-URI: {}\r\nWARC-Date: 2024-01-01T00:00:00Z\r\n\r\n"
+    body = "line\r\n\r\nline: two\n\nend\r\n"
+    cookies = "HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nETag: x\r\nset-cookie: b=2:3\r\nno colon\r\n: empty\r\n\r\n"
+    raw = [(1, head.format("http://a.com/") + cookies + body), (2, head.format("") + cookies + body), (3, head.format("u")), (4, ""), (5, (head.format("u") + cookies).replace("\r\n", "\n") + body)]
+    got = {r["record_id"]: r for r in warc.parse_records(spark.createDataFrame([(*r, "x") for r in raw], "record_id long, record string, uri string")).collect()}
+    assert got[1]["headers"] == {"set-cookie": "b=2:3", "etag": "x", "": "empty"} and got[1]["body"] == got[5]["body"] == body
+    assert got[1]["kind"] == "response" and got[1]["status"] == 200 and got[5]["headers"] == got[1]["headers"] and got[1]["uri"] == "http://a.com/"
+    assert got[2]["uri"] is None and got[3]["body"] is None and got[3]["status"] is None and got[4]["kind"] is None
+    pages = spark.createDataFrame([(k, None if k % 2 else "", "<p>") for k in range(0, 8)] + [(None, "u", None)], "page_id long, url string, html string")
+    found = warc.resolve_revisits(warc.parse_records(warc.records_of_pages(pages))).collect()
+    assert {r["verdict"] for r in found} == {"not-found"} and {r["url"] for r in found} <= {None, "u"}
+
+
 # --- 2 quality, pipeline -----------------------------------------------------
 
 
