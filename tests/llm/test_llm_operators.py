@@ -81,7 +81,10 @@ def test_links_find_every_pair(spark):
     base = rnd.integers(0, 2**64, 30, np.uint64)
     near = [int(b) ^ sum(1 << int(k) for k in rnd.choice(12, rnd.integers(0, 4), replace=False)) for b in base for _ in range(40)]
     fps = sorted({np.uint64(x).view(np.int64).item() for x in [*near, *base.tolist()]})
-    got = {tuple(r) for r in rows_of(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")))}
+    nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
+    got = {tuple(r) for r in rows_of(simhash.links(nodes))}
+    assert all({tuple(r) for r in rows_of(simhash.links(nodes, parts=p))} == got for p in ((2,), (3,), (4,)))
+    assert len(simhash.cheapest_partitions(nodes, 2, float(len(fps)), (3, 2))[0]) == 3 and len(simhash.cheapest_partitions(nodes, 2, 1e13, (3, 2))[0]) == 2
     u = np.array(fps).view(np.uint64)
     want = {(fps[i], fps[j]) for i in range(len(fps)) for j in range(i + 1, len(fps)) if bin(int(u[i] ^ u[j])).count("1") <= 2}
     assert got == want and len(want) > 100
@@ -91,7 +94,8 @@ def test_thresholds_satisfy_the_principle():
     fps = np.random.default_rng(2).integers(-(2**63), 2**63, 500)
     groups = [list(range(0, 22)), list(range(22, 43)), list(range(43, 64))]
     shares = [np.full((256, 3), 0.01 * (k + 1)) for k in range(9)]
-    t = simhash.allocate(fps, groups, shares, 1e6, 2)
+    t, cost = simhash.allocate(fps, groups, shares, 1e6, 2)
+    assert (cost > 0).all()
     assert (t >= -1).all() and ((t + 1).sum(axis=1) == 3).all()
 
 
@@ -110,6 +114,15 @@ def test_representatives_keep_one(spark):
     assert len(fps) == len(set(fps)) and {slow_fingerprint(t) for _, t in rows_of(docs.select("doc_id", "text"))} == set(fps)
 
 
+def test_representatives_of_repeated_ids(spark):
+    long = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    rows = [(1, long("a"), "x"), (5, long("b"), "y"), (5, long("a"), "z"), (7, long("c"), "u"), (7, long("c"), "v"), (None, long("d"), "w"), (None, long("a"), "q")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id int, text string, tag string, fp int, _kept int, place int")
+    kept = sorted((str(r[0]), r[1], r[2] in "uv") for r in rows_of(simhash.keep_representatives(docs)))
+    assert kept == sorted([("1", long("a"), False), ("5", long("b"), False), ("7", long("c"), True), ("None", long("d"), False)])
+    assert simhash.keep_representatives(docs).columns == docs.columns and simhash.keep_representatives(docs.limit(0)).count() == 0
+
+
 # --- 5 mixing ----------------------------------------------------------------
 
 

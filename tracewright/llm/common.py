@@ -41,6 +41,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items()))
 
 
+def struct_of(df: DataFrame) -> DataFrame:
+    """df as one column `row`, so that helper columns beside it can't clash with its own; select('row.*') gives df back."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
 def bounded_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
     """df, with Arrow batches of at most `rows` rows in its session, so that a Python worker holds a few MB of texts at a time. A smaller positive setting stays; 0 and less mean no limit."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, materialize, pick
+from .common import bounded_batches, connected_components, materialize, pick, struct_of
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 CHUNK = 1 << 15
@@ -48,8 +48,8 @@ def _bits(fps: np.ndarray) -> np.ndarray:
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def correlated_partitions(nodes: DataFrame, parts: int) -> list[list[int]]:
-    """Bits 0..63 in groups of nearly equal size, each grown from the bit that correlates most by adding the bit most correlated with the group. Counts cover all fingerprints; the driver gets 64 x 64 sums."""
+def bit_correlations(nodes: DataFrame) -> np.ndarray:
+    """Absolute correlations of the 64 bits. Counts cover all fingerprints; the driver gets 64 x 64 sums."""
 
     def run(batches):
         both, n = np.zeros((64, 64)), 0
@@ -66,7 +66,11 @@ def correlated_partitions(nodes: DataFrame, parts: int) -> list[list[int]]:
     both = np.array([sums.get(k, 0) for k in range(4096)], float).reshape(64, 64) / n
     one = both.diagonal()
     sd = np.sqrt(np.maximum(one * (1 - one), 1e-12))
-    corr = np.abs((both - np.outer(one, one)) / np.outer(sd, sd))
+    return np.abs((both - np.outer(one, one)) / np.outer(sd, sd))
+
+
+def correlated_partitions(corr: np.ndarray, parts: int) -> list[list[int]]:
+    """Bits 0..63 in groups of nearly equal size, each grown from the bit that correlates most by adding the bit most correlated with the group."""
     free, groups = list(range(64)), []
     for k in range(parts):
         group: list[int] = []
@@ -105,8 +109,8 @@ def distance_shares(nodes: DataFrame, groups: list[list[int]], most: int) -> lis
     return [np.stack([(apart == d) @ c / n for d in range(most + 1)], axis=1) for c in counts]
 
 
-def allocate(fps: np.ndarray, groups: list[list[int]], shares: list[np.ndarray], n: float, most: int) -> np.ndarray:
-    """Thresholds [query, group] from -1 (not probed) up, with sum(threshold + 1) = most + 1, of least estimated cost: keys probed plus candidates met. Dynamic programming over the groups, for all queries at once."""
+def allocate(fps: np.ndarray, groups: list[list[int]], shares: list[np.ndarray], n: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Thresholds [query, group] from -1 (not probed) up, with sum(threshold + 1) = most + 1, of least estimated cost, and that cost: keys probed plus candidates met. Dynamic programming over the groups, for all queries at once."""
     spend = most + 1
     best = np.full((len(fps), spend + 1), np.inf)
     best[:, 0], chosen, at = 0.0, [], 0
@@ -126,17 +130,40 @@ def allocate(fps: np.ndarray, groups: list[list[int]], shares: list[np.ndarray],
     for g in range(len(groups) - 1, -1, -1):
         e = chosen[g][np.arange(len(fps)), left]
         out[:, g], left = e - 1, left - e
-    return out
+    return out, best[:, spend]
+
+
+def cheapest_partitions(nodes: DataFrame, most: int, n: float, parts: tuple[int, ...]) -> tuple[list[list[int]], list[np.ndarray]]:
+    """Of the numbers of groups in `parts`, the one whose allocated thresholds cost least over all fingerprints: few wide groups pay when there are many fingerprints, more and narrower ones when there are few."""
+    corr = bit_correlations(nodes)
+    ways = [correlated_partitions(corr, p) for p in parts]
+    every = distance_shares(nodes, [g for way in ways for g in way], most)
+    shares, at = [], 0
+    for way in ways:
+        width = sum(-(-len(g) // 8) for g in way)
+        shares.append(every[at : at + width])
+        at += width
+
+    def run(batches):
+        total = np.zeros(len(ways))
+        for b in batches:
+            fps = b.column(0).to_numpy(zero_copy_only=False)
+            for k in range(0, len(fps), 4096):
+                total += [allocate(fps[k : k + 4096], way, share, n, most)[1].sum() for way, share in zip(ways, shares, strict=True)]
+        yield pa.record_batch([pa.array(np.arange(len(ways))), pa.array(total)], names=["way", "cost"])
 
+    cost = {r["way"]: r["cost"] for r in nodes.select("fp").mapInArrow(run, "way long, cost double").groupBy("way").agg(F.sum("cost").alias("cost")).collect()}
+    best = min(range(len(ways)), key=lambda w: (float(f"{cost.get(w, 0.0):.6g}"), w))
+    return ways[best], shares[best]
 
-def links(nodes: DataFrame, most: int = 2, parts: int = 3) -> DataFrame:
+
+def links(nodes: DataFrame, most: int = 2, parts: tuple[int, ...] = (3, 2)) -> DataFrame:
     """All pairs (u, v) of different fingerprints, u < v, that differ in `most` bits at most.
 
-    If thresholds of a query's groups satisfy sum(threshold + 1) = most + 1, a partner lies within the threshold in one group at least. So every fingerprint is stored under its value in each group, and probes in each group all values within its own threshold there. Each query finds every partner, so a pair is kept at its smaller member only. The join itself verifies the distance, so that no candidate leaves it.
+    If thresholds of a query's groups satisfy sum(threshold + 1) = most + 1, a partner lies within the threshold in one group at least. So every fingerprint is stored under its value in each group, and probes in each group all values within its own threshold there. Each query finds every partner, so a pair is kept at its smaller member only. The join itself verifies the distance, so that no candidate leaves it. The number of groups is chosen by the same cost estimate as the thresholds.
     """
-    groups = correlated_partitions(nodes, parts)
-    shares = distance_shares(nodes, groups, most)
     n = float(nodes.count())
+    groups, shares = cheapest_partitions(nodes, most, n, parts)
     masks = [[np.array([sum(1 << b for b in c) for c in combinations(range(len(g)), d)], np.int64) for d in range(most + 1)] for g in groups]
 
     def stored(batches):
@@ -149,7 +176,7 @@ def links(nodes: DataFrame, most: int = 2, parts: int = 3) -> DataFrame:
             whole = b.column(0).to_numpy(zero_copy_only=False)
             for k in range(0, len(whole), 4096):
                 fps = whole[k : k + 4096]
-                radius = allocate(fps, groups, shares, n, most)
+                radius, _ = allocate(fps, groups, shares, n, most)
                 for g, bits in enumerate(groups):
                     for d in range(most + 1):
                         some = fps[radius[:, g] >= d]
@@ -162,7 +189,7 @@ def links(nodes: DataFrame, most: int = 2, parts: int = 3) -> DataFrame:
     return found.where(f"u < v and bit_count(u ^ v) <= {int(most)}").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 2, parts: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, most: int = 2, parts: tuple[int, ...] = (3, 2)) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links, itself included).
 
     Exact copies share a fingerprint and are one node from the start, however many they are. Null or blank text: fingerprint zero, linked like any other. Rows of the same doc_id are separate members. Null doc_id: a member that can't be the smallest, unless all are null (component_id null). Other columns are not read. Empty table: no rows.
@@ -178,28 +205,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, seed: int = 42, most: int =
 
 
 def keep_representatives(docs: DataFrame, **settings) -> DataFrame:
-    """One row of docs for every near-duplicate class, with all its columns: the row whose doc_id is the class's component_id. If several rows have that doc_id, or a class has null ids alone, one of them stays."""
+    """One row of docs for every near-duplicate class, with all its columns: the row whose doc_id is the class's component_id.
+
+    Where rows of that doc_id hold different texts, or a class has null ids alone, or a row is repeated, the fingerprint decides as well, and one row (least text) stays. Null and blank texts are one class. Long texts are read whole. Extra columns stay, whatever their names. Empty table: no rows.
+    """
     found = near_duplicates(docs, **settings)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("fp", F.col("doc_id").alias("id")).agg(F.count("*").alias("n"))
     kept = materialize(kept, "simhash-kept")
-    once, often = kept.where("_rows = 1 and _kept is not null").select("_kept"), kept.where("_rows > 1 or _kept is null").select("_kept", "fp")
-    out = docs.join(once.hint("merge"), docs["doc_id"].cast("long") == once["_kept"], "left_semi")  # the ids grow with the texts: the same plan at every size
-    if often.isEmpty():
-        return out
-    from pyspark.sql import Window
-
-    ids, classes = often.select("_kept").distinct(), often.select(F.col("fp").alias("_kept_fp")).distinct()
-    many = docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["_kept"]), "left_semi")
-    first = Window.partitionBy("_fp").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c == "text"))
-    schema = docs.schema
+    ids = materialize(found.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "simhash-repeated")  # ids that don't name one row
+    row = struct_of(docs)
+    single = kept.where("n = 1 and id is not null").join(ids, F.col("id") == F.col("doc_id"), "left_anti").select("id")
+    docs_id = F.col("row.doc_id").cast("long")
+    out = row.join(single.hint("merge"), docs_id == F.col("id"), "left_semi")  # the ids grow with the texts: the same plan at every size
+    if ids.isEmpty():
+        return out.select("row.*")
+    from pyspark.sql.types import LongType, StructField, StructType
 
     def add(batches):
         for b in batches:
-            fps = [fingerprint(t, settings.get("width", 3), settings.get("seed", 42)) for t in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
-            yield b.append_column("_fp", pa.array(np.array(fps, np.uint64).view(np.int64)))
-
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    many = bounded_batches(many).mapInArrow(add, StructType([*schema.fields, StructField("_fp", LongType())]))
-    many = many.join(classes, many["_fp"] == classes["_kept_fp"], "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return out.unionByName(many.select(*(F.col(f"`{c}`") for c in docs.columns)))
+            texts = b.column(0).field(b.schema.field("row").type.get_field_index("text")).cast(pa.binary()).to_pylist()
+            yield b.append_column("own_fp", pa.array(np.array([fingerprint(t, settings.get("width", 3), settings.get("seed", 42)) for t in texts], np.uint64).view(np.int64)))
+
+    many = row.join(ids, docs_id.eqNullSafe(ids["doc_id"]), "left_semi")
+    many = bounded_batches(many).mapInArrow(add, StructType([*many.schema.fields, StructField("own_fp", LongType())]))
+    many = many.join(kept, (F.col("own_fp") == F.col("fp")) & docs_id.eqNullSafe(F.col("id")), "left_semi")
+    one = many.groupBy("own_fp").agg(F.min_by("row", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("row"))  # partial minima first: a class may hold any share of the rows
+    return out.unionByName(one.select("row")).select("row.*")
