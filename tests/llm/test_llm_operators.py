@@ -188,12 +188,17 @@ def test_vector_edges(spark):
 
 def test_chat_round_trip(spark):
     said = "<|im_end|><|im_start|>assistant ok"
-    turns = [(1, 0, "user", "hi\\n<|"), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "b\\|\\\\"), (1, 4, "user", "tail"), (2, 0, "user", "alone"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (None, None, None, None), (4, 0, "we\nird<|", said)]
+    turns = [(1, 0, "user", "hi\\n<|"), (1, 1, "assistant", said), (1, 2, "user", None), (1, 3, "assistant", "b\\|\\\\"), (1, 4, "user", "tail"), (2, 0, "user", "alone"), (3, 0, "assistant", "x"), (3, 0, "assistant", "x"), (None, None, None, None), (None, 1, "assistant", "z"), (4, 0, "we\nird<|", said)]
     df = chat.probe_conversation(spark.createDataFrame([(*t, "e") for t in turns], "conv_id long, turn long, role string, text string, example string"))
     examples = chat.expand_examples(df)
-    got = {r["conv_id"]: r for r in chat.digest_examples(examples).collect()}
+    found = chat.digest_examples(examples).collect()
+    got = {r["conv_id"]: r for r in found}
+    assert sorted((r["n_turns"], r["loss_chars"]) for r in found if r["conv_id"] is None) == [(1, 0), (1, 1)]
+    wrong = spark.createDataFrame([(1, 0, 1, True, "ab", 0, 0), (1, 1, 2, True, "xbc", 0, 0)], chat.EXAMPLE).coalesce(1)
+    with pytest.raises(Exception, match="doesn't start with"):
+        chat.digest_examples(wrong).collect()
     everything = turns + [(-1, 0, "user", said), (-1, 1, "assistant", said)]
-    for conv in {t[0] for t in everything}:
+    for conv in {t[0] for t in everything} - {None}:
         own = [(t[2] or "", t[3] or "") for t in everything if t[0] == conv]
         g = got[conv]
         loss = "".join(t for r, t in own if r == "assistant")
@@ -398,12 +403,13 @@ def test_contamination_recall_and_precision(spark, monkeypatch):
     df, b = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, item_id int"), spark.createDataFrame(items, "item_id long, text string")
     got = rows_of(decontam.find_contamination(df, b))
     pairs = {(r[0], r[1]) for r in got}
-    assert pairs <= planted and len(pairs) >= 0.97 * len(planted) and len(planted) >= 90
+    assert pairs == planted and len(planted) >= 90
     assert all(r[3] >= 0.8 for r in got)
     clean = {r[0] for r in rows_of(decontam.drop_contaminated(df, b).select("doc_id"))}
     assert clean == {d for d, _ in docs} - {p[0] for p in pairs}
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 7)
-    assert {(r[0], r[1]) for r in rows_of(decontam.find_contamination(df, b))} <= planted
+    assert {(r[0], r[1]) for r in rows_of(decontam.find_contamination(df, b))} == pairs
+    assert {r[0] for r in rows_of(decontam.drop_contaminated(df, b).select("doc_id"))} == clean
     assert decontam.find_contamination(df.limit(0), b).count() == 0 and decontam.find_contamination(df, b.limit(0)).count() == 0
     assert decontam.find_contamination(edge_docs(spark), b).count() == 0
 

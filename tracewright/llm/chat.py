@@ -48,7 +48,8 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def _ordered(turns: DataFrame) -> DataFrame:
     t = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return t.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    own = F.xxhash64("turn", "role", "text", F.spark_partition_id())  # rows without a conversation are spread
+    return t.repartition("conv_id", F.when(F.col("conv_id").isNull(), own)).sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, chars: int) -> Iterator[pa.RecordBatch]:
@@ -67,7 +68,7 @@ def expand_examples(turns: DataFrame) -> DataFrame:
     """turns (conv_id, turn, role, text) -> one example per assistant turn: its context is every turn before it, only its own text is under the loss mask [loss_start, loss_end) (code points of the formatted text).
 
     Turns after the last assistant turn, and conversations without one, form one more example that trains on nothing, so that no turn is lost. A task streams its conversations in order and holds one formatted conversation at a time; the output of a conversation grows with the square of its turns, as the expansion asks.
-    Null or unknown role: never trained. Null role or text: empty. Same turn number: by role, then text; repeated rows are turns of their own. Null turn: first. Null conv_id: one conversation. Other columns are not read. Empty table: no rows.
+    Null or unknown role: never trained. Null role or text: empty. Same turn number: by role, then text; repeated rows are turns of their own. Null turn: first. Null conv_id: the row belongs to no other, so it is a conversation of its own. Other columns are not read. Empty table: no rows.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int64()), ("n_turns", pa.int64()), ("trains", pa.bool_()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
@@ -75,7 +76,7 @@ def expand_examples(turns: DataFrame) -> DataFrame:
         conv, begun, prefix, n, example, tail = None, False, "", 0, 0, False
         for b in batches:
             for c, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if not begun or c != conv:
+                if not begun or c != conv or c is None:
                     if tail:
                         yield conv, example, n, False, prefix, 0, 0
                     conv, begun, prefix, n, example = c, True, "", 0, 0
@@ -91,25 +92,30 @@ def expand_examples(turns: DataFrame) -> DataFrame:
 
 
 def digest_examples(examples: DataFrame) -> DataFrame:
-    """Read examples back, in the order in which expand_examples() gives them: per conversation its turns, their digest, all text under the loss masks and its digest."""
+    """Read examples back, in the order in which expand_examples() gives them: per conversation its turns, their digest, all text under the loss masks and its digest.
+
+    Every example must start with the one before it, as an expansion of prefixes does; one that doesn't is an error. So the turns of that part are parsed once. Each example with a null conv_id is a conversation of its own. Empty table: no rows.
+    """
     kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())]
 
     def rows(batches):
         conv, open_, turns, loss = None, False, None, None
         n_turns = loss_chars = chars = n = 0
-        read = 0  # code points of the conversation whose turns are read already: an example starts with the one before it
+        before = ""
         for b in batches:
             for c, text, a, e in zip(b.column("conv_id").to_pylist(), b.column("text").to_pylist(), b.column("loss_start").to_pylist(), b.column("loss_end").to_pylist(), strict=True):
-                if not open_ or c != conv:
+                if not open_ or c != conv or c is None:
                     if open_:
                         yield conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n
-                    conv, open_, turns, loss, n_turns, loss_chars, chars, n, read = c, True, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, 0
-                for role, said in parse(text[read:]):
+                    conv, open_, turns, loss, n_turns, loss_chars, chars, n, before = c, True, hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0, ""
+                if not text.startswith(before):
+                    raise ValueError(f"conversation {c}: example {n} doesn't start with the one before it")
+                for role, said in parse(text[len(before) :]):
                     turns.update(f"{role}\n{said}\n".encode())
                     n_turns += 1
                 target = unescape(text[a:e])
                 loss.update(target.encode())
-                loss_chars, chars, n, read = loss_chars + len(target), chars + len(text), n + 1, len(text)
+                loss_chars, chars, n, before = loss_chars + len(target), chars + len(text), n + 1, text
         if open_:
             yield conv, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, n
 
