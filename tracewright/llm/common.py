@@ -29,6 +29,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def open_folder(path: str):
+    """(file system, path in it) of a shared folder, for tasks that read or write files there themselves."""
+    from pyarrow import fs
+
+    if path.startswith("/"):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: it cuts the lineage, survives lost executors, and gives the planner a true size."""
     path = shared_path(df.sparkSession, name)

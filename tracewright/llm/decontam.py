@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pick
+from .common import bounded_batches, open_folder, pick, shared_path, slices
 from .simhash import LOWER
 
 #: Items that one pass over the documents holds; more items take more passes.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20  # of a run of texts, see slices()
 _rng = np.random.default_rng(20_240_229)
 _BYTE = _rng.integers(0, 2**63, 256, np.uint64)
 _BASE, _SPACE = 0x9E3779B97F4A7C15, np.zeros(256, bool)
@@ -76,10 +76,12 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], similarity: float, walks: int, samples: int, min_words: int):
         self.similarity = similarity
         self.ids, words = [], []
+        self.said: list[list[bytes]] = []
         for item_id, text in items:
             h = word_hashes(np.frombuffer(text.translate(LOWER), np.uint8), np.zeros(1, np.int64))[0] if text else np.zeros(0, np.uint64)
             if len(h):
                 self.ids.append(item_id)
+                self.said.append(text.translate(LOWER).split())
                 words.append(h)
         self.vocab = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
         self.maybe = np.zeros(1 << 18, bool)
@@ -215,7 +217,7 @@ class Index:
         buffer = np.frombuffer(b"".join(texts).translate(LOWER), np.uint8)
         if not len(buffer) or not self.items:
             return
-        hashes, first, _ = word_hashes(buffer, begin)
+        hashes, first, end = word_hashes(buffer, begin)
         if not len(hashes):
             return
         ids = np.zeros(len(hashes), np.int64)
@@ -238,6 +240,10 @@ class Index:
                 continue
             done[t, i] = p + len(item) // 2
             edits, x, y = align(item, part)
+            if edits <= spare:  # the words themselves, not their hashes, have the last word
+                place = {w: k + 1 for k, w in enumerate(self.said[i])}
+                said = [place.get(buffer[u:v].tobytes(), 0) for u, v in zip(first[a:e].tolist(), end[a:e].tolist(), strict=True)]
+                edits, x, y = align(np.array([place[w] for w in self.said[i]]), np.array(said))
             if edits <= spare and (edits, a + x) < best.get((t, i), (1 << 40, 0, 0))[:2]:
                 best[t, i] = (edits, a + x, a + y)
         for (t, i), (edits, x, y) in sorted(best.items()):
@@ -259,46 +265,47 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return edits, unit - 1 - rest, end
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The items, in blocks of a size that a task can hold."""
+def _write_blocks(benchmark: DataFrame) -> tuple[str, list[int]]:
+    """Write the items to the shared folder in blocks of a size that a task can hold, and return the folder and the blocks; the items never reach the driver."""
     items = pick(benchmark, item_id="long", text="binary").where("text is not null").dropDuplicates()
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     k = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(k))
-    return [[(r[0], bytes(r[1])) for r in sorted(items.where(block == b).collect(), key=lambda r: (r[0] is None, r[0], r[1]))] for b in range(k)]
+    folder = shared_path(items.sparkSession, "benchmark-blocks")
+    items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(k)).cast("int")).repartition("block").write.partitionBy("block").parquet(folder)
+    return folder, list(range(k))
 
 
-def _slices(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of texts of about SLICE_BYTES; a longer text is one of its own."""
-    at, held, size = 0, [], 0
-    for k, t in enumerate(texts):
-        held.append(t or b"")
-        size += len(held[-1])
-        if size >= SLICE_BYTES:
-            yield at, held
-            at, held, size = k + 1, [], 0
-    if held:
-        yield at, held
+def _read_block(folder: str, block: int) -> list[tuple[int, bytes]]:
+    """Items of a block, by id and text."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, root = open_folder(folder)
+    found = files.get_file_info(fs.FileSelector(f"{root}/block={block}", allow_not_found=True))
+    tables = [pq.read_table(f.path, filesystem=files, columns=["item_id", "text"], partitioning=None) for f in found if f.path.endswith(".parquet")]
+    rows = [r for t in tables for r in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True)]
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 24, samples: int = 3, min_words: int = 5) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, item_id, edits, similarity (1 - edits / words of the item), first_word, end_word: the best place of every item that a document holds with at least that similarity.
 
-    Words are lower-cased (A-Z) runs of anything but ASCII white space. Documents are not shuffled; each task reads whole texts in slices. Every place with that similarity is found. Items of under min_words words (5: the shingle length) match by their exact sequence of words alone; items without words never match. Null or blank texts, null items: no match. Null doc_id or item_id: carried as null. Repeated rows of docs: each has its rows; repeated items: one. Other columns are not read. Empty tables: no rows.
+    Words are lower-cased (A-Z) runs of anything but ASCII white space. Documents are not shuffled; each task reads whole texts in slices. Every place with that similarity is found, and verified word by word. Items of the benchmark are written in blocks that the tasks read; each block is one more pass over docs. Items of under min_words words (5: the shingle length) match by their exact sequence of words alone; items without words never match. Null or blank texts, null items: no match. Null doc_id or item_id: carried as null. Repeated rows of docs: each has its rows; repeated items: one. Other columns are not read. Empty tables: no rows.
     """
     out = None
-    for block in _blocks(benchmark):
-        found = bounded_batches(pick(docs, doc_id="long", text="binary")).mapInArrow(_finder(block, similarity, walks, samples, min_words), "doc_id long, item_id long, edits long, similarity double, first_word long, end_word long")
+    folder, blocks = _write_blocks(benchmark)
+    for block in blocks:
+        found = bounded_batches(pick(docs, doc_id="long", text="binary")).mapInArrow(_finder(folder, block, similarity, walks, samples, min_words), "doc_id long, item_id long, edits long, similarity double, first_word long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _finder(block, similarity, walks, samples, min_words):
+def _finder(folder, block, similarity, walks, samples, min_words):
     def run(batches):
-        index = Index(block, similarity, walks, samples, min_words)
+        index = Index(_read_block(folder, block), similarity, walks, samples, min_words)
         for b in batches:
             doc_ids, rows = b.column(0).to_pylist(), []
-            for at, texts in _slices(b.column(1).to_pylist()):
+            for at, texts in slices(b.column(1).to_pylist()):
                 rows += [(doc_ids[at + t], index.ids[i], edits, 1 - edits / len(index.items[i]), x, y) for t, i, edits, x, y in index.find(texts)]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -308,15 +315,16 @@ def _finder(block, similarity, walks, samples, min_words):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, walks: int = 24, samples: int = 3, min_words: int = 5) -> DataFrame:
-    """Rows of docs that hold no item, with all their columns."""
+    """Rows of docs that hold no item, with all their columns, whatever their names. Null, empty and blank texts, repeated rows and null ids stay; texts are read whole. Empty docs: no rows; empty benchmark: all rows."""
     schema = docs.schema
-    for block in _blocks(benchmark):
+    folder, blocks = _write_blocks(benchmark)
+    for block in blocks:
 
         def run(batches, block=block):
-            index = Index(block, similarity, walks, samples, min_words)
+            index = Index(_read_block(folder, block), similarity, walks, samples, min_words)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                for at, texts in _slices(b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()):
+                for at, texts in slices(b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()):
                     for t, *_ in index.find(texts):
                         keep[at + t] = False
                 yield b.filter(pa.array(keep))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, pick, shared_path, slices
+from .common import bounded_batches, materialize, open_folder, pick, shared_path, slices
 
 SEQUENCE, BATCH = 2048, 64
 _loaded: dict[str, object] = {}
@@ -183,14 +183,6 @@ def _encoder(path: str, kind: type, by_word: bool):
     return lambda texts: [np.array(e.ids, kind) for e in encode([t.decode() for t in texts], add_special_tokens=False)]
 
 
-def _open(path: str):
-    from pyarrow import fs
-
-    if path.startswith("/"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path)
-
-
 def _sequences(ids: np.ndarray, real: int, length: int) -> pa.RecordBatch:
     flat = pa.array(ids)
     mask = pa.array(np.arange(len(ids)) < real)
@@ -201,7 +193,7 @@ class ShardWriter:
     """One shard: NAME.arrow has rows of `length` ids and of their masks (false: padding after the last document), NAME.docs.arrow where each document starts. Both get their names only when they are whole, so a task that is run again replaces nothing half."""
 
     def __init__(self, folder: str, name: str, length: int, wide: bool):
-        self.fs, self.folder = _open(folder)
+        self.fs, self.folder = open_folder(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.name, self.length, self.kind = name, length, np.uint32 if wide else np.uint16
         self.part = f"{self.folder}/.{name}.{uuid.uuid4().hex}"
@@ -274,7 +266,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, length: int =
 
 def open_shard(folder: str, shard: int) -> tuple[np.ndarray, pa.Table, pa.Table]:
     """(ids of the shard in order, its sequences, its documents). A local file is memory-mapped; ids are a view of it if one batch holds all."""
-    fs, root = _open(folder)
+    fs, root = open_folder(folder)
     from pyarrow.fs import LocalFileSystem
 
     def read(name: str) -> pa.Table:
