@@ -22,7 +22,7 @@ def hash48() -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """One row per source: weight by its place in code point order (null last), and its target.
 
-    All targets together are share times all words. A target stops at `most` times its source's words and the excess goes to the others by weight. The level at which that ends is found in closed form over the sources ordered by limit / weight.
+    All targets together are share times all words. A target stops at `most` times its source's words and the excess goes to the others by weight. The level at which that ends is found in closed form over the sources ordered by limit / weight; those windows hold all sources in one task, so sources are names (up to some millions), not keys that grow with the rows.
     """
     total = Window.partitionBy()
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -72,11 +72,15 @@ def mix_to_targets(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share:
 
 
 def take_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """docs with each row as often as the mix takes it, with all its columns. Only the small table of limits meets the texts, which are not shuffled unless that table is too large to broadcast."""
-    limits = mix_limits(_sizes(docs), weights, share, most).select(F.col("source").cast(docs.schema["source"].dataType).alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("end").alias("_mix_end"))
-    joined = docs.join(limits, docs["source"].eqNullSafe(limits["_mix_source"]))
-    repeats = F.col("_mix_whole") + (hash48() < F.col("_mix_end")).cast("int")
-    return joined.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.lit(most)))).where(F.col("_mix_turn") <= repeats).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs with each row as often as the mix takes it, with all its columns. Only the small table of limits meets the texts, which are not shuffled unless that table is too large to broadcast.
+
+    Null source: a source like any other. Null text: no words. Null doc_id: taken by the hash of its text. Rows of one doc_id are taken together. Extra columns stay, whatever their names. Empty table: no rows.
+    """
+    limits = mix_limits(_sizes(docs), weights, share, most).withColumn("source", F.col("source").cast(docs.schema["source"].dataType))
+    rows = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("source", "row", hash48().alias("h"))
+    repeats = F.col("whole") + (F.col("h") < F.col("end")).cast("int")
+    turns = _by_source(rows, limits).select("row", repeats.alias("repeats"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("turn"))
+    return turns.where("turn <= repeats").select("row.*")
 
 
 def _by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

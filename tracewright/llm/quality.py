@@ -85,7 +85,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def fit(labelled: DataFrame, shrink: float = 0.3, toward: float = 0.1) -> Discriminant:
     """labelled (x, y in 0, 1) -> model. Sums and outer products of every labelled row are added up on the executors; the driver gets one small matrix a class.
 
-    A class covariance is mixed with the pooled one (weight `toward`), then with a scaled diagonal (weight `shrink`). A class without rows takes the pooled mean, and a prior as of half a row; without any labels every score is 0.5.
+    A class covariance is mixed with the pooled one (weight `toward`), then with a scaled diagonal (weight `shrink`). A class without rows takes the pooled mean, and a prior as of half a row; without any labels every score is 0.5. Sums of doubles are added in the order in which tasks end, so scores may differ in their last digits from run to run.
     """
     d = len(FEATURES) + 1
 
@@ -146,7 +146,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of docs that the classifier accepts, with all their columns. Texts are not shuffled: the model is trained on features of all documents, and each task scores its own texts again."""
+    """Rows of docs that the classifier accepts, with all their columns. Texts are not shuffled: the model is trained on features of all documents, and each task scores its own texts again.
+
+    Null and empty texts are scored as empty, very long ones whole; repeated rows and null ids fare by their text; columns of any name stay. Empty docs: no rows. No labels: all rows (score 0.5).
+    """
     model = train(materialize(document_features(docs), "quality-features"), labels)
     schema = docs.schema
 
