@@ -1,4 +1,7 @@
-"""A corpus from raw documents to token files: five operators in turn, each on all that the one before it kept."""
+"""A corpus from raw documents to token files: five operators in turn, each on all that the one before it kept.
+
+In every stage null, empty and very long texts and null or repeated doc_ids are rows like any other, extra columns stay whatever their names, and an empty table gives an empty table. Texts are read whole.
+"""
 
 from __future__ import annotations
 
@@ -14,27 +17,27 @@ from tracewright.llm.tokens import read_tokens, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts (score 0.5 or more; ties are kept). Null and empty texts are scored as empty ones. Without any labels all stay. Repeated rows fare alike."""
     return keep_good(docs, q.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every SimHash class."""
+    """One document of every SimHash class: its smallest doc_id; of rows with that id and fingerprint, one. Null and blank texts are one class. A class with null ids alone keeps one row."""
     return keep_representatives(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null and blank texts hold none; without items all stay. Repeated rows fare alike."""
     return drop_contaminated(docs, q.table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, 0 to 2 times. Null source: a source like any other; null text: no words; rows of one doc_id are taken together, those with a null doc_id by their text."""
     return take_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files; per document where its ids lie in them, read back."""
+    """Token files; per row (doc_id, start, n_tokens, ids_crc32) where its ids lie in them, read back. Null text: the end id alone. Null doc_id: first; rows of one doc_id: by text."""
     shards, folder = write_tokens(docs, q.public_tokenizer("word_bpe_49k.json"), by_word=True)
     return read_tokens(shards, folder)
 
