@@ -132,25 +132,8 @@ def io5(events, traces):
     return f.from_batches(f.to_batches(events, traces)).withColumn("refs", F.array_join("refs", ","))
 
 
-@trace_query("io11_agent_chain", "SELECT trace_id, idx, CASE WHEN k % 3 = 0 THEN agent WHEN k % 3 = 1 THEN 'role ' || agent ELSE 'unknown' END AS agent FROM ev")
-def io11(events, traces):
-    meta = F.when(F.col("k") % 3 == 0, F.to_json(F.struct("agent", F.lit("x").alias("role")))).when(F.col("k") % 3 == 1, F.to_json(F.struct(F.concat(F.lit("role "), "agent").alias("role")))).otherwise("{}")
-    return events.select("trace_id", "idx", f.agent_of(meta).alias("agent"))
-
-
-@trace_query("io12_payload_merge", "SELECT trace_id, idx, CASE WHEN k % 4 = 0 THEN 'error: ' || coalesce(content, '') ELSE content END AS content FROM ev")
-def io12(events, traces):
-    return events.select("trace_id", "idx", f.observation_payload(F.col("content"), F.when(F.col("k") % 4 == 0, "ERROR").otherwise("DEFAULT")).alias("content"))
-
-
 @trace_query("io14_pull_window", "xt AS (SELECT trace_id, max(ts) AS timestamp FROM ev GROUP BY ALL) SELECT trace_id FROM tr JOIN xt USING (trace_id) WHERE model_version = 'm1' AND prompt_version = 'p0' AND timestamp >= 1000000")
 def io14(events, traces):
     ts = events.groupBy("trace_id").agg(F.max("ts").alias("timestamp"))
     rows = traces.join(ts, "trace_id").select("trace_id", "timestamp", F.array("model_version", "prompt_version").alias("tags"))
     return f.pull_window(rows, ["m1", "p0"], 1_000_000.0).select("trace_id")
-
-
-@trace_query("io16_export_guard", "SELECT trace_id, 'task_id' AS keys FROM tr")
-def io16(events, traces):
-    meta = F.create_map(F.lit("task_id"), "task_id", F.lit("gt_code"), "gt_code", F.lit("qrels"), F.array_join("gold", ","))
-    return traces.select("trace_id", F.array_join(F.map_keys(f.guard_export(meta, external=True)), ",").alias("keys"))

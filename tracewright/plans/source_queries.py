@@ -28,15 +28,123 @@ def io8(events, traces):
     return spans.select(F.col("s.traceId").alias("trace_hash"), F.col("s.spanId").alias("span_hash"))
 
 
-@trace_query("io10_kind_heuristic", "SELECT trace_id, idx, CASE WHEN kind = 'HANDOFF' THEN 'HANDOFF' WHEN kind = 'VERIFIER' THEN 'VERIFIER' WHEN kind = 'LLM_CALL' THEN 'LLM_CALL' WHEN EXISTS (SELECT 1 FROM ev c WHERE c.trace_id = e.trace_id AND c.ref = e.idx) THEN 'AGENT_MESSAGE' ELSE 'TOOL_CALL' END AS guessed FROM ev e")
+#: Names, metadata and levels of third-party observations, by rule from the number of an event.
+NAMES = ("Handoff to B", "HAND_OVER", "handover now", "transfer", "delegated", "Escalate", "verify it", "Evaluator", "llm-judge", "guardrail", "critic", "assertion", "checker", "validator", "search", "step", None)
+TYPES = ("GENERATION", "generation", "EVENT", "SPAN", None)
+METADATA = ('{"agent":"a1","agent_name":"x"}', '{"agent_name":"a2","llm.app":"x"}', '{"gen_ai.agent.name":"a3"}', '{"llm.app":"a4"}', '{"agent":null,"name":"no","role":"no"}', None)
+TOP = ('{"agent_name":"t1"}', '{"llm.app":"t2"}', "{}")
+INPUTS = ('{"query":"q","content":"c0"}', '"plain"', '{"doc_id":"d1"}', "[1,2]", None)
+OUTPUTS = ('"said"', '{"a":1}', "7", None)
+LEVELS = ("ERROR", "error", "DEFAULT", None)
+
+
+def pick(values, by) -> F.Column:
+    return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (by % len(values) + 1).cast("int"))
+
+
+def pick_sql(values, by: str) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + f"][({by}) % {len(values)} + 1]"
+
+
+_KIND_SQL = "CASE WHEN regexp_matches(lower(coalesce(name, '')), 'handoff|hand_over|handover|transfer|delegate|escalate') THEN 'HANDOFF' WHEN regexp_matches(lower(coalesce(name, '')), 'verif|evaluat|judge|guardrail|critic|assert') THEN 'VERIFIER' WHEN upper(type) = 'GENERATION' THEN 'LLM_CALL' WHEN upper(type) = 'EVENT' THEN 'AGENT_MESSAGE' WHEN kids THEN 'AGENT_MESSAGE' ELSE 'TOOL_CALL' END"
+_AGENT_SQL = "coalesce(" + ", ".join(f"""json_extract_string({c}, '$."{k}"')""" for c in ("metadata", "top") for k in ("agent", "agent_name", "gen_ai.agent.name", "llm.app")) + ", 'unknown')"
+
+
+@trace_query("io10_kind_heuristic", f"n AS (SELECT trace_id, idx, {pick_sql(NAMES, 'idx * 7 + k')} AS name, {pick_sql(TYPES, 'idx + k')} AS type, EXISTS (SELECT 1 FROM ev c WHERE c.trace_id = e.trace_id AND c.ref = e.idx) AS kids FROM ev e) SELECT trace_id, idx, {_KIND_SQL} AS guessed FROM n")
 def io10(events, traces):
     parents = events.select("trace_id", F.explode("refs").alias("id")).distinct().withColumn("_c", F.lit(True))
     e = events.join(parents, ["trace_id", "id"], "left")
-    name = F.when(F.col("kind") == "HANDOFF", "handoff to reporter").when(F.col("kind") == "VERIFIER", "verify answer").otherwise("step")
-    kind = f.kind_of_observation(name, F.when(F.col("kind") == "LLM_CALL", "GENERATION").otherwise("SPAN"), F.coalesce("_c", F.lit(False)))
+    kind = f.kind_of_observation(pick(NAMES, F.col("idx") * 7 + F.col("k")), pick(TYPES, F.col("idx") + F.col("k")), F.coalesce("_c", F.lit(False)))
     return e.select("trace_id", "idx", kind.alias("guessed"))
 
 
+@trace_query("io11_agent_chain", f"n AS (SELECT trace_id, idx, {pick_sql(METADATA, 'idx + k')} AS metadata, {pick_sql(TOP, 'k')} AS top FROM ev) SELECT trace_id, idx, {_AGENT_SQL} AS agent FROM n")
+def io11(events, traces):
+    return events.select("trace_id", "idx", f.agent_of(pick(METADATA, F.col("idx") + F.col("k")), pick(TOP, F.col("k"))).alias("agent"))
+
+
+_MERGE_SQL = """
+py0 AS (SELECT *, input LIKE '{%' AS obj, CASE WHEN output IS NULL THEN CASE WHEN input LIKE '{%' THEN json_extract_string(input, '$.content') END WHEN output LIKE '"%' THEN json_extract_string(output, '$') ELSE output END AS said FROM pin),
+py AS (SELECT *, CASE WHEN upper(coalesce(level, '')) = 'ERROR' THEN 'error: ' || coalesce(said, '') ELSE said END AS content, CASE WHEN obj THEN json_extract_string(input, '$.query') END AS query, CASE WHEN obj THEN json_extract_string(input, '$.doc_id') END AS doc_id, CASE WHEN NOT obj THEN CASE WHEN input LIKE '"%' THEN json_extract_string(input, '$') ELSE input END END AS plain FROM py0)"""
+
+
+@trace_query("io12_payload_merge", f"pin AS (SELECT trace_id, idx, {pick_sql(INPUTS, 'idx + k')} AS input, {pick_sql(OUTPUTS, 'k')} AS output, {pick_sql(LEVELS, 'idx')} AS level FROM ev)," + _MERGE_SQL + " SELECT trace_id, idx, content, query, doc_id, plain AS input FROM py")
+def io12(events, traces):
+    p = f.observation_payload(pick(INPUTS, F.col("idx") + F.col("k")), pick(OUTPUTS, F.col("k")), pick(LEVELS, F.col("idx")))
+    return events.select("trace_id", "idx", p.alias("p")).select("trace_id", "idx", *(F.try_element_at("p", F.lit(c)).alias(c) for c in ("content", "query", "doc_id", "input")))
+
+
+def observations_of(events):
+    """Third-party and own observations: an event is a child of its reference; every third carries our own fields, every fifth has a parent that isn't there."""
+    k, i = F.col("k"), F.col("idx")
+    own = F.to_json(F.struct(F.struct("id", "kind", "agent", "action", "phase", "refs", "ts").alias("own")))
+    parent = F.when(k % 5 == 0, "gone").otherwise(F.concat(F.lit("o"), F.get("refs", F.lit(0))))
+    start = F.when(k % 11 == 0, F.lit(None)).when(k % 2 == 0, F.date_format(F.timestamp_seconds("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(F.timestamp_seconds(F.col("ts") + 7200), "yyyy-MM-dd'T'HH:mm:ss'+02:00'"))
+    return events.select("trace_id", F.concat(F.lit("o"), "id").alias("id"), pick(NAMES, i * 7 + k).alias("name"), pick(TYPES, i + k).alias("type"), parent.alias("parent_id"), start.alias("start_time"), pick(INPUTS, i + k).alias("input"), pick(OUTPUTS, k).alias("output"), pick(LEVELS, i).alias("level"), F.when(k % 3 == 0, own).otherwise(pick(METADATA, i + k)).alias("metadata"), pick(TOP, k).alias("top"))
+
+
+OBS_SQL = f"""
+ob0 AS (SELECT trace_id, 'o' || id AS id, {pick_sql(NAMES, 'idx * 7 + k')} AS name, {pick_sql(TYPES, 'idx + k')} AS type, CASE WHEN k % 5 <> 0 AND ref IS NOT NULL THEN 'oe' || lpad(CAST(ref AS VARCHAR), 3, '0') END AS parent_id, CASE WHEN k % 11 <> 0 THEN ts END AS at_, ts, k % 3 = 0 AS mine, kind AS own_kind, agent AS own_agent, action AS own_action, phase AS own_phase, id AS own_id, CASE WHEN ref IS NOT NULL THEN 'e' || lpad(CAST(ref AS VARCHAR), 3, '0') END AS own_ref,
+  {pick_sql(INPUTS, 'idx + k')} AS input, {pick_sql(OUTPUTS, 'k')} AS output, {pick_sql(LEVELS, 'idx')} AS level, {pick_sql(METADATA, 'idx + k')} AS metadata, {pick_sql(TOP, 'k')} AS top FROM ev),
+ob1 AS (SELECT *, EXISTS (SELECT 1 FROM ob0 c WHERE c.trace_id = o.trace_id AND c.parent_id = o.id) AS kids, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY coalesce(at_, 0), id) - 1 AS ordinal FROM ob0 o),
+pin AS (SELECT * FROM ob1),""" + _MERGE_SQL + f""",
+osp AS (SELECT trace_id, id AS span_id, parent_id AS parent_span_id, CAST(ordinal AS INT) AS ordinal, CASE WHEN mine THEN own_kind ELSE {_KIND_SQL} END AS kind, CASE WHEN mine THEN own_agent ELSE {_AGENT_SQL} END AS agent, CASE WHEN mine THEN own_action ELSE name END AS action, CASE WHEN mine THEN own_phase END AS phase,
+  CASE WHEN mine AND own_ref IS NOT NULL THEN CASE WHEN EXISTS (SELECT 1 FROM ob1 r WHERE r.trace_id = py.trace_id AND r.mine AND r.own_id = py.own_ref) THEN 'o' || own_ref ELSE own_ref END ELSE '' END AS refs, CASE WHEN mine THEN ts ELSE at_ END AS ts, content FROM py)"""
+
+
+@trace_query("io9_observation_spans", OBS_SQL + " SELECT * FROM osp")
+def io9(events, traces):
+    s = f.observation_spans(observations_of(events))
+    return s.select("trace_id", "span_id", "parent_span_id", "ordinal", "kind", "agent", "action", "phase", F.array_join("refs", ",").alias("refs"), "ts", F.try_element_at("payload", F.lit("content")).alias("content"))
+
+
+@trace_query("io16_export_guard", "m AS (SELECT trace_id, idx, ['injected_fault', 'origin_fault', 'fault_removed', 'qrels', 'gt_step', 'gt_agent', 'gt_code', 'gt_kind', 'evidence', 'gold', 'task_id', 'model_version'][(idx + k) % 12 + 1] AS a, ['task_id', 'qrels', 'note'][k % 3 + 1] AS b, k % 2 = 0 AS outside FROM ev), u AS (SELECT trace_id, idx, outside, unnest(list_distinct([a, b])) AS key FROM m) SELECT trace_id, idx, outside, coalesce(string_agg(key, ',' ORDER BY key) FILTER (key NOT IN ('injected_fault', 'origin_fault', 'fault_removed', 'gt_step', 'gt_agent', 'gt_code', 'gt_kind') AND NOT (outside AND key IN ('qrels', 'evidence', 'gold'))), '') AS keys FROM u GROUP BY ALL")
+def io16(events, traces):
+    """Maps of two keys, so that every key meets both ways of export."""
+    a = pick(("injected_fault", "origin_fault", "fault_removed", "qrels", "gt_step", "gt_agent", "gt_code", "gt_kind", "evidence", "gold", "task_id", "model_version"), F.col("idx") + F.col("k"))
+    keys = F.array_distinct(F.array(a, pick(("task_id", "qrels", "note"), F.col("k"))))
+    meta = F.map_from_entries(F.transform(keys, lambda x: F.struct(x, F.lit("v"))))
+    outside = F.col("k") % 2 == 0
+    kept = F.when(outside, F.map_keys(f.guard_export(meta, external=True))).otherwise(F.map_keys(f.guard_export(meta)))
+    return events.select("trace_id", "idx", outside.alias("outside"), F.array_join(F.array_sort(kept), ",").alias("keys"))
+
+
+@trace_query("io19_source_spans", "SELECT trace_id, idx AS step, 's' || idx AS span_id FROM ev WHERE k % 4 <> 0")
+def io19(events, traces):
+    span = F.when(F.col("k") % 4 == 0, "").otherwise(F.concat(F.lit("s"), F.col("idx").cast("string")))
+    artifact = events.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", span.alias("s")))), lambda x: x["s"]).alias("source_span_ids"))
+    return f.source_spans(events, artifact)
+
+
+@trace_query("io20_accept_proposal", "p AS (SELECT 'NM-' || row_number() OVER (ORDER BY agent) AS mode_id, agent FROM (SELECT DISTINCT agent FROM ev)) SELECT mode_id AS code, agent AS name, 'seen by ' || agent AS definition, CASE WHEN mode_id = 'NM-2' THEN 'FM-1.1' END AS kinship FROM p WHERE mode_id IN ('NM-1', 'NM-2')")
+def io20(events, traces):
+    """Of the proposals by agent the first is accepted already; it is accepted again, then the second."""
+    names = events.select("agent").distinct()
+    before = names.alias("a").join(names.alias("b"), F.col("a.agent") >= F.col("b.agent")).groupBy(F.col("a.agent").alias("agent")).agg(F.count("*").alias("n"))  # a handful of agents
+    p = before.select(F.concat(F.lit("NM-"), F.col("n").cast("string")).alias("mode_id"), F.col("agent").alias("name"), F.concat(F.lit("seen by "), "agent").alias("definition"), F.lit("FM-1.1").alias("kinship"))
+    accepted = p.where("mode_id = 'NM-1'").select(F.col("mode_id").alias("code"), "name", "definition", F.lit(None).cast("string").alias("kinship"))
+    return f.accept_proposal(p, f.accept_proposal(p, accepted, "NM-1"), "NM-2")
+
+
+@trace_query("io21_flatten_missing", "n AS (SELECT *, CAST(regexp_extract(trace_id, '^u(\\d+)w', 1) AS INT) % 3 = 0 AS lost, CASE WHEN kind = 'TOOL_RESULT' THEN ref END AS up FROM ev), q AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY coalesce(up, idx), idx) - 1 AS INT) AS place FROM n) SELECT q.trace_id, CASE WHEN q.lost THEN q.place ELSE q.idx END AS idx, CASE WHEN q.lost THEN 'e' || lpad(CAST(q.place AS VARCHAR), 3, '0') ELSE q.id END AS id, q.kind, q.agent, q.action, CASE WHEN q.lost THEN 'e' || lpad(CAST(p.place AS VARCHAR), 3, '0') END AS parent FROM q LEFT JOIN q p ON p.trace_id = q.trace_id AND p.idx = q.up".replace("\\\\", "\\"))
+def io21(events, traces):
+    """Traces of every third user have spans only; a result is a child of its call."""
+    lost = F.regexp_extract("trace_id", r"^u(\d+)w", 1).cast("int") % 3 == 0
+    parent = F.when(F.col("kind") == "TOOL_RESULT", F.concat(F.lit("s"), F.get("refs", F.lit(0))))
+    spans = events.where(lost).select("trace_id", F.concat(F.lit("s"), "id").alias("span_id"), parent.alias("parent_span_id"), F.col("idx").alias("ordinal"), "kind", "agent", "action")
+    return f.flatten_missing(events.where(~lost), spans)
+
+
+@trace_query("io4_run_report", """r AS (SELECT CAST(time_window = 'w9' AS INT) AS round, count(*) AS n_traces, count(*) FILTER (NOT success) AS n_failures, count(gt_step) AS n_attributed FROM tr GROUP BY ALL)
+SELECT CAST(sum(n_traces) AS BIGINT) AS n_traces, CAST(sum(n_failures) AS BIGINT) AS n_failures, CAST(sum(n_attributed) AS BIGINT) AS n_attributed, string_agg(n_traces, ',' ORDER BY round) AS n_traces_by_round, string_agg(n_failures, ',' ORDER BY round) AS n_failures_by_round FROM r""")
+def io4(events, traces):
+    """The last window stands for the verification round."""
+    n = lambda c: F.sum(c.cast("long"))
+    rounds = traces.groupBy((F.col("time_window") == "w9").cast("int").alias("round")).agg(F.count("*").alias("n_traces"), n(~F.col("success")).alias("n_failures"), F.count("gt_step").alias("n_attributed"), *(F.lit(0).cast("long").alias(c) for c in ("n_reruns", "n_rerun_success", "n_errors")))
+    r = f.run_report(rounds)
+    return r.select("n_traces", "n_failures", "n_attributed", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("n_traces_by_round", "n_failures_by_round")))
+
+
 @trace_query("io13_outcome_from_scores", "SELECT trace_id, coalesce(max_by(k >= 50, idx), false) AS success FROM ev GROUP BY trace_id")
 def io13(events, traces):
     scores = events.select("trace_id", F.lit("quality").alias("name"), F.col("k").cast("string").alias("value"), F.col("idx").alias("timestamp"))

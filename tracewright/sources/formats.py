@@ -6,11 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewright.model import EVENT_SCHEMA
+from tracewright.operators.represent import admit_kind, flatten_spans
 
 TRACE_LINE = f"trace_id string, task string, events array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in EVENT_SCHEMA.replace('trace_id string, ', '').split(','))}>>, outcome struct<success:boolean,score:double,note:string>, meta string"
-#: Keys of ground truth that never leave through an export.
-GUARDED = ("injected_fault", "gt_step", "gt_agent", "gt_code", "gt_kind")
-EXTERNAL_GUARDED = (*GUARDED, "qrels", "evidence", "gold")
+#: Keys of ground truth that never leave through an export, and those that stay on this machine.
+GUARDED = ("injected_fault", "origin_fault", "fault_removed")
+LOCAL_ONLY = ("qrels",)
+#: The same as columns of TRACE_SCHEMA.
+FLAT_GUARDED, FLAT_LOCAL_ONLY = ("gt_step", "gt_agent", "gt_code", "gt_kind"), ("evidence", "gold")
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -41,8 +44,8 @@ def write_artifact(df: DataFrame, root: str, stage: str, name: str) -> None:
 
 
 def guard_export(meta: Column, external: bool = False) -> Column:
-    """A metadata map without the keys of ground truth; for external readers without relevance judgements too."""
-    hidden = F.array(*map(F.lit, EXTERNAL_GUARDED if external else GUARDED))
+    """A metadata map without the keys of ground truth, nested or as flat columns; for external readers without relevance judgements too."""
+    hidden = F.array(*map(F.lit, GUARDED + FLAT_GUARDED + ((LOCAL_ONLY + FLAT_LOCAL_ONLY) if external else ())))
     return F.map_filter(meta, lambda k, v: ~F.array_contains(hidden, k))
 
 
@@ -90,19 +93,102 @@ def from_otlp(documents: DataFrame) -> DataFrame:
     return e.select("trace_id", "idx", "id", "ts", kind.alias("kind"), F.coalesce(m("trace.agent"), F.lit("unknown")).alias("agent"), m("trace.action").alias("action"), m("trace.phase").alias("phase"), m("trace.content").alias("content"), m("trace.query").alias("query"), m("trace.doc_id").alias("doc_id"), m("trace.answer").alias("answer"), m("trace.to").alias("to_agent"), refs.alias("refs"))
 
 
+#: Parts of names that tell a handoff or a check, and metadata keys that name the agent.
+HANDOFF_HINTS = ("handoff", "hand_over", "handover", "transfer", "delegate", "escalate")
+VERIFIER_HINTS = ("verif", "evaluat", "judge", "guardrail", "critic", "assert")
+AGENT_KEYS = ("agent", "agent_name", "gen_ai.agent.name", "llm.app")
+
+
 def kind_of_observation(name: Column, type_: Column, has_children: Column) -> Column:
-    """Kind of an observation by its name, then its type."""
-    n = F.lower(name)
-    return F.when(n.rlike("handoff|transfer|delegate"), "HANDOFF").when(n.rlike("verif|check|valid|judge"), "VERIFIER").when(type_ == "GENERATION", "LLM_CALL").when(type_ == "EVENT", "AGENT_MESSAGE").when(has_children, "AGENT_MESSAGE").otherwise("TOOL_CALL")
+    """Kind of an observation by its name, then its type in any case; other types are calls, or messages where they have children."""
+    n, t = F.lower(F.coalesce(name, F.lit(""))), F.upper(F.coalesce(type_, F.lit("")))
+    holds = lambda hints: n.rlike("|".join(hints))
+    return F.when(holds(HANDOFF_HINTS), "HANDOFF").when(holds(VERIFIER_HINTS), "VERIFIER").when(t == "GENERATION", "LLM_CALL").when(t == "EVENT", "AGENT_MESSAGE").when(has_children, "AGENT_MESSAGE").otherwise("TOOL_CALL")
+
+
+def agent_of(metadata: Column, top: Column | None = None, keys: tuple[str, ...] = AGENT_KEYS) -> Column:
+    """The first key that a metadata JSON has, else the first that the observation's own JSON `top` has, else 'unknown'."""
+    return F.coalesce(*(F.get_json_object(c, f"$['{k}']") for c in (metadata, top) if c is not None for k in keys), F.lit("unknown"))
+
+
+def json_text(value: Column) -> Column:
+    """A JSON string without its quotes; other JSON values as they are written."""
+    return F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
+
+
+def observation_payload(input_: Column, output: Column, level: Column) -> Column:
+    """Payload map of an observation from JSON values: the fields of an object given as input, else `input`; the output as `content`; errors say so at its start."""
+    fields = F.when(F.ltrim(input_).startswith("{"), F.from_json(input_, "map<string,string>")).when(input_.isNotNull(), F.create_map(F.lit("input"), json_text(input_)))
+    fields = F.coalesce(fields, F.create_map().cast("map<string,string>"))
+    said = F.coalesce(json_text(output), F.try_element_at(fields, F.lit("content")))
+    said = F.when(F.upper(F.coalesce(level, F.lit(""))) == "ERROR", F.concat(F.lit("error: "), F.coalesce(said, F.lit("")))).otherwise(said)
+    return F.map_concat(F.map_filter(fields, lambda k, v: k != "content"), F.when(said.isNotNull(), F.create_map(F.lit("content"), said)).otherwise(F.create_map().cast("map<string,string>")))
+
+
+def epoch(iso: Column) -> Column:
+    """Seconds of an ISO 8601 time; without a zone it is UTC; null if it can't be read."""
+    zoned = F.when(iso.rlike(r"(Z|[+-]\d{2}:?\d{2})$"), iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.unix_micros(F.try_to_timestamp(zoned)) / 1e6
+
+
+def observation_spans(observations: DataFrame, namespace: str = "own", keys: tuple[str, ...] = AGENT_KEYS) -> DataFrame:
+    """observations (trace_id, id, name, type, parent_id, start_time: ISO, input, output, level, metadata, top: JSON) -> spans (trace_id, span_id, parent_span_id, ordinal, name, kind, agent, action, phase, refs, ts, payload map) for flatten_spans().
+
+    Siblings are in order of (start or 0, id); a parent that isn't there makes a root. Fields under metadata.<namespace>, written by our own exports, win over what names and types suggest, and references by original event id become observation ids. A null or empty id is an error.
+    """
+    own = F.from_json(F.get_json_object("metadata", f"$['{namespace}']"), "id string, kind string, agent string, action string, phase string, refs array<string>, ts double")
+    known = F.coalesce(F.col("id"), F.lit("")) != ""
+    o = observations.withColumns({"own": own, "id": F.when(known, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("observation without an id in trace "), F.coalesce("trace_id", F.lit("null"))))), "at": epoch(F.col("start_time"))})
+    ids = o.select("trace_id", F.col("id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
+    parents = o.select("trace_id", F.col("parent_id").alias("id"), F.lit(True).alias("_kids")).where("id is not null").distinct()
+    o = o.join(ids, ["trace_id", "parent_id"], "left").join(parents, ["trace_id", "id"], "left").withColumn("parent_id", F.when(F.col("_there"), F.col("parent_id")))
+    ordinal = F.row_number().over(Window.partitionBy("trace_id", "parent_id").orderBy(F.coalesce("at", F.lit(0.0)), "id")) - 1
+    kids = F.coalesce("_kids", F.lit(False))
+    alias = o.where("own.id is not null").groupBy("trace_id", F.col("own.id").alias("ref")).agg(F.max_by("id", F.struct(F.coalesce("at", F.lit(0.0)), "id")).alias("target"))
+    refs = o.select("trace_id", "id", F.posexplode("own.refs").alias("pos", "ref")).join(alias, ["trace_id", "ref"], "left")
+    refs = refs.groupBy("trace_id", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("target", "ref").alias("r")))), lambda x: x["r"]).alias("refs"))
+    text = lambda c: F.when(c != "", c)
+    s = o.withColumn("ordinal", ordinal).join(refs, ["trace_id", "id"], "left")
+    return s.select(
+        "trace_id", F.col("id").alias("span_id"), F.col("parent_id").alias("parent_span_id"), "ordinal", F.coalesce(text(F.col("name")), "own.kind", F.lit("step")).alias("name"),
+        F.coalesce(text(F.col("own.kind")), kind_of_observation(F.col("name"), F.col("type"), kids)).alias("kind"), F.coalesce(text(F.col("own.agent")), agent_of(F.col("metadata"), F.col("top"), keys)).alias("agent"),
+        F.when(F.col("own").isNotNull(), F.col("own.action")).otherwise(F.col("name")).alias("action"), F.col("own.phase").alias("phase"), F.coalesce("refs", F.array().cast("array<string>")).alias("refs"), F.coalesce("own.ts", "at").alias("ts"),
+        observation_payload(F.col("input"), F.col("output"), F.col("level")).alias("payload"),
+    )
+
+
+def source_spans(events: DataFrame, artifact: DataFrame) -> DataFrame:
+    """events (trace_id, idx) and artifact (trace_id, source_span_ids: one for each event in order) -> (trace_id, step, span_id) of events that have one. Lists of another length than the trace are an error; traces without a list give nothing."""
+    n = events.groupBy("trace_id").agg(F.count("*").alias("n"))
+    j = artifact.join(n, "trace_id")
+    wrong = F.raise_error(F.concat(F.lit("source_span_ids of trace "), "trace_id", F.lit(" don't match its events")))
+    ids = F.when(F.size("source_span_ids") == F.col("n"), F.col("source_span_ids")).otherwise(wrong.cast("array<string>"))
+    return j.select("trace_id", F.posexplode(ids).alias("step", "span_id")).where("coalesce(span_id, '') <> ''")
+
+
+def flatten_missing(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """events, with those of traces that only have spans (SPAN columns: trace_id, span_id, parent_span_id, ordinal, kind, agent, action) flattened from them, so that no trace leaves without its events."""
+    lost = spans.join(events.select("trace_id").distinct(), "trace_id", "left_anti")
+    flat = flatten_spans(lost).join(lost.select("trace_id", "span_id", "kind", "agent", "action").dropDuplicates(["trace_id", "span_id"]), ["trace_id", "span_id"])
+    made = flat.select("trace_id", "idx", "id", admit_kind(F.col("kind"))[0].alias("kind"), "agent", "action", F.col("parent_id").alias("parent"))
+    return events.select(*made.columns).unionByName(made)
 
 
-def agent_of(metadata: Column, keys: tuple[str, ...] = ("agent", "agent_name", "name", "role")) -> Column:
-    """The first key that a metadata JSON has, else 'unknown'."""
-    return F.coalesce(*(F.get_json_object(metadata, f"$.{k}") for k in keys), F.lit("unknown"))
+def accept_proposal(proposals: DataFrame, accepted: DataFrame, mode_id: str) -> DataFrame:
+    """accepted (code, name, definition, kinship) with the proposal (mode_id, name, definition, kinship) of that id, unless its code is there. An unknown id is an error."""
+    found = proposals.where(F.col("mode_id") == mode_id).limit(1)
+    if found.isEmpty():
+        raise ValueError(f"no proposal {mode_id}")
+    new = found.select(F.col("mode_id").alias("code"), "name", "definition", "kinship").join(accepted.select("code"), "code", "left_anti")
+    return accepted.unionByName(new)
 
 
-def observation_payload(output: Column, level: Column) -> Column:
-    return F.when(level == "ERROR", F.concat(F.lit("error: "), F.coalesce(output, F.lit("")))).otherwise(output)
+def run_report(rounds: DataFrame) -> DataFrame:
+    """rounds (round, n_traces, n_failures, n_attributed, n_reruns, n_rerun_success, n_errors), one row a round -> one row: totals over rounds, traces and failures by round in order, and all that as JSON."""
+    totals = ("n_traces", "n_failures", "n_attributed", "n_reruns", "n_rerun_success", "n_errors")
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("round", c))), lambda x: x[c])
+    r = rounds.agg(*(F.sum(c).alias(c) for c in totals), in_order("n_traces").alias("n_traces_by_round"), in_order("n_failures").alias("n_failures_by_round"))
+    return r.withColumn("report", F.to_json(F.struct(*r.columns)))
 
 
 def outcome_from_scores(traces: DataFrame, scores: DataFrame, name: str, op: str, wanted: str) -> DataFrame:
