@@ -7,47 +7,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WORKSPACE = ("SURVIVED", "JUSTIFIED")
 OUT = "trace_id string, reference string, idx int, signature string, ref_place int"
+#: Effects that count as one another: both say that the action holds. OFF-ANCHOR counts as any effect.
+HOLDS, ANY = ("SURVIVED", "JUSTIFIED"), "OFF-ANCHOR"
 
 
-def longest_match(same: np.ndarray) -> list[int]:
-    """For every column the matched row, or -1: a longest common subsequence of the pairs marked in `same`, taking a pair where the walk meets one and else moving on in the rows while that keeps the length."""
-    rows, cols = same.shape
-    rest = np.zeros((rows + 1, cols + 1), np.int32)
-    for r in reversed(range(rows)):
-        best = 0
-        for k in reversed(range(cols)):
-            best = rest[r + 1, k + 1] + 1 if same[r, k] else max(rest[r + 1, k], best)
-            rest[r, k] = best
-    found, r, k = [-1] * cols, 0, 0
-    while r < rows and k < cols:
-        if same[r, k]:
-            found[k] = r
-            r, k = r + 1, k + 1
-        elif rest[r + 1, k] >= rest[r, k + 1]:
-            r += 1
-        else:
-            k += 1
+def codes(*sides: list) -> list[np.ndarray]:
+    """The same small numbers for equal values of all sides."""
+    known: dict = {}
+    return [np.array([known.setdefault(v, len(known)) for v in side], np.int64) for side in sides]
+
+
+def fitting(reference: list[dict], own: list[dict]) -> np.ndarray:
+    """[reference, own]: whether two signatures match, on class, target and effects that count as one another."""
+    what = lambda side: [(s["action_class"], s["target"]) for s in side]
+    effect = lambda side: np.array([HOLDS[0] if s["effect"] in HOLDS else s["effect"] or "" for s in side], object)
+    a, b = codes(what(reference), what(own))
+    x, y = effect(reference), effect(own)
+    return (a[:, None] == b[None, :]) & ((x[:, None] == y[None, :]) | (x == ANY)[:, None] | (y == ANY)[None, :])
+
+
+def common_lengths(fit: np.ndarray) -> np.ndarray:
+    """[r, k]: length of the longest common subsequence of what follows from row r and column k on. A row is the one below it, one more where its pairs fit, and never less than what lies to its right: so each row is two array operations."""
+    rows, cols = fit.shape
+    out = np.zeros((rows + 1, cols + 1), np.int32)
+    for r in range(rows - 1, -1, -1):
+        below = out[r + 1]
+        here = np.maximum(below[:-1], np.where(fit[r], below[1:] + 1, 0))
+        out[r, :-1] = np.maximum.accumulate(here[::-1])[::-1]
+    return out
+
+
+def longest_match(fit: np.ndarray) -> np.ndarray:
+    """For every column its row, or -1: the longest common subsequence that, from the start on, takes a fitting pair whenever both sides stand at one, and else leaves out of the reference as long as that costs nothing.
+
+    With that rule a column's row follows from the lengths alone: at column k the reference stands at some row r; it may go on to any row up to the last one whose length at k stays that at (r, k + 1) or more, and the first fitting row on the way is taken.
+    """
+    length = common_lengths(fit)
+    found, r = np.full(fit.shape[1], -1, np.int64), 0
+    for k in range(fit.shape[1]):
+        rest = fit.shape[0] - r
+        if not rest:
+            break
+        fits = fit[r:, k]
+        stops = fits | (length[r + 1 :, k] < length[r:-1, k + 1])
+        at = int(np.argmax(stops)) if stops.any() else rest
+        if at == rest:
+            break
+        r += at
+        if fits[at]:
+            found[k], r = r, r + 1
     return found
 
 
 def align_to_reference(sigs: DataFrame, traces: DataFrame, references: DataFrame) -> DataFrame:
-    """(OUT) every signature of every trace with its place in the reference's, null where it has none. A pair matches on class, target and compatible effects. A task holds the signatures of one trace and its reference at a time."""
+    """(OUT) every signature of every trace with its place in the reference's, null where it has none. A task holds the signatures of one trace and its reference at a time; a trace of n and a reference of m signatures take n m small numbers."""
     row = F.struct("idx", "action_class", "target", "effect", "signature")
     own = sigs.groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("own"))
     ref = own.select(F.col("trace_id").alias("reference"), F.col("own").alias("ref")).join(references.select("task_id", F.col("trace_id").alias("reference")), "reference")
     pairs = own.join(traces.select("trace_id", "task_id"), "trace_id").join(ref, "task_id").select("trace_id", "reference", "own", "ref")
 
-    def effects_fit(a: str, b: str) -> bool:
-        return a == b or "OFF-ANCHOR" in (a, b) or (a in WORKSPACE and b in WORKSPACE)
-
     def run(batches):
         for b in batches:
             out = []
-            for t, r, own_, ref_ in zip(*(b.column(n).to_pylist() for n in ("trace_id", "reference", "own", "ref")), strict=True):
-                same = np.array([[p["action_class"] == q["action_class"] and p["target"] == q["target"] and effects_fit(p["effect"], q["effect"]) for q in own_] for p in ref_], bool).reshape(len(ref_), len(own_))
-                out += [(t, r, q["idx"], q["signature"], k if k >= 0 else None) for q, k in zip(own_, longest_match(same), strict=True)]
+            for t, r, mine, theirs in zip(*(b.column(n).to_pylist() for n in ("trace_id", "reference", "own", "ref")), strict=True):
+                out += [(t, r, s["idx"], s["signature"], int(k) if k >= 0 else None) for s, k in zip(mine, longest_match(fitting(theirs, mine)), strict=True)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
@@ -60,3 +84,10 @@ def divergence_spans(aligned: DataFrame) -> DataFrame:
     w = Window.partitionBy("trace_id").orderBy("idx")
     a = aligned.withColumn("run", F.sum(F.col("ref_place").isNotNull().cast("int")).over(w)).where("ref_place is null")
     return a.groupBy("trace_id", "run").agg(F.min("idx").alias("start_idx"), F.max("idx").alias("end_idx"), F.count("*").alias("length")).drop("run")
+
+
+def alignment_stats(aligned: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Per trace: coverage (share of its signatures that match), n_added (that don't), off_anchor_ratio, each rounded to four places."""
+    a = aligned.groupBy("trace_id").agg(F.count("*").alias("n"), F.count("ref_place").alias("hit"))
+    off = sigs.groupBy("trace_id").agg(F.avg((F.col("effect") == ANY).cast("double")).alias("off"))
+    return a.join(off, "trace_id").select("trace_id", F.round(F.col("hit") / F.col("n"), 4).alias("coverage"), (F.col("n") - F.col("hit")).alias("n_added"), F.round("off", 4).alias("off_anchor_ratio"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.tables import durable
 from tracewright.operators.represent import by_trace, upto
 
 
@@ -80,23 +81,19 @@ def _in_families(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_f", F.explode(each)).select("_f.*", *rows.columns)
 
 
+GROUP = ["model_version", "prompt_version", "time_window"]
+
+
 def distributions(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """(family, fixed, grp, feature, bin, n, p): counts are added up by group first, so the shares take small rows only."""
+    """(family, fixed, grp, feature, bin, n, p). Events are counted once by group, kind and action and traces once by group and features; all histograms are sums of those small written rows."""
     feats = trace_features(events, traces)
-    key = feats.select("trace_id", "model_version", "prompt_version", "time_window")
-    ev = events.groupBy("trace_id", "kind", "agent", F.coalesce("action", "kind").alias("act")).agg(F.count("*").alias("n")).join(key, "trace_id")
-    group = ["model_version", "prompt_version", "time_window"]
-    parts = [
-        ev.groupBy(*group, F.lit("kind_hist").alias("feature"), F.col("kind").alias("bin")).agg(F.sum("n").cast("double").alias("n")),
-        ev.groupBy(*group, F.lit("action_hist").alias("feature"), F.concat_ws(":", "agent", "act").alias("bin")).agg(F.sum("n").cast("double").alias("n")),
-        feats.groupBy(*group, F.lit("length_bin").alias("feature"), F.col("length_bin").alias("bin")).agg(F.count("*").cast("double").alias("n")),
-        feats.groupBy(*group, F.lit("failure").alias("feature"), F.when(F.col("failed"), "fail").otherwise("ok").alias("bin")).agg(F.count("*").cast("double").alias("n")),
-        feats.groupBy(*group, F.lit("repeat").alias("feature")).agg(F.sum("n_repeat").cast("double").alias("r"), F.sum("n_calls").cast("double").alias("c")).selectExpr(*group, "feature", "stack(2, 'repeat', r, 'clean', c - r) as (bin, n)"),
-        feats.groupBy(*group, F.lit("task_composition").alias("feature"), F.col("task_id").alias("bin")).agg(F.count("*").cast("double").alias("n")),
-    ]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    acts = events.groupBy("trace_id", "kind", "agent", F.coalesce("action", "kind").alias("act")).agg(F.count("*").alias("n")).join(traces.select("trace_id", *GROUP), "trace_id")
+    acts = durable(acts.groupBy(*GROUP, "kind", "agent", "act").agg(F.sum("n").cast("double").alias("n")))
+    runs = durable(feats.groupBy(*GROUP, "length_bin", "failed", "task_id").agg(F.count("*").cast("double").alias("n"), F.sum("n_repeat").cast("double").alias("r"), F.sum("n_calls").cast("double").alias("c")))
+    bin_ = lambda feature, name, n="n": F.struct(F.lit(feature).alias("feature"), name.alias("bin"), (F.col(n) if isinstance(n, str) else n).alias("n"))
+    of_acts = F.array(bin_("kind_hist", F.col("kind")), bin_("action_hist", F.concat_ws(":", "agent", "act")))
+    of_runs = F.array(bin_("length_bin", F.col("length_bin")), bin_("failure", F.when(F.col("failed"), "fail").otherwise("ok")), bin_("task_composition", F.col("task_id")), bin_("repeat", F.lit("repeat"), "r"), bin_("repeat", F.lit("clean"), F.col("c") - F.col("r")))
+    rows = acts.select(*GROUP, F.explode(of_acts).alias("b")).unionByName(runs.select(*GROUP, F.explode(of_runs).alias("b"))).select(*GROUP, "b.*")
     rows = _in_families(rows).where("(family = 'data') = (feature = 'task_composition')")
     rows = rows.groupBy("family", "fixed", "grp", "feature", "bin").agg(F.sum("n").alias("n")).where("n > 0")
     return rows.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("family", "fixed", "grp", "feature")))
@@ -106,11 +103,9 @@ def group_sizes(traces: DataFrame) -> DataFrame:
     return _in_families(traces.select("model_version", "prompt_version", "time_window")).groupBy("family", "fixed", "grp").agg(F.count("*").alias("n_traces"))
 
 
-def drift_pairs(events: DataFrame, traces: DataFrame, min_group: int = 5, psi_alert: float = 0.2, mismatch_alert: float = 0.1) -> DataFrame:
-    """Per pair of groups of a family and feature: PSI over the bins both have, mass of either in bins the other lacks, and whether that alerts."""
-    sizes = group_sizes(traces).where(F.col("n_traces") >= min_group).select("family", "fixed", "grp")
-    d = distributions(events, traces).join(sizes, ["family", "fixed", "grp"])
-    both = sizes.alias("a").join(sizes.alias("b"), (F.col("a.family") == F.col("b.family")) & (F.col("a.fixed") == F.col("b.fixed")) & (F.col("a.grp") < F.col("b.grp"))).select("a.family", "a.fixed", F.col("a.grp").alias("a"), F.col("b.grp").alias("b"))
+def compare_distributions(d: DataFrame, groups: DataFrame, psi_alert: float = 0.2, mismatch_alert: float = 0.1) -> DataFrame:
+    """d (family, fixed, grp, feature, bin, p) and groups (family, fixed, grp) -> per pair of groups of a family and feature: PSI over the bins both have, mass of either in bins the other lacks, and whether that alerts."""
+    both = groups.alias("a").join(groups.alias("b"), (F.col("a.family") == F.col("b.family")) & (F.col("a.fixed") == F.col("b.fixed")) & (F.col("a.grp") < F.col("b.grp"))).select("a.family", "a.fixed", F.col("a.grp").alias("a"), F.col("b.grp").alias("b"))
     side = lambda s: both.join(d.withColumnRenamed("grp", s), ["family", "fixed", s]).select("family", "fixed", "a", "b", "feature", "bin", F.col("p").alias(f"p_{s}"))
     j = side("a").join(side("b"), ["family", "fixed", "a", "b", "feature", "bin"], "full_outer")
     psi = F.sum(F.coalesce((F.col("p_b") - F.col("p_a")) * F.log(F.col("p_b") / F.col("p_a")), F.lit(0.0)))
@@ -118,6 +113,24 @@ def drift_pairs(events: DataFrame, traces: DataFrame, min_group: int = 5, psi_al
     return out.withColumn("alert", (F.col("psi") > psi_alert) | (F.greatest("mismatch_a", "mismatch_b") > mismatch_alert))
 
 
+def drift_pairs(events: DataFrame, traces: DataFrame, min_group: int = 5, psi_alert: float = 0.2, mismatch_alert: float = 0.1) -> DataFrame:
+    """compare_distributions() of the groups with at least min_group traces; both sides read the same small written rows."""
+    sizes = durable(group_sizes(traces).where(F.col("n_traces") >= min_group).select("family", "fixed", "grp"))
+    return compare_distributions(durable(distributions(events, traces).select("family", "fixed", "grp", "feature", "bin", "p")), sizes, psi_alert, mismatch_alert)
+
+
+def independent_alerts(pairs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """pairs of compare_distributions() and aliases (a, b, alias: of features by name, or with family, fixed and a pair of groups, then for that pair alone) -> firing features of each pair (family, fixed, a, b, firing, independent): a feature that is an alias of an earlier firing one is not independent."""
+    key = ["family", "fixed", "a", "b"]
+    firing = pairs.where("alert").select(*key, F.when(F.col("feature") == "task_composition", "task_id").otherwise(F.col("feature")).alias("feature"))
+    same = aliases.where("alias").select(F.col("a").alias("first"), F.col("b").alias("feature"))
+    other = firing.select(*key, F.col("feature").alias("first"))
+    late = firing.join(same, "feature").join(other, [*key, "first"], "left_semi").select(*key, "feature").distinct().withColumn("late", F.lit(True))
+    j = firing.join(late, [*key, "feature"], "left")
+    names = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("feature")))), ",")
+    return j.groupBy(*key).agg(names(F.lit(True)).alias("firing"), names(F.col("late").isNull()).alias("independent"))
+
+
 def feature_aliases(features: DataFrame) -> DataFrame:
     """Pairs of length_bin, failure and task_id that part the traces alike, by counts of distinct values."""
     f = features.select("length_bin", F.col("failed").cast("string").alias("failure"), "task_id").distinct()

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.model import ASSERTION, DOC_ID, NO_RESULT
+from tracewright.model import ASSERTION, CLAUSE_END, DOC_ID, ERROR_OBS, HARMFUL, MECHANISM, MECHANISMS, MEMORY, NEGATION, NO_RESULT, NOTHING_USABLE, STAGE_ERROR, STEP_KINDS, SUPPORT_LEVELS, SUPPORT_VERDICTS, SYMPTOM_FIX
 from tracewright.operators.classify import primary_symptom, segment_symptoms, symptoms
-from tracewright.operators.represent import before, upto, first_answer, subtasks, with_subtask
+from tracewright.operators.represent import before, by_trace, stage_ranges, step_summaries, subtasks, upto, with_subtask
 from tracewright.tables import durable
 
 
@@ -144,64 +144,130 @@ def walk_back(events: DataFrame, steps: DataFrame) -> DataFrame:
 
 
 def parse_half(text: Column) -> Column:
-    """'lower' or 'upper' half from an answer; a negated clause names the other; both or neither: null."""
-    clauses = F.filter(F.split(F.lower(text), r"[,.;]| but "), lambda x: F.trim(x) != "")
-    neg = lambda x: x.rlike(r"\b(not|isn't|no|never|rather than)\b")
-    says = lambda half, other: F.exists(clauses, lambda x: (x.contains(half) & ~neg(x)) | (x.contains(other) & neg(x)))
-    low, up = says("lower", "upper"), says("upper", "lower")
-    return F.when(low & ~up, "lower").when(up & ~low, "upper")
+    """'lower' or 'upper' half from an answer that names just one of them, else null; the other one if the first clause that names it denies it. What other clauses deny doesn't count."""
+    low = F.lower(text)
+    lower, upper = F.contains(low, F.lit("lower")), F.contains(low, F.lit("upper"))
+    word = F.when(lower, "lower").otherwise("upper")
+    clause = F.get(F.filter(F.split(low, CLAUSE_END), lambda c: F.contains(c, word)), F.lit(0))
+    return F.when(lower != upper, F.when(clause.rlike(NEGATION), F.when(lower, "upper").otherwise("lower")).otherwise(word))
 
 
 def claim_support(claims: DataFrame, events: DataFrame) -> DataFrame:
-    """Verdict of each claim: process claims DIRECT; memory claims UNSUPPORTED; else by whether the documents it cites were read before it, and 'no results' against what searches showed."""
-    reads = events.where("kind = 'TOOL_CALL' and action = 'read_doc'").groupBy("trace_id", F.col("doc_id").alias("doc")).agg(F.min("idx").alias("read_at"))
-    hits = events.where("kind = 'TOOL_RESULT' and action = 'search'").where(F.regexp_extract("content", r"(\d+) docs", 1).try_cast("int") > 0).groupBy("trace_id").agg(F.min("idx").alias("shown_at"))
-    cites = claims.select("trace_id", "claim_id", "introduced", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(DOC_ID), F.lit(0)))).alias("doc")).join(reads, ["trace_id", "doc"], "left")
-    cites = cites.groupBy("trace_id", "claim_id").agg(F.count("*").alias("cited"), F.sum(F.coalesce(F.col("read_at") < F.col("introduced"), F.lit(False)).cast("long")).alias("read"))
-    j = claims.join(cites, ["trace_id", "claim_id"], "left").join(hits, "trace_id", "left")
-    denied = F.col("text").rlike(NO_RESULT)
-    v = F.when(F.col("claim_type") == "process", "DIRECT").when(F.col("claim_type") == "memory", "UNSUPPORTED").when(denied & (F.col("shown_at") < F.col("introduced")), "CONFLICTING").when(denied, "DIRECT")
-    v = v.when(F.col("cited").isNull(), "INDIRECT").when(F.col("read") == F.col("cited"), "DIRECT").when(F.col("read") > 0, "PARTIAL").otherwise("UNSUPPORTED")
-    return j.select("trace_id", "claim_id", "claim_type", "introduced", v.alias("support"))
-
-
-def claim_audit(support: DataFrame) -> DataFrame:
-    """The first harmful claim (unsupported or conflicting) of each trace, or 'no_harmful_claim'."""
-    bad = F.col("support").isin("UNSUPPORTED", "CONFLICTING")
-    return support.groupBy("trace_id").agg(F.min(F.when(bad, F.col("introduced"))).alias("step"), F.sum(bad.cast("long")).alias("n_harmful")).withColumn("status", F.when(F.col("step").isNull(), "no_harmful_claim").otherwise("harmful"))
-
-
-def suspicious_stages(events: DataFrame) -> DataFrame:
-    """Subtasks with two steps of the same agent and action (loops), or error words in their observations; loops first, three at most a trace."""
-    s = with_subtask(events)
-    loop = s.where("kind in ('LLM_CALL', 'TOOL_CALL', 'HANDOFF')").groupBy("trace_id", "subtask", "agent", F.coalesce("action", "kind").alias("act")).agg(F.count("*").alias("n")).where("n >= 2").select("trace_id", "subtask").distinct().withColumn("why", F.lit("loop"))
-    err = s.where(F.col("content").rlike(r"(?i)\b(error|failed|invalid|missing)\b")).select("trace_id", "subtask").distinct().join(loop.select("trace_id", "subtask"), ["trace_id", "subtask"], "left_anti").withColumn("why", F.lit("error"))
-    w = Window.partitionBy("trace_id").orderBy((F.col("why") != "loop").cast("int"), "subtask")
-    return loop.unionByName(err).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-
-
-def drill_range(events: DataFrame, picked: DataFrame) -> DataFrame:
-    """picked (trace_id, phase) -> range [start - 3, end] of the stage to look into: among stages of that phase the one with the first error, else the last."""
-    st = subtasks(events).join(picked, ["trace_id", "phase"], "left_semi")
-    first = events.where(F.col("content").rlike(r"(?i)^\s*(error|failed)")).groupBy("trace_id").agg(F.min("idx").alias("err"))
-    st = st.join(first, "trace_id", "left").withColumn("hit", F.coalesce(F.col("err").between(F.col("start_idx"), F.col("end_idx")), F.lit(False)).cast("int"))
-    best = st.groupBy("trace_id").agg(F.max_by(F.struct("start_idx", "end_idx"), F.struct("hit", "start_idx")).alias("b"))
-    return best.select("trace_id", F.greatest(F.lit(0), F.col("b.start_idx") - 3).alias("lo"), F.col("b.end_idx").alias("hi"))
+    """Support and verdict of each claim (trace_id, claim_id, text, claim_type, introduced): support_status, verdict, responsible_step.
+
+    Processes support themselves. A constraint is met if the first submit cites documents, all of them read at some time; else the last decision before that submit is responsible. A denial of results conflicts with documents that any search showed. Other claims need one cited document that was read before; those that cite none must not be from memory.
+    """
+    call = lambda a: f"kind = 'TOOL_CALL' and action = '{a}'"
+    ids = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(DOC_ID), F.lit(0)))
+    reads = events.where(call("read_doc")).select("trace_id", "idx", F.get(ids(F.col("doc_id")), F.lit(0)).alias("doc")).where("doc is not null").groupBy("trace_id", "doc").agg(F.min("idx").alias("read_at"))
+    shown = events.where("kind = 'TOOL_RESULT' and action = 'search'").where(F.size(ids(F.col("content"))) > 0).select("trace_id").distinct().withColumn("shown", F.lit(True))
+    first = events.where(call("submit")).groupBy("trace_id").agg(F.min_by(F.struct("idx", F.concat_ws(" ", "query", "doc_id", "answer", "to_agent").alias("load")), "idx").alias("submit"))
+    cited = first.select("trace_id", F.explode(ids(F.col("submit.load"))).alias("doc")).join(reads, ["trace_id", "doc"], "left").groupBy("trace_id").agg(F.min(F.col("read_at").isNotNull()).alias("all_read"))
+    decided = events.where("kind = 'LLM_CALL'").select("trace_id", "idx").join(first, "trace_id").where("idx < submit.idx").groupBy("trace_id").agg(F.max("idx").alias("decided"))
+    named = claims.select("trace_id", "claim_id", "introduced", F.explode(ids(F.col("text"))).alias("doc")).join(reads, ["trace_id", "doc"], "left")
+    named = named.groupBy("trace_id", "claim_id").agg(F.max(F.coalesce(F.col("read_at") < F.col("introduced"), F.lit(False))).alias("grounded"))
+    j = claims.join(named, ["trace_id", "claim_id"], "left")
+    for more in (shown, first, cited, decided):
+        j = j.join(more, "trace_id", "left")
+    said = lambda support, verdict, step=None: F.struct(F.lit(support).alias("support_status"), F.lit(verdict).alias("verdict"), (F.lit(None) if step is None else step).cast("int").alias("responsible_step"))
+    fine, harmful = said("DIRECT", "supported"), said("MISSING", "harmful_unsupported_commitment", F.col("introduced"))
+    limit = F.col("claim_type") == "constraint"
+    v = (
+        F.when(F.col("claim_type") == "process", fine)
+        .when(limit & F.col("submit").isNull(), said("MISSING", "insufficient_but_nonharmful"))
+        .when(limit & F.col("all_read"), fine)
+        .when(limit, said("CONFLICTING", "conflicting_support", F.coalesce("decided", "submit.idx")))
+        .when(F.col("text").rlike(NOTHING_USABLE) & F.col("shown"), said("CONFLICTING", "conflicting_support", F.col("introduced")))
+        .when(F.col("text").rlike(NOTHING_USABLE), fine)
+        .when(~F.col("grounded"), harmful)
+        .when(F.col("grounded").isNull() & F.col("text").rlike("(?i)memory|recall|unknown"), harmful)
+        .otherwise(fine)
+    )
+    return j.select("trace_id", "claim_id", "claim_type", "introduced", v.alias("v")).select("trace_id", "claim_id", "claim_type", "introduced", "v.*")
+
+
+def check_records(records: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
+    """records (trace_id, claim_id, support_status, verdict, responsible_step) as a judge gave them -> with invalid (null, 'vocabulary' or 'unknown claim'), the step clamped into its trace, and clamped where that changed it. Nothing is dropped."""
+    known = claims.select("trace_id", "claim_id", F.col("introduced").alias("_introduced"), F.lit(True).alias("_known")).dropDuplicates(["trace_id", "claim_id"])
+    j = records.drop("introduced", "claim_type").join(known, ["trace_id", "claim_id"], "left").join(events.groupBy("trace_id").agg(F.max("idx").alias("_last")), "trace_id")
+    words = F.coalesce(F.col("support_status").isin(*SUPPORT_LEVELS) & F.col("verdict").isin(*SUPPORT_VERDICTS), F.lit(False))
+    step = F.least(F.greatest("responsible_step", F.lit(0)), "_last")
+    return j.select("trace_id", "claim_id", "support_status", "verdict", step.alias("responsible_step"), F.coalesce(step != F.col("responsible_step"), F.lit(False)).alias("clamped"), F.when(~words, "vocabulary").when(F.col("_known").isNull(), "unknown claim").alias("invalid"), F.coalesce(step, F.col("_introduced")).alias("earliest"))
+
+
+def earliest_harmful(records: DataFrame) -> DataFrame:
+    """Tracing by rule: the earliest responsible step of the harmful records, and all of them in order."""
+    bad = records.where(F.col("verdict").isin(*HARMFUL))
+    return bad.groupBy("trace_id").agg(F.coalesce(F.min("responsible_step"), F.lit(0)).alias("first_error_step"), F.sort_array(F.collect_list("responsible_step")).alias("error_steps"))
+
+
+def claim_audit(records: DataFrame, claims: DataFrame, events: DataFrame, traced: DataFrame | None = None) -> DataFrame:
+    """One row per trace with records: status (harmful or no_harmful_claim), step, agent, reconciled, the earliest harmful claim with its support and verdict, n_valid, n_invalid, n_clamped, confidence.
+
+    traced (trace_id, first_error_step, error_steps) is a judge's tracing, by rule if it isn't given. Its steps are clamped into the trace, and the first error is never later than the earliest of error_steps. Invalid records are counted and not used.
+    """
+    r = check_records(records, claims, events)
+    valid = r.where("invalid is null")
+    traced = earliest_harmful(valid) if traced is None else traced
+    counts = r.groupBy("trace_id").agg(F.count_if(F.col("invalid").isNull()).alias("n_valid"), F.count("invalid").alias("n_invalid"), F.count_if(F.col("clamped") & F.col("invalid").isNull()).alias("n_clamped"))
+    top = valid.where(F.col("verdict").isin(*HARMFUL)).groupBy("trace_id").agg(F.min_by(F.struct("claim_id", "support_status", "verdict"), F.struct(F.coalesce("earliest", F.lit(1 << 30)), "claim_id")).alias("t"))
+    last = events.groupBy("trace_id").agg(F.max("idx").alias("last"))
+    within = lambda x: F.least(F.greatest(x, F.lit(0)), F.col("last"))
+    t = top.join(traced.select("trace_id", "first_error_step", "error_steps"), "trace_id", "left").join(last, "trace_id")
+    t = t.withColumns({"said": within(F.coalesce("first_error_step", F.lit(0))), "least": F.array_min(F.transform("error_steps", within))})
+    t = t.withColumns({"step": F.least("said", "least"), "reconciled": F.coalesce(F.col("least") < F.col("said"), F.lit(False))})
+    t = t.join(events.select("trace_id", F.col("idx").alias("step"), "agent"), ["trace_id", "step"], "left")
+    j = counts.join(t, "trace_id", "left")
+    return j.select("trace_id", F.when(F.col("t").isNull(), "no_harmful_claim").otherwise("harmful").alias("status"), "step", "agent", F.coalesce("reconciled", F.lit(False)).alias("reconciled"), "t.claim_id", "t.support_status", "t.verdict", "n_valid", "n_invalid", "n_clamped", F.when(F.col("t").isNotNull(), 0.7).alias("confidence"))
+
+
+def stage_sections(events: DataFrame) -> DataFrame:
+    """Steps with their summary, stage (of the interval they lie in; '?' outside) and section: runs of steps of the same stage."""
+    ranges = stage_ranges(events).select("trace_id", F.col("start_idx").alias("idx"), F.struct("phase", "end_idx").alias("r"))
+    open_ = F.last("r", ignorenulls=True).over(upto())
+    steps = events.join(ranges, ["trace_id", "idx"], "left").withColumn("r", open_).withColumn("stage", F.when(F.col("idx") <= F.col("r.end_idx"), F.col("r.phase")))
+    steps = steps.where(F.col("kind").isin(*STEP_KINDS)).select("trace_id", "idx", F.coalesce("stage", F.lit("?")).alias("stage")).join(step_summaries(events).select("trace_id", F.col("step").alias("idx"), "summary"), ["trace_id", "idx"])
+    starts = F.coalesce((F.lag("stage").over(by_trace()) != F.col("stage")).cast("int"), F.lit(1))
+    return steps.withColumn("_s", starts).withColumn("section", F.sum("_s").over(upto())).drop("_s")
+
+
+def suspicious_stages(events: DataFrame, most: int = 3) -> DataFrame:
+    """Stages to look into: first those with a section of two steps of the same first three words (agent, action, start of the argument: a loop), then those with an error word in a summary; each once, `most` a trace. Columns: stage, why, rank."""
+    s = stage_sections(events)
+    prefix = F.array_join(F.slice(F.split("summary", " "), 1, 3), " ")
+    loop = s.groupBy("trace_id", "section", "stage", prefix.alias("prefix")).agg(F.count("*").alias("n")).where("n >= 2").select("trace_id", "section", "stage", F.lit(0).alias("o"))
+    err = s.where(F.col("summary").rlike(STAGE_ERROR)).select("trace_id", "section", "stage", F.lit(1).alias("o"))
+    each = loop.unionByName(err).groupBy("trace_id", "stage").agg(F.min(F.struct("o", "section")).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy("f"))
+    return each.select("trace_id", "stage", F.when(F.col("f.o") == 0, "loop").otherwise("error").alias("why"), rank.alias("rank")).where(F.col("rank") <= most)
+
+
+def drill_range(events: DataFrame, picked: DataFrame, context: int = 3) -> DataFrame:
+    """picked (trace_id, stage, rank) -> range [start - context, end] of the stage to look into: the first picked stage that the trace has, else its last; of that stage's intervals the first that holds the first error observation (the last event if there is none), else the last."""
+    st = stage_ranges(events)
+    have = st.select("trace_id", F.col("phase").alias("stage")).distinct()
+    first = picked.join(have, ["trace_id", "stage"], "left_semi").groupBy("trace_id").agg(F.min_by("stage", "rank").alias("chosen"))
+    last = st.groupBy("trace_id").agg(F.max_by("phase", "stage_no").alias("last_stage"))
+    at = events.groupBy("trace_id").agg(F.coalesce(F.min(F.when(F.col("content").rlike(ERROR_OBS), F.col("idx"))), F.max("idx")).alias("at"))
+    st = st.join(last.join(first, "trace_id", "left"), "trace_id").where(F.col("phase") == F.coalesce("chosen", "last_stage")).join(at, "trace_id")
+    hit = F.col("at").between(F.col("start_idx"), F.col("end_idx"))
+    best = st.groupBy("trace_id", "phase").agg(F.coalesce(F.min(F.when(hit, F.struct("start_idx", "end_idx"))), F.max(F.struct("start_idx", "end_idx"))).alias("b"))
+    return best.select("trace_id", F.col("phase").alias("stage"), F.greatest(F.lit(0), F.col("b.start_idx") - context).alias("lo"), F.col("b.end_idx").alias("hi"))
 
 
 def subtask_results(events: DataFrame) -> DataFrame:
-    """Whether each subtask passed: reports by their last verdict, searches by a good read without adjacent repeats, plans without memory phrases, others by the trace's last verdict."""
-    s = with_subtask(events).join(first_answer(events, "TOOL_RESULT"), ["trace_id", "id"], "left")
-    ok_read = F.coalesce((F.col("kind") == "TOOL_CALL") & (F.col("action") == "read_doc") & ~F.col("tool_result_content").rlike(r"(?i)^\s*error"), F.lit(False))
-    same = F.struct("agent", "action", "query", "doc_id")
-    calls = s.where("kind = 'TOOL_CALL'").withColumn("again", F.coalesce(F.to_json(F.lag(same).over(Window.partitionBy("trace_id", "subtask").orderBy("idx"))) == F.to_json(same), F.lit(False)))
-    rep = calls.groupBy("trace_id", "subtask").agg(F.max("again").alias("again"))
-    a = s.groupBy("trace_id", "subtask").agg(
-        F.max(ok_read).alias("read"), F.max(F.coalesce(F.col("content").rlike("(?i)recall|from memory"), F.lit(False)) & (F.col("kind") == "LLM_CALL")).alias("memory"), F.max_by(F.when(F.col("kind") == "VERIFIER", F.col("content").startswith("passed")), F.when(F.col("kind") == "VERIFIER", F.col("idx"))).alias("verdict"),
-    )
-    last = F.last("verdict", ignorenulls=True).over(Window.partitionBy("trace_id").orderBy("subtask").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    j = subtasks(events).join(a, ["trace_id", "subtask"]).join(rep, ["trace_id", "subtask"], "left").withColumn("last", F.coalesce(last, F.lit(False)))
-    passed = F.when(F.col("phase") == "report", F.coalesce("verdict", F.lit(False))).when(F.col("phase") == "search", F.col("read") & ~F.coalesce("again", F.lit(False))).when(F.col("phase") == "plan", ~F.col("memory")).otherwise(F.col("last"))
+    """Whether each subtask passed: searches by a read result without error and no adjacent repeated calls, plans without decisions from memory, all others (reports too) by the trace's last verdict."""
+    s = with_subtask(events)
+    kind = lambda k: F.col("kind") == k
+    call = F.to_json(F.struct("agent", "action", "query", "doc_id", "answer", "content", "to_agent"))
+    calls = s.where(kind("TOOL_CALL")).withColumn("again", F.coalesce(F.lag(call).over(Window.partitionBy("trace_id", "subtask").orderBy("idx")) == call, F.lit(False)))
+    again = calls.groupBy("trace_id", "subtask").agg(F.max("again").alias("again"))
+    ok_read = kind("TOOL_RESULT") & (F.col("action") == "read_doc") & ~F.coalesce(F.col("content").rlike(ERROR_OBS), F.lit(False))
+    memory = kind("LLM_CALL") & F.col("content").rlike(MEMORY)
+    a = s.groupBy("trace_id", "subtask").agg(F.coalesce(F.max(ok_read), F.lit(False)).alias("read"), F.coalesce(F.max(memory), F.lit(False)).alias("memory"))
+    verdict = events.where(kind("VERIFIER")).groupBy("trace_id").agg(F.max_by(F.col("content").startswith("passed"), "idx").alias("last"))
+    j = subtasks(events).join(a, ["trace_id", "subtask"]).join(again, ["trace_id", "subtask"], "left").join(verdict, "trace_id", "left")
+    passed = F.when(F.col("phase") == "search", F.col("read") & ~F.coalesce("again", F.lit(False))).when(F.col("phase") == "plan", ~F.col("memory")).otherwise(F.coalesce("last", F.lit(False)))
     return j.select("trace_id", "subtask", "phase", passed.alias("passed"))
 
 
@@ -210,11 +276,8 @@ def failing_subtask(results: DataFrame) -> DataFrame:
     return results.groupBy("trace_id").agg(F.coalesce(F.max(F.when(~F.col("passed"), F.col("subtask"))), F.max("subtask")).alias("subtask"), F.min("passed").alias("all_passed"))
 
 
-#: Mechanism of each symptom.
-MECHANISM = {"malformed_tool_call": "local_error", "step_repetition": "loop", "info_withholding": "handoff_loss", "premature_termination": "planning_error", "ungrounded_citation": "grounding_error", "disobey_task_spec": "local_error"}
-
-
 def mechanisms(events: DataFrame) -> DataFrame:
+    """Mechanism of each trace's primary symptom; a local error with less confidence where there is none."""
     m = F.create_map(*[F.lit(x) for kv in MECHANISM.items() for x in kv])
     p = primary_symptom(symptoms(events))
     return p.select("trace_id", F.coalesce(F.try_element_at(m, F.col("fault")), F.lit("local_error")).alias("mechanism"), F.when(F.col("fault") == "unknown", 0.4).otherwise(0.7).alias("confidence"))
@@ -235,7 +298,9 @@ def adjust_by_replay(candidates: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 def merge_hypotheses(parts: list[DataFrame], superseding: tuple[str, ...] = ("replay",)) -> DataFrame:
-    """All hypotheses; those of superseding algorithms replace others on the same agent and step."""
+    """All hypotheses; those of superseding algorithms replace others on the same agent and step. A source that is missing or blank is the algorithm."""
+    parts = [p if "source" in p.columns else p.withColumn("source", F.lit(None).cast("string")) for p in parts]
+    parts = [p.withColumn("source", F.when(F.coalesce("source", F.lit("")) == "", F.col("algo")).otherwise(F.col("source"))) for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -244,10 +309,19 @@ def merge_hypotheses(parts: list[DataFrame], superseding: tuple[str, ...] = ("re
     return top.unionByName(rest.select(*top.columns))
 
 
+def fix_text(fault: Column, step: Column) -> Column:
+    """What a symptom's step should do otherwise; null without a symptom."""
+    out = F.lit(None).cast("string")
+    for name, text in SYMPTOM_FIX.items():
+        out = F.when(fault == name, F.replace(F.lit(text), F.lit("{}"), step.cast("string"))).otherwise(out)
+    return out
+
+
 def symptom_at(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """Whether a candidate's step is the step of a symptom, and of which."""
+    """Whether a candidate's step is the step of a symptom, of which, and the edit to try there: the symptom's fix, else a neutral text."""
     s = symptoms(events, fallback=False).groupBy("trace_id", "step").agg(F.min_by("fault", "rule_no").alias("fault"))
-    return candidates.join(s, ["trace_id", "step"], "left").withColumn("is_symptom", F.col("fault").isNotNull())
+    neutral = F.concat(F.lit("Re-examine the reasoning behind step "), F.col("step").cast("string"), F.lit(" before continuing."))
+    return candidates.join(s, ["trace_id", "step"], "left").withColumns({"is_symptom": F.col("fault").isNotNull(), "edit_text": F.coalesce(fix_text(F.col("fault"), F.col("step")), neutral)})
 
 
 def refine(hyps: DataFrame, refined: DataFrame) -> DataFrame:
@@ -260,6 +334,16 @@ def refine(hyps: DataFrame, refined: DataFrame) -> DataFrame:
 def clamp_mechanism(said: Column, least: float = 0.75) -> Column:
     """The mechanism nearest to what was said, by edit distance over length; 'unknown' below `least`."""
     s = F.lower(F.trim(said))
-    each = F.array(*(F.struct((1 - F.levenshtein(s, F.lit(m)) / F.greatest(F.length(s), F.lit(len(m)))).alias("r"), F.lit(m).alias("m")) for m in sorted(set(MECHANISM.values()))))
+    each = F.array(*(F.struct((1 - F.levenshtein(s, F.lit(m)) / F.greatest(F.length(s), F.lit(len(m)))).alias("r"), F.lit(m).alias("m")) for m in MECHANISMS))
     best = F.array_max(each)
     return F.when(best["r"] >= least, best["m"]).otherwise("unknown")
+
+
+def localize(verdicts: DataFrame, events: DataFrame) -> DataFrame:
+    """verdicts (trace_id, response: JSON {responsible_agent, step, mechanism, confidence}) -> agent, step, mechanism, confidence: step clamped into the trace, agents that aren't in it become the step's own, mechanisms the nearest known one; notes say what changed."""
+    v = verdicts.select("trace_id", F.from_json("response", "responsible_agent string, step int, mechanism string, confidence double").alias("v"))
+    n = events.groupBy("trace_id").agg(F.max("idx").alias("last"), F.collect_set("agent").alias("agents"))
+    j = v.join(n, "trace_id").withColumn("step", F.least(F.greatest("v.step", F.lit(0)), "last")).join(events.select("trace_id", F.col("idx").alias("step"), F.col("agent").alias("own")), ["trace_id", "step"], "left")
+    known, mechanism = F.coalesce(F.array_contains("agents", F.col("v.responsible_agent")), F.lit(False)), clamp_mechanism(F.col("v.mechanism"))
+    notes = F.filter(F.array(F.when(F.col("step") != F.col("v.step"), "step"), F.when(~known, "agent"), F.when(mechanism != F.col("v.mechanism"), "mechanism")), lambda x: x.isNotNull())
+    return j.select("trace_id", F.when(known, F.col("v.responsible_agent")).otherwise(F.col("own")).alias("agent"), "step", mechanism.alias("mechanism"), "v.confidence", F.array_join(notes, ",").alias("clamped"))

@@ -59,14 +59,6 @@ def rule_findings(events: DataFrame, sigs: DataFrame, loops: DataFrame, searches
     return out.withColumns({"rule_order": order, "confidence": F.lit(0.9)})
 
 
-def _symptom(df: DataFrame, no: int, fault: str, step="step", agent="agent") -> DataFrame:
-    return df.select("trace_id", F.lit(no).alias("rule_no"), F.lit(fault).alias("fault"), F.col(step).cast("int").alias("step"), F.col(agent).alias("agent"), F.lit(SYMPTOM_CODE[fault]).alias("code"))
-
-
-def _at_first(df: DataFrame, by: str = "idx", *, step: str, agent: str) -> DataFrame:
-    return df.groupBy("trace_id").agg(F.min_by(F.struct(F.col(step).alias("step"), F.col(agent).alias("agent")), by).alias("h")).select("trace_id", "h.*")
-
-
 def unread_citations(events: DataFrame) -> DataFrame:
     """Messages that assert or bracket a document that no earlier call has read: a document is unread at a step if its first read is not before it."""
     reads = events.where("kind = 'TOOL_CALL' and action = 'read_doc'").groupBy("trace_id", F.col("doc_id").alias("doc")).agg(F.min("idx").alias("read_at"))
@@ -76,29 +68,32 @@ def unread_citations(events: DataFrame) -> DataFrame:
 
 
 def symptoms(events: DataFrame, fallback: bool = True) -> DataFrame:
-    """Symptoms of every trace by the ordered rules; the first is the primary one."""
-    call = F.last(F.when(F.col("kind") == "TOOL_CALL", F.struct(F.col("idx").alias("i"), F.col("agent").alias("a"))), ignorenulls=True).over(before())
-    flat = events.withColumns({"call": call, "llm": last_llm()}).withColumns({"call_i": F.col("call.i"), "call_a": F.col("call.a"), "llm_i": F.col("llm.i"), "llm_a": F.col("llm.a")})
-    errors = flat.where("kind = 'TOOL_RESULT'").where(F.col("content").rlike(ERROR_OBS))
-    out = _symptom(_at_first(errors, step="call_i", agent="call_a").where("step is not null"), 1, "malformed_tool_call")
-    same = F.to_json(F.struct("agent", "action", "query", "doc_id", "answer", "content", "to_agent"))
-    calls = events.where("kind = 'TOOL_CALL'").withColumn("s", same)
-    calls = calls.withColumns({"s1": F.lag("s", 1).over(by_trace()), "s2": F.lead("s", 1).over(by_trace())}).where("s = s1 and s = s2")
-    out = out.unionByName(_symptom(_at_first(calls, step="idx", agent="agent"), 2, "step_repetition"))
-    found = (F.col("kind") == "TOOL_RESULT") & (F.col("action") == "search") & (F.regexp_extract("content", r"(\d+) docs", 1).try_cast("int") > 0)
-    claims = events.withColumn("hit", F.max(F.coalesce(found, F.lit(False)).cast("int")).over(before())).where("kind in ('AGENT_MESSAGE', 'LLM_CALL', 'HANDOFF') and hit = 1").where(F.col("content").rlike(NO_RESULT))
-    out = out.unionByName(_symptom(_at_first(claims, step="idx", agent="agent"), 3, "info_withholding"))
-    read = F.coalesce(F.max(((F.col("kind") == "TOOL_CALL") & (F.col("action") == "read_doc")).cast("int")).over(before()), F.lit(0))
-    early = flat.withColumn("read", read).where("kind = 'TOOL_CALL' and action = 'submit' and read = 0")
-    early = early.withColumns({"s_i": F.coalesce("llm_i", "idx"), "s_a": F.coalesce("llm_a", "agent")})
-    out = out.unionByName(_symptom(_at_first(early, step="s_i", agent="s_a"), 4, "premature_termination"))
-    out = out.unionByName(_symptom(_at_first(unread_citations(events), step="idx", agent="agent"), 5, "ungrounded_citation"))
-    last = events.where("kind = 'LLM_CALL'").groupBy("trace_id").agg(F.max_by(F.struct(F.col("idx").alias("step"), "agent"), "idx").alias("h")).select("trace_id", "h.*")
-    issues = events.where("kind = 'VERIFIER'").where(F.col("content").rlike(FORMAT_ISSUE)).select("trace_id").distinct()
-    out = out.unionByName(_symptom(last.join(issues, "trace_id", "left_semi"), 6, "disobey_task_spec"))
+    """Symptoms of every trace by the ordered rules; the first is the primary one. One pass of windows over the traces flags rules 1 to 4 and 6, one aggregation picks their first rows; only citations of unread documents (5) need a join."""
+    kind = lambda *k: F.col("kind").isin(*k)
+    here = F.struct(F.col("idx").alias("step"), "agent")
+    call, llm = kind("TOOL_CALL"), kind("LLM_CALL")
+    sig = F.when(call, F.to_json(F.struct("agent", "action", "query", "doc_id", "answer", "content", "to_agent")))
+    after = by_trace().rowsBetween(1, Window.unboundedFollowing)
+    found = kind("TOOL_RESULT") & (F.col("action") == "search") & (F.regexp_extract("content", r"(\d+) docs", 1).try_cast("int") > 0)
+    once = lambda flag: F.max(F.coalesce(flag, F.lit(False))).over(before())
+    e = events.withColumn("sig", sig).withColumns({
+        "call": F.last(F.when(call, here), ignorenulls=True).over(before()), "llm": F.last(F.when(llm, here), ignorenulls=True).over(before()), "s1": F.last("sig", ignorenulls=True).over(before()), "s2": F.first("sig", ignorenulls=True).over(after),
+        "hit": once(found), "read": once(call & (F.col("action") == "read_doc")),
+    })
+    said = F.coalesce("content", F.lit(""))
+    error, early = kind("TOOL_RESULT") & said.rlike(ERROR_OBS), call & (F.col("action") == "submit") & ~F.coalesce("read", F.lit(False))
+    denied = kind("AGENT_MESSAGE", "LLM_CALL", "HANDOFF") & F.coalesce("hit", F.lit(False)) & said.rlike(NO_RESULT)
+    per = e.groupBy("trace_id").agg(
+        F.min_by("call", F.when(error, F.col("idx"))).alias("r1"), F.min(F.when((F.col("sig") == F.col("s1")) & (F.col("sig") == F.col("s2")), here)).alias("r2"), F.min(F.when(denied, here)).alias("r3"), F.min_by(F.coalesce("llm", here), F.when(early, F.col("idx"))).alias("r4"),
+        F.max(F.when(llm, here)).alias("last"), F.max(kind("VERIFIER") & said.rlike(FORMAT_ISSUE)).alias("issue"),
+    )
+    unread = unread_citations(events).groupBy("trace_id").agg(F.min(here).alias("r5"))
+    per = per.join(unread, "trace_id", "left").withColumn("r6", F.when(F.col("issue"), F.col("last")))
     if fallback:
-        out = out.unionByName(_symptom(last.join(out.select("trace_id").distinct(), "trace_id", "left_anti"), 7, "unknown"))
-    return out
+        per = per.withColumn("r7", F.when(F.coalesce(*(f"r{k}" for k in range(1, 7))).isNull(), F.col("last")))
+    rules = list(SYMPTOM_CODE)[: 7 if fallback else 6]
+    rows = F.array(*(F.when(F.col(f"r{k}").isNotNull(), F.struct(F.lit(k).alias("rule_no"), F.lit(f).alias("fault"), F.col(f"r{k}.step").cast("int").alias("step"), F.col(f"r{k}.agent").alias("agent"), F.lit(SYMPTOM_CODE[f]).alias("code"))) for k, f in enumerate(rules, 1)))
+    return per.select("trace_id", F.explode(rows).alias("r")).where("r is not null").select("trace_id", "r.*")
 
 
 def primary_symptom(found: DataFrame) -> DataFrame:
@@ -156,27 +151,25 @@ def similar_pairs(symptoms_: DataFrame, threshold: float = 0.35) -> DataFrame:
     return j.select("a", "b", sim.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def leader_clusters(nodes: DataFrame, pairs: DataFrame, rounds: int = 1000, materialize=durable) -> DataFrame:
-    """nodes (ord) and similar pairs (a < b) -> (ord, leader): the greedy clusters of a pass in order, by rounds. An undecided node without an undecided or leading earlier neighbour leads; later neighbours of a leader join the earliest one."""
+def leader_clusters(nodes: DataFrame, pairs: DataFrame, materialize=durable) -> DataFrame:
+    """nodes (ord) and similar pairs (a < b) -> (ord, leader): the greedy clusters of a pass in order, by rounds until every node is decided. The first undecided node always leads, so each round decides one at least. An undecided node without an undecided or leading earlier neighbour leads; later neighbours of a leader join the earliest one."""
     left, leaders = nodes.select("ord"), None
-    pairs = pairs.select("a", "b")
-    for _ in range(rounds):
+    pairs = materialize(pairs.select("a", "b"))
+    while leaders is None or not left.isEmpty():
         earlier = pairs.join(left.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
         new = materialize(left.join(earlier, "ord", "left_anti"))
         leaders = new if leaders is None else leaders.unionByName(new)
         covered = pairs.join(new.select(F.col("ord").alias("a")), "a", "left_semi").select(F.col("b").alias("ord")).distinct()
         left = materialize(left.join(new, "ord", "left_anti").join(covered, "ord", "left_anti"))
-        if left.isEmpty():
-            break
     own = leaders.select("ord", F.col("ord").alias("leader"))
     near = pairs.join(leaders.select(F.col("ord").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("leader"))
     return own.unionByName(near.join(leaders, "ord", "left_anti"))
 
 
-def extended_modes(proposals: DataFrame, builtin: DataFrame) -> DataFrame:
-    """proposals (code, name, definition) -> with status: accepted, skipped without a definition, or clash with a built-in code."""
+def extended_modes(proposals: DataFrame, builtin: DataFrame, strict: bool = True) -> DataFrame:
+    """proposals (code, name, definition) -> with status: accepted, or skipped without a definition. With strict a code of a built-in mode is an error, even where it would be skipped; else its status is clash."""
     j = proposals.join(builtin.select("code", F.lit(True).alias("_own")).distinct(), "code", "left")
-    return j.select("code", "name", "definition", F.when(F.col("_own"), "clash").when(F.coalesce(F.trim("definition"), F.lit("")) == "", "skipped").otherwise("accepted").alias("status"))
+    return j.select("code", "name", "definition", F.when(F.col("_own"), F.raise_error(F.concat(F.lit("built-in code "), "code")).cast("string") if strict else F.lit("clash")).when(F.coalesce(F.trim("definition"), F.lit("")) == "", "skipped").otherwise("accepted").alias("status"))
 
 
 def content_tokens(text: Column) -> Column:
@@ -215,5 +208,5 @@ def proposals(clusters: DataFrame, symptoms_: DataFrame, modes: DataFrame, suppo
     top = w.withColumn("k", F.row_number().over(Window.partitionBy("leader").orderBy(F.col("n").desc(), "seen"))).where("k <= 3")
     name = top.groupBy("leader").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]), " ").alias("name"))
     kin = kinship(w.select("leader", "word"), modes)
-    p = big.join(name, "leader", "left").join(kin, "leader", "left").where(F.coalesce("overlap", F.lit(0.0)) < dedup).withColumn("n", F.row_number().over(Window.orderBy("leader"))).where(F.col("n") <= most)
+    p = big.join(name, "leader", "left").join(kin, "leader", "left").where(F.coalesce("overlap", F.lit(0.0)) < dedup).orderBy("leader").limit(most).withColumn("n", F.row_number().over(Window.orderBy("leader")))  # at most `most` rows
     return p.select(F.concat(F.lit("NM-"), F.col("n").cast("string")).alias("mode_id"), F.coalesce("name", F.lit("unclassified residual")).alias("name"), "support", "leader", "kin", "overlap")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.model import FAULTS
 from tracewright.operators.represent import collapse
 
+#: Fields of ground truth that must not stand in a prompt.
+TRUTH_FIELDS = ("injected_fault", "ground_truth", "qrels")
+
 
 def score_hypotheses(hyps: DataFrame, traces: DataFrame) -> DataFrame:
     """Per trace with ground truth: the first hypothesis of highest confidence (algorithm, then rank; no tie break by step) against step, agent and code."""
@@ -34,9 +38,12 @@ def compare_stacks(stacks: dict[str, DataFrame], traces: DataFrame) -> DataFrame
 
 
 def baseline_gate(rows: DataFrame, baseline: DataFrame, metrics: tuple[str, ...] = ("step_hits", "agent_hits", "code_hits")) -> DataFrame:
-    """(config, metric, value, least, ok) of configurations that both have; others are ignored."""
-    long = lambda d, c: d.select("config", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias(c)) for m in metrics))).alias("m")).select("config", "m.*")
-    return long(rows, "value").join(long(baseline, "least"), ["config", "metric"]).withColumn("ok", F.col("value") >= F.col("least"))
+    """(config, metric, value, least, ok) of configurations that both have; metrics of others are ignored. Where rows have a column errors, each row must have none, with a baseline or without."""
+    long = lambda d, c: d.select("config", F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("long").alias(c)) for m in metrics))).alias("m")).select("config", "m.*")
+    out = long(rows, "value").join(long(baseline, "least"), ["config", "metric"])
+    if "errors" in rows.columns:
+        out = out.unionByName(rows.select("config", F.lit("errors").alias("metric"), F.coalesce(F.col("errors").cast("long"), F.lit(0)).alias("value"), F.lit(0).cast("long").alias("least")))
+    return out.withColumn("ok", F.when(F.col("metric") == "errors", F.col("value") == 0).otherwise(F.col("value") >= F.col("least")))
 
 
 def run_summary(traces: DataFrame, hyps: DataFrame, reruns: DataFrame) -> DataFrame:
@@ -47,14 +54,13 @@ def run_summary(traces: DataFrame, hyps: DataFrame, reruns: DataFrame) -> DataFr
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
-    """calls (tag, ok, http_requests, latency_ms, tokens) -> per tag: rates, positional latency percentiles sorted[int(q n)], token sums."""
-    w = Window.partitionBy("tag").orderBy("latency_ms", "call_id")
-    c = calls.withColumns({"n": F.count("*").over(Window.partitionBy("tag")), "place": F.row_number().over(w) - 1})
-    at = lambda q: F.max(F.when(F.col("place") == F.least(F.floor(q * F.col("n")), F.col("n") - 1), F.col("latency_ms")))
-    return c.groupBy("tag").agg(
-        F.count("*").alias("n_calls"), F.avg(F.col("ok").cast("double")).alias("ok_rate"), F.avg(F.col("http_requests").cast("double")).alias("http_per_call"), F.avg((F.col("http_requests") > 1).cast("double")).alias("repair_rate"),
-        at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("latest"), F.sum("tokens").alias("tokens"),
-    )
+    """calls (tag, ok, http_requests, latency_ms, tokens) -> per tag: rates, positional latency percentiles sorted[int(q n)], token sums. Calls are counted by latency first, so what is ordered within a tag are its different latencies."""
+    per = calls.groupBy("tag", "latency_ms").agg(F.count("*").alias("k"), F.sum(F.col("ok").cast("long")).alias("ok"), F.sum("http_requests").alias("http"), F.sum((F.col("http_requests") > 1).cast("long")).alias("repaired"), F.sum("tokens").alias("tokens"))
+    tag = Window.partitionBy("tag")
+    per = per.withColumns({"upto": F.sum("k").over(tag.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.sum("k").over(tag)})
+    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(q * F.col("n")), F.col("n") - 1), F.col("latency_ms")))
+    n = F.sum("k")
+    return per.groupBy("tag").agg(n.alias("n_calls"), (F.sum("ok") / n).alias("ok_rate"), (F.sum("http") / n).alias("http_per_call"), (F.sum("repaired") / n).alias("repair_rate"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("latest"), F.sum("tokens").alias("tokens"))
 
 
 def tag_drift(calls: DataFrame, plan: DataFrame, tolerance: float = 0.15) -> DataFrame:
@@ -64,24 +70,37 @@ def tag_drift(calls: DataFrame, plan: DataFrame, tolerance: float = 0.15) -> Dat
     return j.select("tag", "n_calls", "planned", F.coalesce(F.abs(F.col("n_calls") - F.col("planned")) > tolerance * F.col("planned"), F.lit(True)).alias("drifts"))
 
 
-def leak_scan(prompts: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """(word, n_prompts) of forbidden words found in prompts (prompt)."""
-    hit = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("prompt"), F.lower(w)))
-    return prompts.select(F.explode(hit).alias("word")).groupBy("word").agg(F.count("*").alias("n_prompts"))
+def leak_scan(calls: DataFrame, words: tuple[str, ...] = (*FAULTS, *TRUTH_FIELDS), environment: tuple[str, ...] = ("feedback_match",)) -> DataFrame:
+    """calls (tag, prompt, response) -> (place, tag, word, n_calls) of forbidden words: place is prompt, environment for the prompts of tags that the environment itself sends, or response. Only prompt counts against a run."""
+    found = lambda c: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), F.lower(w)))
+    asked = calls.select(F.when(F.col("tag").isin(*environment), "environment").otherwise("prompt").alias("place"), "tag", F.explode(found("prompt")).alias("word"))
+    said = calls.select(F.lit("response").alias("place"), "tag", F.explode(found("response")).alias("word"))
+    return asked.unionByName(said).groupBy("place", "tag", "word").agg(F.count("*").alias("n_calls"))
 
 
 def claim_coverage(claims: DataFrame, traces: DataFrame) -> DataFrame:
-    """Whether a claim of the trace spans its ground-truth step, from where it is introduced to where it first takes effect."""
+    """Whether a claim of the trace spans its ground-truth step, from where it is introduced to where it first takes effect (to the end if it never does)."""
     gt = traces.where("gt_step is not null").select("trace_id", "gt_step")
     j = gt.join(claims.select("trace_id", "introduced", "effective"), "trace_id", "left")
-    return j.groupBy("trace_id").agg(F.coalesce(F.max(F.col("gt_step").between(F.col("introduced"), F.coalesce("effective", "introduced"))), F.lit(False)).alias("covered"))
+    return j.groupBy("trace_id").agg(F.coalesce(F.max(F.col("gt_step").between(F.col("introduced"), F.coalesce("effective", "gt_step"))), F.lit(False)).alias("covered"))
+
+
+#: Dollars for a million tokens in and out, and what a call of each method costs beside the trace: preamble in, answer out.
+PRICES = {"cheap": (0.15, 0.60), "frontier": (2.50, 10.00)}
+CALL_TOKENS = {"single_pass": (1200, 150), "bisection": (130, 10)}
 
 
-def cost_estimate(views: DataFrame, events: DataFrame) -> DataFrame:
-    """Calls and tokens of a single pass and of bisection, from rendered traces (trace_id, view): a token is four characters, at least one."""
+def cost_estimate(views: DataFrame, events: DataFrame, prices: dict[str, tuple[float, float]] = PRICES) -> DataFrame:
+    """(method, preset, n_calls, in_tokens, out_tokens, usd) of a single pass and of bisection over rendered traces (trace_id, view). A token is four characters, at least one a trace; bisection reads each trace twice over in ceil(log2 n) calls, at least one."""
     n = events.groupBy("trace_id").agg(F.count("*").alias("n"))
-    j = views.join(n, "trace_id").select(F.greatest(F.lit(1), F.floor(F.length("view") / 4)).alias("tokens"), F.ceil(F.log2(F.greatest(F.lit(2), "n"))).alias("rounds"))
-    return j.agg(F.count("*").alias("n_traces"), F.sum("tokens").alias("single_tokens"), F.count("*").alias("single_calls"), F.sum("rounds").alias("bisect_calls"), F.sum(2 * F.col("tokens")).alias("bisect_tokens"))
+    j = views.join(n, "trace_id").select(F.greatest(F.lit(1), F.floor(F.length("view") / 4)).alias("tokens"), F.greatest(F.lit(1), F.ceil(F.log2("n"))).alias("rounds"))
+    single, halves = CALL_TOKENS["single_pass"], CALL_TOKENS["bisection"]
+    row = lambda name, calls, into, out: F.struct(F.lit(name).alias("method"), calls.cast("long").alias("n_calls"), into.cast("long").alias("in_tokens"), out.cast("long").alias("out_tokens"))
+    all_ = j.agg(F.count("*").alias("n"), F.sum("tokens").alias("t"), F.sum("rounds").alias("r"))
+    both = F.array(row("single_pass", F.col("n"), F.col("t") + single[0] * F.col("n"), single[1] * F.col("n")), row("bisection", F.col("r"), 2 * F.col("t") + halves[0] * F.col("r"), halves[1] * F.col("r")))
+    priced = F.array(*(F.struct(F.lit(k).alias("preset"), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in prices.items()))
+    out = all_.select(F.explode(both).alias("m")).select("m.*", F.explode(priced).alias("p"))
+    return out.select("method", "p.preset", "n_calls", "in_tokens", "out_tokens", F.round(F.col("in_tokens") / 1e6 * F.col("p.a") + F.col("out_tokens") / 1e6 * F.col("p.b"), 6).alias("usd"))
 
 
 def trace_summaries(events: DataFrame, traces: DataFrame, hyps: DataFrame) -> DataFrame:
@@ -97,9 +116,20 @@ def error_tally(errors: DataFrame) -> DataFrame:
     return errors.groupBy("stage", "name").agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))
 
 
-def scorecard(hyps: DataFrame, traces: DataFrame) -> DataFrame:
-    """Per algorithm: traces with ground truth that it speaks of, and how often its first hypothesis has the step."""
+def scorecard(hyps: DataFrame, traces: DataFrame, labels: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
+    """(metric, hits, total) over traces with ground truth: step, agent and code (where it has one) of each algorithm's first hypothesis; of labels (trace_id, codes in order) the first and any; of votes (trace_id, trial, label, recovered) the first trial's label and whether any recovered."""
+    truth = traces.where("gt_step is not null").select("trace_id", "gt_step", "gt_agent", "gt_code")
     w = Window.partitionBy("trace_id", "algo").orderBy(F.col("confidence").desc(), "rank")
-    top = hyps.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    j = top.join(traces.where("gt_step is not null").select("trace_id", "gt_step"), "trace_id")
-    return j.groupBy("algo").agg(F.sum((F.col("step") == F.col("gt_step")).cast("long")).alias("primary_hits"), F.count("*").alias("total"))
+    top = hyps.withColumn("_n", F.row_number().over(w)).where("_n = 1").join(truth, "trace_id")
+    one = lambda name, hit, when=None: F.when(F.lit(True) if when is None else when, F.struct((F.lit(name) if isinstance(name, str) else name).alias("metric"), F.coalesce(hit, F.lit(False)).alias("hit")))
+    of = lambda what: F.concat("algo", F.lit(" " + what))
+    parts = [top.select(F.explode(F.array(one(of("step"), F.col("step") == F.col("gt_step")), one(of("agent"), F.col("agent") == F.col("gt_agent")), one(of("code"), F.col("code") == F.col("gt_code"), F.col("code").isNotNull()))).alias("m"))]
+    if labels is not None:
+        parts.append(labels.join(truth, "trace_id").select(F.explode(F.array(one("labels primary", F.get("codes", F.lit(0)) == F.col("gt_code")), one("labels any", F.array_contains("codes", F.col("gt_code"))))).alias("m")))
+    if votes is not None:
+        v = votes.join(truth.select("trace_id"), "trace_id").groupBy("trace_id").agg(F.min_by("label", "trial").alias("label"), F.max("recovered").alias("recovered"))
+        parts.append(v.select(F.explode(F.array(one("votes validated", F.col("label") == "Validated"), one("votes recovered", F.col("recovered")))).alias("m")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.where("m is not null").groupBy("m.metric").agg(F.count_if("m.hit").alias("hits"), F.count("*").alias("total"))

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.model import FAULTS, VOTE_LABEL
+from tracewright.operators.attribute import fix_text
 from tracewright.operators.classify import symptoms
 from tracewright.operators.represent import by_trace
 
-#: Names of faults that must not reach a model.
-FAULT_NAMES = ("malformed_tool_call", "step_repetition", "info_withholding", "premature_termination", "ungrounded_citation", "disobey_task_spec", "no_progress_loop", "invalid_output")
-
-
 def select_target(hyps: DataFrame, traces: DataFrame) -> DataFrame:
     """Per trace its hypothesis of highest confidence, lowest step; status skipped for successes, skipped_no_hypothesis for failures without one."""
     best = hyps.groupBy("trace_id").agg(F.max_by(F.struct("step", "agent", "code", "confidence"), F.struct("confidence", -F.col("step"), "algo")).alias("b"))
@@ -21,12 +19,23 @@ def select_target(hyps: DataFrame, traces: DataFrame) -> DataFrame:
     return j.select("trace_id", status.alias("status"), show("step"), show("agent"), show("code"), show("confidence"))
 
 
-def feedback_text(targets: DataFrame) -> DataFrame:
-    """targets (agent, step, fix, root_cause, attempt) -> with feedback: the fix or else the root cause, where it happened, and which attempt this is."""
-    what = F.coalesce(F.when(F.trim("fix") != "", F.col("fix")), F.col("root_cause"))
-    where = F.concat(F.lit("at step "), F.col("step").cast("string"), F.lit(" of "), "agent")
-    note = F.when(F.col("attempt") > 1, F.concat(F.lit("attempt "), F.col("attempt").cast("string"), F.lit("; earlier attempts failed")))
-    return targets.withColumn("feedback", F.concat_ws("\n", what, where, note))
+def feedback_text(targets: DataFrame, attempts: DataFrame | None = None) -> DataFrame:
+    """targets (trace_id, agent, step, fix, root_cause) and earlier attempts (trace_id, round, note) -> feedback and reflection.
+
+    feedback is the fix, or else the root cause, and one line for every failed attempt in order. reflection has up to four parts: its head, the root cause, the fix, and who and where.
+    """
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    at = F.col("step").cast("string")
+    t = targets
+    if attempts is None:
+        t = t.withColumn("notes", F.lit(""))
+    else:
+        line = lambda a: F.concat(F.lit("\n(attempt "), a["round"].cast("string"), F.lit(" failed: "), F.coalesce(a["note"], F.lit("")), F.lit(" -- give a more specific correction targeting the earliest decisive error at step "), at, F.lit(".)"))
+        past = attempts.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("round", "note"))).alias("past"))
+        t = t.join(past, "trace_id", "left").withColumn("notes", F.coalesce(F.array_join(F.transform("past", line), ""), F.lit(""))).drop("past")
+    where = F.when(F.col("agent").isNotNull() & F.col("step").isNotNull(), F.concat(F.lit("(responsible party "), "agent", F.lit(", decisive error at step "), at, F.lit(")")))
+    reflection = F.concat_ws("\n", F.lit("Attribution reflection on the previous failed solve:"), text("root_cause"), F.concat(F.lit("Fix suggestion: "), text("fix")), where)
+    return t.withColumns({"feedback": F.concat(F.coalesce(text("fix"), "root_cause"), "notes"), "reflection": reflection}).drop("notes")
 
 
 def attempt_ledger(reruns: DataFrame, limit: int = 3) -> DataFrame:
@@ -60,22 +69,24 @@ def trial_logs(events: DataFrame) -> DataFrame:
     return slices.withColumn("prior", F.coalesce(F.array_join(F.collect_list(F.concat(F.lit("trial "), F.col("trial").cast("string"), F.lit(": "), F.col("n_events").cast("string"), F.lit(" events"))).over(before), "; "), F.lit("")))
 
 
-#: Other names of vote outcomes.
-VOTE = {"valid": "success", "validated": "success", "success": "success", "fixed": "success", "partial": "partial", "partially": "partial", "removed": "partial", "refuted": "fail", "failed": "fail", "fail": "fail", "failure": "fail"}
+def vote_label(said: Column) -> Column:
+    """One of the four labels from its known spellings, with any separators between words; null for others."""
+    names = F.create_map(*[F.lit(x) for kv in VOTE_LABEL.items() for x in kv])
+    low = F.lower(F.trim(said))
+    return F.coalesce(F.try_element_at(names, low), F.try_element_at(names, F.regexp_replace(low, r"[\s_-]+", " ")))
 
 
-def intervention_votes(outcomes: DataFrame) -> DataFrame:
-    """outcomes (trace_id, trial, outcome) -> verdict: Validated by a strict majority of successes, else Partially validated with any partial, else Refuted; Inconclusive if no outcome can be read."""
-    v = F.create_map(*[F.lit(x) for kv in VOTE.items() for x in kv])
-    o = outcomes.withColumn("o", F.try_element_at(v, F.lower(F.trim("outcome"))))
-    n = lambda name: F.sum(F.coalesce(F.col("o") == name, F.lit(False)).cast("long"))
-    a = o.groupBy("trace_id", "trial").agg(n("success").alias("ok"), n("partial").alias("partial"), F.count("o").alias("n"))
-    return a.select("trace_id", "trial", "ok", "n", F.when(F.col("n") == 0, "Inconclusive").when(2 * F.col("ok") > F.col("n"), "Validated").when((F.col("partial") > 0) | (F.col("ok") > 0), "Partially validated").otherwise("Refuted").alias("verdict"))
+def intervention_votes(replays: DataFrame, trials_: DataFrame) -> DataFrame:
+    """replays (trace_id, trial, run, success) and trials (trace_id, trial, removed: whether the edit took the fault away) -> label per trial: Validated by a strict majority of successes, else Partially if the fault is gone, else Refuted; without replays Partially or Inconclusive. recovered: a label of the first two, and the last run succeeded."""
+    r = replays.groupBy("trace_id", "trial").agg(F.count_if("success").alias("ok"), F.count("success").alias("n"), F.max_by("success", "run").alias("last"))
+    j = trials_.select("trace_id", "trial", F.coalesce("removed", F.lit(False)).alias("removed")).join(r, ["trace_id", "trial"], "left").fillna(0, ["ok", "n"])
+    label = F.when(2 * F.col("ok") > F.col("n"), "Validated").when(F.col("removed"), "Partially").when(F.col("n") > 0, "Refuted").otherwise("Inconclusive")
+    return j.withColumn("label", label).withColumn("recovered", F.col("label").isin("Validated", "Partially") & F.coalesce("last", F.lit(False))).drop("last")
 
 
 def redact_faults(text: Column) -> Column:
     """Names of faults, however their words are joined, replaced by <edited>."""
-    for name in FAULT_NAMES:
+    for name in FAULTS:
         text = F.regexp_replace(text, "(?i)" + r"[-_\s]+".join(name.split("_")), "<edited>")
     return text
 
@@ -87,18 +98,19 @@ def feedback_matches(text: Column, fault: Column, description: Column) -> Column
 
 
 def trial_failures(events: DataFrame) -> DataFrame:
-    """Agent and step of every trial's first symptom by rule; without one its last decision, else its last event. Trials are traces of their own for the rules."""
+    """Agent and step of every trial's first symptom by rule; without one its last decision, else its last event. Trials are traces of their own for the rules: their key is the pair as JSON, and both columns come back from it."""
     t = trials(events)
-    e = events.join(t, "trace_id").where("idx between lo and hi")
-    own = e.withColumns({"_trace": F.col("trace_id"), "trace_id": F.concat_ws("#", "trace_id", F.col("trial").cast("string"))})
-    s = symptoms(own.drop("lo", "hi", "trial", "_trace"), fallback=False).groupBy("trace_id").agg(F.min_by(F.struct("step", "agent", "fault"), "rule_no").alias("s"))
+    own = events.join(t, "trace_id").where("idx between lo and hi").withColumn("trace_id", F.to_json(F.struct("trace_id", "trial"))).drop("lo", "hi", "trial")
+    s = symptoms(own, fallback=False).groupBy("trace_id").agg(F.min_by(F.struct("step", "agent", "fault"), "rule_no").alias("s"))
     last = own.groupBy("trace_id").agg(F.max_by(F.struct(F.col("idx").alias("step"), "agent"), F.struct((F.col("kind") == "LLM_CALL").cast("int"), "idx")).alias("l"))
-    j = last.join(s, "trace_id", "left")
-    return j.select(F.substring_index("trace_id", "#", 1).alias("trace_id"), F.substring_index("trace_id", "#", -1).cast("int").alias("trial"), F.coalesce("s.step", "l.step").cast("int").alias("step"), F.coalesce("s.agent", "l.agent").alias("agent"), F.col("s.fault").alias("fault"))
+    j = last.join(s, "trace_id", "left").withColumn("key", F.from_json("trace_id", "trace_id string, trial int"))
+    return j.select("key.trace_id", "key.trial", F.coalesce("s.step", "l.step").cast("int").alias("step"), F.coalesce("s.agent", "l.agent").alias("agent"), F.col("s.fault").alias("fault"))
 
 
-def interventions(failures: DataFrame) -> DataFrame:
-    """Where an intervention goes: the orchestrator's instruction for planners, else a subagent's; and its text."""
+def interventions(failures: DataFrame, events: DataFrame) -> DataFrame:
+    """Where an intervention goes (the orchestrator's instruction for planners, else a subagent's) and its text: the fix of the whole trace's symptom at that step, else to re-examine it."""
+    s = symptoms(events, fallback=False).groupBy("trace_id", "step").agg(F.min_by("fault", "rule_no").alias("at_step"))
+    j = failures.join(s, ["trace_id", "step"], "left")
     category = F.when(F.col("agent") == "planner", "orchestrator_instruction").otherwise("subagent_instruction")
-    text = F.when(F.col("fault").isNotNull(), F.concat(F.lit("avoid "), F.regexp_replace("fault", "_", " "))).otherwise(F.concat(F.lit("re-examine step "), F.col("step").cast("string")))
-    return failures.select("trace_id", "trial", "step", "agent", category.alias("category"), text.alias("replacement"))
+    neutral = F.concat(F.lit("Re-examine the reasoning behind step "), F.col("step").cast("string"), F.lit(", then continue per the task requirements."))
+    return j.select("trace_id", "trial", "step", "agent", category.alias("category"), F.coalesce(fix_text(F.col("at_step"), F.col("step")), neutral).alias("replacement"))

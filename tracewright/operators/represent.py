@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tracewright.model import DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, STEP_KINDS
+from tracewright.model import CLAIM_STATUSES, CLAIM_TYPES, DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, MEMORY, MUST_CITE, NOTHING_USABLE, STEP_KINDS
 from tracewright.tables import durable
 
 
@@ -74,6 +74,11 @@ def admit_kind(kind: Column) -> tuple[Column, Column]:
     return F.when(known, k).when(k == "GENERATION", "LLM_CALL").otherwise("AGENT_MESSAGE"), F.coalesce(~known, F.lit(True))
 
 
+def time_or_index(ts: Column) -> Column:
+    """The node's own time, else its place in the trace."""
+    return F.coalesce(ts, F.col("idx").cast("double"))
+
+
 def remap_refs(refs: DataFrame, ids: DataFrame) -> DataFrame:
     """refs (trace_id, span_id, refs array) and ids (trace_id, span_id, id, idx) -> (trace_id, span_id, refs of event ids in order, dropped). The first of repeated span ids wins; dangling refs are dropped and counted."""
     first = ids.groupBy("trace_id", F.col("span_id").alias("ref")).agg(F.min_by("id", "idx").alias("id"))
@@ -142,32 +147,49 @@ def classify_actions(events: DataFrame) -> DataFrame:
     return e.withColumn("signature", F.when(F.col("target").isNull(), F.col("action_class")).otherwise(F.concat("action_class", F.lit("("), "target", F.lit(")"))))
 
 
-def sign_actions(events: DataFrame, anchors: DataFrame | None = None, tasks: DataFrame | None = None) -> DataFrame:
-    """Action signatures with their effect. anchors (task_id, anchor array) and tasks (trace_id, task_id) refine reads and searches; without an anchor they fall back."""
-    s = classify_actions(events).join(first_answer(events, "TOOL_RESULT"), ["trace_id", "id"], "left").join(first_answer(events, "VERIFIER"), ["trace_id", "id"], "left")
-    if anchors is None:
-        s = s.withColumn("anchor", F.lit(None).cast("array<string>"))
-    else:
-        s = s.join(tasks.join(anchors, "task_id", "left").select("trace_id", "anchor"), "trace_id", "left")
-    hit = F.when(F.col("action_class") == "FILE_READ", F.array_contains("anchor", F.col("target"))).otherwise(
-        F.exists("anchor", lambda d: F.array_contains(F.regexp_extract_all("tool_result_content", F.lit(r"(?<![0-9A-Za-z])([0-9A-Za-z]+)(?![0-9A-Za-z])"), F.lit(1)), d))
-    )
+def answers(events: DataFrame) -> DataFrame:
+    """(trace_id, id of a call, tool_result_content, verifier_content) of the first result and the first verdict whose last ref is the call."""
+    a = events.where(F.col("kind").isin("TOOL_RESULT", "VERIFIER") & (F.size("refs") > 0))
+    first = lambda k: F.min_by("content", F.when(F.col("kind") == k, F.col("idx"))).alias(f"{k.lower()}_content")
+    return a.groupBy("trace_id", F.element_at("refs", -1).alias("id")).agg(first("TOOL_RESULT"), first("VERIFIER"))
+
+
+def sign_actions(events: DataFrame) -> DataFrame:
+    """Action signatures with the effect that the trace alone tells."""
+    s = classify_actions(events).join(answers(events), ["trace_id", "id"], "left")
     effect = (
         F.when(F.col("action_class") == "REASON", "REASONING").when(F.col("action_class").isin("PLAN", "AGENT_SPAWN"), "RECORDED").when(F.col("kind") == "VERIFIER", "JUSTIFIED")
         .when(F.col("action") == "submit", F.when(F.col("verifier_content").startswith("passed"), "SURVIVED").otherwise("FAILED"))
-        .when(F.col("tool_result_content").rlike(ERROR_OBS), "FAILED")
-        .when(F.col("anchor").isNotNull() & F.col("action_class").isin("FILE_READ", "SEARCH"), F.when(F.coalesce(hit, F.lit(False)), "JUSTIFIED").otherwise("OFF-ANCHOR"))
-        .when(F.col("action_class") == "FILE_READ", "JUSTIFIED").otherwise("RECORDED")
+        .when(F.col("tool_result_content").rlike(ERROR_OBS), "FAILED").when(F.col("action_class") == "FILE_READ", "JUSTIFIED").otherwise("RECORDED")
     )
     passed = F.when(F.col("kind") == "VERIFIER", F.col("content").startswith("passed"))
-    return s.select("trace_id", "idx", "id", "kind", "agent", "action_class", "target", effect.alias("effect"), "signature", passed.alias("passed"), "tool_result_content", "anchor")
+    return s.select("trace_id", "idx", "id", "kind", "agent", "action_class", "target", effect.alias("effect"), "signature", passed.alias("passed"), "tool_result_content")
 
 
-def anchor_sets(signatures: DataFrame, traces: DataFrame) -> DataFrame:
-    """(task_id, anchor): documents that successful traces of a task read without failing; tasks without any stay out."""
+def anchor_documents(signatures: DataFrame, traces: DataFrame) -> DataFrame:
+    """(task_id, document) rows: what successful traces of a task read without failing."""
     ok = traces.where("success").select("trace_id", "task_id")
-    reads = signatures.where("action_class = 'FILE_READ' and effect <> 'FAILED' and target is not null and target <> ''")
-    return reads.join(ok, "trace_id").groupBy("task_id").agg(F.sort_array(F.collect_set("target")).alias("anchor"))
+    reads = signatures.where("action_class = 'FILE_READ' and effect <> 'FAILED' and coalesce(target, '') <> ''").select("trace_id", F.col("target").alias("document")).distinct()
+    return reads.join(ok, "trace_id").select("task_id", "document").distinct()
+
+
+def anchor_sets(signatures: DataFrame, traces: DataFrame) -> DataFrame:
+    """The same for display: (task_id, anchor), sorted; tasks without any stay out."""
+    return anchor_documents(signatures, traces).groupBy("task_id").agg(F.sort_array(F.collect_list("document")).alias("anchor"))
+
+
+def judge_by_anchor(signatures: DataFrame, documents: DataFrame, traces: DataFrame) -> DataFrame:
+    """signatures with n_anchor (documents of the task's anchor; null without one), hit (a read of one, or a search whose result names one between signs that aren't letters or digits) and effect: reads and searches that didn't fail are JUSTIFIED by a hit, else OFF-ANCHOR.
+
+    Anchors stay rows: what a trace reads or is shown meets them in one equi-join on task and document, before hits go back to the signatures. So no array grows with a task, and a hot task is split like any key.
+    """
+    task = traces.select("trace_id", "task_id").join(documents.groupBy("task_id").agg(F.count("*").alias("n_anchor")), "task_id").select("trace_id", "task_id", "n_anchor")
+    look = F.when(F.col("action_class") == "FILE_READ", F.array("target")).otherwise(F.array_distinct(F.regexp_extract_all(F.coalesce("tool_result_content", F.lit("")), F.lit("[0-9A-Za-z]+"), F.lit(0))))
+    seen = signatures.where("action_class in ('FILE_READ', 'SEARCH') and effect <> 'FAILED'").join(task, "trace_id").select("trace_id", "id", "task_id", F.explode(look).alias("document"))
+    hits = seen.join(documents, ["task_id", "document"], "left_semi").select("trace_id", "id", F.lit(True).alias("hit")).distinct()
+    s = signatures.join(task.select("trace_id", "n_anchor"), "trace_id", "left").join(hits, ["trace_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    judged = F.col("n_anchor").isNotNull() & F.col("action_class").isin("FILE_READ", "SEARCH") & (F.col("effect") != "FAILED")
+    return s.withColumn("effect", F.when(judged, F.when(F.col("hit"), "JUSTIFIED").otherwise("OFF-ANCHOR")).otherwise(F.col("effect")))
 
 
 def reference_traces(events: DataFrame, traces: DataFrame) -> DataFrame:
@@ -178,12 +200,12 @@ def reference_traces(events: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def milestones(signatures: DataFrame) -> DataFrame:
-    """Steps M1 to M5 of every trace whose task has an anchor; null where not reached. signatures come from sign_actions with anchors."""
-    s = signatures.where("anchor is not null")
-    read = (F.col("action_class") == "FILE_READ") & F.array_contains("anchor", F.col("target")) & (F.col("effect") != "FAILED")
-    firsts = s.where(read).groupBy("trace_id", "target").agg(F.min("idx").alias("at")).groupBy("trace_id").agg(F.count("*").alias("n_read"), F.max("at").alias("all_read"))
+    """Steps M1 to M5 of every trace whose task has an anchor; null where not reached. signatures come from judge_by_anchor()."""
+    s = signatures.where("n_anchor is not null")
+    read = (F.col("action_class") == "FILE_READ") & F.col("hit") & (F.col("effect") != "FAILED")
+    firsts = s.where(read).groupBy("trace_id", "target").agg(F.min("idx").alias("at")).groupBy("trace_id").agg(F.count("*").alias("n_read"), F.max("at").alias("all_read"), F.min("at").alias("m1"))
     m = s.groupBy("trace_id").agg(
-        F.first(F.size("anchor")).alias("n_anchor"), F.min(F.when(read, F.col("idx"))).alias("m1"), F.min(F.when((F.col("action_class") == "SEARCH") & (F.col("effect") == "JUSTIFIED"), F.col("idx"))).alias("m2"),
+        F.max("n_anchor").alias("n_anchor"), F.min(F.when((F.col("action_class") == "SEARCH") & (F.col("effect") == "JUSTIFIED"), F.col("idx"))).alias("m2"),
         F.min(F.when(F.col("passed"), F.col("idx"))).alias("m4"), F.min(F.when(F.col("effect") == "JUSTIFIED", F.col("idx"))).alias("m5"),
     ).join(firsts, "trace_id", "left")
     return m.select("trace_id", "m1", "m2", F.when(F.col("n_read") == F.col("n_anchor"), F.col("all_read")).alias("m3"), "m4", "m5")
@@ -303,33 +325,44 @@ def hcg_edges(events: DataFrame) -> DataFrame:
     return sub.select("trace_id", F.lit("subtask").alias("level"), name("subtask").alias("src"), name("nxt").alias("dst")).unionByName(hand).unionByName(step)
 
 
-CLAIM_KINDS = ("fact", "process", "plan", "constraint", "answer", "memory")
-
+def rule_claims(events: DataFrame, traces: DataFrame, most: int = 5) -> DataFrame:
+    """Claims by rule, by step: plans (from memory: an entity; else a process), handoffs to the reporter and grounded decisions (evidence); where the task says what must be cited, the constraint at the first submit comes last. `most` a trace.
 
-def rule_claims(events: DataFrame, most: int = 5) -> DataFrame:
-    """Claims by rule: plans (memory or process), handoffs, grounded answers, and the constraint of the first submit; at most five a trace, by step."""
+    Columns: trace_id, claim_id, text, claim_type, status, introduced, effective (first handoff, decision or call after it), reuse (the same step).
+    """
     e = events.withColumn("effective", F.first(F.when(F.col("kind").isin("HANDOFF", "LLM_CALL", "TOOL_CALL"), F.col("idx")), ignorenulls=True).over(by_trace().rowsBetween(1, Window.unboundedFollowing)))
-    submit = F.row_number().over(Window.partitionBy("trace_id", "kind", "action").orderBy("idx")) == 1
-    e = e.withColumn("_first", submit)
-    kind = (
-        F.when((F.col("kind") == "LLM_CALL") & F.col("content").startswith("plan"), F.when(F.col("content").rlike("(?i)from memory|recall"), "memory").otherwise("process"))
-        .when((F.col("kind") == "HANDOFF") & (F.col("to_agent") == "reporter"), "fact")
-        .when(F.col("kind").isin("LLM_CALL", "AGENT_MESSAGE") & F.col("content").rlike("(?i)based on|answer:|proposes"), "answer")
-        .when((F.col("kind") == "TOOL_CALL") & (F.col("action") == "submit") & F.col("_first"), "constraint")
+    said = F.coalesce("content", F.lit(""))
+    load = F.concat_ws(" ", "to_agent", "query", "doc_id", "answer", "action")
+    claim = lambda text, kind, status, last=0: F.struct(F.substring(text, 1, 120).alias("text"), F.lit(kind).alias("claim_type"), F.lit(status).alias("status"), F.lit(last).alias("last"))
+    plan = (F.col("kind") == "LLM_CALL") & said.startswith("plan:")
+    hand = (F.col("kind") == "HANDOFF") & F.contains(load, F.lit("reporter"))
+    c = (
+        F.when(plan & said.rlike(MEMORY), claim(F.lit("the answer is already known from memory"), "entity", "finalized"))
+        .when(plan, claim(F.lit("the task will be solved by search-read-report"), "process", "consequential"))
+        .when(hand & said.rlike(NOTHING_USABLE), claim(F.lit("no relevant documents were found"), "evidence", "consequential"))
+        .when(hand & (said != ""), claim(said, "evidence", "consequential"))
+        .when((F.col("kind") == "LLM_CALL") & said.rlike("(?i)based on|answer:|proposes"), claim(said, "evidence", "finalized"))
     )
-    c = e.withColumn("claim_type", kind).where("claim_type is not null")
-    c = c.withColumn("n", F.row_number().over(by_trace())).where(F.col("n") <= most)
-    return c.select("trace_id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("claim_id"), "claim_type", F.col("idx").alias("introduced"), "effective", F.coalesce("content", "answer").alias("text"))
+    submit = F.min(F.when((F.col("kind") == "TOOL_CALL") & (F.col("action") == "submit"), F.col("idx"))).over(Window.partitionBy("trace_id")) == F.col("idx")
+    must = traces.where(F.col("task").rlike(MUST_CITE)).select("trace_id", F.lit(True).alias("must"))
+    e = e.withColumns({"c": c, "first_submit": F.coalesce(submit, F.lit(False))}).where("c is not null or first_submit").join(must, "trace_id", "left")
+    e = e.withColumn("c", F.when(F.col("first_submit"), F.when(F.col("must"), claim(F.lit("the final answer must cite a document actually read"), "constraint", "consequential", 1))).otherwise(F.col("c"))).where("c is not null")
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("trace_id").orderBy("c.last", "idx"))).where(F.col("n") <= most)
+    reuse = F.when(F.col("effective").isNotNull(), F.array("effective")).otherwise(F.array().cast("array<int>"))
+    return e.select("trace_id", F.concat(F.lit("c"), F.col("n").cast("string")).alias("claim_id"), "c.text", "c.claim_type", "c.status", F.col("idx").alias("introduced"), "effective", reuse.alias("reuse"))
 
 
 def claim_ledger(verdicts: DataFrame, events: DataFrame, most: int = 6) -> DataFrame:
-    """verdicts (trace_id, response: JSON {claims: [{claim_id, type, introduced, effective}]}) -> claims with steps clamped into the trace, effective not before introduced, unknown types marked; `most` a trace, in order."""
-    v = verdicts.withColumn("v", F.from_json("response", "claims array<struct<claim_id:string,type:string,introduced:int,effective:int>>"))
-    v = v.select("trace_id", F.posexplode("v.claims").alias("pos", "c")).where(F.col("pos") < most)
-    v = v.join(events.groupBy("trace_id").agg(F.max("idx").alias("last")), "trace_id")
-    clamp = lambda x: F.greatest(F.lit(0), F.least(x, "last"))
-    v = v.withColumn("i", clamp(F.col("c.introduced")))
-    return v.select("trace_id", "c.claim_id", F.col("c.type").isin(*CLAIM_KINDS).alias("valid"), F.col("i").alias("introduced"), F.greatest("i", clamp(F.col("c.effective"))).alias("effective"))
+    """verdicts (trace_id, response: JSON {claims: [{id, text, type, status, introduced_step, first_effective_step, reuse_steps}]}) -> claims by position: steps clamped into the trace, none before it is introduced, reuse sorted and distinct. Claims of an unknown type or status have valid false and count for nothing; of the others `most` a trace stay."""
+    v = verdicts.withColumn("v", F.from_json("response", "claims array<struct<id:string,text:string,type:string,status:string,introduced_step:int,first_effective_step:int,reuse_steps:array<int>>>"))
+    v = v.select("trace_id", F.posexplode("v.claims").alias("pos", "c")).join(events.groupBy("trace_id").agg(F.max("idx").alias("last")), "trace_id")
+    valid = F.coalesce(F.col("c.type").isin(*CLAIM_TYPES) & F.col("c.status").isin(*CLAIM_STATUSES), F.lit(False))
+    within = lambda x, low: F.least(F.greatest(x, low), F.col("last"))
+    v = v.withColumns({"valid": valid, "introduced": within(F.col("c.introduced_step"), F.lit(0))})
+    v = v.withColumn("nth", F.sum(F.col("valid").cast("int")).over(Window.partitionBy("trace_id").orderBy("pos"))).where(~F.col("valid") | (F.col("nth") <= most))
+    effective = F.when(F.col("c.first_effective_step").isNotNull(), within(F.col("c.first_effective_step"), F.col("introduced")))
+    reuse = F.array_sort(F.array_distinct(F.transform(F.coalesce("c.reuse_steps", F.array().cast("array<int>")), lambda x: within(x, F.col("introduced")))))
+    return v.select("trace_id", F.col("c.id").alias("claim_id"), "c.text", F.col("c.type").alias("claim_type"), "c.status", "valid", F.when(F.col("valid"), F.col("introduced")).alias("introduced"), F.when(F.col("valid"), effective).alias("effective"), F.when(F.col("valid"), reuse).alias("reuse"))
 
 
 def render_lines(events: DataFrame, folds: DataFrame | None = None) -> DataFrame:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.model import MODES
+from tracewright.model import MODES, SYMPTOM_FIX
 from tracewright.operators import attribute as t
 from tracewright.operators import classify as c
 from tracewright.operators import represent as r
 from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.registry import trace_query
-from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, SUB_SQL
+from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, SUB_SQL, TREE_SQL, claim_world
 
 EP_SQL = r"""
 p0 AS (SELECT *, coalesce(kind = 'TOOL_CALL' AND action = 'search', false) AS is_search, coalesce(kind = 'TOOL_CALL' AND action = 'read_doc', false) AS is_read, sum(CAST(coalesce(kind = 'TOOL_CALL' AND action = 'search', false) AS INT)) OVER (PARTITION BY trace_id ORDER BY idx) AS n FROM ev),
@@ -95,9 +95,28 @@ def t8(events, traces):
     return t.single_pass(events)
 
 
-@trace_query("t9_bisection")
+#: What shows a symptom, as rows (lo_min, lo_max, hi_min): a segment [lo, mid] shows it if lo_min <= lo <= lo_max and mid >= hi_min.
+WITNESS_SQL = r"""
+b0 AS (SELECT *, kind = 'TOOL_RESULT' AND regexp_matches(content, '(?i)^\s*(error|exception|traceback|fatal|failed)\b') AS is_err, kind = 'TOOL_RESULT' AND action = 'search' AS is_hit, coalesce(kind = 'TOOL_CALL' AND action = 'read_doc', false) AS is_read, kind IN ('LLM_CALL', 'HANDOFF') AND regexp_matches(content, '(?i)no (relevant|results|documents)|nothing found') AS denies FROM ev),
+b1 AS (SELECT *, max(CASE WHEN is_err THEN idx END) OVER w AS err_before, max(CASE WHEN kind = 'TOOL_CALL' THEN idx END) OVER w AS call_before, max(CASE WHEN is_hit OR (kind = 'TOOL_RESULT' AND action = 'read_doc' AND NOT is_err) THEN idx END) OVER w AS shown_before, max(CASE WHEN is_read THEN idx END) OVER w AS read_before FROM b0 WINDOW w AS (PARTITION BY trace_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b2 AS (SELECT *, concat_ws('|', agent, action, 'q' || query, 'd' || doc_id, 'a' || answer) AS s, lag(idx) OVER c AS i1, lead(idx) OVER c AS i2, lag(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id, 'a' || answer)) OVER c AS s1, lead(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id, 'a' || answer)) OVER c AS s2 FROM ev WHERE kind = 'TOOL_CALL' WINDOW c AS (PARTITION BY trace_id ORDER BY idx)),
+b3 AS (SELECT trace_id, idx, unnest(list_distinct(regexp_extract_all(content, '\bd\d+\b'))) AS doc FROM ev WHERE kind = 'LLM_CALL' AND regexp_matches(content, '(?i)cite|cited|according to|based on')),
+wi AS (
+  SELECT trace_id, coalesce(err_before + 1, 0) AS lo_min, call_before AS lo_max, idx AS hi_min FROM b1 WHERE is_err AND call_before IS NOT NULL
+  UNION ALL SELECT trace_id, 0, i1, i2 FROM b2 WHERE s = s1 AND s = s2
+  UNION ALL SELECT trace_id, 0, shown_before, idx FROM b1 WHERE denies AND shown_before IS NOT NULL
+  UNION ALL SELECT trace_id, coalesce(read_before + 1, 0), idx, idx FROM b1 WHERE action = 'submit'
+  UNION ALL SELECT b3.trace_id, coalesce((SELECT max(x.idx) + 1 FROM b0 x WHERE x.trace_id = b3.trace_id AND x.is_read AND x.doc_id = b3.doc AND x.idx < b3.idx), 0), b3.idx, b3.idx FROM b3
+  UNION ALL SELECT v.trace_id, 0, least(v.idx, l.idx), greatest(v.idx, l.idx) FROM ev v JOIN ev l USING (trace_id) WHERE v.kind = 'VERIFIER' AND l.kind = 'LLM_CALL' AND regexp_matches(v.content, '(?i)missing|required|format')
+  UNION ALL SELECT trace_id, 0, idx, idx FROM ev WHERE kind = 'LLM_CALL' AND regexp_matches(content, '(?i)recall|from memory|submit directly')),
+fz AS (SELECT tr.trace_id, max(idx) AS last FROM ev JOIN tr USING (trace_id) WHERE NOT success GROUP BY ALL),
+sgm AS (SELECT DISTINCT fz.trace_id, a.i AS lo, b.i AS mid FROM fz JOIN generate_series(0, 100) a(i) ON a.i <= last JOIN generate_series(0, 100) b(i) ON b.i BETWEEN a.i AND last JOIN wi ON wi.trace_id = fz.trace_id AND a.i BETWEEN lo_min AND lo_max AND b.i >= hi_min),
+bi AS (WITH RECURSIVE bs AS (SELECT trace_id, CAST(0 AS BIGINT) AS lo, CAST(last AS BIGINT) AS hi FROM fz UNION ALL SELECT bs.trace_id, CASE WHEN sgm.trace_id IS NULL THEN (bs.lo + hi) // 2 + 1 ELSE bs.lo END, CASE WHEN sgm.trace_id IS NULL THEN hi ELSE (bs.lo + hi) // 2 END FROM bs LEFT JOIN sgm ON sgm.trace_id = bs.trace_id AND sgm.lo = bs.lo AND sgm.mid = (bs.lo + hi) // 2 WHERE bs.lo < hi) SELECT * FROM bs)
+"""
+
+
+@trace_query("t9_bisection", WITNESS_SQL + ", w AS (SELECT *, last_value(CASE WHEN kind IN ('LLM_CALL', 'TOOL_CALL', 'HANDOFF') THEN agent END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx) AS a FROM ev) SELECT bi.trace_id, CAST(lo AS INT) AS step, coalesce(a, agent) AS agent FROM bi JOIN w ON w.trace_id = bi.trace_id AND idx = lo WHERE lo = hi")
 def t9(events, traces):
-    """Rounds of joins; compared with a sequential model in the tests."""
     return t.walk_back(events, t.bisect(events, traces))
 
 
@@ -107,39 +126,88 @@ def t11(events, traces):
 
 
 SUPPORT_SQL = CLAIM_SQL + r""",
-c5_ AS (SELECT * FROM cl WHERE n <= 5), cr AS (SELECT trace_id, doc_id AS doc, min(idx) AS read_at FROM ev WHERE kind = 'TOOL_CALL' AND action = 'read_doc' GROUP BY ALL), ch AS (SELECT trace_id, min(idx) AS shown_at FROM ev WHERE kind = 'TOOL_RESULT' AND action = 'search' GROUP BY ALL),
-cu AS (SELECT trace_id, claim_id, introduced, unnest(list_distinct(regexp_extract_all(text, '\bd\d+\b'))) AS doc FROM c5_), cv AS (SELECT trace_id, claim_id, count(*) AS cited, count(*) FILTER (read_at < introduced) AS read FROM cu LEFT JOIN cr USING (trace_id, doc) GROUP BY ALL),
-sup AS (SELECT trace_id, claim_id, claim_type, introduced, CASE WHEN claim_type = 'process' THEN 'DIRECT' WHEN claim_type = 'memory' THEN 'UNSUPPORTED' WHEN regexp_matches(text, '(?i)no (relevant|results|documents)|nothing found') THEN CASE WHEN shown_at < introduced THEN 'CONFLICTING' ELSE 'DIRECT' END WHEN cited IS NULL THEN 'INDIRECT' WHEN read = cited THEN 'DIRECT' WHEN read > 0 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS support FROM c5_ LEFT JOIN cv USING (trace_id, claim_id) LEFT JOIN ch USING (trace_id))
+cr AS (SELECT trace_id, doc_id AS doc, min(idx) AS read_at FROM ec WHERE kind = 'TOOL_CALL' AND action = 'read_doc' GROUP BY ALL),
+ch AS (SELECT DISTINCT trace_id FROM ec WHERE kind = 'TOOL_RESULT' AND action = 'search' AND regexp_matches(content, '\bd\d+\b')),
+cs AS (SELECT trace_id, min(idx) AS at_, min_by(list_distinct(regexp_extract_all(answer, '\bd\d+\b')), idx) AS cites FROM ec WHERE action = 'submit' GROUP BY trace_id),
+cy AS (SELECT u.trace_id, bool_and(read_at IS NOT NULL) AS met FROM (SELECT trace_id, unnest(cites) AS doc FROM cs) u LEFT JOIN cr USING (trace_id, doc) GROUP BY ALL),
+cx AS (SELECT cs.trace_id, at_, coalesce(met, false) AS met, (SELECT max(idx) FROM ec WHERE ec.trace_id = cs.trace_id AND kind = 'LLM_CALL' AND idx < at_) AS decided FROM cs LEFT JOIN cy USING (trace_id)),
+cm1 AS (SELECT trace_id, claim_id, introduced, unnest(list_distinct(regexp_extract_all(text, '\bd\d+\b'))) AS doc FROM cl),
+cm2 AS (SELECT trace_id, claim_id, bool_or(coalesce(read_at < introduced, false)) AS grounded FROM cm1 LEFT JOIN cr USING (trace_id, doc) GROUP BY ALL),
+c7 AS (SELECT cl.*, at_, met, decided, grounded, ch.trace_id IS NOT NULL AS shown, regexp_matches(text, '(?i)no (relevant|usable|documents)|nothing found') AS denies FROM cl LEFT JOIN cx USING (trace_id) LEFT JOIN cm2 USING (trace_id, claim_id) LEFT JOIN ch ON ch.trace_id = cl.trace_id),
+c8 AS (SELECT *, CASE WHEN claim_type = 'process' THEN 'fine' WHEN claim_type = 'constraint' THEN CASE WHEN met THEN 'fine' ELSE 'broken' END WHEN denies THEN CASE WHEN shown THEN 'denied' ELSE 'fine' END WHEN grounded = false THEN 'bare' WHEN grounded IS NULL AND regexp_matches(text, '(?i)memory|recall|unknown') THEN 'bare' ELSE 'fine' END AS w FROM c7),
+sup AS (SELECT trace_id, claim_id, claim_type, introduced, CASE w WHEN 'fine' THEN 'DIRECT' WHEN 'bare' THEN 'MISSING' ELSE 'CONFLICTING' END AS support_status, CASE w WHEN 'fine' THEN 'supported' WHEN 'bare' THEN 'harmful_unsupported_commitment' ELSE 'conflicting_support' END AS verdict, CASE WHEN w = 'broken' THEN coalesce(decided, at_) WHEN w <> 'fine' THEN introduced END AS responsible_step FROM c8)
 """
 
 
+def supported(events, traces):
+    e, tr = claim_world(events, traces)
+    claims = r.rule_claims(e, tr)
+    return claims, t.claim_support(claims, e)
+
+
 @trace_query("t13_claim_support", SUPPORT_SQL + "SELECT * FROM sup")
 def t13(events, traces):
-    return t.claim_support(r.rule_claims(events), events)
+    return supported(events, traces)[1]
+
 
+def judged_records(support):
+    """Records as a judge may give them: by rule some have unknown words, unknown claims or steps outside the trace."""
+    i = F.col("introduced")
+    return support.select("trace_id", F.when(i % 9 == 4, "c99").otherwise(F.col("claim_id")).alias("claim_id"), F.when(i % 7 == 3, "STRONG").otherwise(F.col("support_status")).alias("support_status"), "verdict", F.when(i % 5 == 2, F.col("responsible_step") + 500).otherwise(F.col("responsible_step")).alias("responsible_step"), "introduced")
 
-@trace_query("t14_claim_audit", SUPPORT_SQL + "SELECT trace_id, min(introduced) FILTER (support IN ('UNSUPPORTED', 'CONFLICTING')) AS step, count(*) FILTER (support IN ('UNSUPPORTED', 'CONFLICTING')) AS n_harmful, CASE WHEN count(*) FILTER (support IN ('UNSUPPORTED', 'CONFLICTING')) = 0 THEN 'no_harmful_claim' ELSE 'harmful' END AS status FROM sup GROUP BY trace_id")
+
+AUDIT_SQL = SUPPORT_SQL + """,
+la AS (SELECT trace_id, max(idx) AS last FROM ev GROUP BY ALL),
+ar AS (SELECT trace_id, claim_id, support_status, verdict, introduced, CASE WHEN introduced % 7 = 3 OR introduced % 9 = 4 THEN 1 ELSE 0 END AS bad, CASE WHEN introduced % 5 = 2 AND responsible_step IS NOT NULL THEN last ELSE responsible_step END AS step, introduced % 5 = 2 AND responsible_step IS NOT NULL AS clamped FROM sup JOIN la USING (trace_id)),
+ag AS (SELECT trace_id, count(*) FILTER (bad = 0) AS n_valid, count(*) FILTER (bad = 1) AS n_invalid, count(*) FILTER (bad = 0 AND clamped) AS n_clamped FROM ar GROUP BY trace_id),
+ah AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY step, claim_id) AS o FROM ar WHERE bad = 0 AND verdict IN ('harmful_unsupported_commitment', 'conflicting_support')),
+am AS (SELECT trace_id, min(step) AS first_, CAST(count(*) AS INT) AS many FROM ah GROUP BY trace_id)
+"""
+
+
+@trace_query("t14_claim_audit", AUDIT_SQL + "SELECT ag.trace_id, CASE WHEN am.trace_id IS NULL THEN 'no_harmful_claim' ELSE 'harmful' END AS status, ev.idx AS step, ev.agent, coalesce(many % 2 = 1 AND first_ < least(first_ + 1, last), false) AS reconciled, ah.claim_id, ah.support_status, ah.verdict, n_valid, n_invalid, n_clamped, CASE WHEN am.trace_id IS NOT NULL THEN 0.7 END::DOUBLE AS confidence FROM ag JOIN la USING (trace_id) LEFT JOIN am USING (trace_id) LEFT JOIN ah ON ah.trace_id = ag.trace_id AND ah.o = 1 LEFT JOIN ev ON ev.trace_id = ag.trace_id AND ev.idx = am.first_")
 def t14(events, traces):
-    return t.claim_audit(t.claim_support(r.rule_claims(events), events))
+    """Traces with an odd number of harmful claims have a first error a step after the earliest of their steps, which the audit mends; others one as by rule."""
+    claims, support = supported(events, traces)
+    records = judged_records(support)
+    valid = t.check_records(records, claims, events).where("invalid is null")
+    traced = t.earliest_harmful(valid).withColumn("first_error_step", F.when(F.size("error_steps") % 2 == 1, F.col("first_error_step") + 1).otherwise(F.col("first_error_step")))
+    return t.claim_audit(records, claims, events, traced)
+
+
+#: A third of the decisions speak of an error, so that stages show one.
+STAGE_SQL = (SUB_SQL + ", " + TREE_SQL).replace("FROM ev", "FROM es").replace("c0 AS", "es AS (SELECT * REPLACE (CASE WHEN kind = 'LLM_CALL' AND k % 3 = 0 THEN 'retry: it failed' ELSE content END AS content) FROM ev),\nc0 AS") + r""",
+sr0 AS (SELECT *, CASE WHEN lag(phase) OVER (PARTITION BY trace_id ORDER BY idx) = phase THEN 0 ELSE 1 END AS c FROM es WHERE phase IS NOT NULL),
+sr1 AS (SELECT trace_id, n, min(phase) AS phase, min(idx) AS a, max(idx) AS b FROM (SELECT *, sum(c) OVER (PARTITION BY trace_id ORDER BY idx) AS n FROM sr0) GROUP BY ALL),
+sx AS (SELECT tree.trace_id, tree.idx, summary, coalesce(sr1.phase, '?') AS stage FROM tree JOIN sm ON sm.trace_id = tree.trace_id AND sm.step = tree.idx LEFT JOIN sr1 ON sr1.trace_id = tree.trace_id AND tree.idx BETWEEN a AND b),
+sy1 AS (SELECT *, sum(CAST(d AS INT)) OVER (PARTITION BY trace_id ORDER BY idx) AS section FROM (SELECT *, lag(stage) OVER (PARTITION BY trace_id ORDER BY idx) IS DISTINCT FROM stage AS d FROM sx)),
+sl1 AS (SELECT trace_id, stage, section, 0 AS o FROM sy1 GROUP BY trace_id, stage, section, string_split(summary, ' ')[1:3] HAVING count(*) >= 2 UNION ALL SELECT trace_id, stage, section, 1 FROM sy1 WHERE regexp_matches(summary, '(?i)\berror|failed|exhausted\b')),
+sk AS (SELECT trace_id, stage, min(o) AS o, arg_min(section, (o, section)) AS section FROM sl1 GROUP BY ALL),
+ss1 AS (SELECT trace_id, stage, CASE o WHEN 0 THEN 'loop' ELSE 'error' END AS why, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY o, section) AS INT) AS rank FROM sk)
+"""
+
 
+def stage_world(events):
+    return events.withColumn("content", F.when((F.col("kind") == "LLM_CALL") & (F.col("k") % 3 == 0), "retry: it failed").otherwise(F.col("content")))
 
-@trace_query("t16_suspicious_stages", SUB_SQL + r", lp AS (SELECT DISTINCT trace_id, subtask FROM (SELECT trace_id, subtask FROM su WHERE kind IN ('LLM_CALL', 'TOOL_CALL', 'HANDOFF') GROUP BY trace_id, subtask, agent, coalesce(action, kind) HAVING count(*) >= 2)), er AS (SELECT DISTINCT trace_id, subtask FROM su WHERE regexp_matches(content, '(?i)\b(error|failed|invalid|missing)\b') EXCEPT SELECT * FROM lp), al AS (SELECT *, 'loop' AS why FROM lp UNION ALL SELECT *, 'error' FROM er), rk2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY why <> 'loop', subtask) AS INT) AS rank FROM al) SELECT * FROM rk2 WHERE rank <= 3")
+
+@trace_query("t16_suspicious_stages", STAGE_SQL + "SELECT * FROM ss1 WHERE rank <= 3")
 def t16(events, traces):
-    return t.suspicious_stages(events)
+    return t.suspicious_stages(stage_world(events))
 
 
-@trace_query("t17_drill_range", SUB_SQL + r", sb AS (SELECT trace_id, subtask, coalesce(min_by(phase, idx) FILTER (phase IS NOT NULL), 'task') AS phase, min(idx) AS a, max(idx) AS b FROM su GROUP BY ALL), er AS (SELECT trace_id, min(idx) AS err FROM ev WHERE regexp_matches(content, '(?i)^\s*(error|failed)') GROUP BY ALL), x2 AS (SELECT sb.*, coalesce(err BETWEEN a AND b, false) AS hit FROM sb LEFT JOIN er USING (trace_id) WHERE phase = 'search'), x3 AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY hit DESC, a DESC) AS rn FROM x2) SELECT trace_id, greatest(0, a - 3) AS lo, b AS hi FROM x3 WHERE rn = 1")
+@trace_query("t17_drill_range", STAGE_SQL + r", pk AS (SELECT trace_id, arg_min(stage, rank) AS chosen FROM (SELECT ss1.* FROM ss1 WHERE rank <= 3 AND stage IN (SELECT phase FROM sr1 WHERE sr1.trace_id = ss1.trace_id)) GROUP BY trace_id), lt AS (SELECT trace_id, arg_max(phase, n) AS last_stage FROM sr1 GROUP BY ALL), er AS (SELECT trace_id, coalesce(min(idx) FILTER (regexp_matches(content, '(?i)^\s*(error|exception|traceback|fatal|failed)\b')), max(idx)) AS at_ FROM es GROUP BY ALL), x2 AS (SELECT sr1.*, CASE WHEN at_ BETWEEN a AND b THEN 0 ELSE 1 END AS miss FROM sr1 JOIN lt USING (trace_id) LEFT JOIN pk USING (trace_id) JOIN er USING (trace_id) WHERE phase = coalesce(chosen, last_stage)), x3 AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY miss, CASE WHEN miss = 0 THEN a ELSE -a END) AS rn FROM x2) SELECT trace_id, phase AS stage, greatest(0, a - 3) AS lo, b AS hi FROM x3 WHERE rn = 1")
 def t17(events, traces):
-    return t.drill_range(events, traces.select("trace_id", F.lit("search").alias("phase")))
+    e = stage_world(events)
+    return t.drill_range(e, t.suspicious_stages(e))
 
 
 RESULT_SQL = SUB_SQL + r""",
-rs1 AS (SELECT trace_id, ref, min_by(content, idx) AS rc FROM ev WHERE kind = 'TOOL_RESULT' GROUP BY ALL),
-sq AS (SELECT trace_id, subtask, coalesce(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id) = lag(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id)) OVER (PARTITION BY trace_id, subtask ORDER BY idx), false) AS again FROM su WHERE kind = 'TOOL_CALL'),
+sq AS (SELECT trace_id, subtask, coalesce(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id, 'a' || answer) = lag(concat_ws('|', agent, action, 'q' || query, 'd' || doc_id, 'a' || answer)) OVER (PARTITION BY trace_id, subtask ORDER BY idx), false) AS again FROM su WHERE kind = 'TOOL_CALL'),
 sg2 AS (SELECT trace_id, subtask, bool_or(again) AS again FROM sq GROUP BY ALL),
-sa2 AS (SELECT su.trace_id, subtask, coalesce(min_by(phase, idx) FILTER (phase IS NOT NULL), 'task') AS phase, bool_or(coalesce(kind = 'TOOL_CALL' AND action = 'read_doc' AND NOT regexp_matches(rc, '(?i)^\s*error'), false)) AS readd, bool_or(coalesce(kind = 'LLM_CALL' AND regexp_matches(content, '(?i)recall|from memory'), false)) AS memory, max_by(content LIKE 'passed%', idx) FILTER (kind = 'VERIFIER') AS verdict FROM su LEFT JOIN rs1 ON rs1.trace_id = su.trace_id AND rs1.ref = su.idx GROUP BY ALL),
-sl AS (SELECT *, coalesce(last_value(verdict IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY subtask ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), false) AS lastv FROM sa2),
-sr2 AS (SELECT trace_id, subtask, phase, CASE phase WHEN 'report' THEN coalesce(verdict, false) WHEN 'search' THEN readd AND NOT coalesce(again, false) WHEN 'plan' THEN NOT memory ELSE lastv END AS passed FROM sl LEFT JOIN sg2 USING (trace_id, subtask))
+lv AS (SELECT trace_id, arg_max(content LIKE 'passed%', idx) AS lastv FROM ev WHERE kind = 'VERIFIER' GROUP BY ALL),
+sa2 AS (SELECT trace_id, subtask, coalesce(min_by(phase, idx) FILTER (phase IS NOT NULL), 'task') AS phase, bool_or(kind = 'TOOL_RESULT' AND action = 'read_doc' AND NOT regexp_matches(content, '(?i)^\s*(error|exception|traceback|fatal|failed)\b')) AS readd, bool_or(kind = 'LLM_CALL' AND regexp_matches(content, '(?i)recall|from memory|submit directly')) AS memory FROM su GROUP BY ALL),
+sr2 AS (SELECT trace_id, subtask, phase, CASE phase WHEN 'search' THEN coalesce(readd, false) AND NOT coalesce(again, false) WHEN 'plan' THEN NOT coalesce(memory, false) ELSE coalesce(lastv, false) END AS passed FROM sa2 LEFT JOIN sg2 USING (trace_id, subtask) LEFT JOIN lv USING (trace_id))
 """
 
 
@@ -153,7 +221,7 @@ def t19(events, traces):
     return t.failing_subtask(t.subtask_results(events))
 
 
-@trace_query("t21_mechanisms", SYM_SQL + ", pr AS (SELECT trace_id, min_by(fault, rule_no) AS fault FROM sy GROUP BY ALL) SELECT trace_id, CASE fault WHEN 'step_repetition' THEN 'loop' WHEN 'info_withholding' THEN 'handoff_loss' WHEN 'premature_termination' THEN 'planning_error' WHEN 'ungrounded_citation' THEN 'grounding_error' ELSE 'local_error' END AS mechanism, CASE WHEN fault = 'unknown' THEN 0.4 ELSE 0.7 END::DOUBLE AS confidence FROM pr")
+@trace_query("t21_mechanisms", SYM_SQL + ", pr AS (SELECT trace_id, min_by(fault, rule_no) AS fault FROM sy GROUP BY ALL) SELECT trace_id, CASE fault WHEN 'step_repetition' THEN 'executor_loop' WHEN 'info_withholding' THEN 'dataflow_first_pollution' WHEN 'premature_termination' THEN 'planning_error' ELSE 'local_error' END AS mechanism, CASE WHEN fault = 'unknown' THEN 0.4 ELSE 0.7 END::DOUBLE AS confidence FROM pr")
 def t21(events, traces):
     return t.mechanisms(events)
 
@@ -188,12 +256,15 @@ def t23(events, traces):
     return t.adjust_by_replay(cand, sample_outcomes(cand))
 
 
-@trace_query("t24_hypothesis_merge", HYP_SQL + ", sp2 AS (SELECT DISTINCT trace_id, agent, step FROM hy WHERE algo = 'rg_ug') SELECT * FROM hy WHERE algo = 'rg_ug' UNION ALL SELECT hy.* FROM hy ANTI JOIN sp2 USING (trace_id, agent, step) WHERE algo <> 'rg_ug'")
+@trace_query("t24_hypothesis_merge", HYP_SQL + ", sp2 AS (SELECT DISTINCT trace_id, agent, step FROM hy WHERE algo = 'rg_ug') SELECT *, algo AS source FROM hy WHERE algo = 'rg_ug' UNION ALL SELECT hy.*, algo FROM hy ANTI JOIN sp2 USING (trace_id, agent, step) WHERE algo <> 'rg_ug'")
 def t24(events, traces):
     return t.merge_hypotheses([all_hypotheses(events, traces)], superseding=("rg_ug",))
 
 
-@trace_query("t25_candidate_is_symptom", HYP_SQL + ", ss AS (SELECT trace_id, step, min_by(fault, rule_no) AS fault FROM sy0 GROUP BY ALL) SELECT trace_id, agent, step, fault, fault IS NOT NULL AS is_symptom FROM h2 LEFT JOIN ss USING (trace_id, step) WHERE place <= 3")
+FIX_SQL = "CASE fault " + " ".join(f"WHEN '{k}' THEN replace('{v}', '{{}}', CAST(step AS VARCHAR))" for k, v in SYMPTOM_FIX.items()) + " ELSE 'Re-examine the reasoning behind step ' || step || ' before continuing.' END"
+
+
+@trace_query("t25_candidate_is_symptom", HYP_SQL + ", ss AS (SELECT trace_id, step, min_by(fault, rule_no) AS fault FROM sy0 GROUP BY ALL) SELECT trace_id, agent, step, fault, fault IS NOT NULL AS is_symptom, " + FIX_SQL + " AS edit_text FROM h2 LEFT JOIN ss USING (trace_id, step) WHERE place <= 3")
 def t25(events, traces):
     cand = t.replay_candidates(all_hypotheses(events, traces))
     return t.symptom_at(cand.select("trace_id", "agent", "step"), events)

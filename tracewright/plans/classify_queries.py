@@ -10,6 +10,7 @@ from tracewright.operators import analyze as a
 from tracewright.operators import classify as c
 from tracewright.operators import represent as r
 from tracewright.plans.analyze_queries import LOOP_SQL, SYM_SQL
+from tracewright.tables import durable
 from tracewright.plans.registry import trace_query
 
 RULE_SQL = LOOP_SQL + r""",
@@ -99,19 +100,34 @@ def c12(events, traces):
 
 
 def symptom_texts(events):
-    """Distinct messages and novel symptoms, numbered by text, each with its number of candidates (trace, symptom)."""
+    """Distinct messages and novel symptoms, in order of their text, each with its number of candidates (trace, symptom)."""
     texts = c.novel_symptoms(events).select(F.regexp_replace("symptom", r"^\s+|\s+$", "").alias("symptom")).where("symptom <> ''").groupBy("symptom").agg(F.count("*").alias("n"))
-    return texts.select(F.row_number().over(Window.orderBy("symptom")).alias("ord"), "symptom", "n")
+    return durable(texts.select(F.col("symptom").alias("ord"), "symptom", "n"))
+
+
+#: The greedy pass itself: texts in order, each with all leaders so far.
+CLUSTER_SQL = r"""
+nv AS (SELECT trace_id, content, count(*) AS n, min(idx) AS step FROM ev WHERE kind IN ('HANDOFF', 'AGENT_MESSAGE') AND content <> '' GROUP BY ALL HAVING count(*) >= 2),
+nw AS (SELECT trace_id, content FROM nv QUALIFY row_number() OVER (PARTITION BY trace_id ORDER BY n DESC, content) = 1),
+nl AS (SELECT trace_id, arg_max(content, idx) AS content FROM ev WHERE kind = 'LLM_CALL' GROUP BY ALL),
+tx AS (SELECT symptom, count(*) AS n FROM (SELECT trim(coalesce(nw.content, substr(nl.content, 1, 100))) AS symptom FROM nl FULL JOIN nw ON nw.trace_id = nl.trace_id) WHERE symptom <> '' GROUP BY symptom),
+tg AS (SELECT symptom, n, row_number() OVER (ORDER BY symptom) AS i, trim(regexp_replace(regexp_replace(lower(symptom), '[^a-z0-9 ]', ' ', 'g'), '\s+', ' ', 'g')) AS m FROM tx),
+th AS (SELECT symptom, n, i, CASE WHEN length(m) >= 3 THEN list_distinct(list_transform(range(1, length(m) - 1), lambda j: substr(m, j, 3))) ELSE [m] END AS g FROM tg),
+lc AS (WITH RECURSIVE gr AS (
+    SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS symptom, CAST(NULL AS VARCHAR) AS leader, CAST([] AS STRUCT(t VARCHAR, g VARCHAR[])[]) AS leaders
+    UNION ALL SELECT th.i, th.symptom, coalesce(hit, th.symptom), CASE WHEN hit IS NULL THEN list_append(leaders, {'t': th.symptom, 'g': th.g}) ELSE leaders END
+    FROM (SELECT gr.*, th.i AS j, th.symptom AS s2, list_filter(leaders, lambda l: len(list_intersect(l.g, th.g)) / len(list_distinct(list_concat(l.g, th.g))) >= 0.35)[1].t AS hit FROM gr JOIN th ON th.i = gr.i + 1) x JOIN th ON th.i = x.j)
+  SELECT symptom, leader FROM gr WHERE i > 0)
+"""
 
 
-@trace_query("c13_leader_clusters")
+@trace_query("c13_leader_clusters", CLUSTER_SQL + "SELECT symptom AS ord, leader FROM lc")
 def c13(events, traces):
-    """Rounds of joins; compared with the greedy pass in the tests."""
     nodes = symptom_texts(events)
     return c.leader_clusters(nodes, c.similar_pairs(nodes))
 
 
-@trace_query("c15_cluster_sizes")
+@trace_query("c15_cluster_sizes", CLUSTER_SQL + "SELECT leader, CAST(sum(n) AS BIGINT) AS size FROM lc JOIN tx USING (symptom) GROUP BY leader")
 def c15(events, traces):
     nodes = symptom_texts(events)
     return c.cluster_sizes(c.leader_clusters(nodes, c.similar_pairs(nodes)), nodes)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracewright.operators import evaluate as e
 from tracewright.operators import recover as v
 from tracewright.operators import represent as r
 from tracewright.plans.analyze_queries import SYM_SQL
-from tracewright.plans.attribute_queries import HYP_SQL, all_hypotheses
+from tracewright.plans.attribute_queries import FIX_SQL, HYP_SQL, all_hypotheses
 from tracewright.plans.registry import query, trace_query
-from tracewright.plans.represent_queries import CLAIM_SQL, LINE_SQL
+from tracewright.plans.represent_queries import CLAIM_SQL, LINE_SQL, claim_world
+from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources.fixtures import table
 
 
@@ -53,24 +56,45 @@ def v6(events, traces):
     return v.trial_logs(events)
 
 
-@trace_query("v7_intervention_votes", TRIAL_SQL + ", vo AS (SELECT trace_id, trial, CASE (idx + k) % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'partial' WHEN 2 THEN 'fail' END AS o FROM ev JOIN ti USING (trace_id) WHERE idx BETWEEN lo AND least(hi, lo + 2)), vc AS (SELECT trace_id, trial, count(*) FILTER (o = 'success') AS ok, count(*) FILTER (o = 'partial') AS pa, count(o) AS n FROM vo GROUP BY ALL) SELECT trace_id, trial, ok, n, CASE WHEN n = 0 THEN 'Inconclusive' WHEN 2 * ok > n THEN 'Validated' WHEN pa > 0 OR ok > 0 THEN 'Partially validated' ELSE 'Refuted' END AS verdict FROM vc")
+@trace_query("v7_intervention_votes", TRIAL_SQL + ", vo AS (SELECT trace_id, trial, idx - lo AS run, (idx + k) % 3 = 0 AS success FROM ev JOIN ti USING (trace_id) WHERE idx BETWEEN lo AND least(hi, lo + 2) AND (lo + hi) % 4 <> 0), vc AS (SELECT trace_id, trial, count(*) FILTER (success) AS ok, count(*) AS n, arg_max(success, run) AS last FROM vo GROUP BY ALL), vj AS (SELECT ti.trace_id, ti.trial, hi % 2 = 0 AS removed, coalesce(ok, 0) AS ok, coalesce(n, 0) AS n, coalesce(last, false) AS last FROM ti LEFT JOIN vc USING (trace_id, trial)), vl AS (SELECT *, CASE WHEN 2 * ok > n THEN 'Validated' WHEN removed THEN 'Partially' WHEN n > 0 THEN 'Refuted' ELSE 'Inconclusive' END AS label FROM vj) SELECT trace_id, trial, removed, ok, n, label, label IN ('Validated', 'Partially') AND last AS recovered FROM vl")
 def v7(events, traces):
-    """Outcomes of three repeats by rule from a trial's first events."""
-    o = events.join(v.trials(events), "trace_id").where("idx between lo and least(hi, lo + 2)")
-    return v.intervention_votes(o.select("trace_id", "trial", F.element_at(F.array(*map(F.lit, ("Validated", " partial", "Refuted", "unreadable"))), (F.col("idx") + F.col("k")) % 4 + 1).alias("outcome")))
+    """Up to three replays a trial by rule, none for every fourth; the fault is gone where the trial ends at an even step."""
+    t = v.trials(events)
+    o = events.join(t, "trace_id").where("idx between lo and least(hi, lo + 2) and (lo + hi) % 4 <> 0").select("trace_id", "trial", (F.col("idx") - F.col("lo")).alias("run"), ((F.col("idx") + F.col("k")) % 3 == 0).alias("success"))
+    return v.intervention_votes(o, t.select("trace_id", "trial", (F.col("hi") % 2 == 0).alias("removed")))
+
+
+#: Labels as judges write them, and what they mean.
+LABELS = {"Validated": "Validated", " REFUTED ": "Refuted", "partially": "Partially", "Partially Valid": "Partially", "partially-validated": "Partially", "partially_valided": "Partially", "Partially__Validated": "Partially", "inconclusive": "Inconclusive", "fixed": None, "": None}
+
 
+@trace_query("v7_vote_labels", f"SELECT trace_id, idx, {pick_sql(tuple(LABELS.values()), 'idx + k')} AS label FROM ev")
+def v7_labels(events, traces):
+    return events.select("trace_id", "idx", v.vote_label(pick(tuple(LABELS), F.col("idx") + F.col("k"))).alias("label"))
 
-@trace_query("v8_fault_redaction", SYM_SQL + "SELECT trace_id, rule_no, CASE WHEN fault = 'unknown' THEN 'saw unknown here' ELSE 'saw <edited> here' END AS text FROM sy")
+
+_NAMES = ("malformed_tool_call", "step_repetition", "info_withholding", "premature_termination", "ungrounded_citation", "disobey_task_spec", "retrieval_detour", "agent_deadlock", "no_progress_loop", "invalid_output")
+
+
+@trace_query("v8_fault_redaction", f"n AS (SELECT trace_id, idx, {pick_sql(_NAMES, 'idx + k')} AS name, k FROM ev) SELECT trace_id, idx, 'saw ' || CASE WHEN name IN ('no_progress_loop', 'invalid_output') THEN replace(name, '_', ['_', ' - ', '-', '  '][k % 4 + 1]) ELSE '<edited>' END || ' here' AS text FROM n")
 def v8(events, traces):
-    from tracewright.operators.classify import symptoms
+    """All eight names in four spellings, and two names that aren't faults and stay."""
+    sep = F.element_at(F.array(*map(F.lit, ("_", " - ", "-", "  "))), (F.col("k") % 4 + 1).cast("int"))
+    name = F.replace(pick(_NAMES, F.col("idx") + F.col("k")), F.lit("_"), sep)
+    return events.select("trace_id", "idx", v.redact_faults(F.concat(F.lit("saw "), name, F.lit(" here"))).alias("text"))
+
 
-    sep = F.when(F.col("step") % 2 == 0, "_").otherwise(" - ")
-    return symptoms(events).select("trace_id", "rule_no", v.redact_faults(F.concat(F.lit("saw "), F.regexp_replace("fault", F.lit("_"), sep), F.lit(" here"))).alias("text"))
+#: Symptoms within trials: the rules over events renamed by trial.
+TRIAL_SYM_SQL = TRIAL_SQL + ", evt AS (SELECT ev.* REPLACE (trace_id || '#' || trial AS trace_id), trace_id AS own_trace, trial FROM ev JOIN ti USING (trace_id) WHERE idx BETWEEN lo AND hi), " + SYM_SQL.replace("FROM ev", "FROM evt").strip() + """,
+tl AS (SELECT trace_id, min(own_trace) AS own_trace, min(trial) AS trial, arg_max(idx, (kind = 'LLM_CALL', idx)) AS l_step, arg_max(agent, (kind = 'LLM_CALL', idx)) AS l_agent FROM evt GROUP BY trace_id),
+tf AS (SELECT trace_id, arg_min(step, rule_no) AS step, arg_min(agent, rule_no) AS agent, arg_min(fault, rule_no) AS fault FROM sy0 WHERE step IS NOT NULL GROUP BY trace_id),
+tfl AS (SELECT own_trace AS trace_id, trial, coalesce(step, l_step) AS step, CASE WHEN step IS NULL THEN l_agent ELSE tf.agent END AS agent, fault FROM tl LEFT JOIN tf USING (trace_id))
+"""
 
 
-@trace_query("v11_interventions")
+@trace_query("v11_interventions", TRIAL_SYM_SQL + ", " + re.sub(r"\b(y0|y2|y3|rd|ci|ll|sy0|sy)\b", r"\1w", SYM_SQL).strip() + ", ws AS (SELECT trace_id, step, arg_min(fault, rule_no) AS fault FROM sy0w GROUP BY ALL) SELECT tfl.trace_id, trial, step, tfl.agent, CASE WHEN tfl.agent = 'planner' THEN 'orchestrator_instruction' ELSE 'subagent_instruction' END AS category, " + FIX_SQL.replace("CASE fault", "CASE ws.fault").replace("|| ' before continuing.'", "|| ', then continue per the task requirements.'") + " AS replacement FROM tfl LEFT JOIN ws USING (trace_id, step)")
 def v11(events, traces):
-    return v.interventions(v.trial_failures(events))
+    return v.interventions(v.trial_failures(events), events)
 
 
 SCORE_SQL = HYP_SQL + """,
@@ -120,17 +144,21 @@ def e7(spark, sf_dir):
     return e.tag_drift(calls_of(spark, sf_dir), plan)
 
 
-@trace_query("e8_leak_scan", LINE_SQL + ", w AS (SELECT unnest(['failed', 'injected_fault', 'gold', 'topic 1', 'premature_termination']) AS word) SELECT word, count(*) AS n_prompts FROM li JOIN w ON contains(lower(line), word) GROUP BY word")
+@trace_query("e8_leak_scan", "w AS (SELECT unnest(['malformed_tool_call', 'step_repetition', 'info_withholding', 'premature_termination', 'ungrounded_citation', 'disobey_task_spec', 'retrieval_detour', 'agent_deadlock', 'injected_fault', 'ground_truth', 'qrels']) AS word), " + f"p AS (SELECT kind AS tag, coalesce(content, '') || ' ' || {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')} AS prompt, {pick_sql((None, 'agent_deadlock'), 'k')} AS response FROM ev), h AS (SELECT CASE WHEN tag = 'HANDOFF' THEN 'environment' ELSE 'prompt' END AS place, tag, word FROM p JOIN w ON contains(lower(prompt), word) UNION ALL SELECT 'response', tag, word FROM p JOIN w ON contains(lower(response), word)) SELECT place, tag, word, count(*) AS n_calls FROM h GROUP BY ALL")
 def e8(events, traces):
-    return e.leak_scan(r.render_lines(events).select(F.col("line").alias("prompt")), ("failed", "injected_fault", "gold", "topic 1", "premature_termination"))
+    """Prompts by rule that hold names of faults and of ground truth; handoffs stand for the environment's own tag."""
+    calls = events.select(F.col("kind").alias("tag"), F.concat(F.coalesce("content", F.lit("")), F.lit(" "), pick((*_NAMES, "qrels", "Ground_Truth", None), F.col("idx") + F.col("k"))).alias("prompt"), pick((None, "agent_deadlock"), F.col("k")).alias("response"))
+    return e.leak_scan(calls, environment=("HANDOFF",))
 
 
-@trace_query("e9_claim_coverage", CLAIM_SQL + " SELECT tr.trace_id, coalesce(bool_or(gt_step BETWEEN introduced AND coalesce(effective, introduced)), false) AS covered FROM tr LEFT JOIN (SELECT * FROM cl WHERE n <= 5) c USING (trace_id) WHERE gt_step IS NOT NULL GROUP BY tr.trace_id")
+@trace_query("e9_claim_coverage", CLAIM_SQL + " SELECT tr.trace_id, coalesce(bool_or(gt_step BETWEEN introduced AND coalesce(effective, gt_step)), false) AS covered FROM tr LEFT JOIN cl c USING (trace_id) WHERE gt_step IS NOT NULL GROUP BY tr.trace_id")
 def e9(events, traces):
-    return e.claim_coverage(r.rule_claims(events), traces)
+    return e.claim_coverage(r.rule_claims(*claim_world(events, traces)), traces)
 
 
-@trace_query("e11_cost_estimate", LINE_SQL + ", vw AS (SELECT trace_id, length('TASK: ' || min(task) || '=== TRACE BEGIN ===' || '=== TRACE END ===' || string_agg(line, chr(10))) + 3 AS len, count(*) AS n FROM li JOIN tr USING (trace_id) GROUP BY trace_id), t AS (SELECT greatest(1, len // 4) AS tokens, CAST(ceil(log2(greatest(2, n))) AS BIGINT) AS rounds FROM vw) SELECT count(*) AS n_traces, CAST(sum(tokens) AS BIGINT) AS single_tokens, count(*) AS single_calls, CAST(sum(rounds) AS BIGINT) AS bisect_calls, CAST(sum(2 * tokens) AS BIGINT) AS bisect_tokens FROM t")
+@trace_query("e11_cost_estimate", LINE_SQL + """, vw AS (SELECT trace_id, length('TASK: ' || min(task) || '=== TRACE BEGIN ===' || '=== TRACE END ===' || string_agg(line, chr(10))) + 3 AS len, count(*) AS n FROM li JOIN tr USING (trace_id) GROUP BY trace_id), t AS (SELECT greatest(1, len // 4) AS tokens, CAST(greatest(1, ceil(log2(n))) AS BIGINT) AS rounds FROM vw),
+m AS (SELECT 'single_pass' AS method, count(*) AS n_calls, CAST(sum(tokens + 1200) AS BIGINT) AS in_tokens, CAST(count(*) * 150 AS BIGINT) AS out_tokens FROM t UNION ALL SELECT 'bisection', CAST(sum(rounds) AS BIGINT), CAST(sum(2 * tokens + 130 * rounds) AS BIGINT), CAST(sum(rounds) * 10 AS BIGINT) FROM t),
+p AS (SELECT unnest(['cheap', 'frontier']) AS preset, unnest([0.15, 2.5]) AS a, unnest([0.6, 10.0]) AS b) SELECT method, preset, n_calls, in_tokens, out_tokens, round(in_tokens / 1e6 * a + out_tokens / 1e6 * b, 6)::DOUBLE AS usd FROM m, p""")
 def e11(events, traces):
     return e.cost_estimate(r.render_traces(events, traces), events)
 

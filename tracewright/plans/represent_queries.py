@@ -28,7 +28,8 @@ sa AS (SELECT sg.* EXCLUDE (effect), anchor, CASE WHEN anchor IS NOT NULL AND ac
 
 
 def anchored(events, traces):
-    return r.sign_actions(events, r.anchor_sets(r.sign_actions(events), traces), traces.select("trace_id", "task_id"))
+    signed = r.sign_actions(events)
+    return r.judge_by_anchor(signed, r.anchor_documents(signed, traces), traces)
 
 
 def order_spans(spark, sf_dir):
@@ -64,7 +65,7 @@ def r2(spark, sf_dir):
 @trace_query("r3_ts_fallback", "SELECT trace_id, idx, CASE WHEN k % 3 = 0 THEN CAST(idx AS DOUBLE) ELSE ts END AS ts FROM ev")
 def r3(events, traces):
     ts = F.when(F.col("k") % 3 == 0, F.lit(None)).otherwise(F.col("ts"))
-    return events.select("trace_id", "idx", F.coalesce(ts, F.col("idx").cast("double")).alias("ts"))
+    return events.select("trace_id", "idx", r.time_or_index(ts).alias("ts"))
 
 
 @query("r4_ref_remap", f"WITH {SPAN_SQL} SELECT f.trace_id, f.span_id, coalesce(p.id, '') AS refs, CAST(1 AS BIGINT) + CASE WHEN p.id IS NULL THEN 1 ELSE 0 END AS dropped FROM fl f LEFT JOIN (SELECT trace_id, span_id, 'e' || lpad(CAST(min(idx) AS VARCHAR), CAST(greatest(3, length(CAST(min(idx) AS VARCHAR))) AS INT), '0') AS id FROM fl GROUP BY ALL) p ON p.trace_id = f.trace_id AND p.span_id = f.parent WHERE f.parent IS NOT NULL")
@@ -130,7 +131,7 @@ def r11(events, traces):
 
 @trace_query("r12_anchor_hits", SIG_SQL + " SELECT trace_id, idx, action_class, effect = 'JUSTIFIED' AS hit FROM sa WHERE anchor IS NOT NULL AND action_class IN ('SEARCH', 'FILE_READ') AND effect <> 'FAILED'")
 def r12(events, traces):
-    return anchored(events, traces).where("anchor is not null and action_class in ('SEARCH', 'FILE_READ') and effect <> 'FAILED'").select("trace_id", "idx", "action_class", (F.col("effect") == "JUSTIFIED").alias("hit"))
+    return anchored(events, traces).where("n_anchor is not null and action_class in ('SEARCH', 'FILE_READ') and effect <> 'FAILED'").select("trace_id", "idx", "action_class", (F.col("effect") == "JUSTIFIED").alias("hit"))
 
 
 @trace_query("r13_reference_traces", "n AS (SELECT trace_id, count(*) AS n_events FROM ev GROUP BY ALL), o AS (SELECT task_id, trace_id, n_events, row_number() OVER (PARTITION BY task_id ORDER BY n_events, trace_id) AS rn FROM tr JOIN n USING (trace_id) WHERE success) SELECT task_id, trace_id, n_events FROM o WHERE rn = 1")
@@ -223,15 +224,32 @@ def r28(events, traces):
     return r.hcg_edges(events)
 
 
-CLAIM_SQL = """
-k0 AS (SELECT *, (SELECT 0) AS z0, row_number() OVER (PARTITION BY trace_id, kind, action ORDER BY idx) AS nth, first_value(CASE WHEN kind IN ('HANDOFF', 'LLM_CALL', 'TOOL_CALL') THEN idx END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS effective FROM ev),
-k1 AS (SELECT *, CASE WHEN kind = 'LLM_CALL' AND content LIKE 'plan%' THEN CASE WHEN regexp_matches(content, '(?i)from memory|recall') THEN 'memory' ELSE 'process' END WHEN kind = 'HANDOFF' AND to_agent = 'reporter' THEN 'fact' WHEN kind = 'LLM_CALL' AND regexp_matches(content, '(?i)based on|answer:|proposes') THEN 'answer' WHEN action = 'submit' AND nth = 1 THEN 'constraint' END AS claim_type FROM k0),
-cl AS (SELECT trace_id, 'c' || row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS claim_id, claim_type, idx AS introduced, effective, coalesce(content, answer) AS text, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS n FROM k1 WHERE claim_type IS NOT NULL)"""
+def claim_world(events, traces):
+    """The traces with every kind of claim in them: half of the answers cite a document, some reports are from memory, and the tasks of every other window ask for a citation."""
+    k = F.col("k")
+    e = events.withColumn("answer", F.when((F.col("action") == "submit") & (k % 2 == 0), F.concat("answer", F.lit(" [d"), (k % 9).cast("string"), F.lit("]"))).otherwise(F.col("answer")))
+    e = e.withColumn("content", F.when((F.col("kind") == "LLM_CALL") & (F.col("agent") == "reporter") & (k % 13 == 0), "answer: unknown").otherwise(F.col("content")))
+    must = F.substring("time_window", 2, 9).cast("int") % 2 == 0
+    return e, traces.withColumn("task", F.when(must, F.concat("task", F.lit(": the answer must cite a document"))).otherwise(F.col("task")))
 
 
-@trace_query("r30_rule_claims", CLAIM_SQL + " SELECT trace_id, claim_id, claim_type, introduced, effective, text FROM cl WHERE n <= 5")
+CLAIM_SQL = """
+ec AS (SELECT * REPLACE (CASE WHEN action = 'submit' AND k % 2 = 0 THEN answer || ' [d' || k % 9 || ']' ELSE answer END AS answer, CASE WHEN kind = 'LLM_CALL' AND agent = 'reporter' AND k % 13 = 0 THEN 'answer: unknown' ELSE content END AS content) FROM ev),
+k0 AS (SELECT *, first_value(CASE WHEN kind IN ('HANDOFF', 'LLM_CALL', 'TOOL_CALL') THEN idx END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS effective FROM ec),
+k1 AS (
+  SELECT trace_id, idx, effective, 0 AS late, 'the answer is already known from memory' AS text, 'entity' AS claim_type, 'finalized' AS status FROM k0 WHERE kind = 'LLM_CALL' AND starts_with(content, 'plan:') AND regexp_matches(content, '(?i)recall|from memory|submit directly')
+  UNION ALL SELECT trace_id, idx, effective, 0, 'the task will be solved by search-read-report', 'process', 'consequential' FROM k0 WHERE kind = 'LLM_CALL' AND starts_with(content, 'plan:') AND NOT regexp_matches(content, '(?i)recall|from memory|submit directly')
+  UNION ALL SELECT trace_id, idx, effective, 0, 'no relevant documents were found', 'evidence', 'consequential' FROM k0 WHERE kind = 'HANDOFF' AND contains(to_agent, 'reporter') AND regexp_matches(content, '(?i)no (relevant|usable|documents)|nothing found')
+  UNION ALL SELECT trace_id, idx, effective, 0, substr(content, 1, 120), 'evidence', 'consequential' FROM k0 WHERE kind = 'HANDOFF' AND contains(to_agent, 'reporter') AND content <> '' AND NOT regexp_matches(content, '(?i)no (relevant|usable|documents)|nothing found')
+  UNION ALL SELECT trace_id, idx, effective, 0, substr(content, 1, 120), 'evidence', 'finalized' FROM k0 WHERE kind = 'LLM_CALL' AND NOT starts_with(content, 'plan:') AND regexp_matches(content, '(?i)based on|answer:|proposes')
+  UNION ALL SELECT trace_id, min(idx), min_by(effective, idx), 1, 'the final answer must cite a document actually read', 'constraint', 'consequential' FROM k0 JOIN tr USING (trace_id) WHERE action = 'submit' AND CAST(substr(time_window, 2) AS INT) % 2 = 0 GROUP BY trace_id),
+k2 AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY late, idx) AS n FROM k1),
+cl AS (SELECT trace_id, 'c' || n AS claim_id, text, claim_type, status, idx AS introduced, effective, n FROM k2 WHERE n <= 5)"""
+
+
+@trace_query("r30_rule_claims", CLAIM_SQL + " SELECT trace_id, claim_id, text, claim_type, status, introduced, effective, coalesce(CAST(effective AS VARCHAR), '') AS reuse FROM cl")
 def r30(events, traces):
-    return r.rule_claims(events)
+    return r.rule_claims(*claim_world(events, traces)).withColumn("reuse", F.array_join(F.col("reuse").cast("array<string>"), ","))
 
 
 LINE_SQL = r"""

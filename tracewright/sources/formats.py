@@ -112,7 +112,7 @@ def agent_of(metadata: Column, top: Column | None = None, keys: tuple[str, ...]
 
 
 def json_text(value: Column) -> Column:
-    """A JSON string without its quotes; other JSON values as they are written."""
+    """A JSON string without its quotes; other JSON values as compact text."""
     return F.get(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>"), F.lit(0))
 
 
