@@ -92,6 +92,14 @@ def a9(events, traces):
     return d.groupBy("family", "fixed", "a", "b").agg(F.array_join(F.sort_array(F.collect_set("feature")), ",").alias("firing"))
 
 
+@trace_query("a10_independent_alerts", PAIR_SQL + ", al AS (SELECT family, fixed, a, b, feature FROM ps WHERE psi > 0.2 OR greatest(mismatch_a, mismatch_b) > 0.1), ln AS (SELECT x.* FROM al x JOIN al y ON y.family = x.family AND y.fixed = x.fixed AND y.a = x.a AND y.b = x.b WHERE x.feature = 'repeat' AND y.feature = 'kind_hist') SELECT al.family, al.fixed, al.a, al.b, string_agg(CASE al.feature WHEN 'task_composition' THEN 'task_id' ELSE al.feature END, ',' ORDER BY CASE al.feature WHEN 'task_composition' THEN 'task_id' ELSE al.feature END) AS firing, coalesce(string_agg(CASE al.feature WHEN 'task_composition' THEN 'task_id' ELSE al.feature END, ',' ORDER BY CASE al.feature WHEN 'task_composition' THEN 'task_id' ELSE al.feature END) FILTER (ln.feature IS NULL), '') AS independent FROM al LEFT JOIN ln ON ln.family = al.family AND ln.fixed = al.fixed AND ln.a = al.a AND ln.b = al.b AND ln.feature = al.feature GROUP BY ALL")
+def a10_alerts(events, traces):
+    """The corpus-wide aliases of the data, with repeat declared one of kind_hist, so that a later alias drops out where both fire."""
+    own = a.feature_aliases(a.trace_features(events, traces))
+    declared = events.sparkSession.createDataFrame([("kind_hist", "repeat", True)], "a string, b string, alias boolean")
+    return a.independent_alerts(a.drift_pairs(events, traces), own.unionByName(declared))
+
+
 @trace_query("a9_skipped_groups", DIST_SQL + " SELECT family, fixed, grp, n_traces FROM gs WHERE n_traces < 38")
 def a9_skipped(events, traces):
     return a.group_sizes(traces).where("n_traces < 38")

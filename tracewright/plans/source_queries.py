@@ -8,15 +8,37 @@ from tracewright.plans.attribute_queries import HYP_SQL, all_hypotheses
 from tracewright.plans.registry import query, trace_query
 from tracewright.sources import formats as f
 from tracewright.sources.fixtures import table
+from tracewright.tables import shared_folder
 
 
-@trace_query("io1_trace_lines_round_trip", "SELECT trace_id, idx, id, kind, agent, action, content, ref FROM (SELECT *, ref FROM ev) e".replace(", ref FROM (SELECT *, ref FROM ev) e", ", coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev"))
+@trace_query("io1_trace_lines_round_trip", "SELECT trace_id, idx, id, kind, agent, action, content, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
 def io1(events, traces):
     lines = f.trace_lines(events, traces).select(F.to_json(F.struct("trace_id", "task", "events", "outcome", "meta")).alias("line"))
     parsed = lines.select(F.from_json("line", f.TRACE_LINE).alias("t")).select("t.*")
     return f.flat_events(parsed).select("trace_id", "idx", "id", "kind", "agent", "action", "content", F.array_join("refs", ",").alias("refs"))
 
 
+_EV = "SELECT trace_id, idx, id, kind, agent, action, content, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev"
+
+
+@trace_query("io2_trace_file_append", _EV)
+def io2(events, traces):
+    """Lines of failed traces are appended to a file of the others, and both are read from it."""
+    path = shared_folder(events.sparkSession) + "/traces"
+    for part in (traces.where("success"), traces.where("not success")):
+        f.append_traces(f.trace_lines(events, part).select("trace_id", "task", "events", "outcome", "meta"), path)
+    return f.flat_events(f.read_traces(events.sparkSession, path)).select("trace_id", "idx", "id", "kind", "agent", "action", "content", F.array_join("refs", ",").alias("refs"))
+
+
+@trace_query("io3_artifact_sink", "SELECT trace_id, kind, count(*) AS n, 'r1' AS run_id FROM ev GROUP BY ALL UNION ALL SELECT trace_id, kind, count(*), 'r2' FROM ev WHERE k % 2 = 0 GROUP BY ALL")
+def io3(events, traces):
+    """The second run is written twice; the first stays as it is."""
+    root, n = shared_folder(events.sparkSession), lambda e: e.groupBy("trace_id", "kind").agg(F.count("*").alias("n"))
+    for rows, run in ((events, "r1"), (events.where("k % 3 = 0"), "r2"), (events.where("k % 2 = 0"), "r2")):
+        path = f.write_artifact(n(rows), root, "represent", "kinds", run)
+    return events.sparkSession.read.schema("trace_id string, kind string, n long, run_id string").parquet(path)
+
+
 @trace_query("io7_io8_otlp_round_trip", "SELECT trace_id, idx, id, ts, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
 def io7(events, traces):
     return f.from_otlp(f.to_otlp(events)).withColumn("refs", F.array_join("refs", ","))

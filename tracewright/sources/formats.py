@@ -36,11 +36,17 @@ def flat_events(lines: DataFrame) -> DataFrame:
     return lines.select("trace_id", F.explode("events").alias("e")).select("trace_id", "e.*")
 
 
-def write_artifact(df: DataFrame, root: str, stage: str, name: str) -> None:
-    """One table per stage and operator, replaced as a whole: running again gives the same table."""
-    if any(c in part for part in (stage, name) for c in ("/", "\\", "..")) or not stage or not name:
-        raise ValueError("stage and name must each be one path component")
-    df.write.mode("overwrite").parquet(f"{root}/{stage}__{name}")
+def write_artifact(df: DataFrame, root: str, stage: str, name: str, run_id: str | None = None) -> str:
+    """One table per stage and operator, replaced as a whole; with a run_id only that run's partition is replaced. Running again gives the same table. Returns its path."""
+    for part in (stage, name, *([run_id] if run_id is not None else [])):
+        if not part or part in (".", "..") or any(c in part for c in "/\\"):
+            raise ValueError("stage, name and run_id must each be one path component")
+    path = f"{root}/{stage}__{name}"
+    if run_id is None:
+        df.write.mode("overwrite").parquet(path)
+    else:
+        df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+    return path
 
 
 def guard_export(meta: Column, external: bool = False) -> Column:
