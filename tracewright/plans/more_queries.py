@@ -16,22 +16,47 @@ from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.classify_queries import CLUSTER_SQL, symptom_texts
 from tracewright.plans.registry import trace_query
 from tracewright.plans.recover_queries import TRIAL_SYM_SQL
-from tracewright.plans.represent_queries import CLAIM_SQL, anchored, claim_world
+from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, anchored, claim_world
 from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources import formats as f
 
 
-@trace_query("r15_reference_alignment")
+#: The walk of the definition: lengths row by row from the end, then one step a round for all traces.
+ALIGN_SQL = SIG_SQL.strip() + r""",
+ln0 AS (SELECT trace_id, count(*) AS n_events FROM ev GROUP BY ALL),
+rf AS (SELECT task_id, trace_id AS reference FROM tr JOIN ln0 USING (trace_id) WHERE success QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n_events, trace_id) = 1),
+sn AS (SELECT sa.trace_id, idx, action_class, target, effect, signature, row_number() OVER (PARTITION BY sa.trace_id ORDER BY idx) AS k FROM sa),
+pr AS (SELECT o.trace_id, rf.reference, r.k AS r, o.k AS k, o.action_class = r.action_class AND o.target IS NOT DISTINCT FROM r.target AND (o.effect = r.effect OR 'OFF-ANCHOR' IN (o.effect, r.effect) OR (o.effect IN ('SURVIVED', 'JUSTIFIED') AND r.effect IN ('SURVIVED', 'JUSTIFIED'))) AS fit FROM sn o JOIN tr USING (trace_id) JOIN rf USING (task_id) JOIN sn r ON r.trace_id = rf.reference),
+fl AS (SELECT trace_id, reference, r, list(fit ORDER BY k) AS f FROM pr GROUP BY ALL),
+lv AS (WITH RECURSIVE le AS (
+    SELECT trace_id, max(r) + 1 AS r, list_transform(range(CAST(any_value(len(f)) AS BIGINT) + 1), lambda x: CAST(0 AS BIGINT)) AS v FROM fl GROUP BY trace_id
+    UNION ALL SELECT trace_id, r, list_append(list_transform(range(1, len(h) + 1), lambda k: list_max(h[k:])), 0) FROM (SELECT le.trace_id, fl.r, list_transform(range(1, len(f) + 1), lambda k: greatest(v[k], CASE WHEN f[k] THEN v[k + 1] + 1 ELSE 0 END)) AS h FROM le JOIN fl ON fl.trace_id = le.trace_id AND fl.r = le.r - 1))
+  SELECT * FROM le),
+wk AS (WITH RECURSIVE st AS (
+    SELECT trace_id, CAST(1 AS BIGINT) AS r, CAST(1 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS hit FROM fl GROUP BY trace_id
+    UNION ALL SELECT st.trace_id, CASE WHEN f[st.k] OR b.v[st.k] >= a.v[st.k + 1] THEN st.r + 1 ELSE st.r END, CASE WHEN f[st.k] OR b.v[st.k] < a.v[st.k + 1] THEN st.k + 1 ELSE st.k END, CASE WHEN f[st.k] THEN st.k END
+    FROM st JOIN fl ON fl.trace_id = st.trace_id AND fl.r = st.r JOIN lv a ON a.trace_id = st.trace_id AND a.r = st.r JOIN lv b ON b.trace_id = st.trace_id AND b.r = st.r + 1 WHERE st.k <= len(f))
+  SELECT trace_id, hit AS k, CAST(r - 2 AS INT) AS ref_place FROM st WHERE hit IS NOT NULL),
+ali AS (SELECT sn.trace_id, rf.reference, idx, signature, ref_place FROM sn JOIN tr USING (trace_id) JOIN rf USING (task_id) LEFT JOIN wk ON wk.trace_id = sn.trace_id AND wk.k = sn.k)
+"""
+
+
+@trace_query("r15_reference_alignment", ALIGN_SQL + "SELECT * FROM ali")
 def r15(events, traces):
-    """Walks a table of lengths per trace; compared with brute force in the tests."""
     return align.align_to_reference(anchored(events, traces), traces, r.reference_traces(events, traces))
 
 
-@trace_query("r16_divergence_spans")
+@trace_query("r16_divergence_spans", ALIGN_SQL + ", g AS (SELECT *, count(ref_place) OVER (PARTITION BY trace_id ORDER BY idx) AS run FROM ali) SELECT trace_id, min(idx) AS start_idx, max(idx) AS end_idx, count(*) AS length FROM g WHERE ref_place IS NULL GROUP BY trace_id, run")
 def r16(events, traces):
     return align.divergence_spans(r15(events, traces))
 
 
+@trace_query("r16_alignment_stats", ALIGN_SQL + ", h AS (SELECT trace_id, round(count(ref_place) / count(*), 4) AS coverage, count(*) - count(ref_place) AS n_added FROM ali GROUP BY trace_id), o AS (SELECT trace_id, round(avg(CAST(effect = 'OFF-ANCHOR' AS INT)), 4) AS off_anchor_ratio FROM sa GROUP BY trace_id) SELECT * FROM h JOIN o USING (trace_id)")
+def r16_stats(events, traces):
+    sigs = anchored(events, traces)
+    return align.alignment_stats(align.align_to_reference(sigs, traces, r.reference_traces(events, traces)), sigs)
+
+
 def claim_json(claims):
     """Claims of each trace as a judge may give them: twice, with unknown types and statuses, steps outside the trace and unsorted reuse put in by rule."""
     i = F.col("introduced")
