@@ -195,6 +195,8 @@ def test_long_chains_are_whole(spark):
     assert {(r["span_id"], r["depth"]) for r in flatten_spans(spans.where("trace_id = 'u'")).collect()} == {("a", 1), ("b", 2)}
     with pytest.raises(ValueError):
         flatten_spans(spans, max_depth=3)
+    with pytest.raises(Exception, match="a span without an id in trace t"):
+        flatten_spans(spark.createDataFrame([("t", "a", None, 0), ("t", None, "a", 1)], spans.schema)).collect()
     for k, v in before.items():
         spark.conf.set(k, v)
 

@@ -39,9 +39,10 @@ def shorten(text: Column, limit: int = 400) -> Column:
 def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """spans (trace_id, span_id, parent_span_id, ordinal) -> with depth, idx (pre-order) and parent_id (event id of the parent).
 
-    A loop of joins carries each span's path of ordinals from its root, until no span is left; a span whose parent is absent is a root. Spans of a cycle are never reached and stay out. Spans deeper than a given max_depth are an error.
+    A loop of joins carries each span's path of ordinals from its root, until no span is left; a span whose parent is absent is a root. Spans of a cycle are never reached and stay out. Spans without an id, and spans deeper than a given max_depth, are an error.
     """
-    s = spans.select("trace_id", "span_id", "parent_span_id", "ordinal")
+    own = F.coalesce("span_id", F.raise_error(F.concat(F.lit("a span without an id in trace "), F.coalesce("trace_id", F.lit("")))).cast("string"))
+    s = spans.select("trace_id", own.alias("span_id"), "parent_span_id", "ordinal")
     parents = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
     level = s.join(parents, ["trace_id", "parent_span_id"], "left").where("_has is null")
     level = level.select("trace_id", "span_id", F.lit(None).cast("string").alias("parent_span_id"), F.array(F.struct("ordinal", "span_id")).alias("path"))

@@ -19,6 +19,7 @@ from tracewright.plans.recover_queries import TRIAL_SYM_SQL
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, anchored, claim_world
 from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources import formats as f
+from tracewright.tables import durable
 
 
 #: The walk of the definition: lengths row by row from the end, then one step a round for all traces.
@@ -176,7 +177,7 @@ def v10(events, traces):
 SELECT 'rules' AS config, 'step_hits' AS metric, s AS value, t // 2 AS least, s >= t // 2 AS ok FROM n UNION ALL SELECT 'rules', 'agent_hits', a, t // 2, a >= t // 2 FROM n UNION ALL SELECT 'rules', 'code_hits', c, t // 2, c >= t // 2 FROM n UNION ALL SELECT 'rules', 'errors', x, 0, x = 0 FROM er UNION ALL SELECT 'extra', 'errors', 0, 0, true FROM er""")
 def e4(events, traces):
     """One stack with a baseline and errors of every fiftieth kind, one that the baseline doesn't know."""
-    rows = e.compare_stacks({"rules": all_hypotheses(events, traces).where("algo = 'single_pass'")}, traces)
+    rows = durable(e.compare_stacks({"rules": all_hypotheses(events, traces).where("algo = 'single_pass'")}, traces))  # a row for each stack, read three times
     half = F.floor(F.col("total") / 2)
     errors = events.where("k % 50 = 0").agg(F.count("*").alias("errors")).withColumn("config", F.lit("rules"))
     more = rows.select(F.lit("extra").alias("config"), *(c for c in rows.columns if c != "config"))
