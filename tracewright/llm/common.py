@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -103,3 +103,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def ranked(df: DataFrame, order: list, name: str) -> tuple[DataFrame, DataFrame]:
+    """(df with `part` and `place`, spans (part, before)): in `order`, a row's rank over all rows from 0 is before + place.
+
+    Ranges of `order`, sorted in their tasks and written once with their places; only one number per range is summed in one task. df should be a written table: its ranges are sampled first.
+    """
+    at = F.monotonically_increasing_id()
+    rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", at), name)
+    rows = rows.withColumn("part", F.shiftright("place", 33)).withColumn("place", F.col("place").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    spans = rows.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    return rows, spans

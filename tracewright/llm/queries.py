@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import digest_examples, expand_examples, probe_conversation
 from .decontam import find_contamination
 from .licenses import LICENSE_SQL, scan_licenses
+from .manifest import MANIFEST_SQL, audit_documents, every_fifth
 from .mixing import MIX_SQL, mix_to_targets
 from .quality import classify_quality
 from .secrets import scan_secrets
@@ -73,9 +74,13 @@ def op10_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_documents(table(spark, sf_dir, "documents"), every_fifth(F.col("doc_id")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam)}
+    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_sentences": LICENSE_SQL, "op3_warc_revisits": WARC_SQL, "op5_mix_targets": MIX_SQL}
+    return {"op1_license_sentences": LICENSE_SQL, "op3_warc_revisits": WARC_SQL, "op5_mix_targets": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL}
