@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat import digest_examples, expand_examples, probe_conversation
 from .decontam import find_contamination
+from .importance import resample
 from .licenses import LICENSE_SQL, scan_licenses
 from .manifest import MANIFEST_SQL, audit_documents, every_fifth
 from .mixing import MIX_SQL, mix_to_targets
@@ -78,8 +79,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), every_fifth(F.col("doc_id")))
 
 
+def op13_line_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam, op11_merkle_manifest, op13_line_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
