@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import digest_examples, expand_examples, probe_conversation
+from .counts import prefix_counts, whole_counts
 from .decontam import find_contamination
 from .importance import resample
 from .licenses import LICENSE_SQL, scan_licenses
@@ -79,12 +80,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_documents(table(spark, sf_dir, "documents"), every_fifth(F.col("doc_id")))
 
 
+def op12_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whole_counts(prefix_counts(table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json")), 1024)
+
+
 def op13_line_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam, op11_merkle_manifest, op13_line_resampling)}
+    return {f.__name__: f for f in (op1_license_sentences, op2_quality_qda, op3_warc_revisits, op4_simhash_gph, op5_mix_targets, op6_subspace_pigeonhole, op7_prefix_targets, op8_token_arrow, op9_assignment_secrets, op10_cgk_decontam, op11_merkle_manifest, op12_prefix_counts, op13_line_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
