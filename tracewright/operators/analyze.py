@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.answers import first_valid
 from tracewright.tables import durable
 from tracewright.operators.represent import by_trace, upto
 
@@ -150,10 +151,11 @@ SEVERITY = {"low": "minor", "minor": "minor", "medium": "major", "major": "major
 
 
 def quality_verdicts(verdicts: DataFrame) -> DataFrame:
-    """verdicts (trace_id, response: JSON {score, findings: [{severity, note}]}) -> score and counts of findings by severity; a verdict with a score outside 0 to 10 or an unknown severity is rejected with a reason."""
-    v = verdicts.withColumn("v", F.from_json("response", "score double, findings array<struct<severity:string,note:string>>"))
+    """verdicts (trace_id, response: an answer with JSON {score, findings: [{severity, note}]} in it) -> score and counts of findings by severity. The answer's first object with a score in 0 to 10 and known severities counts; if none has, the verdict is rejected with the last one's fault. No findings: none."""
     sev = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    v = v.withColumn("s", F.transform("v.findings", lambda f: F.try_element_at(sev, F.lower(F.trim(f["severity"])))))
+    words = lambda v: F.transform(F.coalesce(v["findings"], F.array().cast("array<struct<severity:string,note:string>>")), lambda f: F.try_element_at(sev, F.lower(F.trim(f["severity"]))))
+    fits = lambda v: v["score"].between(0, 10) & ~F.exists(words(v), lambda x: x.isNull())
+    v = verdicts.withColumn("v", first_valid(F.col("response"), "score double, findings array<struct<severity:string,note:string>>", fits)).withColumn("s", words(F.col("v")))
     n = lambda name: F.size(F.filter("s", lambda x: x == name)).cast("long")
     bad = F.when(F.col("v.score").isNull() | ~F.col("v.score").between(0, 10), "score").when(F.exists("s", lambda x: x.isNull()), "severity")
     return v.select("trace_id", F.when(bad.isNull(), F.col("v.score")).alias("score"), n("minor").alias("minor"), n("major").alias("major"), n("critical").alias("critical"), bad.alias("rejected"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.answers import first_valid
 from tracewright.model import ASSERTION, CLAUSE_END, DOC_ID, ERROR_OBS, HARMFUL, MECHANISM, MECHANISMS, MEMORY, NEGATION, NO_RESULT, NOTHING_USABLE, STAGE_ERROR, STEP_KINDS, SUPPORT_LEVELS, SUPPORT_VERDICTS, SYMPTOM_FIX
 from tracewright.operators.classify import primary_symptom, segment_symptoms, symptoms
 from tracewright.operators.represent import before, by_trace, stage_ranges, step_summaries, subtasks, upto, with_subtask
@@ -110,8 +111,8 @@ def single_pass(events: DataFrame) -> DataFrame:
 
 
 def clamp_verdicts(verdicts: DataFrame, events: DataFrame, modes: DataFrame) -> DataFrame:
-    """verdicts (trace_id, response: JSON {agent, step, code, confidence}) -> hypotheses; step clamped into the trace, unknown agents to its first, unknown codes to null, each with a note."""
-    v = verdicts.withColumn("v", F.from_json("response", "agent string, step int, code string, confidence double"))
+    """verdicts (trace_id, response: an answer with JSON {agent, step, code, confidence} in it) -> hypotheses; step clamped into the trace, unknown agents to its first, unknown codes to null, each with a note."""
+    v = verdicts.withColumn("v", first_valid(F.col("response"), "agent string, step int, code string, confidence double", lambda v: v["step"].isNotNull() & v["agent"].isNotNull()))
     n = events.groupBy("trace_id").agg((F.max("idx")).alias("last"), F.min_by("agent", "idx").alias("first_agent"), F.collect_set("agent").alias("agents"))
     m = modes.select(F.col("code").alias("_code"))
     j = v.join(n, "trace_id").join(m, F.col("v.code") == F.col("_code"), "left")
@@ -186,6 +187,13 @@ def claim_support(claims: DataFrame, events: DataFrame) -> DataFrame:
     return j.select("trace_id", "claim_id", "claim_type", "introduced", v.alias("v")).select("trace_id", "claim_id", "claim_type", "introduced", "v.*")
 
 
+def records_of_answers(answers: DataFrame) -> DataFrame:
+    """answers (trace_id, response: an answer with JSON {records: [{claim_id, support_status, verdict, responsible_step}]} in it) -> records for check_records(); an answer without such an object has none."""
+    one = "struct<claim_id:string,support_status:string,verdict:string,responsible_step:int>"
+    v = first_valid(F.col("response"), f"records array<{one}>", lambda v: v["records"].isNotNull() & ~F.exists(v["records"], lambda x: x["claim_id"].isNull()))
+    return answers.select("trace_id", F.explode(v["records"]).alias("r")).select("trace_id", "r.*")
+
+
 def check_records(records: DataFrame, claims: DataFrame, events: DataFrame) -> DataFrame:
     """records (trace_id, claim_id, support_status, verdict, responsible_step) as a judge gave them -> with invalid (null, 'vocabulary' or 'unknown claim'), the step clamped into its trace, and clamped where that changed it. Nothing is dropped."""
     known = claims.select("trace_id", "claim_id", F.col("introduced").alias("_introduced"), F.lit(True).alias("_known")).dropDuplicates(["trace_id", "claim_id"])
@@ -255,6 +263,27 @@ def drill_range(events: DataFrame, picked: DataFrame, context: int = 3) -> DataF
     return best.select("trace_id", F.col("phase").alias("stage"), F.greatest(F.lit(0), F.col("b.start_idx") - context).alias("lo"), F.col("b.end_idx").alias("hi"))
 
 
+def diagnose_stages(picked: DataFrame, answers: DataFrame, events: DataFrame, modes: DataFrame, context: int = 3) -> DataFrame:
+    """The verdict of a drill-down per trace of answers (trace_id, response: an answer with JSON {responsible_agent, step, reason, fix_suggestion, confidence, failure_mode} in it): status, stage, lo, hi, agent, step, code, confidence, notes.
+
+    The step is clamped into the drilled range, unknown agents to the trace's first, unknown modes to null; every clamp leaves a note. Traces without any stage are `stage_not_resolved`, answers without a valid object `no_verdict`; both have no hypothesis.
+    """
+    schema = "responsible_agent string, step int, reason string, fix_suggestion string, confidence double, failure_mode string"
+    fits = lambda v: v["responsible_agent"].isNotNull() & (v["step"] >= 0) & v["reason"].isNotNull() & v["fix_suggestion"].isNotNull() & v["confidence"].between(0, 1)
+    v = answers.select("trace_id", first_valid(F.col("response"), schema, fits).alias("v"))
+    v = v.withColumn("v", F.when(fits(F.col("v")), F.col("v")))
+    n = events.groupBy("trace_id").agg(F.min_by("agent", "idx").alias("first_agent"), F.collect_set("agent").alias("agents"))
+    j = v.join(n, "trace_id").join(drill_range(events, picked, context), "trace_id", "left").join(modes.select(F.col("code").alias("_code")).distinct(), F.col("v.failure_mode") == F.col("_code"), "left")
+    status = F.when(F.col("stage").isNull(), "stage_not_resolved").when(F.col("v").isNull(), "no_verdict").otherwise("diagnosed")
+    good = F.col("status") == "diagnosed"
+    step, known = F.least(F.greatest("v.step", "lo"), "hi"), F.array_contains("agents", F.col("v.responsible_agent"))
+    agent = F.when(known, F.col("v.responsible_agent")).otherwise(F.col("first_agent"))
+    note = lambda what, a, b: F.concat(F.lit(f"{what} "), a.cast("string"), F.lit("->"), F.coalesce(b.cast("string"), F.lit("none")))
+    notes = F.array(F.when(step != F.col("v.step"), note("step", F.col("v.step"), step)), F.when(~known, note("agent", F.col("v.responsible_agent"), agent)), F.when(F.col("v.failure_mode").isNotNull() & F.col("_code").isNull(), note("mode", F.col("v.failure_mode"), F.col("_code"))))
+    own = lambda c, name: F.when(good, c).alias(name)
+    return j.withColumn("status", status).select("trace_id", "status", own(F.col("stage"), "stage"), own(F.col("lo"), "lo"), own(F.col("hi"), "hi"), own(agent, "agent"), own(step, "step"), own(F.col("_code"), "code"), own(F.col("v.confidence"), "confidence"), F.when(good, F.array_join(F.filter(notes, lambda x: x.isNotNull()), "; ")).otherwise("").alias("notes"))
+
+
 def subtask_results(events: DataFrame) -> DataFrame:
     """Whether each subtask passed: searches by a read result without error and no adjacent repeated calls, plans without decisions from memory, all others (reports too) by the trace's last verdict."""
     s = with_subtask(events)
@@ -340,8 +369,8 @@ def clamp_mechanism(said: Column, least: float = 0.75) -> Column:
 
 
 def localize(verdicts: DataFrame, events: DataFrame) -> DataFrame:
-    """verdicts (trace_id, response: JSON {responsible_agent, step, mechanism, confidence}) -> agent, step, mechanism, confidence: step clamped into the trace, agents that aren't in it become the step's own, mechanisms the nearest known one; notes say what changed."""
-    v = verdicts.select("trace_id", F.from_json("response", "responsible_agent string, step int, mechanism string, confidence double").alias("v"))
+    """verdicts (trace_id, response: an answer with JSON {responsible_agent, step, mechanism, confidence} in it) -> agent, step, mechanism, confidence: step clamped into the trace, agents that aren't in it become the step's own, mechanisms the nearest known one; notes say what changed."""
+    v = verdicts.select("trace_id", first_valid(F.col("response"), "responsible_agent string, step int, mechanism string, confidence double", lambda v: v["step"].isNotNull() & v["responsible_agent"].isNotNull()).alias("v"))
     n = events.groupBy("trace_id").agg(F.max("idx").alias("last"), F.collect_set("agent").alias("agents"))
     j = v.join(n, "trace_id").withColumn("step", F.least(F.greatest("v.step", F.lit(0)), "last")).join(events.select("trace_id", F.col("idx").alias("step"), F.col("agent").alias("own")), ["trace_id", "step"], "left")
     known, mechanism = F.coalesce(F.array_contains("agents", F.col("v.responsible_agent")), F.lit(False)), clamp_mechanism(F.col("v.mechanism"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.operators.answers import first_valid
 from tracewright.model import ASSERTION, DOC_ID, ERROR_OBS, FORMAT_ISSUE, MEMORY, NO_RESULT, REJECT, RULE_CODE, SYMPTOM_CODE
 from tracewright.operators.represent import before, by_trace, upto, first_answer
 from tracewright.tables import durable
@@ -119,6 +120,12 @@ def checked_labels(verdicts: DataFrame, modes: DataFrame, most: int = 3) -> Data
     return v.select("trace_id", "pos", "code", F.when(~F.col("ok"), "invalid").when(F.col("nth") <= most, "kept").otherwise("overflow").alias("status"))
 
 
+def labels_of_answers(answers: DataFrame) -> DataFrame:
+    """answers (trace_id, response: an answer with JSON {labels: [{code, reason, step, symptom}]} in it) -> verdicts for checked_labels(); an answer without such an object has no labels."""
+    v = first_valid(F.col("response"), "labels array<struct<code:string,symptom:string,step:int>>", lambda v: v["labels"].isNotNull() & ~F.exists(v["labels"], lambda x: x["code"].isNull()))
+    return answers.select("trace_id", F.coalesce(v["labels"], F.array().cast("array<struct<code:string,symptom:string,step:int>>")).alias("labels"))
+
+
 #: Words that say nothing about a symptom.
 STOP_WORDS = ("the", "a", "an", "to", "for", "of", "and", "or", "before", "after", "is", "are", "was", "were", "be", "been", "i", "will", "would", "shall", "should", "which", "please", "with", "that", "this", "these", "those", "it", "its", "task", "answer", "not", "any", "all", "into", "from")
 

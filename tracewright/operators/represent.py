@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tracewright.model import CLAIM_STATUSES, CLAIM_TYPES, DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, MEMORY, MUST_CITE, NOTHING_USABLE, STEP_KINDS
+from tracewright.operators.answers import first_valid
 from tracewright.tables import durable
 
 
@@ -354,8 +355,9 @@ def rule_claims(events: DataFrame, traces: DataFrame, most: int = 5) -> DataFram
 
 
 def claim_ledger(verdicts: DataFrame, events: DataFrame, most: int = 6) -> DataFrame:
-    """verdicts (trace_id, response: JSON {claims: [{id, text, type, status, introduced_step, first_effective_step, reuse_steps}]}) -> claims by position: steps clamped into the trace, none before it is introduced, reuse sorted and distinct. Claims of an unknown type or status have valid false and count for nothing; of the others `most` a trace stay."""
-    v = verdicts.withColumn("v", F.from_json("response", "claims array<struct<id:string,text:string,type:string,status:string,introduced_step:int,first_effective_step:int,reuse_steps:array<int>>>"))
+    """verdicts (trace_id, response: an answer with JSON {claims: [{id, text, type, status, introduced_step, first_effective_step, reuse_steps}]}) -> claims by position: steps clamped into the trace, none before it is introduced, reuse sorted and distinct. Claims of an unknown type or status have valid false and count for nothing; of the others `most` a trace stay."""
+    schema = "claims array<struct<id:string,text:string,type:string,status:string,introduced_step:int,first_effective_step:int,reuse_steps:array<int>>>"
+    v = verdicts.withColumn("v", first_valid(F.col("response"), schema, lambda v: v["claims"].isNotNull()))
     v = v.select("trace_id", F.posexplode("v.claims").alias("pos", "c")).join(events.groupBy("trace_id").agg(F.max("idx").alias("last")), "trace_id")
     valid = F.coalesce(F.col("c.type").isin(*CLAIM_TYPES) & F.col("c.status").isin(*CLAIM_STATUSES), F.lit(False))
     within = lambda x, low: F.least(F.greatest(x, low), F.col("last"))

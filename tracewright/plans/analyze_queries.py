@@ -8,6 +8,7 @@ from tracewright.operators import analyze as a
 from tracewright.operators import classify as c
 from tracewright.operators import represent as r
 from tracewright.plans.represent_queries import SIG_SQL
+from tracewright.plans.noise import dressed
 from tracewright.plans.registry import trace_query
 
 LOOP_SQL = SIG_SQL + """,
@@ -124,7 +125,7 @@ def sample_verdicts(events):
 
 @trace_query("a12_quality_verdicts", "v AS (SELECT trace_id, count(*) % 12 AS s, max_by(k, idx) % 4 AS w FROM ev GROUP BY trace_id) SELECT trace_id, CASE WHEN s <= 10 AND w < 3 THEN CAST(s AS DOUBLE) END AS score, CAST(w = 0 AS BIGINT) AS minor, CAST(w = 1 AS BIGINT) AS major, CAST(w = 2 AS BIGINT) AS critical, CASE WHEN s > 10 THEN 'score' WHEN w = 3 THEN 'severity' END AS rejected FROM v")
 def a12(events, traces):
-    return a.quality_verdicts(sample_verdicts(events))
+    return a.quality_verdicts(sample_verdicts(events).withColumn("response", dressed(F.col("response"), F.col("trace_id"))))
 
 
 SYM_SQL = r"""

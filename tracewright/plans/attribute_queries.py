@@ -9,6 +9,7 @@ from tracewright.operators import attribute as t
 from tracewright.operators import classify as c
 from tracewright.operators import represent as r
 from tracewright.plans.analyze_queries import SYM_SQL
+from tracewright.plans.noise import dressed
 from tracewright.plans.registry import trace_query
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, SUB_SQL, TREE_SQL, claim_world
 
@@ -82,7 +83,7 @@ def sample_pass(events):
     p = c.primary_symptom(c.symptoms(events))
     bad = lambda n: F.col("step") % 11 == n
     v = F.struct(F.when(bad(3), "nobody").otherwise(F.col("agent")).alias("agent"), F.when(bad(5), F.col("step") + 1000).otherwise(F.col("step")).alias("step"), F.when(bad(7), "FM-9.9").otherwise(F.col("code")).alias("code"), F.lit(0.7).alias("confidence"))
-    return p.select("trace_id", F.to_json(v).alias("response"))
+    return p.select("trace_id", dressed(F.to_json(v), F.col("trace_id")).alias("response"))
 
 
 @trace_query("t7_single_pass_verdicts", SYM_SQL + ", pr AS (SELECT trace_id, min_by(step, rule_no) AS step, min_by(agent, rule_no) AS agent, min_by(code, rule_no) AS code FROM sy GROUP BY ALL), n AS (SELECT trace_id, max(idx) AS last, min_by(agent, idx) AS fa FROM ev GROUP BY ALL) SELECT trace_id, CASE WHEN step % 11 = 3 THEN fa ELSE agent END AS agent, CASE WHEN step % 11 = 5 THEN last ELSE step END AS step, CASE WHEN step % 11 <> 7 THEN code END AS code, 0.7::DOUBLE AS confidence, CASE step % 11 WHEN 3 THEN 'agent unknown' WHEN 5 THEN 'step clamped' WHEN 7 THEN 'code unknown' ELSE '' END AS notes FROM pr JOIN n USING (trace_id)")

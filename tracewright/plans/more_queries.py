@@ -14,6 +14,7 @@ from tracewright.operators import represent as r
 from tracewright.plans.attribute_queries import HYP_SQL, SUPPORT_SQL, all_hypotheses, supported
 from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.classify_queries import CLUSTER_SQL, symptom_texts
+from tracewright.plans.noise import dressed
 from tracewright.plans.registry import trace_query
 from tracewright.plans.recover_queries import TRIAL_SYM_SQL
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, anchored, claim_world
@@ -66,7 +67,7 @@ def claim_json(claims):
         F.when(i % 3 != 0, i - 1).alias("first_effective_step"), F.array(i + 2, i - 3, i + 2, F.lit(9999)).alias("reuse_steps"),
     )
     each = F.transform(F.array_sort(F.collect_list(F.struct("claim_id", one.alias("c")))), lambda x: x["c"])
-    return claims.groupBy("trace_id").agg(each.alias("claims")).select("trace_id", F.to_json(F.struct(F.concat("claims", "claims").alias("claims"))).alias("response"))
+    return claims.groupBy("trace_id").agg(each.alias("claims")).select("trace_id", dressed(F.to_json(F.struct(F.concat("claims", "claims").alias("claims"))), F.col("trace_id")).alias("response"))
 
 
 @trace_query("r29_claim_verdicts", CLAIM_SQL + """, la AS (SELECT trace_id, max(idx) AS last FROM ev GROUP BY ALL), xc AS (SELECT cl.*, last, rep, introduced % 7 <> 3 AND introduced % 11 <> 5 AS valid, CASE WHEN introduced % 5 = 2 THEN last ELSE introduced END AS i FROM cl JOIN la USING (trace_id), (SELECT unnest([0, 1]) AS rep)),
@@ -144,7 +145,7 @@ def t20(events, traces):
     k = F.col("k")
     first = events.where("idx = 0").join(events.groupBy("trace_id").agg(F.max("idx").alias("last")), "trace_id")
     said = F.struct(F.when(k % 3 == 0, "stranger").otherwise(F.col("agent")).alias("responsible_agent"), F.when(k % 4 == 1, F.col("last") + 9).when(k % 4 == 2, F.lit(-3)).otherwise(F.col("idx")).alias("step"), pick(tuple(SAID), k).alias("mechanism"), F.lit(0.6).alias("confidence"))
-    return t.localize(first.select("trace_id", F.to_json(said).alias("response")), events)
+    return t.localize(first.select("trace_id", dressed(F.to_json(said), F.col("trace_id")).alias("response")), events)
 
 
 @trace_query("v2_feedback_text", HYP_SQL + """, vt AS (SELECT trace_id, idx, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS round FROM ev WHERE kind = 'VERIFIER'), nt AS (SELECT vt.trace_id, step, string_agg(chr(10) || '(attempt ' || round || ' failed: at ' || vt.idx || ' -- give a more specific correction targeting the earliest decisive error at step ' || step || '.)', '' ORDER BY round) AS notes FROM vt JOIN (SELECT DISTINCT trace_id, step FROM hy) h USING (trace_id) GROUP BY ALL)
