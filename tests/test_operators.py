@@ -357,3 +357,54 @@ def test_queries_match_sql(spark, name):
     a = sorted(str([plain(r[c]) for c in names]) for r in got.collect())
     b = sorted(str([plain(r[columns.index(c)]) for c in names]) for r in want.fetchall())
     assert a == b
+
+
+def slow_preorder(spans):
+    """{span: (idx, depth, parent idx)} by walking each trace's tree."""
+    there = {s[0] for s in spans}
+    kids = {}
+    for s, parent, ordinal in spans:
+        kids.setdefault(parent if parent in there else None, []).append((ordinal, s))
+    out, stack = {}, [(s, 1, None) for _, s in sorted(kids.get(None, []), reverse=True)]
+    while stack:
+        s, depth, up = stack.pop()
+        out[s] = (len(out), depth, up)
+        stack += [(c, depth + 1, out[s][0]) for _, c in sorted(kids.get(s, []), reverse=True)]
+    return out
+
+
+def test_flatten_by_doubling(spark):
+    """Random forests with absent parents and cycles, and a chain of 10,000 spans."""
+    import random
+
+    from tracewright.operators.represent import flatten_spans
+
+    rnd = random.Random(2)
+    traces = {f"t{t}": [(f"s{k}", rnd.choice([None, "gone", *(f"s{j}" for j in range(k))]), rnd.randint(0, 3)) for k in range(rnd.randint(1, 40))] for t in range(30)}
+    traces["cycle"] = [("a", "b", 0), ("b", "a", 0), ("c", "a", 0), ("r", None, 1), ("q", "r", 0), ("self", "self", 0)]
+    traces["chain"] = [(f"c{k}", f"c{k - 1}" if k else None, 0) for k in range(10_000)]
+    rows = [(t, *s) for t, spans in traces.items() for s in spans]
+    got = {(r.trace_id, r.span_id): (r.idx, r.depth, None if r.parent_id is None else int(r.parent_id[1:])) for r in flatten_spans(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, ordinal int")).collect()}
+    want = {(t, s): v for t, spans in traces.items() for s, v in slow_preorder(spans).items()}
+    assert got == want and got["chain", "c9999"] == (9999, 10_000, 9998) and ("cycle", "c") not in got
+
+
+def test_reach_by_doubling(spark):
+    """Least depths on random graphs and along a chain of 10,000 references."""
+    import random
+
+    from tracewright.operators.represent import ancestors
+
+    rnd = random.Random(4)
+    traces = {f"t{t}": [sorted({rnd.randint(0, k - 1) for _ in range(rnd.randint(0, 2))}) if k else [] for k in range(rnd.randint(1, 40))] for t in range(30)}
+    traces["chain"] = [[k - 1] if k else [] for k in range(10_000)]
+    rows = [(t, k, f"e{k:03d}", "LLM_CALL", "x", [f"e{j:03d}" for j in refs]) for t, nodes in traces.items() for k, refs in enumerate(nodes)]
+    events = spark.createDataFrame(rows, "trace_id string, idx int, id string, kind string, content string, refs array<string>")
+    got = {(r.trace_id, r.id): r.depth for r in ancestors(events).collect()}
+    want = {}
+    for t, nodes in traces.items():
+        front, depth = [len(nodes) - 1], 0
+        while front:
+            want |= {(t, f"e{k:03d}"): depth for k in front}
+            front, depth = sorted({j for k in front for j in nodes[k] if (t, f"e{j:03d}") not in want}), depth + 1
+    assert got == want and got["chain", "e000"] == 9999

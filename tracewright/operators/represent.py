@@ -37,36 +37,51 @@ def shorten(text: Column, limit: int = 400) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s)
 
 
+def _preorder(nodes: DataFrame) -> DataFrame:
+    """nodes (trace_id, node, span_id, up: node of the parent or null, ordinal) -> trace_id, node, span_id, ups, own, idx, depth, size, by pointer doubling. own: how far idx is from the parent's."""
+    state = durable(nodes.select("*", F.array("up").alias("ups"), F.lit(1).cast("long").alias("size")))
+    rounds, live = 0, None
+    while (now := state.where("up is not null").count()) not in (0, live):
+        live, rounds = now, rounds + 1
+        add = state.where("up is not null").groupBy("trace_id", F.col("up").alias("node")).agg(F.sum("size").alias("_add"))
+        hop = state.select("trace_id", F.col("node").alias("up"), F.col("up").alias("_up"))
+        state = state.join(add, ["trace_id", "node"], "left").join(hop, ["trace_id", "up"], "left")
+        state = durable(state.select("trace_id", "node", "span_id", F.col("_up").alias("up"), "ordinal", F.concat("ups", F.array("_up")).alias("ups"), (F.col("size") + F.coalesce("_add", F.lit(0))).alias("size")))
+    walk = state.where("up is null").withColumn("_parent", F.get("ups", F.lit(0)))
+    elder = F.coalesce(F.sum("size").over(Window.partitionBy("trace_id", "_parent").orderBy("ordinal", "node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    walk = walk.withColumn("own", elder + F.col("_parent").isNotNull().cast("int")).select("trace_id", "node", "span_id", "ups", "own", F.col("own").alias("idx"), F.lit(1).alias("depth"), "size")
+    for k in range(rounds):
+        walk = durable(walk.withColumn("_up", F.get("ups", F.lit(k))))
+        far = walk.select("trace_id", F.col("node").alias("_up"), F.col("idx").alias("_idx"), F.col("depth").alias("_depth"))
+        add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        walk = walk.join(far, ["trace_id", "_up"], "left").select("trace_id", "node", "span_id", "ups", "own", add("idx"), add("depth"), "size")
+    return walk
+
+
 def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """spans (trace_id, span_id, parent_span_id, ordinal) -> with depth, idx (pre-order) and parent_id (event id of the parent).
 
-    A loop of joins carries each span's path of ordinals from its root, until no span is left; a span whose parent is absent is a root. Spans of a cycle are never reached and stay out. Spans without an id, and spans deeper than a given max_depth, are an error.
+    Pointer doubling: in round k every span knows its 2^k-th ancestor, so sizes of subtrees, and then the sums of all that lies before a span on its way to the root, take as many rounds as the logarithm of the depth. A span whose parent is absent is a root; siblings are in order of (ordinal, span_id). Spans of a cycle, or below one, stay out; so does a repeated span id below its first. Of other repeated ids the first has the children. Spans without an id, and spans deeper than a given max_depth, are an error.
     """
     own = F.coalesce("span_id", F.raise_error(F.concat(F.lit("a span without an id in trace "), F.coalesce("trace_id", F.lit("")))).cast("string"))
     s = spans.select("trace_id", own.alias("span_id"), "parent_span_id", "ordinal")
-    parents = s.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
-    level = s.join(parents, ["trace_id", "parent_span_id"], "left").where("_has is null")
-    level = level.select("trace_id", "span_id", F.lit(None).cast("string").alias("parent_span_id"), F.array(F.struct("ordinal", "span_id")).alias("path"))
-    out, depth = level, 1
-    while True:
-        up = level.select("trace_id", F.col("span_id").alias("parent_span_id"), F.col("path").alias("_path"))
-        level = s.join(up, ["trace_id", "parent_span_id"]).where(~F.exists("_path", lambda p: p["span_id"] == F.col("span_id"))).select("trace_id", "span_id", "parent_span_id", F.concat("_path", F.array(F.struct("ordinal", "span_id"))).alias("path"))
-        if depth > 2:
-            level = durable(level)
-        if (depth > 2 or depth == max_depth) and level.isEmpty():
-            break
-        if depth == max_depth:
+    nth = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("ordinal", "parent_span_id"))
+    s = s.withColumn("_n", nth).withColumn("node", F.when(F.col("_n") == 1, F.col("span_id")).otherwise(F.concat("span_id", F.lit("\0"), F.col("_n").cast("string"))))
+    there = s.where("_n = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
+    nodes = durable(s.join(there, ["trace_id", "parent_span_id"], "left").select("trace_id", "node", "span_id", F.when(F.col("_has"), F.col("parent_span_id")).alias("up"), "ordinal"))
+    again = nodes.where("node <> span_id")
+    if not again.isEmpty():
+        first = durable(_preorder(nodes.where("node = span_id")).select("trace_id", "span_id", "idx", "size"))
+        parent = first.select("trace_id", F.col("span_id").alias("up"), F.col("idx").alias("_at"))
+        below = again.join(first, ["trace_id", "span_id"]).join(parent, ["trace_id", "up"]).where((F.col("_at") >= F.col("idx")) & (F.col("_at") < F.col("idx") + F.col("size")))
+        nodes = nodes.join(below.select("trace_id", "node"), ["trace_id", "node"], "left_anti").select(nodes.columns)
+    walk, name = _preorder(nodes), lambda i: F.format_string("e%03d", i)
+    out = walk.select("trace_id", "span_id", F.col("idx").cast("int").alias("idx"), name(F.col("idx")).alias("id"), "depth", F.when(F.get("ups", F.lit(0)).isNotNull(), name(F.col("idx") - F.col("own"))).alias("parent_id"))
+    if max_depth is not None:
+        out = durable(out)
+        if not out.where(F.col("depth") > max_depth).isEmpty():
             raise ValueError(f"spans deeper than {max_depth} levels")
-        out, depth = out.unionByName(level), depth + 1
-    return number_spans(out)
-
-
-def number_spans(paths: DataFrame) -> DataFrame:
-    """Pre-order numbers from paths (trace_id, span_id, parent_span_id, path)."""
-    w = Window.partitionBy("trace_id").orderBy("path")
-    n = paths.withColumns({"idx": (F.row_number().over(w) - 1).cast("int"), "depth": F.size("path")})
-    ids = n.select("trace_id", F.col("span_id").alias("parent_span_id"), F.format_string("e%03d", "idx").alias("parent_id"))
-    return n.join(ids, ["trace_id", "parent_span_id"], "left").select("trace_id", "span_id", "idx", F.format_string("e%03d", "idx").alias("id"), "depth", "parent_id")
+    return out
 
 
 def admit_kind(kind: Column) -> tuple[Column, Column]:
@@ -242,14 +257,20 @@ def graph_stats(events: DataFrame) -> DataFrame:
 
 
 def ancestors(events: DataFrame) -> DataFrame:
-    """(trace_id, id, depth) of all that a trace's last event depends on, itself included: a frontier join a round, until nothing new is reached (refs point backwards, so it ends)."""
-    last = events.groupBy("trace_id").agg(F.max_by("id", "idx").alias("id")).withColumn("depth", F.lit(0))
-    edges, seen, front = graph_edges(events, nodes_only=False).select("trace_id", "src", F.col("dst").alias("id")), last, last
-    edges = durable(edges)
-    while not front.isEmpty():
-        front = durable(front.join(edges, ["trace_id", "id"]).select("trace_id", F.col("src").alias("id"), (F.col("depth") + 1).alias("depth")).distinct())
-        seen = seen.unionByName(front)
-    return seen.groupBy("trace_id", "id").agg(F.min("depth").alias("depth"))
+    """(trace_id, id, depth) of all that a trace's last event depends on, itself included; depth is the least number of references on the way.
+
+    Reach by doubling: round k joins what is reached so far with the walks of exactly 2^k references, then joins these walks with themselves, without pairs that shorter walks have. Rounds are as many as the logarithm of the longest chain; refs point backwards, so walks run out.
+    """
+    reached = events.groupBy("trace_id").agg(F.max_by("id", "idx").alias("id")).withColumn("depth", F.lit(0))
+    walks = durable(graph_edges(events, nodes_only=False).select("trace_id", F.col("dst").alias("id"), "src").distinct())
+    seen, length = walks, 1
+    while not walks.isEmpty():
+        far = reached.join(walks, ["trace_id", "id"]).select("trace_id", F.col("src").alias("id"), (F.col("depth") + length).alias("depth"))
+        reached = durable(reached.unionByName(far).groupBy("trace_id", "id").agg(F.min("depth").alias("depth")))
+        second = walks.select("trace_id", F.col("id").alias("src"), F.col("src").alias("_src"))
+        walks = durable(walks.join(second, ["trace_id", "src"]).select("trace_id", "id", F.col("_src").alias("src")).distinct().join(seen, ["trace_id", "id", "src"], "left_anti"))
+        seen, length = seen.unionByName(walks), 2 * length
+    return reached
 
 
 EXPLORE = ("search", "read_doc")
