@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ SETTLED = regex.compile(
 RUN = regex.compile(r"\s{2,}(?=\S)")
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Rows of pieces and answers for pairs that a worker holds at most, before it starts anew.
-MOST = 200_000
+MOST = 500_000
 
 
 def _byte_letters() -> list[str]:
@@ -64,65 +64,79 @@ class PrefixCounts:
             raise ValueError("every byte must be a token")
         self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
         self.rows: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.held = 0
 
     def _may_follow(self, a: str, b: str) -> bool:
-        found = self.apart.get((a, b))
-        if found is None:
-            if len(self.apart) >= MOST:
-                self.apart.clear()
-            found = self.apart[a, b] = [x.value for x in self.model.tokenize(a + b)] == [a, b]
+        if self.held >= MOST:
+            self.follows.clear()
+            self.held = 0
+        self.held += 1
+        found = self.follows.setdefault(a, {})[b] = [x.value for x in self.model.tokenize(a + b)] == [a, b]
         return found
 
-    def _bytes_row(self, piece: str) -> list[int]:
-        """Counts of the prefixes of a piece, byte by byte; the piece is in the vocabulary's letters."""
-        count, last = [0] * (len(piece) + 1), [""] * (len(piece) + 1)
-        for i in range(1, len(piece) + 1):
-            for n in (*self.lengths.get(piece[max(0, i - 2) : i], ()), 1):
-                if n > i or (n > 2 and piece[i - n : i] not in self.whole):
+    def _extend(self, piece: str, count: list[int], last: list[str]) -> None:
+        """Counts and last tokens of the prefixes of a piece, byte by byte, after those that the lists hold; the piece is in the vocabulary's letters."""
+        whole, lengths, follows, none = self.whole, self.lengths, self.follows, {}
+        for i in range(len(count), len(piece) + 1):
+            for n in lengths.get(piece[i - 2 : i] if i > 1 else piece[0], ()) or (1,):
+                if n > i or (t := piece[i - n : i]) not in whole:
                     continue
-                t = piece[i - n : i]
-                if n == i or self._may_follow(last[i - n], t):
-                    count[i], last[i] = count[i - n] + 1, t
+                if n == i:
+                    break
+                before = last[i - n]
+                ok = follows.get(before, none).get(t)
+                if self._may_follow(before, t) if ok is None else ok:
                     break
             else:
-                raise AssertionError(f"no token ends {piece[:i]!r}")
-        return count
-
-    def row(self, piece: str) -> bytes:
-        """Counts of the prefixes of a piece that end with its characters, as 32-bit integers."""
-        found = self.rows.get(piece)
-        if found is None:
-            if len(self.rows) >= MOST:
-                self.rows.clear()
+                n, t = 1, piece[i - 1]
+            count.append(count[i - n] + 1)
+            last.append(t)
+
+    def learn(self, needed: set[str]) -> None:
+        """Rows of all needed pieces. New ones in the order of their letters, so that a piece goes on from the prefix that it shares with the one before."""
+        pieces = needed.difference(self.rows)
+        if len(self.rows) + len(pieces) > MOST:
+            self.rows.clear()
+            pieces = needed
+        before, count, last = "", [0], [""]
+        for said, piece in sorted((p.encode().decode("latin-1").translate(self.letters), p) for p in pieces):
+            k, n = 0, min(len(said), len(before))
+            while k < n and said[k] == before[k]:
+                k += 1
+            del count[k + 1 :], last[k + 1 :]
+            self._extend(said, count, last)
+            before = said
+            row = count[1:] if piece.isascii() else [count[k] for k in accumulate(len(c.encode()) for c in piece)]
             if piece in CONTRACTIONS:
                 # a cut contraction is a sign and a word
-                counts = [1, *(1 + n for n in self._char_row(piece[1:])[:-1]), self._char_row(piece)[-1]]
-            else:
-                counts = self._char_row(piece)
-            found = np.array(counts, "<i4").tobytes()
-            if len(piece) <= 64:
-                self.rows[piece] = found
-        return found
+                row = [1, *(1 + n for n in self._letters(piece[1:-1])), row[-1]]
+            self.rows[piece] = np.array(row, "<i4").tobytes()
 
-    def _char_row(self, piece: str) -> list[int]:
-        counts = self._bytes_row(piece.encode().decode("latin-1").translate(self.letters))
-        if piece.isascii():
-            return counts[1:]
-        return [counts[k] for k in accumulate(len(c.encode()) for c in piece)]
+    def _letters(self, word: str) -> list[int]:
+        count, last = [0], [""]
+        self._extend(word, count, last)
+        return count[1:]
+
+    def row(self, piece: str) -> bytes:
+        """Counts of the prefixes of a piece that end with its characters, as 32-bit integers."""
+        if piece not in self.rows:
+            self.learn({piece})
+        return self.rows[piece]
 
     def pieces(self, text: str) -> list[str]:
         if SETTLED.fullmatch(text):
             return PIECE.findall(text)
         return [text[a:e] for _, (a, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _plain(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Counts of all prefixes of a text without added tokens."""
-        pieces = self.pieces(text)
-        flat = np.frombuffer(b"".join([self.rows.get(p) or self.row(p) for p in pieces]), "<i4")
+        pieces = self.pieces(text) if pieces is None else pieces
+        self.learn(set(pieces))
+        rows = list(map(self.rows.__getitem__, pieces))
+        flat = np.frombuffer(b"".join(rows), "<i4")
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        ends = np.cumsum(size)
-        own = flat[ends - 1].astype(np.int64)
+        own = flat[np.cumsum(size) - 1].astype(np.int64)
         out = flat + np.repeat(np.cumsum(own) - own, size)
         for m in RUN.finditer(text):
             # a prefix that ends with a run of white space holds it as one piece
@@ -130,6 +144,13 @@ class PrefixCounts:
             out[e - 1] = (out[a - 1] if a else 0) + np.frombuffer(self.row(m[0]), "<i4")[-1]
         return out
 
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Counts of all prefixes of each text; the pieces of all are learned together."""
+        plain = [not (self.added and self.added.search(t)) for t in texts]
+        pieces = [self.pieces(t) if ok and t else [] for t, ok in zip(texts, plain, strict=True)]
+        self.learn(set(chain.from_iterable(pieces)))
+        return [self._plain(t, p) if p else self.text(t) for t, p in zip(texts, pieces, strict=True)]
+
     def text(self, text: str) -> np.ndarray:
         """Counts of all prefixes of a text, by character: [n - 1] is the count of its first n characters."""
         found = self.added.finditer(text) if self.added else ()
@@ -164,10 +185,10 @@ def prefix_counts(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches):
         if tokenizer not in _counters:
             _counters[tokenizer] = PrefixCounts(tokenizer)
-        count = _counters[tokenizer].text
+        count = _counters[tokenizer].texts
         for b in batches:
             for at, texts in slices(b.column("text").to_pylist()):
-                found = [count(t.decode("utf-8", "replace")) for t in texts]
+                found = count([t.decode("utf-8", "replace") for t in texts])
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 blocks = np.maximum(1, -(-size // BLOCK))
                 own = np.repeat(np.arange(len(found)), blocks)
