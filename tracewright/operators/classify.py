@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.answers import first_valid
 from tracewright.model import ASSERTION, DOC_ID, ERROR_OBS, FORMAT_ISSUE, MEMORY, NO_RESULT, REJECT, RULE_CODE, SYMPTOM_CODE
+from tracewright.operators.payload import payload_state
 from tracewright.operators.represent import before, by_trace, upto, first_answer
 from tracewright.tables import durable
 
@@ -23,9 +24,14 @@ def last_llm() -> Column:
 
 def malformed_calls(events: DataFrame) -> DataFrame:
     """Calls without any payload, or whose result is an error observation."""
+    return _finding(malformed_reasons(events), "malformed_tool_call", "idx")
+
+
+def malformed_reasons(events: DataFrame) -> DataFrame:
+    """Malformed calls with `reason`: 'empty' (an object without keys was sent), 'missing' (nothing was sent) or 'error' (the result says so)."""
     calls = events.where("kind = 'TOOL_CALL'").join(first_answer(events, "TOOL_RESULT"), ["trace_id", "id"], "left")
-    empty = F.coalesce("content", "query", "doc_id", "answer", "to_agent").isNull()
-    return _finding(calls.where(empty | F.coalesce(F.col("tool_result_content").rlike(ERROR_OBS), F.lit(False))), "malformed_tool_call", "idx")
+    state, error = payload_state(events), F.coalesce(F.col("tool_result_content").rlike(ERROR_OBS), F.lit(False))
+    return calls.withColumn("reason", F.when(state != "given", state).when(error, "error")).where("reason is not null")
 
 
 def premature_success(events: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.model import CLAIM_STATUSES, CLAIM_TYPES, DIFF_MARK, ERROR_OBS, FAILURE_WORD, KINDS, MEMORY, MUST_CITE, NOTHING_USABLE, STEP_KINDS
 from tracewright.operators.answers import first_valid
+from tracewright.operators.payload import has_payload, other_keys
 from tracewright.tables import durable
 
 
@@ -234,8 +235,7 @@ def signature_stats(signatures: DataFrame) -> DataFrame:
 
 def graph_nodes(events: DataFrame) -> DataFrame:
     """Events with a payload or refs."""
-    load = F.coalesce("content", "query", "doc_id", "answer", "to_agent").isNotNull()
-    return events.where(load | (F.size("refs") > 0)).select("trace_id", "id", "idx", "kind")
+    return events.where(has_payload(events) | (F.size("refs") > 0)).select("trace_id", "id", "idx", "kind")
 
 
 def graph_edges(events: DataFrame, nodes_only: bool = True) -> DataFrame:
@@ -390,12 +390,11 @@ def claim_ledger(verdicts: DataFrame, events: DataFrame, most: int = 6) -> DataF
 
 
 def render_lines(events: DataFrame, folds: DataFrame | None = None) -> DataFrame:
-    """One line per event: [i] KIND agent action payload :: content; folded contents show their placeholder. No ground truth enters a line."""
+    """One line per event: [i] KIND agent action payload :: content; a payload column is shown with all its keys but content. Folded contents show their placeholder. No ground truth enters a line."""
     e = events
     if folds is not None:
         e = e.join(folds.select("trace_id", "idx", "placeholder"), ["trace_id", "idx"], "left").withColumn("content", F.coalesce("placeholder", "content"))
-    load = F.to_json(F.struct("query", "doc_id", "answer", F.col("to_agent").alias("to")))
-    load = F.when(load != "{}", load)
+    load = other_keys(e, "content")
     head = F.concat_ws(" ", F.concat(F.lit("["), F.col("idx").cast("string"), F.lit("]")), "kind", "agent", "action", load)
     return e.select("trace_id", "idx", shorten(F.concat(head, F.when(F.coalesce("content", F.lit("")) != "", F.concat(F.lit(" :: "), "content")).otherwise(F.lit("")))).alias("line"))
 

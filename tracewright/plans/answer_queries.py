@@ -8,6 +8,8 @@ from tracewright.model import MODES
 from tracewright.operators import answers as a
 from tracewright.operators import attribute as t
 from tracewright.operators import classify as c
+from tracewright.operators import represent as r
+from tracewright.operators.payload import payload_json, with_fields
 from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.attribute_queries import AUDIT_SQL, judged_records, stage_world, supported
 from tracewright.plans.classify_queries import sample_labels
@@ -95,3 +97,36 @@ def stage_verdicts(events) -> tuple:
 def t17_diagnosis(events, traces):
     e, answers = stage_verdicts(events)
     return t.diagnose_stages(t.suspicious_stages(e), answers, e, events.sparkSession.createDataFrame([(m,) for m in MODES], "code string"))
+
+
+# --- open payloads -----------------------------------------------------------
+
+
+def open_events(events):
+    """events with open payloads by rule: an unknown nested key beside the known ones, an empty object, or none."""
+    known = payload_json(events)
+    more = F.concat(F.lit('{"extra":{"n":'), F.col("idx").cast("string"), F.lit('},'), F.substring(known, 2, 100_000))
+    more = F.regexp_replace(more, r",\}$", "}")
+    sent = F.when(F.col("k") % 7 == 3, "{}").when(F.col("k") % 7 == 5, F.lit(None)).when(F.col("k") % 7 == 1, known).otherwise(more)
+    return with_fields(events.withColumn("payload", F.try_parse_json(sent)))
+
+
+OPEN_SQL = """
+op0 AS (SELECT *, k % 7 AS m, CASE WHEN k % 7 IN (3, 5) THEN 0 ELSE 1 END AS given FROM ev),
+op AS (SELECT trace_id, idx, id, kind, agent, action, ref, m, given, CASE WHEN given = 1 THEN content END AS content, CASE WHEN given = 1 THEN query END AS query, CASE WHEN given = 1 THEN doc_id END AS doc_id, CASE WHEN given = 1 THEN answer END AS answer, CASE WHEN given = 1 THEN to_agent END AS to_agent,
+  CASE WHEN given = 1 AND m <> 1 THEN '"extra":{"n":' || idx || '}' END AS extra FROM op0),
+"""
+
+
+@trace_query("c1_open_payloads", OPEN_SQL + """rs AS (SELECT trace_id, ref, min_by(coalesce(content, ''), idx) AS content FROM op WHERE kind = 'TOOL_RESULT' GROUP BY ALL)
+SELECT op.trace_id, op.idx, CASE WHEN m = 3 THEN 'empty' WHEN m = 5 OR coalesce(op.content, query, doc_id, answer, to_agent, extra) IS NULL THEN CASE WHEN m = 5 THEN 'missing' ELSE 'empty' END ELSE 'error' END AS reason FROM op LEFT JOIN rs ON rs.trace_id = op.trace_id AND rs.ref = op.idx
+WHERE kind = 'TOOL_CALL' AND (m IN (3, 5) OR coalesce(op.content, query, doc_id, answer, to_agent, extra) IS NULL OR regexp_matches(rs.content, '(?i)^\\s*(error|exception|traceback|fatal|failed)\\b'))""")
+def c1_open(events, traces):
+    return c.malformed_reasons(open_events(events)).select("trace_id", "idx", "reason")
+
+
+@trace_query("r31_open_payloads", OPEN_SQL + """ln AS (SELECT *, concat_ws(',', '"answer":"' || answer || '"', '"doc_id":"' || doc_id || '"', extra, '"query":"' || query || '"', '"to":"' || to_agent || '"') AS load FROM op),
+tx AS (SELECT trace_id, idx, concat_ws(' ', '[' || idx || ']', kind, agent, action, CASE WHEN load <> '' THEN '{' || load || '}' END) || CASE WHEN coalesce(content, '') <> '' THEN ' :: ' || content ELSE '' END AS s FROM ln), ty AS (SELECT trace_id, idx, trim(regexp_replace(s, '\\s+', ' ', 'g')) AS s FROM tx)
+SELECT trace_id, idx, CASE WHEN length(s) > 400 THEN substr(s, 1, 397) || '...' ELSE s END AS line FROM ty""")
+def r31_open(events, traces):
+    return r.render_lines(open_events(events))

@@ -20,6 +20,7 @@ from tracewright.plans.recover_queries import TRIAL_SYM_SQL
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, anchored, claim_world
 from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources import formats as f
+from tracewright.sources import imports as im
 from tracewright.tables import durable
 
 
@@ -202,7 +203,8 @@ def e13(events, traces):
 
 @trace_query("io5_io6_batch_round_trip", "SELECT trace_id, idx, id, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
 def io5(events, traces):
-    return f.from_batches(f.to_batches(events, traces)).withColumn("refs", F.array_join("refs", ","))
+    spans, _ = im.from_batches(im.to_batches(events, traces, records_a_batch=5))
+    return im.events_of_spans(spans).select("trace_id", "idx", "id", "kind", "agent", "action", "phase", "content", "query", "doc_id", "answer", "to_agent", F.array_join("refs", ",").alias("refs"))
 
 
 @trace_query("io14_pull_window", "xt AS (SELECT trace_id, max(ts) AS timestamp FROM ev GROUP BY ALL) SELECT trace_id FROM tr JOIN xt USING (trace_id) WHERE model_version = 'm1' AND prompt_version = 'p0' AND timestamp >= 1000000")

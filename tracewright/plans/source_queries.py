@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.plans.attribute_queries import HYP_SQL, all_hypotheses
+from tracewright.operators.payload import json_string
 from tracewright.plans.registry import query, trace_query
 from tracewright.sources import formats as f
+from tracewright.sources import imports as im
 from tracewright.sources.fixtures import table
 from tracewright.tables import shared_folder
 
@@ -41,12 +43,12 @@ def io3(events, traces):
 
 @trace_query("io7_io8_otlp_round_trip", "SELECT trace_id, idx, id, ts, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
 def io7(events, traces):
-    return f.from_otlp(f.to_otlp(events)).withColumn("refs", F.array_join("refs", ","))
+    return im.events_of_spans(im.from_otlp(im.to_otlp(events, traces, spans_a_document=5))[0]).select("trace_id", "idx", "id", "ts", "kind", "agent", "action", "phase", "content", "query", "doc_id", "answer", "to_agent", F.array_join("refs", ",").alias("refs"))
 
 
 @trace_query("io8_otlp_ids", "SELECT substr(sha256(trace_id), 1, 32) AS trace_hash, substr(sha256(trace_id || ':' || id), 1, 16) AS span_hash FROM ev")
 def io8(events, traces):
-    spans = f.to_otlp(events).select(F.explode(F.from_json("document", f.OTLP)["resourceSpans"][0]["scopeSpans"][0]["spans"]).alias("s"))
+    spans = im.to_otlp(events).select(F.explode(F.from_json("document", im.OTLP)["resourceSpans"][0]["scopeSpans"][0]["spans"]).alias("s"))
     return spans.select(F.col("s.traceId").alias("trace_hash"), F.col("s.spanId").alias("span_hash"))
 
 
@@ -173,9 +175,105 @@ def io13(events, traces):
     return f.outcome_from_scores(traces, scores, "quality", ">=", "50")
 
 
-@query("io15_message_histories", "WITH m AS (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS idx FROM conversations) SELECT CAST(conv_id AS VARCHAR) AS trace_id, idx, CASE WHEN role = 'user' AND idx = 0 THEN 'TASK_START' WHEN role = 'user' THEN 'AGENT_MESSAGE' ELSE 'LLM_CALL' END AS kind, role AS agent, text AS content FROM m")
+#: Speakers of a benchmark's messages, by rule: people, terminals, routing in brackets and outside of them, experts, nobody.
+SPEAKERS = ("human", "User", "Computer_terminal", "Orchestrator (-> WebSurfer)", "Orchestrator -> Coder", "Excel_Expert", "(thought)", "", None)
+WHO = pick_sql(SPEAKERS, "turn + conv_id")
+IO15_SQL = f"""WITH m AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, {WHO} AS who FROM conversations),
+g AS (SELECT conv_id, max(idx) AS last FROM m GROUP BY conv_id),
+s AS (SELECT 'ag-' || m.conv_id AS trace_id, CAST(idx AS INT) AS idx, 'name' AS split, coalesce(nullif(who, ''), nullif(role, ''), 'unknown') AS raw, text, last, m.conv_id FROM m JOIN g ON m.conv_id = g.conv_id WHERE m.conv_id % 5 <> 3
+  UNION ALL SELECT 'hc-' || m.conv_id, CAST(idx AS INT), 'role', coalesce(nullif(role, ''), nullif(who, ''), 'unknown'), text, last, m.conv_id FROM (SELECT conv_id, turn, idx, text, role AS who, who AS role FROM m) m JOIN g ON m.conv_id = g.conv_id WHERE m.conv_id % 5 <> 3),
+a AS (SELECT *, CASE WHEN split = 'role' THEN coalesce(nullif(trim(regexp_replace(raw, '\\s*\\([^()]*\\)\\s*$', '')), ''), raw) ELSE raw END AS agent FROM s)
+SELECT trace_id, idx, agent, CASE WHEN regexp_matches(lower(agent), 'terminal|computer') THEN 'TOOL_RESULT' WHEN contains(agent, '->') THEN 'HANDOFF' WHEN lower(agent) IN ('human', 'user') THEN CASE WHEN idx = 0 THEN 'TASK_START' ELSE 'AGENT_MESSAGE' END ELSE 'LLM_CALL' END AS kind, coalesce(text, '') AS content, CAST(last // 2 AS INT) AS gt_step, 'Orchestrator' AS gt_agent, conv_id % 2 = 0 AS success FROM a"""
+
+
+@query("io15_message_histories", IO15_SQL)
 def io15(spark, sf_dir):
-    return f.message_events(table(spark, sf_dir, "conversations"))
+    """Conversations as records of both splits; every fifth has no gold and is left out."""
+    c = table(spark, sf_dir, "conversations")
+    who = pick(SPEAKERS, F.col("turn") + F.col("conv_id"))
+    out = None
+    for split, (name, role) in {"Algorithm-Generated": (who, F.col("role")), "Hand-Crafted": (F.col("role"), who)}.items():
+        m = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.struct(name.alias("name"), role.alias("role"), F.col("text").alias("content")).alias("m")))), lambda x: x["m"]).alias("history"))
+        step = F.when(F.col("conv_id") % 5 != 3, F.floor((F.size("history") - 1) / 2))
+        record = F.to_json(F.struct(F.lit("q").alias("question"), "history", step.alias("mistake_step"), F.lit("Orchestrator").alias("mistake_agent"), (F.col("conv_id") % 2 == 0).alias("is_correct")))
+        events, traces = im.messages_of_records(m.select(F.col("conv_id").alias("record_id"), record.alias("record")), split)
+        rows = events.join(traces.select("trace_id", "gt_step", "gt_agent", "success"), "trace_id").select("trace_id", "idx", "agent", "kind", "content", "gt_step", "gt_agent", "success")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+#: Foreign spans: a heap-shaped tree in a document order that is no time order, with parents that aren't there, own attributes on every third span, tool-call aliases, references of all sorts, and payloads with unknown keys or none.
+FOREIGN_SQL = """
+fo AS (SELECT *, (idx * 7 + 3) % 10 AS place, CASE WHEN idx > 0 AND idx % 7 <> 5 THEN (idx - 1) // 2 END AS up FROM ev),
+fn AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY place, idx) - 1 AS ordinal FROM fo),
+ft AS (WITH RECURSIVE w AS (
+    SELECT trace_id, idx, [ordinal] AS path, CAST(NULL AS BIGINT) AS up FROM fn WHERE up IS NULL
+    UNION ALL SELECT fn.trace_id, fn.idx, list_append(w.path, fn.ordinal), fn.up FROM fn JOIN w ON w.trace_id = fn.trace_id AND w.idx = fn.up)
+  SELECT * FROM w),
+fx AS (SELECT *, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY path) - 1 AS INT) AS n FROM ft),
+"""
+FOREIGN_OUT = """
+SELECT ev.trace_id, fx.n AS idx, 's' || fx.idx AS source_span_id, 'e' || lpad(CAST(p.n AS VARCHAR), 3, '0') AS parent, {kind} AS kind, {agent} AS agent, {payload} AS payload, coalesce((SELECT string_agg('e' || lpad(CAST(r.n AS VARCHAR), 3, '0'), ',' ORDER BY u.o) FROM (VALUES {refs}) u(o, i) JOIN fx r ON r.trace_id = ev.trace_id AND r.idx = u.i), '') AS refs
+FROM ev JOIN fx USING (trace_id, idx) LEFT JOIN fx p ON p.trace_id = fx.trace_id AND p.idx = fx.up
+"""
+
+
+def foreign(events):
+    """place, parent and payload of foreign spans."""
+    i = F.col("idx")
+    up = F.when((i > 0) & (i % 7 != 5), F.floor((i - 1) / 2).cast("int"))
+    payload = F.when(i % 5 == 0, "{}").when(i % 5 == 1, F.lit(None)).when(i % 5 == 2, "plain text").otherwise(F.concat(F.lit('{"content":"c'), i.cast("string"), F.lit('","seen":['), i.cast("string"), F.lit(",2.5]}")))
+    return events.withColumns({"place": (i * 7 + 3) % 10, "up": F.when(i % 7 == 5, "gone").otherwise(F.concat(F.lit("s"), up.cast("string"))), "sent": payload})
+
+
+def _payload_sql(name: str) -> str:
+    return f"""CASE ev.idx % 5 WHEN 0 THEN '{{}}' WHEN 2 THEN '{{"{name}":"plain text"}}' WHEN 1 THEN NULL ELSE '{{"content":"c' || ev.idx || '","seen":[' || ev.idx || ',2.5]}}' END"""
+
+
+IO7_SQL = FOREIGN_SQL + "fy AS (SELECT 1)" + FOREIGN_OUT.format(
+    kind="CASE WHEN ev.idx % 3 = 0 THEN CASE WHEN kind IN ('LLM_CALL','TOOL_CALL','TOOL_RESULT','AGENT_MESSAGE','HANDOFF','VERIFIER') THEN kind END WHEN kind = 'LLM_CALL' THEN 'LLM_CALL' WHEN kind = 'TOOL_CALL' THEN 'TOOL_CALL' ELSE 'AGENT_MESSAGE' END", agent="CASE WHEN ev.idx % 3 = 0 THEN agent ELSE 'unknown' END", payload=_payload_sql("raw"),
+    refs="(0, CASE WHEN ev.idx > 0 THEN ev.idx - 1 END), (1, CASE WHEN EXISTS (SELECT 1 FROM ev t WHERE t.trace_id = ev.trace_id AND t.idx = 0 AND t.kind = 'TOOL_CALL') THEN 0 END)",
+)
+
+
+@trace_query("io7_foreign_spans", IO7_SQL)
+def io7_foreign(events, traces):
+    """A span refers to the one before (by its event id on every third, else by span id), to the call id of the first, and to nothing that is there."""
+    e = foreign(events)
+    i, own = F.col("idx"), F.col("idx") % 3 == 0
+    span_id = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    op = F.when(F.col("kind") == "LLM_CALL", "chat").when((F.col("kind") == "TOOL_CALL") & (i % 2 == 0), "retrieval").when(F.col("kind") == "TOOL_CALL", "execute_tool").when(F.col("kind") == "HANDOFF", "invoke_agent").when(F.col("kind") == "VERIFIER", "other")
+    before = F.when((i - 1) % 3 == 0, F.concat(F.lit("ev-"), (i - 1).cast("string"))).otherwise(span_id(i - 1))
+    refs = F.to_json(F.array(before, F.lit("call-0"), F.lit("nowhere")))
+    call = F.when(F.col("kind") == "TOOL_CALL", F.concat(F.lit("call-"), i.cast("string")))
+    pairs = {"gen_ai.operation.name": op, "gen_ai.tool.call.id": call, "trace.kind": F.when(own, F.col("kind")), "trace.agent": F.when(own, F.col("agent")), "trace.event_id": F.when(own, F.concat(F.lit("ev-"), i.cast("string"))), "trace.payload": F.col("sent"), "trace.refs": refs, "trace.id": F.when(i == 0, F.col("trace_id"))}
+    span = F.struct(F.md5("trace_id").alias("traceId"), span_id(i).alias("spanId"), F.col("up").alias("parentSpanId"), F.lit("n").alias("name"), F.lit(1).alias("kind"), F.lit("5").alias("startTimeUnixNano"), im._attributes(pairs).alias("attributes"))
+    spans = e.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx", span.alias("s")))), lambda x: x["s"]).alias("spans"))
+    documents = spans.select(F.to_json(F.struct(F.array(F.struct(F.array(F.struct("spans")).alias("scopeSpans"))).alias("resourceSpans"))).alias("document"))
+    return im.events_of_spans(im.from_otlp(documents)[0]).select("trace_id", "idx", "source_span_id", "parent", "kind", "agent", F.to_json("payload").alias("payload"), F.array_join("refs", ",").alias("refs"))
+
+
+IO5_SQL = FOREIGN_SQL + "fy AS (SELECT 1)" + FOREIGN_OUT.format(
+    kind="CASE WHEN ev.idx % 3 = 0 THEN kind WHEN kind = 'LLM_CALL' THEN 'LLM_CALL' ELSE 'AGENT_MESSAGE' END", agent="CASE WHEN ev.idx % 3 = 0 THEN agent ELSE 'unknown' END", payload=_payload_sql("input"), refs="(0, CASE WHEN ev.idx % 3 = 0 THEN 0 END), (1, CASE WHEN ev.idx % 3 = 0 AND ev.idx > 2 THEN ev.idx - 3 END)",
+) + " WHERE CAST(regexp_extract(ev.trace_id, '^u(\\d+)w', 1) AS INT) % 4 <> 3"
+
+
+@trace_query("io5_foreign_batches", IO5_SQL)
+def io5_foreign(events, traces):
+    """Records of all types, old ones among them; users with 3 modulo 4 have observations without a trace record, which don't count."""
+    e = foreign(events)
+    i, own = F.col("idx"), F.col("idx") % 3 == 0
+    ev = lambda n: F.concat(F.lit("ev-"), n.cast("string"))
+    old, llm = i % 4 == 1, F.col("kind") == "LLM_CALL"
+    kind = F.when(old, "observation-create").when(llm, "generation-create").when(F.col("kind") == "HANDOFF", "event-create").otherwise("span-create")
+    metadata = F.when(own, F.struct(F.struct(ev(i).alias("id"), "kind", "agent", F.array(F.lit("ev-0"), ev(i - 3), F.lit("ev-none")).alias("refs")).alias("own")))
+    sent = F.coalesce(F.try_parse_json("sent"), F.try_parse_json(json_string(F.col("sent"))))
+    record = F.to_json(F.struct(kind.alias("type"), F.struct(F.concat(F.lit("s"), i.cast("string")).alias("id"), F.col("trace_id").alias("traceId"), F.col("up").alias("parentObservationId"), sent.alias("input"), F.when(old, F.when(llm, "GENERATION").otherwise("SPAN")).alias("type"), metadata.alias("metadata")).alias("body")))
+    each = e.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "idx", record.alias("r")))), lambda x: x["r"]).alias("r"))
+    head = F.when(F.regexp_extract("trace_id", r"^u(\d+)w", 1).cast("int") % 4 != 3, F.to_json(F.struct(F.lit("trace-create").alias("type"), F.struct(F.col("trace_id").alias("id")).alias("body"))))
+    noise = F.lit('{"type":"score-create","body":{"id":"x"}}')
+    batch = each.select(F.concat(F.lit('{"batch":['), F.array_join(F.concat("r", F.array(noise), F.filter(F.array(head), lambda x: x.isNotNull())), ","), F.lit("]}")).alias("batch"))
+    return im.events_of_spans(im.from_batches(batch)[0]).select("trace_id", "idx", "source_span_id", "parent", "kind", "agent", F.to_json("payload").alias("payload"), F.array_join("refs", ",").alias("refs"))
 
 
 PAY_SQL = HYP_SQL + """,

@@ -55,50 +55,6 @@ def guard_export(meta: Column, external: bool = False) -> Column:
     return F.map_filter(meta, lambda k, v: ~F.array_contains(hidden, k))
 
 
-def _attributes(pairs: dict[str, Column]) -> Column:
-    each = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))) for k, v in pairs.items()]
-    return F.filter(F.array(*each), lambda a: a.isNotNull())
-
-
-SPAN_KIND = {"chat": "LLM_CALL", "execute_tool": "TOOL_CALL", "retrieval": "TOOL_CALL", "invoke_agent": "AGENT_MESSAGE"}
-
-
-def to_otlp(events: DataFrame) -> DataFrame:
-    """One span document per trace (trace_id, document). Ids are SHA-256 prefixes; a span's parent is its first ref, left out where it is absent; a span lasts a second."""
-    hash_ = lambda c, n: F.substring(F.sha2(c, 256), 1, n)
-    first = F.get("refs", F.lit(0))
-    op = F.when(F.col("kind") == "LLM_CALL", "chat").when(F.col("kind") == "TOOL_CALL", "execute_tool").otherwise("invoke_agent")
-    attrs = _attributes({"gen_ai.operation.name": op, "trace.kind": F.col("kind"), "trace.agent": F.col("agent"), "trace.action": F.col("action"), "trace.phase": F.col("phase"), "trace.content": F.col("content"), "trace.query": F.col("query"), "trace.doc_id": F.col("doc_id"), "trace.answer": F.col("answer"), "trace.to": F.col("to_agent"), "trace.event_id": F.col("id"), "trace.id": F.col("trace_id"), "trace.refs": F.when(F.size("refs") > 0, F.array_join("refs", ","))})
-    nano = (F.col("ts") * 1_000_000_000).cast("long")
-    span = F.struct(
-        "idx", hash_(F.col("trace_id"), 32).alias("traceId"), hash_(F.concat_ws(":", "trace_id", "id"), 16).alias("spanId"), F.when(first.isNotNull(), hash_(F.concat_ws(":", F.col("trace_id"), first), 16)).alias("parentSpanId"), F.coalesce("action", "kind").alias("name"),
-        F.when(op == "chat", 2).otherwise(1).alias("kind"), nano.cast("string").alias("startTimeUnixNano"), (nano + 1_000_000_000).cast("string").alias("endTimeUnixNano"), attrs.alias("attributes"),
-    )
-    spans = events.groupBy("trace_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
-    doc = F.struct(F.array(F.struct(F.array(F.struct(F.transform("s", lambda x: x.dropFields("idx")).alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
-    return spans.select("trace_id", F.to_json(doc).alias("document"))
-
-
-OTLP = "resourceSpans array<struct<scopeSpans:array<struct<spans:array<struct<traceId:string,spanId:string,parentSpanId:string,name:string,kind:int,startTimeUnixNano:string,endTimeUnixNano:string,attributes:array<struct<key:string,value:struct<stringValue:string>>>>>>>>>"
-
-
-def from_otlp(documents: DataFrame) -> DataFrame:
-    """Events from span documents (document): own attributes win, else the operation name gives the kind; refs by event id or parent span; order by start, then position."""
-    d = documents.select(F.from_json("document", OTLP).alias("d")).select(F.explode("d.resourceSpans").alias("r")).select(F.explode("r.scopeSpans").alias("s")).select(F.posexplode("s.spans").alias("pos", "p")).select("pos", "p.*")
-    only = F.filter("attributes", lambda a: a["value"]["stringValue"].isNotNull())
-    d = d.withColumn("m", F.map_from_entries(F.transform(only, lambda a: F.struct(a["key"], a["value"]["stringValue"]))))
-    m = lambda k: F.col("m")[k]
-    ops = F.create_map(*[F.lit(x) for kv in SPAN_KIND.items() for x in kv])
-    kind = F.coalesce(m("trace.kind"), F.try_element_at(ops, m("gen_ai.operation.name")), F.lit("AGENT_MESSAGE"))
-    e = d.withColumns({"trace_id": F.coalesce(m("trace.id"), "traceId"), "ts": F.col("startTimeUnixNano").cast("double") / 1e9})
-    idx = (F.row_number().over(Window.partitionBy("trace_id").orderBy("ts", "pos")) - 1).cast("int")
-    e = e.withColumn("idx", idx).withColumn("id", F.coalesce(m("trace.event_id"), F.format_string("e%03d", "idx")))
-    parents = e.select("trace_id", F.col("spanId").alias("parentSpanId"), F.col("id").alias("_parent")).dropDuplicates(["trace_id", "parentSpanId"])
-    e = e.join(parents, ["trace_id", "parentSpanId"], "left")
-    refs = F.when(m("trace.refs").isNotNull(), F.split(m("trace.refs"), ",")).when(F.col("_parent").isNotNull(), F.array("_parent")).otherwise(F.array().cast("array<string>"))
-    return e.select("trace_id", "idx", "id", "ts", kind.alias("kind"), F.coalesce(m("trace.agent"), F.lit("unknown")).alias("agent"), m("trace.action").alias("action"), m("trace.phase").alias("phase"), m("trace.content").alias("content"), m("trace.query").alias("query"), m("trace.doc_id").alias("doc_id"), m("trace.answer").alias("answer"), m("trace.to").alias("to_agent"), refs.alias("refs"))
-
-
 #: Parts of names that tell a handoff or a check, and metadata keys that name the agent.
 HANDOFF_HINTS = ("handoff", "hand_over", "handover", "transfer", "delegate", "escalate")
 VERIFIER_HINTS = ("verif", "evaluat", "judge", "guardrail", "critic", "assert")
@@ -215,14 +171,6 @@ def pull_window(traces: DataFrame, tags: list[str], since, limit: int | None = N
     return t if limit is None else t.orderBy(F.col("timestamp").desc(), "trace_id").limit(limit)
 
 
-def message_events(messages: DataFrame) -> DataFrame:
-    """messages (conv_id, turn, role, text) -> events: a first user message starts the task, other user messages are messages, the rest decisions; a routing suffix in brackets leaves the agent's name."""
-    agent = F.trim(F.regexp_replace(F.coalesce("role", F.lit("")), r"\s*\([^()]*\)\s*$", ""))
-    m = messages.withColumn("agent", agent).withColumn("idx", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("int"))
-    kind = F.when((F.col("agent") == "user") & (F.col("idx") == 0), "TASK_START").when(F.col("agent") == "user", "AGENT_MESSAGE").when(F.lower("agent") == "handoff", "HANDOFF").otherwise("LLM_CALL")
-    return m.select(F.col("conv_id").cast("string").alias("trace_id"), "idx", kind.alias("kind"), "agent", F.col("text").alias("content"))
-
-
 def score_payloads(hyps: DataFrame, spans: DataFrame) -> DataFrame:
     """hyps with trace_id, agent, step, code, confidence and spans (trace_id, step, span_id) -> payload rows in order: each blamed span once (highest confidence), then the confidence, and the root cause last."""
     h = hyps.join(spans, ["trace_id", "step"], "left")
@@ -242,35 +190,3 @@ def skip_scored(traces: DataFrame, payloads: DataFrame, scores: DataFrame, force
     done = scores.where("name = 'root-cause'").select("trace_id", F.lit(True).alias("_done")).distinct()
     j = traces.select("trace_id").join(has, "trace_id", "left").join(done, "trace_id", "left")
     return j.select("trace_id", F.when(F.col("_has").isNull(), "no-hypotheses").when(F.col("_done") & F.lit(not force), "skipped").otherwise("written").alias("decision"))
-
-
-BODY = "struct<id:string,traceId:string,name:string,parentObservationId:string,input:string,type:string,metadata:struct<own:struct<id:string,kind:string,agent:string,action:string,phase:string,refs:array<string>,index:int>,task_id:string,success:boolean>>"
-PAYLOAD = "content string, query string, doc_id string, answer string, to_agent string"
-
-
-def to_batches(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """One ingestion batch per trace (batch): a trace record, then one observation per event, decisions as generations; ids follow from trace and event."""
-    fields = [x.split()[0] for x in PAYLOAD.split(", ")]
-    null = F.lit(None).cast("string")
-    own = F.struct("id", "kind", "agent", "action", "phase", "refs", F.col("idx").alias("index"))
-    obs = F.struct(F.when(F.col("kind") == "LLM_CALL", "generation-create").otherwise("span-create").alias("type"), F.struct(
-        F.concat_ws("-", F.lit("obs"), "trace_id", "id").alias("id"), F.col("trace_id").alias("traceId"), F.coalesce("action", "kind").alias("name"), F.when(F.col("parent").isNotNull(), F.concat_ws("-", F.lit("obs"), "trace_id", "parent")).alias("parentObservationId"),
-        F.to_json(F.struct(*fields)).alias("input"), null.alias("type"), F.struct(own.alias("own"), null.alias("task_id"), F.lit(None).cast("boolean").alias("success")).alias("metadata"),
-    ).cast(BODY).alias("body"))
-    each = events.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", obs.alias("o")))), lambda x: x["o"]).alias("obs"))
-    head = F.struct(F.lit("trace-create").alias("type"), F.struct(F.col("trace_id").alias("id"), null.alias("traceId"), "task_id", null.alias("parentObservationId"), F.col("task").alias("input"), null.alias("type"), F.struct(F.lit(None).alias("own"), "task_id", "success").alias("metadata")).cast(BODY).alias("body"))
-    return traces.join(each, "trace_id").select("trace_id", F.to_json(F.struct(F.concat(F.array(head), "obs").alias("batch"))).alias("batch"))
-
-
-def from_batches(batches: DataFrame) -> DataFrame:
-    """Events of ingestion batches (batch). Older batches give an observation's type in its body; own metadata wins over it; order by own index, then position."""
-    b = batches.select(F.from_json("batch", f"batch array<struct<type:string,body:{BODY}>>").alias("b")).select(F.posexplode("b.batch").alias("pos", "x")).select("pos", "x.type", "x.body")
-    o = b.where("type <> 'trace-create'").withColumns({"p": F.from_json("body.input", PAYLOAD), "own": F.col("body.metadata.own")})
-    kind_ = F.when(F.col("type") == "observation-create", F.upper("body.type")).otherwise(F.upper(F.regexp_replace("type", "-create$", "")))
-    guess = F.when(kind_ == "GENERATION", "LLM_CALL").when(kind_ == "EVENT", "AGENT_MESSAGE").otherwise("TOOL_CALL")
-    idx = (F.row_number().over(Window.partitionBy("body.traceId").orderBy(F.col("own.index").asc_nulls_last(), "pos")) - 1).cast("int")
-    o = o.withColumn("idx", idx)
-    return o.select(
-        F.col("body.traceId").alias("trace_id"), "idx", F.coalesce("own.id", F.format_string("e%03d", "idx")).alias("id"), F.coalesce("own.kind", guess).alias("kind"), F.coalesce("own.agent", F.lit("unknown")).alias("agent"), F.col("own.action").alias("action"), F.col("own.phase").alias("phase"),
-        *(F.col(f"p.{x.split()[0]}").alias(x.split()[0]) for x in PAYLOAD.split(", ")), F.coalesce("own.refs", F.array().cast("array<string>")).alias("refs"),
-    )
