@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,29 +14,55 @@ from tracewright.operators.represent import collapse
 TRUTH_FIELDS = ("injected_fault", "ground_truth", "qrels")
 
 
-def score_hypotheses(hyps: DataFrame, traces: DataFrame) -> DataFrame:
-    """Per trace with ground truth: the first hypothesis of highest confidence (algorithm, then rank; no tie break by step) against step, agent and code."""
+def first_codes(labels: DataFrame | None, findings: DataFrame | None) -> DataFrame | None:
+    """(trace_id, code): the first of a trace's labels (trace_id, pos, code), else of its findings (trace_id, pos, code)."""
+    parts = [d.select("trace_id", F.lit(k).alias("_k"), "pos", "code") for k, d in enumerate((labels, findings)) if d is not None]
+    if not parts:
+        return None
+    return reduce(DataFrame.unionByName, parts).groupBy("trace_id").agg(F.min_by("code", F.struct("_k", "pos")).alias("label_code"))
+
+
+def score_hypotheses(hyps: DataFrame, traces: DataFrame, labels: DataFrame | None = None, findings: DataFrame | None = None, recovered: DataFrame | None = None, improved: DataFrame | None = None) -> DataFrame:
+    """Per trace with ground truth: the first hypothesis of highest confidence (algorithm, then rank; no tie break by step) against step and agent, and the first label's code, or without labels the first finding's, against the code; whether any recovery recovered it (trace_id, recovered), and whether its closed loop improved it (trace_id, improved). What isn't given is no hit."""
     w = Window.partitionBy("trace_id").orderBy(F.col("confidence").desc(), "algo", "rank")
-    top = hyps.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("trace_id", "agent", "step", "code")
+    top = hyps.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("trace_id", "agent", "step")
     j = traces.where("gt_step is not null").select("trace_id", "gt_step", "gt_agent", "gt_code", "gt_kind").join(top, "trace_id", "left")
+    codes = first_codes(labels, findings)
+    j = j.withColumn("label_code", F.lit(None).cast("string")) if codes is None else j.join(codes, "trace_id", "left")
+    for flag, given in (("recovered", recovered), ("improved", improved)):
+        j = j.withColumn(flag, F.lit(False)) if given is None else j.join(given.groupBy("trace_id").agg(F.max(flag).alias(flag)), "trace_id", "left")
     hit = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
-    return j.select("trace_id", "gt_kind", hit("step", "gt_step").alias("step_hit"), hit("agent", "gt_agent").alias("agent_hit"), hit("code", "gt_code").alias("code_hit"))
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("recovered", "improved")]
+    return j.select("trace_id", "gt_kind", hit("step", "gt_step").alias("step_hit"), hit("agent", "gt_agent").alias("agent_hit"), hit("label_code", "gt_code").alias("code_hit"), *flags)
 
 
 def rollup_by_kind(scores: DataFrame) -> DataFrame:
-    """Hits per kind of fault, and in total."""
+    """Hits and recoveries per kind of fault, and in total."""
     n = lambda c: F.sum(F.col(c).cast("long"))
-    r = scores.rollup("gt_kind").agg(F.count("*").alias("total"), n("step_hit").alias("step_hits"), n("agent_hit").alias("agent_hits"), n("code_hit").alias("code_hits"), F.grouping("gt_kind").alias("_g"))
-    return r.select(F.when(F.col("_g") == 1, "total").otherwise(F.col("gt_kind")).alias("kind"), "total", "step_hits", "agent_hits", "code_hits")
-
-
-def compare_stacks(stacks: dict[str, DataFrame], traces: DataFrame) -> DataFrame:
-    """One row of totals per configuration, on the same traces."""
-    out = None
-    for name, hyps in sorted(stacks.items()):
-        row = rollup_by_kind(score_hypotheses(hyps, traces)).where("kind = 'total'").drop("kind").withColumn("config", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    hits = {"step_hits": "step_hit", "agent_hits": "agent_hit", "code_hits": "code_hit", "recovered": "recovered", "improved": "improved"}
+    r = scores.rollup("gt_kind").agg(F.count("*").alias("total"), *(n(c).alias(name) for name, c in hits.items()), F.grouping("gt_kind").alias("_g"))
+    return r.select(F.when(F.col("_g") == 1, "total").otherwise(F.col("gt_kind")).alias("kind"), "total", *hits)
+
+
+def compare_stacks(stacks: dict[str, DataFrame | dict[str, DataFrame]], traces: DataFrame) -> DataFrame:
+    """One row per configuration on the same traces: totals of rollup_by_kind(), n_calls, calls_by_tag (tag=n, by tag) and errors.
+
+    A stack is its hypotheses, or a dict of hyps and any of labels, findings, recovered, improved (as for score_hypotheses()), calls (tag), errors (a row each), and traces. A stack whose own traces are not the given ones is an error: hits would not compare.
+    """
+    out = []
+    for name, stack in sorted(stacks.items()):
+        given = {"hyps": stack} if isinstance(stack, DataFrame) else dict(stack)
+        own, calls, errors = (given.pop(k, None) for k in ("traces", "calls", "errors"))
+        if own is not None:
+            a, b = own.select("trace_id"), traces.select("trace_id")
+            if not a.join(b, "trace_id", "left_anti").isEmpty() or not b.join(a, "trace_id", "left_anti").isEmpty():
+                raise ValueError(f"stack {name} ran on other traces")
+        row = rollup_by_kind(score_hypotheses(traces=traces, **given)).where("kind = 'total'").drop("kind").withColumn("config", F.lit(name))
+        tags = None if calls is None else calls.groupBy("tag").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_calls"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("tag", "n"))), lambda t: F.concat(t["tag"], F.lit("="), t["n"].cast("string"))), ",").alias("calls_by_tag"))
+        row = row.withColumns({"n_calls": F.lit(0).cast("long"), "calls_by_tag": F.lit("")}) if tags is None else row.crossJoin(tags)  # one row each
+        row = row.withColumn("errors", F.lit(0).cast("long")) if errors is None else row.crossJoin(errors.agg(F.count("*").alias("errors")))
+        out.append(row)
+    return reduce(DataFrame.unionByName, out)
 
 
 def baseline_gate(rows: DataFrame, baseline: DataFrame, metrics: tuple[str, ...] = ("step_hits", "agent_hits", "code_hits")) -> DataFrame:
@@ -46,11 +74,20 @@ def baseline_gate(rows: DataFrame, baseline: DataFrame, metrics: tuple[str, ...]
     return out.withColumn("ok", F.when(F.col("metric") == "errors", F.col("value") == 0).otherwise(F.col("value") >= F.col("least")))
 
 
-def run_summary(traces: DataFrame, hyps: DataFrame, reruns: DataFrame) -> DataFrame:
+def run_summary(traces: DataFrame, hyps: DataFrame, reruns: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """One row: traces, failures, traces with a hypothesis, reruns and those that succeeded, and, if given, error rows."""
     t = traces.agg(F.count("*").alias("n_traces"), F.sum((~F.col("success")).cast("long")).alias("n_failed"))
     h = hyps.agg(F.countDistinct("trace_id").alias("n_attributed"))
     r = reruns.agg(F.count("*").alias("n_reruns"), F.coalesce(F.sum(F.col("success").cast("long")), F.lit(0)).alias("n_rerun_ok"))
-    return t.join(h).join(r)
+    out = t.join(h).join(r)  # one row each
+    return out if errors is None else out.join(errors.agg(F.count("*").alias("n_errors")))
+
+
+def run_rounds(rounds: dict[int, tuple[DataFrame, DataFrame, DataFrame, DataFrame]]) -> DataFrame:
+    """run_summary() of every round (traces, hypotheses, reruns, errors), and their sum with round null."""
+    each = reduce(DataFrame.unionByName, [run_summary(*tables).withColumn("round", F.lit(k)) for k, tables in sorted(rounds.items())])
+    names = [c for c in each.columns if c != "round"]
+    return each.rollup("round").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
@@ -116,6 +153,18 @@ def error_tally(errors: DataFrame) -> DataFrame:
     return errors.groupBy("stage", "name").agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))
 
 
+def stage_log(logs: list[DataFrame], errors: list[DataFrame], examples: int = 3, width: int = 120) -> DataFrame:
+    """Per algorithm: traces processed and failed (of quarantine logs), those that came through, and a line that says so with the first few failures by trace."""
+    log = reduce(DataFrame.unionByName, logs)
+    e = reduce(DataFrame.unionByName, errors)
+    place = F.row_number().over(Window.partitionBy("stage", "name").orderBy("trace_id"))
+    few = e.withColumn("_n", place).where(F.col("_n") <= examples)
+    few = few.groupBy("stage", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat(F.coalesce("trace_id", F.lit("?")), F.lit(": "), F.substring("error", 1, width)).alias("s")))), lambda x: x["s"]), "; ").alias("_said"))
+    j = log.join(few, ["stage", "name"], "left").withColumn("ok", F.col("processed") - F.col("failed"))
+    line = F.concat("stage", F.lit("/"), "name", F.lit(" -> "), F.when(F.col("failed") > 0, F.concat(F.col("ok").cast("string"), F.lit("/"))).otherwise(F.lit("")), F.col("processed").cast("string"), F.lit(" traces"), F.when(F.col("failed") > 0, F.concat(F.lit("; "), F.col("failed").cast("string"), F.lit(" isolated: "), "_said")).otherwise(F.lit("")))
+    return j.select("stage", "name", "processed", "failed", "ok", line.alias("line"))
+
+
 def scorecard(hyps: DataFrame, traces: DataFrame, labels: DataFrame | None = None, votes: DataFrame | None = None) -> DataFrame:
     """(metric, hits, total) over traces with ground truth: step, agent and code (where it has one) of each algorithm's first hypothesis; of labels (trace_id, codes in order) the first and any; of votes (trace_id, trial, label, recovered) the first trial's label and whether any recovered."""
     truth = traces.where("gt_step is not null").select("trace_id", "gt_step", "gt_agent", "gt_code")

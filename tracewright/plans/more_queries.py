@@ -16,7 +16,7 @@ from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.classify_queries import CLUSTER_SQL, symptom_texts
 from tracewright.plans.noise import dressed
 from tracewright.plans.registry import trace_query
-from tracewright.plans.recover_queries import TRIAL_SYM_SQL
+from tracewright.plans.recover_queries import SCORE_SQL, TRIAL_SYM_SQL, judged
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, anchored, claim_world
 from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources import formats as f
@@ -175,11 +175,11 @@ def v10(events, traces):
     return v.trial_failures(events)
 
 
-@trace_query("e4_baseline_gate", HYP_SQL + """, tp AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM hy WHERE algo = 'single_pass'), n AS (SELECT count(*) FILTER (tp.step = gt_step) AS s, count(*) FILTER (tp.agent = gt_agent) AS a, count(*) FILTER (tp.code = gt_code) AS c, count(*) AS t FROM tr LEFT JOIN tp ON tp.trace_id = tr.trace_id AND rn = 1 WHERE gt_step IS NOT NULL), er AS (SELECT count(*) AS x FROM ev WHERE k % 50 = 0)
+@trace_query("e4_baseline_gate", SCORE_SQL + """, tp AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM hy WHERE algo = 'single_pass'), n AS (SELECT count(*) FILTER (tp.step = gt_step) AS s, count(*) FILTER (tp.agent = gt_agent) AS a, count(*) FILTER (code_hit) AS c, count(*) AS t FROM tr JOIN sco USING (trace_id) LEFT JOIN tp ON tp.trace_id = tr.trace_id AND rn = 1), er AS (SELECT count(*) AS x FROM ev WHERE k % 50 = 0)
 SELECT 'rules' AS config, 'step_hits' AS metric, s AS value, t // 2 AS least, s >= t // 2 AS ok FROM n UNION ALL SELECT 'rules', 'agent_hits', a, t // 2, a >= t // 2 FROM n UNION ALL SELECT 'rules', 'code_hits', c, t // 2, c >= t // 2 FROM n UNION ALL SELECT 'rules', 'errors', x, 0, x = 0 FROM er UNION ALL SELECT 'extra', 'errors', 0, 0, true FROM er""")
 def e4(events, traces):
     """One stack with a baseline and errors of every fiftieth kind, one that the baseline doesn't know."""
-    rows = durable(e.compare_stacks({"rules": all_hypotheses(events, traces).where("algo = 'single_pass'")}, traces))  # a row for each stack, read three times
+    rows = durable(e.compare_stacks({"rules": {"hyps": all_hypotheses(events, traces).where("algo = 'single_pass'"), **judged(events, traces)}}, traces).drop("errors"))  # a row for each stack, read three times
     half = F.floor(F.col("total") / 2)
     errors = events.where("k % 50 = 0").agg(F.count("*").alias("errors")).withColumn("config", F.lit("rules"))
     more = rows.select(F.lit("extra").alias("config"), *(c for c in rows.columns if c != "config"))

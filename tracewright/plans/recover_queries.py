@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tracewright.operators import classify as c
 from tracewright.operators import evaluate as e
+from tracewright.operators import quarantine as q
 from tracewright.operators import recover as v
 from tracewright.operators import represent as r
 from tracewright.plans.analyze_queries import SYM_SQL
@@ -97,26 +99,92 @@ def v11(events, traces):
     return v.interventions(v.trial_failures(events), events)
 
 
-SCORE_SQL = HYP_SQL + """,
+SCORE_SQL = HYP_SQL + ", " + RERUN_SQL + """,
 top AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM hy),
-sco AS (SELECT tr.trace_id, gt_kind, coalesce(top.step = gt_step, false) AS step_hit, coalesce(top.agent = gt_agent, false) AS agent_hit, coalesce(top.code = gt_code, false) AS code_hit FROM tr LEFT JOIN top ON top.trace_id = tr.trace_id AND rn = 1 WHERE gt_step IS NOT NULL)"""
+lf AS (SELECT trace_id, CASE CAST(regexp_extract(trace_id, '^u(\\d+)w', 1) AS INT) % 3 WHEN 0 THEN min_by(code, rule_no) WHEN 1 THEN max_by(code, rule_no) END AS code FROM sy GROUP BY trace_id),
+rec AS (SELECT trace_id, bool_or(success) AS recovered FROM (SELECT rerun_of AS trace_id, success, row_number() OVER (PARTITION BY rerun_of ORDER BY seq, ru.trace_id) AS round FROM ru) WHERE round <= 3 GROUP BY trace_id),
+imp AS (SELECT rerun_of AS trace_id, max_by(success, seq) AS improved FROM ru GROUP BY rerun_of),
+sco AS (SELECT tr.trace_id, gt_kind, coalesce(top.step = gt_step, false) AS step_hit, coalesce(top.agent = gt_agent, false) AS agent_hit, coalesce(lf.code = gt_code, false) AS code_hit, coalesce(recovered, false) AS recovered, coalesce(improved, false) AS improved
+  FROM tr LEFT JOIN top ON top.trace_id = tr.trace_id AND rn = 1 LEFT JOIN lf ON lf.trace_id = tr.trace_id LEFT JOIN rec ON rec.trace_id = tr.trace_id LEFT JOIN imp ON imp.trace_id = tr.trace_id WHERE gt_step IS NOT NULL)"""
+
+
+def judged(events, traces):
+    """Labels of every third user's traces in order of rules, findings of those and of the next in reverse order, none of the others; recoveries and closed loops of reruns."""
+    s = c.symptoms(events).withColumn("u", F.regexp_extract("trace_id", r"^u(\d+)w", 1).cast("int") % 3)
+    reruns = reruns_of(traces)
+    return {"labels": s.where("u = 0").select("trace_id", F.col("rule_no").alias("pos"), "code"), "findings": s.where("u < 2").select("trace_id", (-F.col("rule_no")).alias("pos"), "code"), "recovered": v.attempt_ledger(reruns), "improved": v.verify_closed_loop(reruns)}
 
 
 @trace_query("e1_gt_evaluation", SCORE_SQL + " SELECT * FROM sco")
 def e1(events, traces):
-    return e.score_hypotheses(all_hypotheses(events, traces), traces)
+    return e.score_hypotheses(all_hypotheses(events, traces), traces, **judged(events, traces))
 
 
-@trace_query("e2_kind_rollup", SCORE_SQL + " SELECT coalesce(gt_kind, 'total') AS kind, count(*) AS total, count(*) FILTER (step_hit) AS step_hits, count(*) FILTER (agent_hit) AS agent_hits, count(*) FILTER (code_hit) AS code_hits FROM sco GROUP BY ROLLUP (gt_kind)")
+@trace_query("e2_kind_rollup", SCORE_SQL + " SELECT coalesce(gt_kind, 'total') AS kind, count(*) AS total, count(*) FILTER (step_hit) AS step_hits, count(*) FILTER (agent_hit) AS agent_hits, count(*) FILTER (code_hit) AS code_hits, count(*) FILTER (recovered) AS recovered, count(*) FILTER (improved) AS improved FROM sco GROUP BY ROLLUP (gt_kind)")
 def e2(events, traces):
-    return e.rollup_by_kind(e.score_hypotheses(all_hypotheses(events, traces), traces))
+    return e.rollup_by_kind(e.score_hypotheses(all_hypotheses(events, traces), traces, **judged(events, traces)))
 
 
-@trace_query("e3_stack_comparison", HYP_SQL + """, st AS (SELECT 'rules' AS config, * FROM hy WHERE algo = 'single_pass' UNION ALL SELECT 'spectrum', * FROM hy WHERE algo = 'sbfl'), tp AS (SELECT *, row_number() OVER (PARTITION BY config, trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM st), cf AS (SELECT unnest(['rules', 'spectrum']) AS config)
-SELECT cf.config, count(*) AS total, count(*) FILTER (tp.step = gt_step) AS step_hits, count(*) FILTER (tp.agent = gt_agent) AS agent_hits, count(*) FILTER (tp.code = gt_code) AS code_hits FROM tr CROSS JOIN cf LEFT JOIN tp ON tp.trace_id = tr.trace_id AND tp.config = cf.config AND rn = 1 WHERE gt_step IS NOT NULL GROUP BY cf.config""")
+@trace_query("e3_stack_comparison", SCORE_SQL + """, st AS (SELECT 'rules' AS config, * FROM hy WHERE algo = 'single_pass' UNION ALL SELECT 'spectrum', * FROM hy WHERE algo = 'sbfl'), tp AS (SELECT *, row_number() OVER (PARTITION BY config, trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM st), cf AS (SELECT unnest(['rules', 'spectrum']) AS config)
+SELECT cf.config, count(*) AS total, count(*) FILTER (tp.step = gt_step) AS step_hits, count(*) FILTER (tp.agent = gt_agent) AS agent_hits, count(*) FILTER (cf.config = 'rules' AND code_hit) AS code_hits, count(*) FILTER (cf.config = 'rules' AND recovered) AS recovered, count(*) FILTER (cf.config = 'rules' AND improved) AS improved,
+  CASE WHEN cf.config = 'rules' THEN (SELECT count(*) FROM ev) ELSE 0 END AS n_calls, CASE WHEN cf.config = 'rules' THEN (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM ev GROUP BY kind)) ELSE '' END AS calls_by_tag, CASE WHEN cf.config = 'rules' THEN (SELECT count(*) FROM ev WHERE k % 50 = 0) ELSE 0 END AS errors
+FROM tr JOIN sco USING (trace_id) CROSS JOIN cf LEFT JOIN tp ON tp.trace_id = tr.trace_id AND tp.config = cf.config AND rn = 1 GROUP BY cf.config""")
 def e3(events, traces):
+    """Two stacks; the calls of the first are tagged by the kinds of events, its errors are of every fiftieth kind."""
     h = all_hypotheses(events, traces)
-    return e.compare_stacks({"rules": h.where("algo = 'single_pass'"), "spectrum": h.where("algo = 'sbfl'")}, traces)
+    rules = {"hyps": h.where("algo = 'single_pass'"), "calls": events.select(F.col("kind").alias("tag")), "errors": events.where("k % 50 = 0"), "traces": traces, **judged(events, traces)}
+    return e.compare_stacks({"rules": rules, "spectrum": h.where("algo = 'sbfl'")}, traces)
+
+
+@trace_query("e5_run_rounds", HYP_SQL + ", " + RERUN_SQL + """, rnd AS (SELECT trace_id, success, CAST(time_window >= 'w5' AS INT) AS round FROM tr), al AS (SELECT unnest([0, 1]) AS round),
+sm AS (SELECT al.round, (SELECT count(*) FROM rnd WHERE rnd.round = al.round) AS n_traces, (SELECT count(*) FROM rnd WHERE rnd.round = al.round AND NOT success) AS n_failed, (SELECT count(DISTINCT trace_id) FROM hy JOIN rnd USING (trace_id) WHERE rnd.round = al.round) AS n_attributed,
+  (SELECT count(*) FROM ru JOIN rnd ON rnd.trace_id = ru.rerun_of WHERE rnd.round = al.round) AS n_reruns, (SELECT count(*) FROM ru JOIN rnd ON rnd.trace_id = ru.rerun_of WHERE rnd.round = al.round AND ru.success) AS n_rerun_ok, (SELECT count(DISTINCT trace_id) FROM ev JOIN rnd USING (trace_id) WHERE rnd.round = al.round AND k % 50 = 0) AS n_errors FROM al)
+SELECT round, CAST(sum(n_traces) AS BIGINT) AS n_traces, CAST(sum(n_failed) AS BIGINT) AS n_failed, CAST(sum(n_attributed) AS BIGINT) AS n_attributed, CAST(sum(n_reruns) AS BIGINT) AS n_reruns, CAST(sum(n_rerun_ok) AS BIGINT) AS n_rerun_ok, CAST(sum(n_errors) AS BIGINT) AS n_errors FROM sm GROUP BY ROLLUP (round)""")
+def e5_rounds(events, traces):
+    """Windows from the fifth on are the second round; a trace with an event of every fiftieth kind is an error."""
+    second = lambda d, key="trace_id": d.withColumn("_r", F.regexp_extract(key, r"w(\d+)$", 1).cast("int") >= 5)
+    split = q.quarantine(events, "represent", "canonical_events", [(F.col("k") % 50 == 0, "bad event")])
+    tables = [second(traces), second(all_hypotheses(events, traces)), second(reruns_of(traces), "rerun_of"), second(split.errors)]
+    return e.run_rounds({k: tuple(t.where(F.col("_r") == bool(k)) for t in tables) for k in (0, 1)})
+
+
+@trace_query("e13_stage_log", """b AS (SELECT 'represent' AS stage, 'canonical_events' AS name, trace_id, 'a span without an id' AS error FROM ev WHERE k % 50 = 0 UNION ALL SELECT 'import', 'observations', trace_id, 'observation without an id, named ' || coalesce(action, 'nothing') FROM ev WHERE k % 40 = 1
+  UNION ALL SELECT 'analyze', 'judge_eval', trace_id, CASE WHEN k % 2 = 0 THEN 'unclosed' ELSE 'no object' END FROM ev WHERE idx = 0 AND k % 7 = 3 UNION ALL SELECT 'recover', 'score_writer', trace_id, n || ' source spans for ' || (n + 1) || ' events' FROM (SELECT trace_id, count(*) - 1 AS n FROM ev GROUP BY trace_id HAVING count(*) % 4 = 1)),
+f AS (SELECT stage, name, trace_id, min(error) AS error FROM b GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY stage, name ORDER BY trace_id) AS o FROM f),
+h AS (SELECT stage, name, count(*) AS failed, string_agg(trace_id || ': ' || error, '; ' ORDER BY o) FILTER (o <= 3) AS said FROM g GROUP BY ALL), n AS (SELECT count(DISTINCT trace_id) AS processed FROM ev)
+SELECT stage, name, processed, failed, processed - failed AS ok, stage || '/' || name || ' -> ' || (processed - failed) || '/' || processed || ' traces; ' || failed || ' isolated: ' || said AS line FROM h CROSS JOIN n""")
+def e13_log(events, traces):
+    """Spans and observations without ids, answers without an object, lists that are too short: each keeps its trace out of its step alone."""
+    splits = [checked_world(events)[1], q.checked_observations(observed(events))[1], q.checked_answers(answered(events), "judge_eval"), q.checked_sources(events, listed(events))[1]]
+    return e.stage_log([s.log for s in splits], [s.errors for s in splits])
+
+
+def checked_world(events):
+    span_id = F.when(F.col("k") % 50 != 0, F.concat(F.lit("s"), F.col("idx").cast("string")))
+    parent = F.when(F.col("idx") > 0, F.concat(F.lit("s"), F.floor((F.col("idx") - 1) / 2).cast("string")))
+    return q.checked_spans(events.select("trace_id", span_id.alias("span_id"), parent.alias("parent_span_id"), F.col("idx").alias("ordinal")))
+
+
+def observed(events):
+    none = F.lit(None).cast("string")
+    return events.select("trace_id", F.when(F.col("k") % 40 != 1, F.col("id")).otherwise(F.lit("")).alias("id"), F.col("action").alias("name"), F.lit("SPAN").alias("type"), *(none.alias(c) for c in ("parent_id", "start_time", "input", "output", "level", "metadata", "top")))
+
+
+def answered(events):
+    return events.where("idx = 0").select("trace_id", F.when(F.col("k") % 7 != 3, '{"score": 1}').when(F.col("k") % 2 == 0, '{"score": 1').otherwise("I can't say").alias("response"))
+
+
+def listed(events):
+    ids = F.transform(F.array_sort(F.collect_list("idx")), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    return events.groupBy("trace_id").agg(ids.alias("s")).select("trace_id", F.when(F.size("s") % 4 == 1, F.slice("s", F.lit(1), F.size("s") - 1)).otherwise(F.col("s")).alias("source_span_ids"))
+
+
+@trace_query("x6_quarantined_spans", """bad AS (SELECT trace_id, count(*) AS n_rows FROM ev WHERE k % 50 = 0 GROUP BY ALL) SELECT ev.trace_id, 'whole' AS status, count(*) AS n, CAST(max(CAST(floor(log2(idx + 1)) AS INT)) + 1 AS INT) AS depth FROM ev WHERE trace_id NOT IN (SELECT trace_id FROM bad) GROUP BY ev.trace_id UNION ALL SELECT trace_id, 'a span without an id', n_rows, NULL FROM bad""")
+def x6(events, traces):
+    """Heap-shaped span trees, some of whose spans have no id: these traces give error rows, all others are flattened."""
+    flat, split = checked_world(events)
+    whole = flat.groupBy("trace_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).select("trace_id", F.lit("whole").alias("status"), "n", "depth")
+    return whole.unionByName(split.errors.select("trace_id", F.col("error").alias("status"), F.col("n_rows").alias("n"), F.lit(None).cast("int").alias("depth")))
 
 
 @trace_query("e5_run_summary", HYP_SQL + ", " + RERUN_SQL + " SELECT (SELECT count(*) FROM tr) AS n_traces, (SELECT count(*) FROM tr WHERE NOT success) AS n_failed, (SELECT count(DISTINCT trace_id) FROM hy) AS n_attributed, (SELECT count(*) FROM ru) AS n_reruns, (SELECT count(*) FROM ru WHERE success) AS n_rerun_ok")
