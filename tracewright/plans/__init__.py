@@ -5,7 +5,7 @@ from __future__ import annotations
 
 def _load():
     from tracewright.plans import registry
-    from tracewright.plans import analyze_queries, answer_queries, attribute_queries, classify_queries, more_queries, recover_queries, represent_queries, source_queries  # noqa: F401
+    from tracewright.plans import analyze_queries, answer_queries, attribute_queries, classify_queries, more_queries, recover_queries, represent_queries, source_queries, stream_queries  # noqa: F401
 
     return registry
 
