@@ -240,7 +240,7 @@ def stage_sections(events: DataFrame) -> DataFrame:
 
 
 def suspicious_stages(events: DataFrame, most: int = 3) -> DataFrame:
-    """Stages to look into: first those with a section of two steps of the same first three words (agent, action, start of the argument: a loop), then those with an error word in a summary; each once, `most` a trace. Columns: stage, why, rank."""
+    """Stages to look into: first those with a section of two steps of the same first three words (agent, action, start of the argument: a loop), then those with an error word in a summary, in which what came back stands; each once, `most` a trace. Columns: stage, why, rank."""
     s = stage_sections(events)
     prefix = F.array_join(F.slice(F.split("summary", " "), 1, 3), " ")
     loop = s.groupBy("trace_id", "section", "stage", prefix.alias("prefix")).agg(F.count("*").alias("n")).where("n >= 2").select("trace_id", "section", "stage", F.lit(0).alias("o"))

@@ -49,13 +49,17 @@ def invalid_outputs(events: DataFrame) -> DataFrame:
     return _finding(v.select("trace_id", F.col("d.i").alias("step"), F.col("d.a").alias("agent")), "invalid_output")
 
 
-def no_progress(sigs: DataFrame, loops: DataFrame, searches: DataFrame, min_repeats: int = 3) -> DataFrame:
-    """Loop hits at their onset, and reads repeated min_repeats times at the second."""
+def no_progress(sigs: DataFrame, loops: DataFrame | None = None, searches: DataFrame | None = None, min_repeats: int = 3) -> DataFrame:
+    """Loop hits at their onset, and reads of which min_repeats are the same, at the first of them. Without tables of loops, searches are counted like reads."""
+    w = Window.partitionBy("trace_id", "signature")
+    classes = ("FILE_READ",) if loops is not None else ("SEARCH", "FILE_READ")
+    reads = sigs.where(F.col("action_class").isin(*classes)).withColumns({"n": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("idx"))}).where((F.col("n") >= min_repeats) & (F.col("nth") == 1))
+    reads = _finding(reads, "no_progress_loop", "idx")
+    if loops is None:
+        return reads
     who = sigs.select("trace_id", F.col("idx").alias("step"), "agent")
     hits = loops.select("trace_id", F.coalesce("onset", "start_idx").alias("step")).unionByName(searches.select("trace_id", F.col("start_idx").alias("step")))
-    w = Window.partitionBy("trace_id", "signature")
-    reads = sigs.where("action_class = 'FILE_READ'").withColumns({"n": F.count("*").over(w), "nth": F.row_number().over(w.orderBy("idx"))}).where((F.col("n") >= min_repeats) & (F.col("nth") == 2))
-    return _finding(hits.join(who, ["trace_id", "step"], "left"), "no_progress_loop").unionByName(_finding(reads, "no_progress_loop", "idx"))
+    return _finding(hits.join(who, ["trace_id", "step"], "left"), "no_progress_loop").unionByName(reads)
 
 
 def rule_findings(events: DataFrame, sigs: DataFrame, loops: DataFrame, searches: DataFrame) -> DataFrame:

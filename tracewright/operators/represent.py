@@ -5,6 +5,8 @@ Inputs are DataFrames in the shapes of tracewright.model. All per-trace windows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -119,11 +121,12 @@ def canonical_stats(events: DataFrame) -> DataFrame:
     return firsts.groupBy("trace_id").agg(F.sum("n").alias("n_events"), F.sum("r").alias("n_refs"), agents.alias("agents"))
 
 
-def fold(events: DataFrame, min_fold: int = 120, digest: int = 100) -> DataFrame:
-    """Decision for every TOOL_RESULT with content: keep_error, keep_patch, keep_short, or a fold with its running number and digest."""
+def fold(events: DataFrame, min_fold: int = 120, digest: int = 100, loose: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Decision for every TOOL_RESULT with content: keep_error (an error observation, any of the extra keywords in any case, or, if loose, any failure word), keep_patch, keep_short, or a fold with its running number and digest."""
     e = events.where("kind = 'TOOL_RESULT' and coalesce(content, '') <> ''")
     c = F.col("content")
-    how = F.when(c.rlike(ERROR_OBS) | c.rlike(FAILURE_WORD), "keep_error").when(c.rlike(DIFF_MARK), "keep_patch").when(F.length(c) <= min_fold, "keep_short").otherwise("fold")
+    wrong = [c.rlike(ERROR_OBS), *(F.contains(F.lower(c), F.lit(k.lower())) for k in extra), *([c.rlike(FAILURE_WORD)] if loose else [])]
+    how = F.when(reduce(lambda a, b: a | b, wrong), "keep_error").when(c.rlike(DIFF_MARK), "keep_patch").when(F.length(c) <= min_fold, "keep_short").otherwise("fold")
     e = e.select("trace_id", "idx", "content", how.alias("decision"))
     n = F.sum((F.col("decision") == "fold").cast("int")).over(upto())
     fid = F.when(F.col("decision") == "fold", F.concat(F.lit("F"), n.cast("string")))
@@ -131,6 +134,15 @@ def fold(events: DataFrame, min_fold: int = 120, digest: int = 100) -> DataFrame
     return e.select("trace_id", "idx", "decision", fid.alias("fid"), text.alias("placeholder"), "content")
 
 
+def fold_stats(events: DataFrame, folds: DataFrame) -> DataFrame:
+    """Per trace: tool results (empty ones too), how many were folded or kept and why, and the share that was folded, to 4 digits."""
+    n = events.groupBy("trace_id").agg(F.count_if(F.col("kind") == "TOOL_RESULT").alias("n_tool_results"))
+    kinds = {"n_folded": "fold", "n_kept_error": "keep_error", "n_kept_patch": "keep_patch", "n_kept_short": "keep_short"}
+    k = folds.groupBy("trace_id").agg(*(F.count_if(F.col("decision") == v).alias(c) for c, v in kinds.items()))
+    j = n.join(k, "trace_id", "left").na.fill(0, list(kinds))
+    return j.withColumn("fold_ratio", F.when(F.col("n_tool_results") > 0, F.round(F.col("n_folded") / F.col("n_tool_results"), 4)).otherwise(0.0))
+
+
 def unfold(lines: DataFrame, folds: DataFrame) -> DataFrame:
     """lines (trace_id, idx, line) with placeholders replaced by the folded content. A line whose fold is missing gets null in `line` and true in `missing`."""
     fid = F.regexp_extract("line", r"⟦folded:(\w+) \| .*⟧", 1)
@@ -197,14 +209,23 @@ def anchor_sets(signatures: DataFrame, traces: DataFrame) -> DataFrame:
 
 
 def judge_by_anchor(signatures: DataFrame, documents: DataFrame, traces: DataFrame) -> DataFrame:
-    """signatures with n_anchor (documents of the task's anchor; null without one), hit (a read of one, or a search whose result names one between signs that aren't letters or digits) and effect: reads and searches that didn't fail are JUSTIFIED by a hit, else OFF-ANCHOR.
+    """signatures with n_anchor (documents of the task's anchor; null without one), hit (a read of one, or a search whose result names one, whatever signs its id has, not inside a longer run of letters and digits; ids have one of either) and effect: reads and searches that didn't fail are JUSTIFIED by a hit, else OFF-ANCHOR.
 
     Anchors stay rows: what a trace reads or is shown meets them in one equi-join on task and document, before hits go back to the signatures. So no array grows with a task, and a hot task is split like any key.
     """
     task = traces.select("trace_id", "task_id").join(documents.groupBy("task_id").agg(F.count("*").alias("n_anchor")), "task_id").select("trace_id", "task_id", "n_anchor")
-    look = F.when(F.col("action_class") == "FILE_READ", F.array("target")).otherwise(F.array_distinct(F.regexp_extract_all(F.coalesce("tool_result_content", F.lit("")), F.lit("[0-9A-Za-z]+"), F.lit(0))))
-    seen = signatures.where("action_class in ('FILE_READ', 'SEARCH') and effect <> 'FAILED'").join(task, "trace_id").select("trace_id", "id", "task_id", F.explode(look).alias("document"))
-    hits = seen.join(documents, ["task_id", "document"], "left_semi").select("trace_id", "id", F.lit(True).alias("hit")).distinct()
+    runs = F.size(F.regexp_extract_all("document", F.lit("[0-9A-Za-z]+"), F.lit(0)))
+    # how many runs of letters and digits ids have: one, or a few
+    sizes = sorted(r[0] for r in documents.select(runs.alias("n")).distinct().collect() if r[0])
+    said = F.coalesce("tool_result_content", F.lit(""))
+    spans = [F.regexp_extract_all(said, F.lit(rf"(?<![0-9A-Za-z])(?=([0-9A-Za-z]+(?:[^0-9A-Za-z]+[0-9A-Za-z]+){{{n - 1}}})(?![0-9A-Za-z]))"), F.lit(1)) for n in sizes]
+    look = F.when(F.col("action_class") == "FILE_READ", F.array("target")).otherwise(F.array_distinct(F.concat(*spans)) if spans else F.array().cast("array<string>"))
+    seen = signatures.where("action_class in ('FILE_READ', 'SEARCH') and effect <> 'FAILED'").join(task, "trace_id").select("trace_id", "id", "task_id", "action_class", said.alias("said"), F.explode(look).alias("core"))
+    core = F.regexp_replace("document", "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
+    reads = seen.where("action_class = 'FILE_READ'").join(documents.select("task_id", F.col("document").alias("core")), ["task_id", "core"], "left_semi")
+    shown = seen.where("action_class = 'SEARCH'").join(documents.select("task_id", "document", core.alias("core")), ["task_id", "core"])
+    shown = shown.where(F.col("document").eqNullSafe(F.col("core")) | F.expr(r"rlike(said, concat('(?<![0-9A-Za-z])\\Q', document, '\\E(?![0-9A-Za-z])'))"))
+    hits = reads.select("trace_id", "id").unionByName(shown.select("trace_id", "id")).distinct().withColumn("hit", F.lit(True))
     s = signatures.join(task.select("trace_id", "n_anchor"), "trace_id", "left").join(hits, ["trace_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     judged = F.col("n_anchor").isNotNull() & F.col("action_class").isin("FILE_READ", "SEARCH") & (F.col("effect") != "FAILED")
     return s.withColumn("effect", F.when(judged, F.when(F.col("hit"), "JUSTIFIED").otherwise("OFF-ANCHOR")).otherwise(F.col("effect")))
@@ -288,13 +309,15 @@ def step_tree(events: DataFrame, explore: tuple[str, ...] = EXPLORE) -> DataFram
 
 
 def step_summaries(events: DataFrame) -> DataFrame:
-    """Per step: summary (agent, action, first payload field; cut at 60) and outcome (observations up to the next step, joined, cut at 100)."""
+    """Per step: summary (agent, action or kind, first payload field as key=value; cut at 60; then what came back, cut at 100 in all) and outcome (starts of the observations up to the next step, joined)."""
     group = F.last(F.when(F.col("kind").isin(*STEP_KINDS), F.col("idx")), ignorenulls=True).over(upto())
     e = events.withColumn("step", group).where("step is not null")
-    obs = F.transform(F.array_sort(F.collect_list(F.when((F.col("idx") != F.col("step")) & (F.coalesce("content", F.lit("")) != ""), F.struct("idx", "content")))), lambda o: o["content"])
-    field = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("query", "doc_id", "answer", "to_agent")), F.substring(F.coalesce("content", F.lit("")), 1, 30))
-    summary = F.substring(F.concat_ws(" ", "agent", F.coalesce("action", "kind"), field), 1, 60)
-    return e.groupBy("trace_id", "step").agg(F.max(F.when(F.col("idx") == F.col("step"), summary)).alias("summary"), F.substring(F.array_join(obs, " | "), 1, 100).alias("outcome"))
+    obs = F.transform(F.array_sort(F.collect_list(F.when((F.col("idx") != F.col("step")) & (F.coalesce("content", F.lit("")) != ""), F.struct("idx", "content")))), lambda o: F.substring(o["content"], 1, 40))
+    keys = {"query": "query", "doc_id": "doc_id", "answer": "answer", "to_agent": "to", "content": "content"}
+    field = F.coalesce(*(F.when(F.col(c) != "", F.concat(F.lit(f"{k}="), F.substring(c, 1, 30))) for c, k in keys.items()))
+    summary = F.substring(F.concat_ws(" ", "agent", F.coalesce(F.nullif("action", F.lit("")), F.lower("kind")), field), 1, 60)
+    s = e.groupBy("trace_id", "step").agg(F.max(F.when(F.col("idx") == F.col("step"), summary)).alias("summary"), F.array_join(obs, " | ").alias("outcome"))
+    return s.withColumn("summary", F.when(F.col("outcome") != "", F.substring(F.concat("summary", F.lit(" -> "), "outcome"), 1, 100)).otherwise(F.col("summary")))
 
 
 def stage_ranges(events: DataFrame) -> DataFrame:
@@ -328,24 +351,26 @@ def subtasks(events: DataFrame) -> DataFrame:
 
 
 def agent_nodes(events: DataFrame) -> DataFrame:
-    """Per subtask and agent: first observation, thought, action and result, and its steps. Results and verdicts belong to the agent of their first ref."""
+    """Per subtask and agent: first observation (TOOL_RESULT), thought (LLM_CALL), action (TOOL_CALL) and result (VERIFIER), and its steps: events of these four kinds. Results and verdicts belong to the agent of their first ref, and to nobody if there is none such; the environment and verifiers have no node."""
     s = with_subtask(events)
     who = s.select("trace_id", F.col("id").alias("_ref"), F.col("agent").alias("_owner"))
     s = s.withColumn("_ref", F.when(F.col("kind").isin("TOOL_RESULT", "VERIFIER") & (F.size("refs") > 0), F.col("refs")[0])).join(who, ["trace_id", "_ref"], "left")
-    s = s.withColumn("owner", F.when(F.col("kind").isin("TOOL_RESULT", "VERIFIER"), F.coalesce("_owner", "agent")).otherwise(F.col("agent"))).where("owner not in ('env', 'verifier')")
+    s = s.withColumn("owner", F.when(F.col("kind").isin("TOOL_RESULT", "VERIFIER"), F.col("_owner")).otherwise(F.col("agent"))).where("owner not in ('env', 'verifier') and kind in ('TOOL_RESULT', 'LLM_CALL', 'TOOL_CALL', 'VERIFIER')")
     at = lambda *kinds: F.min(F.when(F.col("kind").isin(*kinds), F.col("idx")))
     return s.groupBy("trace_id", "subtask", F.col("owner").alias("agent")).agg(
-        at("TOOL_RESULT").alias("observation"), at("LLM_CALL").alias("thought"), at("TOOL_CALL", "HANDOFF", "AGENT_MESSAGE").alias("action"), at("VERIFIER").alias("result"), F.array_join(F.sort_array(F.collect_list("idx")).cast("array<string>"), ",").alias("steps"),
+        at("TOOL_RESULT").alias("observation"), at("LLM_CALL").alias("thought"), at("TOOL_CALL").alias("action"), at("VERIFIER").alias("result"), F.array_join(F.sort_array(F.collect_list("idx")).cast("array<string>"), ",").alias("steps"),
     )
 
 
 def hcg_edges(events: DataFrame) -> DataFrame:
-    """(trace_id, level, src, dst): adjacent subtasks, handoffs between agents, references between steps."""
+    """(trace_id, level, src, dst, subtask, step): adjacent subtasks, handoffs between agents (each with its subtask and step), references between steps."""
     sub = subtasks(events).withColumn("nxt", F.lead("subtask").over(Window.partitionBy("trace_id").orderBy("subtask"))).where("nxt is not null")
     name = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
-    hand = events.where("kind = 'HANDOFF'").select("trace_id", F.lit("agent").alias("level"), F.col("agent").alias("src"), F.when(F.coalesce("to_agent", F.lit("")) == "", "?").otherwise(F.col("to_agent")).alias("dst"))
+    where = with_subtask(events).where("kind = 'HANDOFF'")
+    hand = where.select("trace_id", F.lit("agent").alias("level"), F.col("agent").alias("src"), F.when(F.coalesce("to_agent", F.lit("")) == "", "?").otherwise(F.col("to_agent")).alias("dst"), name("subtask").alias("subtask"), F.col("idx").cast("int").alias("step"))
     step = graph_edges(events, nodes_only=False).select("trace_id", F.lit("step").alias("level"), "src", "dst")
-    return sub.select("trace_id", F.lit("subtask").alias("level"), name("subtask").alias("src"), name("nxt").alias("dst")).unionByName(hand).unionByName(step)
+    bare = lambda d: d.withColumns({"subtask": F.lit(None).cast("string"), "step": F.lit(None).cast("int")})
+    return bare(sub.select("trace_id", F.lit("subtask").alias("level"), name("subtask").alias("src"), name("nxt").alias("dst"))).unionByName(hand).unionByName(bare(step))
 
 
 def rule_claims(events: DataFrame, traces: DataFrame, most: int = 5) -> DataFrame:

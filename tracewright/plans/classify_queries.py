@@ -21,7 +21,7 @@ c1 AS (SELECT trace_id, 'malformed_tool_call' AS rule, idx AS step, agent, 'FM-2
 c2 AS (SELECT trace_id, 'premature_success_claim' AS rule, coalesce(di, idx) AS step, coalesce(da, agent) AS agent, 'FM-3.1' AS code FROM b0 WHERE action = 'submit' AND coalesce(okread, 0) = 0),
 c3 AS (SELECT trace_id, 'invalid_output' AS rule, min_by(di, idx) AS step, min_by(da, idx) AS agent, 'FM-1.1' AS code FROM b0 WHERE kind = 'VERIFIER' AND content LIKE 'failed%' AND regexp_matches(content, '(?i)missing|required|format|citation|invalid') AND di IS NOT NULL GROUP BY trace_id),
 rp AS (SELECT trace_id, idx, agent, count(*) OVER (PARTITION BY trace_id, signature) AS n, row_number() OVER (PARTITION BY trace_id, signature ORDER BY idx) AS nth FROM sg WHERE action_class = 'FILE_READ'),
-c4 AS (SELECT h.trace_id, 'no_progress_loop' AS rule, h.step, sg.agent, 'FM-1.3' AS code FROM (SELECT trace_id, coalesce(onset, start_idx) AS step FROM lo UNION ALL SELECT trace_id, start_idx FROM rs) h LEFT JOIN sg ON sg.trace_id = h.trace_id AND sg.idx = h.step UNION ALL SELECT trace_id, 'no_progress_loop', idx, agent, 'FM-1.3' FROM rp WHERE n >= 3 AND nth = 2)
+c4 AS (SELECT h.trace_id, 'no_progress_loop' AS rule, h.step, sg.agent, 'FM-1.3' AS code FROM (SELECT trace_id, coalesce(onset, start_idx) AS step FROM lo UNION ALL SELECT trace_id, start_idx FROM rs) h LEFT JOIN sg ON sg.trace_id = h.trace_id AND sg.idx = h.step UNION ALL SELECT trace_id, 'no_progress_loop', idx, agent, 'FM-1.3' FROM rp WHERE n >= 3 AND nth = 1)
 """
 
 
@@ -50,6 +50,11 @@ def c4(events, traces):
     return c.no_progress(*loops_of(events))
 
 
+@trace_query("c4_without_loop_tables", RULE_SQL + "SELECT trace_id, 'no_progress_loop' AS rule, min(idx) AS step, min_by(agent, idx) AS agent, 'FM-1.3' AS code FROM sg WHERE action_class IN ('SEARCH', 'FILE_READ') GROUP BY trace_id, signature HAVING count(*) >= 3")
+def c4_alone(events, traces):
+    return c.no_progress(r.sign_actions(events))
+
+
 @trace_query("c5_rule_findings", RULE_SQL + "SELECT *, 0 AS rule_order, 0.9::DOUBLE AS confidence FROM c1 UNION ALL SELECT *, 1, 0.9 FROM c2 UNION ALL SELECT *, 2, 0.9 FROM c3 UNION ALL SELECT *, 3, 0.9 FROM c4")
 def c5(events, traces):
     return c.rule_findings(events, *loops_of(events))

@@ -93,8 +93,19 @@ def r6_kinds(events, traces):
 
 
 FOLD_SQL = r"""
-fd AS (SELECT *, CASE WHEN regexp_matches(content, '(?i)^\s*(error|exception|traceback|fatal|failed)\b') OR regexp_matches(content, '(?i)\b(error|exception|traceback|invalid|denied|failed|fail|missing|exhausted|timeout)\b') THEN 'keep_error' WHEN length(content) <= 120 THEN 'keep_short' ELSE 'fold' END AS decision FROM ev WHERE kind = 'TOOL_RESULT' AND content <> ''),
+fd AS (SELECT *, CASE WHEN regexp_matches(content, '(?i)^\s*(error|exception|traceback|fatal|failed)\b') THEN 'keep_error' WHEN length(content) <= 120 THEN 'keep_short' ELSE 'fold' END AS decision FROM ev WHERE kind = 'TOOL_RESULT' AND content <> ''),
 fn AS (SELECT trace_id, idx, decision, content, CASE WHEN decision = 'fold' THEN 'F' || sum(CAST(decision = 'fold' AS INT)) OVER (PARTITION BY trace_id ORDER BY idx) END AS fid FROM fd)"""
+#: Long results of every kind: with failure words inside, with a diff, with an extra keyword, plain; and empty ones.
+RESULT_WORLD = """
+fw AS (SELECT trace_id, idx, CASE k % 6 WHEN 0 THEN 'the import failed: ' || repeat('x ', 80) WHEN 1 THEN repeat('y ', 70) || chr(10) || '@@ -1,2 +3 @@' WHEN 2 THEN 'Quota Reached ' || repeat('z ', 80) WHEN 3 THEN '' WHEN 4 THEN ' ERROR: gone ' || repeat('w ', 80) ELSE repeat('plain ', 40) END AS content FROM ev WHERE kind = 'TOOL_RESULT'),
+"""
+_DECIDE = "CASE WHEN regexp_matches(content, '(?i)^\\s*(error|exception|traceback|fatal|failed)\\b') OR {more} THEN 'keep_error' WHEN regexp_matches(content, '@@ -1') THEN 'keep_patch' WHEN length(content) <= 120 THEN 'keep_short' ELSE 'fold' END"
+
+
+def result_world(events):
+    k, x = F.col("k"), lambda c: F.repeat(F.lit(c), 80)
+    text = F.when(k % 6 == 0, F.concat(F.lit("the import failed: "), x("x "))).when(k % 6 == 1, F.concat(F.repeat(F.lit("y "), 70), F.lit("\n@@ -1,2 +3 @@"))).when(k % 6 == 2, F.concat(F.lit("Quota Reached "), x("z "))).when(k % 6 == 3, "").when(k % 6 == 4, F.concat(F.lit(" ERROR: gone "), x("w "))).otherwise(F.repeat(F.lit("plain "), 40))
+    return events.withColumn("content", F.when(F.col("kind") == "TOOL_RESULT", text).otherwise(F.col("content")))
 
 
 @trace_query("r7_saliency_fold", FOLD_SQL + " SELECT trace_id, idx, decision, fid, '⟦folded:' || fid || ' | ' || substr(trim(regexp_replace(content, '\\s+', ' ', 'g')), 1, 100) || '⟧' AS placeholder FROM fn")
@@ -102,10 +113,18 @@ def r7(events, traces):
     return r.fold(events).drop("content")
 
 
-@trace_query("r7_fold_ratio", FOLD_SQL + " SELECT trace_id, count(*) FILTER (decision = 'fold') AS n_folded, count(*) AS n_results, count(*) FILTER (decision = 'fold') / count(*) AS ratio FROM fn GROUP BY trace_id")
+@trace_query("r7_fold_modes", RESULT_WORLD + f"fm AS (SELECT trace_id, idx, {_DECIDE.format(more='false')} AS strict, {_DECIDE.format(more=chr(39) + 'x' + chr(39) + ' = ' + chr(39) + chr(39) + ' OR regexp_matches(content, ' + chr(39) + '(?i)failed' + chr(39) + ')')} AS loose, {_DECIDE.format(more='contains(lower(content), ' + chr(39) + 'quota reached' + chr(39) + ')')} AS extra FROM fw WHERE content <> '') SELECT * FROM fm")
+def r7_modes(events, traces):
+    e = result_world(events)
+    key = ["trace_id", "idx"]
+    one = lambda name, **how: r.fold(e, **how).select(*key, F.col("decision").alias(name))
+    return one("strict").join(one("loose", loose=True), key).join(one("extra", extra=("quota REACHED",)), key)
+
+
+@trace_query("r7_fold_ratio", RESULT_WORLD + f"fm AS (SELECT trace_id, content, {_DECIDE.format(more='false')} AS d FROM fw) SELECT t.trace_id, count(content) AS n_tool_results, count(*) FILTER (content <> '' AND d = 'fold') AS n_folded, count(*) FILTER (content <> '' AND d = 'keep_error') AS n_kept_error, count(*) FILTER (content <> '' AND d = 'keep_patch') AS n_kept_patch, count(*) FILTER (content <> '' AND d = 'keep_short') AS n_kept_short, coalesce(round(count(*) FILTER (content <> '' AND d = 'fold') / nullif(count(content), 0), 4), 0.0)::DOUBLE AS fold_ratio FROM tr t LEFT JOIN fm USING (trace_id) GROUP BY t.trace_id")
 def r7_ratio(events, traces):
-    n = F.sum((F.col("decision") == "fold").cast("long"))
-    return r.fold(events).groupBy("trace_id").agg(n.alias("n_folded"), F.count("*").alias("n_results"), (n / F.count("*")).alias("ratio"))
+    e = result_world(events)
+    return r.fold_stats(e, r.fold(e))
 
 
 @trace_query("r8_unfold", FOLD_SQL + " SELECT trace_id, idx, 'obs ' || content AS line, false AS missing FROM fn")
@@ -180,8 +199,9 @@ s1 AS (SELECT *, lag(id) OVER (PARTITION BY trace_id ORDER BY idx) AS prev, sum(
 s2 AS (SELECT *, last_value(CASE WHEN state THEN coalesce(prev, '-') END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx) AS p FROM s1),
 tree AS (SELECT trace_id, idx, id, nullif(p, '-') AS parent_step, CAST(1 + n_state - CAST(first_state AS INT) AS INT) AS depth, CASE WHEN state THEN 'state' ELSE 'explore' END AS step_class, phase FROM s2),
 os AS (SELECT *, last_value(CASE WHEN kind IN ('LLM_CALL', 'TOOL_CALL', 'HANDOFF') THEN idx END IGNORE NULLS) OVER (PARTITION BY trace_id ORDER BY idx) AS step FROM ev),
-sm AS (SELECT trace_id, step, substr(max(CASE WHEN idx = step THEN agent || ' ' || coalesce(action, kind) || ' ' || coalesce(query, doc_id, answer, to_agent, substr(content, 1, 30)) END), 1, 60) AS summary,
-  substr(coalesce(string_agg(content, ' | ' ORDER BY idx) FILTER (idx <> step AND content <> ''), ''), 1, 100) AS outcome FROM os WHERE step IS NOT NULL GROUP BY ALL)"""
+sm0 AS (SELECT trace_id, step, substr(max(CASE WHEN idx = step THEN concat_ws(' ', agent, coalesce(action, lower(kind)), coalesce('query=' || substr(query, 1, 30), 'doc_id=' || substr(doc_id, 1, 30), 'answer=' || substr(answer, 1, 30), 'to=' || substr(to_agent, 1, 30), 'content=' || substr(content, 1, 30))) END), 1, 60) AS head,
+  coalesce(string_agg(substr(content, 1, 40), ' | ' ORDER BY idx) FILTER (idx <> step AND content <> ''), '') AS outcome FROM os WHERE step IS NOT NULL GROUP BY ALL),
+sm AS (SELECT trace_id, step, CASE WHEN outcome <> '' THEN substr(head || ' -> ' || outcome, 1, 100) ELSE head END AS summary, outcome FROM sm0)"""
 
 
 @trace_query("r22_step_tree", TREE_SQL + " SELECT trace_id, idx, parent_step, depth, step_class FROM tree")
@@ -214,16 +234,23 @@ def r26(events, traces):
     return r.subtasks(events)
 
 
-@trace_query("r27_agent_nodes", SUB_SQL + ", w AS (SELECT su.*, CASE WHEN su.kind IN ('TOOL_RESULT', 'VERIFIER') THEN coalesce(o.agent, su.agent) ELSE su.agent END AS owner FROM su LEFT JOIN ev o ON o.trace_id = su.trace_id AND o.idx = su.ref) SELECT trace_id, subtask, owner AS agent, min(idx) FILTER (kind = 'TOOL_RESULT') AS observation, min(idx) FILTER (kind = 'LLM_CALL') AS thought, min(idx) FILTER (kind IN ('TOOL_CALL', 'HANDOFF', 'AGENT_MESSAGE')) AS action, min(idx) FILTER (kind = 'VERIFIER') AS result, string_agg(idx, ',' ORDER BY idx) AS steps FROM w WHERE owner NOT IN ('env', 'verifier') GROUP BY ALL")
+@trace_query("r27_agent_nodes", SUB_SQL + ", w AS (SELECT su.*, CASE WHEN su.kind IN ('TOOL_RESULT', 'VERIFIER') THEN o.agent ELSE su.agent END AS owner FROM su LEFT JOIN ev o ON o.trace_id = su.trace_id AND o.idx = su.ref) SELECT trace_id, subtask, owner AS agent, min(idx) FILTER (kind = 'TOOL_RESULT') AS observation, min(idx) FILTER (kind = 'LLM_CALL') AS thought, min(idx) FILTER (kind = 'TOOL_CALL') AS action, min(idx) FILTER (kind = 'VERIFIER') AS result, string_agg(idx, ',' ORDER BY idx) AS steps FROM w WHERE owner NOT IN ('env', 'verifier') AND kind IN ('TOOL_RESULT', 'VERIFIER', 'LLM_CALL', 'TOOL_CALL') GROUP BY ALL")
 def r27(events, traces):
     return r.agent_nodes(events)
 
 
-@trace_query("r28_hcg_edges", SUB_SQL + ", " + EDGE_SQL + ", k AS (SELECT DISTINCT trace_id, subtask FROM su), l AS (SELECT *, lead(subtask) OVER (PARTITION BY trace_id ORDER BY subtask) AS nxt FROM k) SELECT trace_id, 'subtask' AS level, 'S' || subtask AS src, 'S' || nxt AS dst FROM l WHERE nxt IS NOT NULL UNION ALL SELECT trace_id, 'agent', agent, to_agent FROM ev WHERE kind = 'HANDOFF' UNION ALL SELECT trace_id, 'step', src, dst FROM ed")
+@trace_query("r28_hcg_edges", SUB_SQL + ", " + EDGE_SQL + ", k AS (SELECT DISTINCT trace_id, subtask FROM su), l AS (SELECT *, lead(subtask) OVER (PARTITION BY trace_id ORDER BY subtask) AS nxt FROM k) SELECT trace_id, 'subtask' AS level, 'S' || subtask AS src, 'S' || nxt AS dst, NULL AS subtask, NULL AS step FROM l WHERE nxt IS NOT NULL UNION ALL SELECT trace_id, 'agent', agent, to_agent, 'S' || subtask, CAST(idx AS INT) FROM su WHERE kind = 'HANDOFF' UNION ALL SELECT trace_id, 'step', src, dst, NULL, NULL FROM ed")
 def r28(events, traces):
     return r.hcg_edges(events)
 
 
+@trace_query("r12_signed_ids", SIG_SQL + " SELECT trace_id, idx, action_class, effect = 'JUSTIFIED' AS hit FROM sa WHERE anchor IS NOT NULL AND action_class IN ('SEARCH', 'FILE_READ') AND effect <> 'FAILED'")
+def r12_signed(events, traces):
+    """The same hits when documents are called d-1.x in place of d1."""
+    named = events.withColumns({"doc_id": F.regexp_replace("doc_id", r"^d(\d+)$", r"d-$1.x"), "content": F.regexp_replace("content", r"\bd(\d+)\b", r"d-$1.x")})
+    return r12(named, traces)
+
+
 def claim_world(events, traces):
     """The traces with every kind of claim in them: half of the answers cite a document, some reports are from memory, and the tasks of every other window ask for a citation."""
     k = F.col("k")

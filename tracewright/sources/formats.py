@@ -55,6 +55,20 @@ def guard_export(meta: Column, external: bool = False) -> Column:
     return F.map_filter(meta, lambda k, v: ~F.array_contains(hidden, k))
 
 
+def to_otlp(events: DataFrame) -> DataFrame:
+    """Span documents of events alone; see tracewright.sources.imports for those with trace-level fields."""
+    from tracewright.sources import imports
+
+    return imports.to_otlp(events)
+
+
+def from_otlp(documents: DataFrame) -> DataFrame:
+    """Events of span documents, flattened."""
+    from tracewright.sources import imports
+
+    return imports.events_of_spans(imports.from_otlp(documents)[0])
+
+
 #: Parts of names that tell a handoff or a check, and metadata keys that name the agent.
 HANDOFF_HINTS = ("handoff", "hand_over", "handover", "transfer", "delegate", "escalate")
 VERIFIER_HINTS = ("verif", "evaluat", "judge", "guardrail", "critic", "assert")
