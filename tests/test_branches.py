@@ -1,6 +1,8 @@
 """Branches of the representations and rules, a row or two each."""
 
 
+from pyspark.sql import functions as F
+
 from tracewright.operators import attribute as t
 from tracewright.operators import classify as c
 from tracewright.operators import represent as r
@@ -61,3 +63,42 @@ def test_summaries_hold_what_came_back(spark):
     assert got[0] == ("p llm_call content=" + ("think " * 20)[:30], "") and got[1] == ("s read_doc doc_id=d1 -> " + shown, shown) and got[4][0] == "s handoff to=w"
     assert all(len(s) <= 100 for s, _ in got.values())
     assert [(x.stage, x.why) for x in t.suspicious_stages(e).orderBy("rank").collect()] == [("report", "loop"), ("search", "error")]
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    """Line 3 of the second file, and lines of a file that is read in many splits."""
+    import json
+
+    import pytest
+
+    from tracewright.sources import formats as f
+
+    line = lambda i: json.dumps({"trace_id": f"t{i}", "task": "x" * 50, "events": []})
+    (tmp_path / "a.jsonl").write_text(line(1) + "\n\n" + line(2) + "\n")
+    (tmp_path / "b.jsonl").write_text(line(3) + "\n  \n{broken\n" + line(4) + '\n{"task": "no id"}')
+    many = [line(i) for i in range(100, 1000)]
+    many[7], many[500], many[899] = "[1]", "nope", '{"trace_id": 5, "events": 7}'
+    (tmp_path / "c.jsonl").write_text("\n".join(many))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    traces, faults = f.checked_traces(spark, str(tmp_path))
+    got = {(x.file.rsplit("/", 1)[1], x.line) for x in faults.collect()}
+    assert got == {("b.jsonl", 3), ("b.jsonl", 5), ("c.jsonl", 8), ("c.jsonl", 501), ("c.jsonl", 900)}
+    assert {x.trace_id for x in traces.collect()} == {f"t{i}" for i in (1, 2, 3, 4, *range(100, 1000)) if i - 100 not in (7, 500, 899)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    with pytest.raises(ValueError, match=r"b\.jsonl:3: not a trace: \{broken"):
+        f.require_traces(spark, str(tmp_path))
+    assert f.require_traces(spark, str(tmp_path / "a.jsonl")).count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        f.require_traces(spark, str(tmp_path / "absent"))
+
+
+def test_aliases_of_a_pair_differ_from_the_corpus(spark):
+    from tracewright.operators import analyze as a
+
+    rows = [("m", "p", w, b, x, t) for w, b, x, t in [("w0", "s", True, "k1"), ("w0", "l", False, "k1"), ("w1", "s", True, "k2"), ("w1", "l", False, "k1"), ("w2", "s", False, "k1"), ("w2", "l", False, "k2")]]
+    feats = spark.createDataFrame(rows, "model_version string, prompt_version string, time_window string, length_bin string, failed boolean, task_id string")
+    groups = spark.createDataFrame([("behavior", "m/p", w) for w in ("w0", "w1", "w2")], "family string, fixed string, grp string")
+    got = {(x.a, x.b, x.first, x.feature) for x in a.pair_aliases(feats, groups).where("alias").select("a", "b", F.col("first").alias("first"), "feature").collect()}
+    assert got == {("w0", "w1", "length_bin", "failure")}
+    assert not any(x.alias for x in a.feature_aliases(feats).collect())

@@ -142,6 +142,33 @@ def feature_aliases(features: DataFrame) -> DataFrame:
     return one.select(F.explode(pairs).alias("p")).select("p.*")
 
 
+def pair_aliases(features: DataFrame, groups: DataFrame) -> DataFrame:
+    """features of trace_features() and groups (family, fixed, grp) -> for every pair of groups (family, fixed, a, b) and of features (first, feature): whether they part the traces of both groups alike. Corpus-wide aliases need not be those of a pair, nor the other way round.
+
+    Traces are reduced to their different combinations per group first; pairs meet only those, and the counts of distinct values and of distinct value pairs are taken in one aggregation.
+    """
+    names = ("length_bin", "failure", "task_id")
+    combos = durable(_in_families(features.select(*GROUP, "length_bin", F.col("failed").cast("string").alias("failure"), "task_id").distinct()).select("family", "fixed", "grp", *names).distinct())
+    key = ["family", "fixed", "a", "b"]
+    both = groups.alias("x").join(groups.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.fixed") == F.col("y.fixed")) & (F.col("x.grp") < F.col("y.grp"))).select("x.family", "x.fixed", F.col("x.grp").alias("a"), F.col("y.grp").alias("b"))
+    rows = both.withColumn("grp", F.explode(F.array("a", "b"))).join(combos, ["family", "fixed", "grp"])
+    pairs = [(f, g) for i, f in enumerate(names) for g in names[i + 1 :]]
+    n = rows.groupBy(*key).agg(*(F.countDistinct(f).alias(f) for f in names), *(F.countDistinct(f, g).alias(f"{f}~{g}") for f, g in pairs))
+    each = F.array(*(F.struct(F.lit(f).alias("first"), F.lit(g).alias("feature"), ((F.col(f) == F.col(f"{f}~{g}")) & (F.col(g) == F.col(f"{f}~{g}"))).alias("alias")) for f, g in pairs))
+    return n.select(*key, F.explode(each).alias("p")).select(*key, "p.*")
+
+
+def drift_alerts(events: DataFrame, traces: DataFrame, min_group: int = 5, psi_alert: float = 0.2, mismatch_alert: float = 0.1) -> DataFrame:
+    """Firing features of every pair of groups (family, fixed, a, b, firing, independent); what is an alias of an earlier firing feature among the traces of this pair is not independent."""
+    key = ["family", "fixed", "a", "b"]
+    groups = durable(group_sizes(traces).where(F.col("n_traces") >= min_group).select("family", "fixed", "grp"))
+    fired = durable(drift_pairs(events, traces, min_group, psi_alert, mismatch_alert).where("alert").select(*key, "feature"))
+    same = pair_aliases(trace_features(events, traces), groups).where("alias").select(*key, "first", "feature")
+    late = same.join(fired, [*key, "feature"], "left_semi").join(fired.withColumnRenamed("feature", "first"), [*key, "first"], "left_semi").select(*key, "feature").distinct().withColumn("late", F.lit(True))
+    names = lambda keep: F.array_join(F.array_sort(F.collect_set(F.when(keep, F.col("feature")))), ",")
+    return fired.join(late, [*key, "feature"], "left").groupBy(*key).agg(names(F.lit(True)).alias("firing"), names(F.col("late").isNull()).alias("independent"))
+
+
 def group_census(traces: DataFrame) -> DataFrame:
     return traces.groupBy("model_version", "prompt_version", "time_window").agg(F.count("*").alias("n_traces"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tracewright.operators import analyze as a
@@ -101,6 +103,28 @@ def a10_alerts(events, traces):
     return a.independent_alerts(a.drift_pairs(events, traces), own.unionByName(declared))
 
 
+def collinear(events, traces):
+    """A world where length and failure are one in the first windows, and not in the corpus: early traces end before the fourteenth event, and fail if they have ten or more."""
+    early = F.regexp_extract("trace_id", r"w(\d+)$", 1).cast("int") < 5
+    e = events.where(~early | (F.col("idx") < 13))
+    n = e.groupBy("trace_id").agg(F.count("*").alias("_n"))
+    return e, traces.join(n, "trace_id").withColumn("success", F.when(early, F.col("_n") < 10).otherwise(F.col("success"))).drop("_n")
+
+
+WORLD_SQL = "ew AS (SELECT * FROM ev WHERE CAST(regexp_extract(trace_id, 'w(\\d+)$', 1) AS INT) >= 5 OR idx < 13), nw AS (SELECT trace_id, count(*) AS n FROM ew GROUP BY ALL), tw AS (SELECT tr.* REPLACE (CASE WHEN CAST(regexp_extract(trace_id, 'w(\\d+)$', 1) AS INT) < 5 THEN nw.n < 10 ELSE success END AS success) FROM tr JOIN nw USING (trace_id)), "
+_IN_WORLD = re.sub(r"\b(FROM|JOIN) tr\b", r"\1 tw AS tr", re.sub(r"\b(FROM|JOIN) ev\b", r"\1 ew AS ev", PAIR_SQL))
+
+
+@trace_query("a10_pair_alerts", WORLD_SQL + _IN_WORLD + """, al AS (SELECT family, fixed, a, b, feature FROM ps WHERE psi > 0.2 OR greatest(mismatch_a, mismatch_b) > 0.1),
+fg AS (SELECT family, fixed, grp, length_bin AS l, failed AS f FROM (
+  SELECT 'version' AS family, prompt_version AS fixed, model_version AS grp, length_bin, failed FROM ft UNION ALL SELECT unnest(['behavior', 'data']), model_version || '/' || prompt_version, time_window, length_bin, failed FROM ft)),
+fired AS (SELECT al.family, al.fixed, al.a, al.b FROM al GROUP BY ALL), alike AS (SELECT fired.*, count(DISTINCT l) = count(DISTINCT (l, f)) AND count(DISTINCT f) = count(DISTINCT (l, f)) AS same FROM fired JOIN fg ON fg.family = fired.family AND fg.fixed = fired.fixed AND fg.grp IN (fired.a, fired.b) GROUP BY fired.family, fired.fixed, fired.a, fired.b)
+SELECT al.family, al.fixed, al.a, al.b, string_agg(feature, ',' ORDER BY feature) AS firing, coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (NOT (feature = 'failure' AND same AND EXISTS (SELECT 1 FROM al x WHERE x.family = al.family AND x.fixed = al.fixed AND x.a = al.a AND x.b = al.b AND x.feature = 'length_bin'))), '') AS independent
+FROM al JOIN alike pc ON pc.family = al.family AND pc.fixed = al.fixed AND pc.a = al.a AND pc.b = al.b GROUP BY ALL""")
+def a10_pairs(events, traces):
+    return a.drift_alerts(*collinear(events, traces))
+
+
 @trace_query("a9_skipped_groups", DIST_SQL + " SELECT family, fixed, grp, n_traces FROM gs WHERE n_traces < 38")
 def a9_skipped(events, traces):
     return a.group_sizes(traces).where("n_traces < 38")

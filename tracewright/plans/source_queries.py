@@ -41,6 +41,21 @@ def io3(events, traces):
     return events.sparkSession.read.schema("trace_id string, kind string, n long, run_id string").parquet(path)
 
 
+@trace_query("io1_bad_lines", """l AS (SELECT trace_id, CAST(regexp_extract(trace_id, '^u(\\d+)w', 1) AS INT) AS u FROM tr), n AS (SELECT *, u % 3 AS file, 2 * row_number() OVER (PARTITION BY u % 3 ORDER BY trace_id) AS line FROM l)
+SELECT CAST(file AS VARCHAR) AS file, line, CASE u % 4 WHEN 1 THEN 'no json' WHEN 2 THEN '{"task":"' || trace_id || '"}' ELSE '{"trace_id":' END AS text FROM n WHERE u % 4 <> 0 UNION ALL SELECT 'good', count(*), CAST(count(DISTINCT trace_id) AS VARCHAR) FROM n WHERE u % 4 = 0""")
+def io1_bad(events, traces):
+    """Three files, a blank line before every trace; of four users' traces one can be read, the others are no JSON, have no trace_id, or break off. The last row counts those that can."""
+    spark, folder = events.sparkSession, shared_folder(events.sparkSession)
+    u = F.regexp_extract("trace_id", r"^u(\d+)w", 1).cast("int")
+    said = F.when(u % 4 == 0, F.to_json(F.struct("trace_id", "task"))).when(u % 4 == 1, "no json").when(u % 4 == 2, F.concat(F.lit('{"task":"'), "trace_id", F.lit('"}'))).otherwise('{"trace_id":')
+    rows = traces.select("trace_id", (u % 3).alias("file"), F.concat(F.lit("\n"), said).alias("value"))
+    for k in range(3):
+        rows.where(F.col("file") == k).orderBy("trace_id").coalesce(1).select("value").write.text(f"{folder}/{k}")
+    good, faults = f.checked_traces(spark, f"{folder}/*")
+    bad = faults.select(F.regexp_extract("file", r"/(\d)/[^/]*$", 1).alias("file"), "line", "text")
+    return bad.unionByName(good.agg(F.lit("good").alias("file"), F.count("*").alias("line"), F.countDistinct("trace_id").cast("string").alias("text")))
+
+
 @trace_query("io7_io8_otlp_round_trip", "SELECT trace_id, idx, id, ts, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
 def io7(events, traces):
     return im.events_of_spans(im.from_otlp(im.to_otlp(events, traces, spans_a_document=5))[0]).select("trace_id", "idx", "id", "ts", "kind", "agent", "action", "phase", "content", "query", "doc_id", "answer", "to_agent", F.array_join("refs", ",").alias("refs"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.model import EVENT_SCHEMA
 from tracewright.operators.represent import admit_kind, flatten_spans
+from tracewright.tables import durable
 
 TRACE_LINE = f"trace_id string, task string, events array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in EVENT_SCHEMA.replace('trace_id string, ', '').split(','))}>>, outcome struct<success:boolean,score:double,note:string>, meta string"
 #: Keys of ground truth that never leave through an export, and those that stay on this machine.
@@ -21,6 +22,30 @@ def read_traces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TRACE_LINE).option("mode", "FAILFAST").json(path)
 
 
+def checked_traces(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(traces, faults) of JSON lines: rows of read_traces() for all lines that can be read, and (file, line: its number from 1, text) of those that can't: no JSON object of the schema, or one without a trace_id. Blank lines are skipped, but counted.
+
+    Files are split like any others. A line's number is its place in its split, after the lines of all earlier splits of the file; only one count per split is summed up. What the lines hold is written once.
+    """
+    said = "_corrupt_record"
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parsed = F.from_json("value", f"{TRACE_LINE}, {said} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": said})
+    rows = durable(lines.withColumn("t", F.when(F.trim("value") != "", parsed)).withColumn("bad", (F.trim("value") != "") & (F.col(f"t.{said}").isNotNull() | F.col("t.trace_id").isNull())).withColumn("value", F.when(F.col("bad"), F.col("value"))))
+    splits = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    faults = rows.where("bad").join(splits.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), F.col("value").alias("text"))
+    return rows.where("t is not null and not bad").select("t.*").drop(said), faults
+
+
+def require_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Traces of checked_traces(); a bad line is an error that names its file and number (the first by both)."""
+    traces, faults = checked_traces(spark, path)
+    first = faults.orderBy("file", "line").first()
+    if first is not None:
+        raise ValueError(f"{first['file']}:{first['line']}: not a trace: {first['text'][:200]}")
+    return traces
+
+
 def trace_lines(events: DataFrame, traces: DataFrame) -> DataFrame:
     """Nested rows of read_traces() from the flat tables; events in order."""
     fields = [c.strip().split(" ")[0] for c in EVENT_SCHEMA.split(",")][1:]
