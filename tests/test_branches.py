@@ -102,3 +102,25 @@ def test_aliases_of_a_pair_differ_from_the_corpus(spark):
     got = {(x.a, x.b, x.first, x.feature) for x in a.pair_aliases(feats, groups).where("alias").select("a", "b", F.col("first").alias("first"), "feature").collect()}
     assert got == {("w0", "w1", "length_bin", "failure")}
     assert not any(x.alias for x in a.feature_aliases(feats).collect())
+
+
+def test_witnesses_say_what_segments_show(spark):
+    """Every segment of random traces: the rules run on the segment's own events against its witnesses."""
+    import random
+
+    rnd = random.Random(6)
+    rows, segments = [], []
+    for k in range(25):
+        n = rnd.randint(1, 9)
+        for i in range(n):
+            kind = rnd.choice(["LLM_CALL", "TOOL_CALL", "TOOL_CALL", "TOOL_RESULT", "VERIFIER", "HANDOFF", "AGENT_MESSAGE"])
+            action = {"TOOL_CALL": rnd.choice(["search", "read_doc", "submit", None]), "TOOL_RESULT": rnd.choice(["search", "read_doc"])}.get(kind)
+            text = {"TOOL_RESULT": rnd.choice(["error: x", "2 docs [d1]", "0 docs", "text"]), "VERIFIER": rnd.choice(["failed: missing", "passed"]), "TOOL_CALL": None}.get(kind, rnd.choice(["based on d1", "no results", "from memory", "see [d2]", "plan", None]))
+            rows.append(ev(i, kind, "a", action, content=text, doc=rnd.choice(["d1", "d2"]) if action == "read_doc" else None, query=rnd.choice(["q", None]) if action == "search" else None, answer=rnd.choice(["x", None]) if action == "submit" else None, trace=f"t{k}"))
+        segments += [(f"t{k}", f"t{k}/{lo}/{hi}", lo, hi) for lo in range(n) for hi in range(lo, n)]
+    e = spark.createDataFrame(rows, COLS)
+    own = e.join(spark.createDataFrame(segments, "trace_id string, seg string, lo int, hi int"), "trace_id").where("idx between lo and hi").drop("trace_id", "lo", "hi").withColumnRenamed("seg", "trace_id")
+    want = {x.trace_id for x in c.segment_symptoms(own).collect()}
+    w = [tuple(x) for x in c.witnesses(e).collect()]
+    got = {s for tr, s, lo, hi in segments if any(t0 == tr and a <= lo <= b and hi >= h for t0, a, b, h in w)}
+    assert got == want and 0 < len(want) < len(segments)

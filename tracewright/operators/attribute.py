@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.answers import first_valid
 from tracewright.model import ASSERTION, CLAUSE_END, DOC_ID, ERROR_OBS, HARMFUL, MECHANISM, MECHANISMS, MEMORY, NEGATION, NO_RESULT, NOTHING_USABLE, STAGE_ERROR, STEP_KINDS, SUPPORT_LEVELS, SUPPORT_VERDICTS, SYMPTOM_FIX
-from tracewright.operators.classify import primary_symptom, segment_symptoms, symptoms
+from tracewright.operators.classify import primary_symptom, symptoms, witnesses
 from tracewright.operators.represent import before, by_trace, stage_ranges, step_summaries, subtasks, upto, with_subtask
-from tracewright.tables import durable
 
 
 def hypotheses(df: DataFrame, algo: str, code: Column, confidence: Column, rank: Column | None = None) -> DataFrame:
@@ -122,18 +121,25 @@ def clamp_verdicts(verdicts: DataFrame, events: DataFrame, modes: DataFrame) ->
     return j.select("trace_id", F.when(known, F.col("v.agent")).otherwise(F.col("first_agent")).alias("agent"), step.alias("step"), F.col("_code").alias("code"), F.col("v.confidence").alias("confidence"), notes.alias("notes"))
 
 
-def bisect(events: DataFrame, traces: DataFrame, materialize=durable) -> DataFrame:
-    """Step of every failed trace by bisection: a job a round halves the range of all traces at once, downwards where the lower half shows a symptom of its own."""
-    failed = materialize(events.join(traces.where("not success").select("trace_id"), "trace_id", "left_semi"))
-    state = failed.groupBy("trace_id").agg(F.lit(0).alias("lo"), F.max("idx").alias("hi"))
-    rounds = math.ceil(math.log2(max(2, (state.agg(F.max("hi")).first()[0] or 0) + 1)))
-    for _ in range(rounds):
-        open_ = state.where("lo < hi").withColumn("mid", F.floor((F.col("lo") + F.col("hi")) / 2).cast("int"))
-        seg = materialize(failed.join(open_.select("trace_id", "lo", "mid"), "trace_id").where("idx between lo and mid").drop("lo", "mid"))
-        low = segment_symptoms(seg).withColumn("low", F.lit(True))
-        nxt = open_.join(low, "trace_id", "left").select("trace_id", F.when(F.col("low"), F.col("lo")).otherwise(F.col("mid") + 1).alias("lo"), F.when(F.col("low"), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
-        state = materialize(nxt.unionByName(state.where("lo >= hi")))
-    return state.select("trace_id", F.col("lo").alias("step"))
+def bisect(events: DataFrame, traces: DataFrame) -> DataFrame:
+    """Step of every failed trace by bisection: the range is halved downwards where the lower half shows a symptom of its own, else upwards.
+
+    What a segment shows is known from witnesses(), found once: all rounds of a trace are look-ups in its own array, in one job for all traces. Of witnesses with the same first part only the earliest end counts.
+    """
+    failed = events.join(traces.where("not success").select("trace_id"), "trace_id", "left_semi")
+    seen = witnesses(failed).groupBy("trace_id", "lo_min", "lo_max").agg(F.min("hi_min").alias("hi_min")).groupBy("trace_id").agg(F.collect_list(F.struct("lo_min", "lo_max", "hi_min")).alias("w"))
+    j = failed.groupBy("trace_id").agg(F.max("idx").cast("int").alias("last")).join(seen, "trace_id", "left")
+    j = j.withColumn("w", F.coalesce("w", F.array().cast("array<struct<lo_min:int,lo_max:int,hi_min:int>>")))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        low = F.exists("w", lambda x: (x["lo_min"] <= s["lo"]) & (s["lo"] <= x["lo_max"]) & (x["hi_min"] <= mid))
+        down, up = F.struct(s["lo"].alias("lo"), mid.alias("hi")), F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+        return F.when(s["lo"] >= s["hi"], s).when(low, down).otherwise(up)
+
+    rounds = F.greatest(F.lit(1), F.ceil(F.log2(F.col("last") + 1)) + 1).cast("int")
+    end = F.aggregate(F.sequence(F.lit(1), rounds), F.struct(F.lit(0).alias("lo"), F.col("last").alias("hi")), halve)
+    return j.select("trace_id", end["lo"].alias("step"))
 
 
 def walk_back(events: DataFrame, steps: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.answers import first_valid
 from tracewright.model import ASSERTION, DOC_ID, ERROR_OBS, FORMAT_ISSUE, MEMORY, NO_RESULT, REJECT, RULE_CODE, SYMPTOM_CODE
-from tracewright.operators.payload import payload_state
+from tracewright.operators.payload import has_payload, payload_state
 from tracewright.operators.represent import before, by_trace, upto, first_answer
 from tracewright.tables import durable
 
@@ -70,12 +70,17 @@ def rule_findings(events: DataFrame, sigs: DataFrame, loops: DataFrame, searches
     return out.withColumns({"rule_order": order, "confidence": F.lit(0.9)})
 
 
-def unread_citations(events: DataFrame) -> DataFrame:
-    """Messages that assert or bracket a document that no earlier call has read: a document is unread at a step if its first read is not before it."""
-    reads = events.where("kind = 'TOOL_CALL' and action = 'read_doc'").groupBy("trace_id", F.col("doc_id").alias("doc")).agg(F.min("idx").alias("read_at"))
+def citations(events: DataFrame) -> DataFrame:
+    """Messages that assert or bracket a document, with it as `doc`."""
     m = events.where("kind in ('LLM_CALL', 'AGENT_MESSAGE') and coalesce(action, '') <> 'search'").withColumn("doc", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(DOC_ID), F.lit(0)))))
     cited = F.col("content").rlike(ASSERTION) | F.contains(F.col("content"), F.concat(F.lit("["), "doc", F.lit("]"))) | F.contains(F.col("content"), F.concat(F.lit("("), "doc", F.lit(")")))
-    return m.where(cited).join(reads, ["trace_id", "doc"], "left").where("read_at is null or read_at > idx")
+    return m.where(cited)
+
+
+def unread_citations(events: DataFrame) -> DataFrame:
+    """Citations of a document that no earlier call has read: a document is unread at a step if its first read is not before it."""
+    reads = events.where("kind = 'TOOL_CALL' and action = 'read_doc'").groupBy("trace_id", F.col("doc_id").alias("doc")).agg(F.min("idx").alias("read_at"))
+    return citations(events).join(reads, ["trace_id", "doc"], "left").where("read_at is null or read_at > idx")
 
 
 def symptoms(events: DataFrame, fallback: bool = True) -> DataFrame:
@@ -121,6 +126,35 @@ def segment_symptoms(segments: DataFrame) -> DataFrame:
     return base.unionByName(empty).unionByName(claim).unionByName(memory).distinct()
 
 
+def witnesses(events: DataFrame) -> DataFrame:
+    """(trace_id, lo_min, lo_max, hi_min): segment_symptoms() of the segment [lo, hi] finds something just if some row has lo_min <= lo <= lo_max and hi >= hi_min. All rows come from one pass of windows, but for citations, which follow the last read of their document before."""
+    kind = lambda *k: F.col("kind").isin(*k)
+    at, said = F.col("idx"), F.coalesce("content", F.lit(""))
+    call, llm = kind("TOOL_CALL"), kind("LLM_CALL")
+    sig = F.when(call, F.to_json(F.struct("agent", "action", "query", "doc_id", "answer", "content", "to_agent")))
+    after = by_trace().rowsBetween(1, Window.unboundedFollowing)
+    error, issue = kind("TOOL_RESULT") & said.rlike(ERROR_OBS), kind("VERIFIER") & said.rlike(FORMAT_ISSUE)
+    shown = kind("TOOL_RESULT") & (((F.col("action") == "search") & (F.regexp_extract(said, r"(\d+) docs", 1).try_cast("int") > 0)) | ((F.col("action") == "read_doc") & ~said.rlike(ERROR_OBS)))
+    read = call & (F.col("action") == "read_doc")
+    last = lambda flag, w=None: F.max(F.when(flag, at)).over(w or before())
+    e = events.withColumn("_sig", sig).withColumns({
+        "_error": last(error), "_call": last(call), "_shown": last(shown), "_read": last(read), "_llm": last(llm), "_next_llm": F.min(F.when(llm, at)).over(after), "_next_call": F.min(F.when(call, at)).over(after),
+        "_s1": F.last("_sig", ignorenulls=True).over(before()), "_s2": F.first("_sig", ignorenulls=True).over(after),
+    })
+    since = lambda c: F.coalesce(F.col(c) + 1, F.lit(0))
+    row = lambda when, lo_min, lo_max, hi_min: F.when(when & lo_max.isNotNull() & hi_min.isNotNull(), F.struct(lo_min.cast("int").alias("lo_min"), lo_max.cast("int").alias("lo_max"), hi_min.cast("int").alias("hi_min")))
+    zero, empty = F.lit(0), call & F.col("action").isNotNull() & ~has_payload(events)
+    rows = F.array(
+        row(error, since("_error"), F.col("_call"), at), row((F.col("_sig") == F.col("_s1")) & (F.col("_sig") == F.col("_s2")), zero, F.col("_call"), F.col("_next_call")), row(kind("AGENT_MESSAGE", "LLM_CALL", "HANDOFF") & said.rlike(NO_RESULT), zero, F.col("_shown"), at),
+        row(call & (F.col("action") == "submit"), since("_read"), at, at), row(issue, zero, F.col("_llm"), at), row(issue, zero, at, F.col("_next_llm")), row(empty | (llm & said.rlike(MEMORY)), zero, at, at),
+    )
+    out = e.select("trace_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("w")).select("trace_id", "w.*")
+    docs = citations(events).select("trace_id", "doc", "idx", F.lit(None).cast("int").alias("read")).unionByName(events.where(read).select("trace_id", F.col("doc_id").alias("doc"), "idx", F.col("idx").cast("int").alias("read")))
+    held = F.max("read").over(Window.partitionBy("trace_id", "doc").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    cited = docs.withColumn("_held", held).where("read is null").select("trace_id", since("_held").cast("int").alias("lo_min"), at.cast("int").alias("lo_max"), at.cast("int").alias("hi_min"))
+    return out.unionByName(cited)
+
+
 def checked_labels(verdicts: DataFrame, modes: DataFrame, most: int = 3) -> DataFrame:
     """verdicts (trace_id, labels: array of {code, symptom, step}) checked against modes (code): novel labels need a symptom; valid ones are cut at `most` after checking. Columns: pos, code, status kept, overflow or invalid."""
     v = verdicts.select("trace_id", F.posexplode("labels").alias("pos", "l")).select("trace_id", "pos", "l.*")
