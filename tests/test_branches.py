@@ -124,3 +124,43 @@ def test_witnesses_say_what_segments_show(spark):
     w = [tuple(x) for x in c.witnesses(e).collect()]
     got = {s for tr, s, lo, hi in segments if any(t0 == tr and a <= lo <= b and hi >= h for t0, a, b, h in w)}
     assert got == want and 0 < len(want) < len(segments)
+
+
+def test_alignment_in_little_memory():
+    """The walk over kept rows against the walk over the whole table; 12,000 by 12,000 in a few MB (the table has 576)."""
+    import random
+    import tracemalloc
+
+    import numpy as np
+
+    from tracewright.operators import align
+
+    def whole(fit):
+        n, m = fit.shape
+        length = np.zeros((n + 1, m + 1), int)
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                length[i, j] = length[i + 1, j + 1] + 1 if fit[i, j] else max(length[i + 1, j], length[i, j + 1])
+        out, i, j = [-1] * m, 0, 0
+        while i < n and j < m:
+            if fit[i, j]:
+                out[j] = i
+                i, j = i + 1, j + 1
+            elif length[i + 1, j] >= length[i, j + 1]:
+                i += 1
+            else:
+                j += 1
+        return out
+
+    rnd = random.Random(8)
+    side = lambda n: [{"action_class": "X", "target": rnd.choice("abc"), "effect": rnd.choice(["JUSTIFIED", "SURVIVED", "OFF-ANCHOR", "FAILED", None])} for _ in range(n)]
+    for _ in range(300):
+        a, b = side(rnd.randint(0, 14)), side(rnd.randint(0, 14))
+        fit = align.fitting(a, b)
+        by_hand = np.array([[x["target"] == y["target"] and ("OFF-ANCHOR" in (x["effect"], y["effect"]) or x["effect"] == y["effect"] or {x["effect"], y["effect"]} == {"SURVIVED", "JUSTIFIED"}) for y in b] for x in a], bool).reshape(len(a), len(b))
+        assert (fit == by_hand).all() and align.longest_match(align.Fits(a, b)).tolist() == align.longest_match(fit).tolist() == whole(fit)
+    long = align.Fits(side(12_000), side(12_000))
+    tracemalloc.start()
+    got = align.longest_match(long)
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000 and (got >= 0).sum() > 7000 and (np.diff(got[got >= 0]) > 0).all()
+    tracemalloc.stop()

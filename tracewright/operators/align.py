@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,50 +20,85 @@ def codes(*sides: list) -> list[np.ndarray]:
     return [np.array([known.setdefault(v, len(known)) for v in side], np.int64) for side in sides]
 
 
+class Fits:
+    """Whether two signatures match, on class, target and effects that count as one another; a row of it at a time, for one reference signature against all own ones."""
+
+    def __init__(self, reference: list[dict], own: list[dict]):
+        what = lambda side: [(s["action_class"], s["target"]) for s in side]
+        effect = lambda side: [HOLDS[0] if s["effect"] in HOLDS else s["effect"] or "" for s in side]
+        self.a, self.b = codes(what(reference), what(own))
+        self.x, self.y, any_ = codes(effect(reference), effect(own), [ANY])
+        self.any = int(any_[0])
+        self.free = self.y == self.any
+        self.shape = (len(self.a), len(self.b))
+
+    def row(self, r: int, first: int = 0) -> np.ndarray:
+        """Row r from column `first` on."""
+        same = self.b[first:] == self.a[r]
+        return same if self.x[r] == self.any else same & ((self.y[first:] == self.x[r]) | self.free[first:])
+
+
+class Matrix:
+    """The same over a given matrix."""
+
+    def __init__(self, fit: np.ndarray):
+        self.fit, self.shape = fit, fit.shape
+
+    def row(self, r: int, first: int = 0) -> np.ndarray:
+        return self.fit[r, first:]
+
+
 def fitting(reference: list[dict], own: list[dict]) -> np.ndarray:
-    """[reference, own]: whether two signatures match, on class, target and effects that count as one another."""
-    what = lambda side: [(s["action_class"], s["target"]) for s in side]
-    effect = lambda side: np.array([HOLDS[0] if s["effect"] in HOLDS else s["effect"] or "" for s in side], object)
-    a, b = codes(what(reference), what(own))
-    x, y = effect(reference), effect(own)
-    return (a[:, None] == b[None, :]) & ((x[:, None] == y[None, :]) | (x == ANY)[:, None] | (y == ANY)[None, :])
-
-
-def common_lengths(fit: np.ndarray) -> np.ndarray:
-    """[r, k]: length of the longest common subsequence of what follows from row r and column k on. A row is the one below it, one more where its pairs fit, and never less than what lies to its right: so each row is two array operations."""
-    rows, cols = fit.shape
-    out = np.zeros((rows + 1, cols + 1), np.int32)
-    for r in range(rows - 1, -1, -1):
-        below = out[r + 1]
-        here = np.maximum(below[:-1], np.where(fit[r], below[1:] + 1, 0))
-        out[r, :-1] = np.maximum.accumulate(here[::-1])[::-1]
+    """[reference, own]: whether two signatures match."""
+    fits = Fits(reference, own)
+    return np.array([fits.row(r) for r in range(fits.shape[0])], bool).reshape(fits.shape)
+
+
+def _above(below: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """Row of common lengths from the one below it: one more where its pairs fit, and never less than what lies to its right. So a row is two array operations."""
+    out = np.zeros_like(below)
+    here = np.maximum(below[:-1], np.where(fit, below[1:] + 1, 0))
+    out[:-1] = np.maximum.accumulate(here[::-1])[::-1]
     return out
 
 
-def longest_match(fit: np.ndarray) -> np.ndarray:
+def longest_match(fit: np.ndarray | Fits) -> np.ndarray:
     """For every column its row, or -1: the longest common subsequence that, from the start on, takes a fitting pair whenever both sides stand at one, and else leaves out of the reference as long as that costs nothing.
 
-    With that rule a column's row follows from the lengths alone: at column k the reference stands at some row r; it may go on to any row up to the last one whose length at k stays that at (r, k + 1) or more, and the first fitting row on the way is taken.
+    Lengths of what follows from row r and column k on grow from the last row up; the walk goes down from the first. So every B-th row is kept, B the square root of their number, and the rows between two of them are made again when the walk comes there, from its column on: memory is (rows / B + B) columns, not rows times columns.
     """
-    length = common_lengths(fit)
-    found, r = np.full(fit.shape[1], -1, np.int64), 0
-    for k in range(fit.shape[1]):
-        rest = fit.shape[0] - r
-        if not rest:
-            break
-        fits = fit[r:, k]
-        stops = fits | (length[r + 1 :, k] < length[r:-1, k + 1])
-        at = int(np.argmax(stops)) if stops.any() else rest
-        if at == rest:
-            break
-        r += at
-        if fits[at]:
-            found[k], r = r, r + 1
+    fits = Matrix(fit) if isinstance(fit, np.ndarray) else fit
+    rows, cols = fits.shape
+    step = max(1, math.isqrt(rows))
+    kept, length = {rows: np.zeros(cols + 1, np.int32)}, np.zeros(cols + 1, np.int32)
+    for r in range(rows - 1, 0, -1):
+        length = _above(length, fits.row(r))
+        if r % step == 0:
+            kept[r] = length
+    found, k = np.full(cols, -1, np.int64), 0
+    for top in range(0, rows, step):
+        end, first = min(rows, top + step), k
+        block = [kept.pop(end)[first:]]
+        for r in range(end - 1, top - 1, -1):
+            block.append(_above(block[-1], fits.row(r, first)))
+        for r in range(top, end):
+            if k == cols:
+                return found
+            here, below, own = block.pop(), block[-1], fits.row(r, k)
+            at = k - first
+            # the first column where the pair fits, or where leaving this row out costs nothing
+            stops = own | (below[at:-1] >= here[at + 1 :])
+            if not stops.any():
+                return found
+            go = int(np.argmax(stops))
+            k += go
+            if own[go]:
+                found[k], k = r, k + 1
     return found
 
 
 def align_to_reference(sigs: DataFrame, traces: DataFrame, references: DataFrame) -> DataFrame:
-    """(OUT) every signature of every trace with its place in the reference's, null where it has none. A task holds the signatures of one trace and its reference at a time; a trace of n and a reference of m signatures take n m small numbers."""
+    """(OUT) every signature of every trace with its place in the reference's, null where it has none. A task holds the signatures of one trace and its reference at a time; a trace of n and a reference of m signatures take about 2 n sqrt(m) small numbers. References are their tasks' shortest traces, so a pair is not much larger than the trace alone."""
     row = F.struct("idx", "action_class", "target", "effect", "signature")
     own = sigs.groupBy("trace_id").agg(F.array_sort(F.collect_list(row)).alias("own"))
     ref = own.select(F.col("trace_id").alias("reference"), F.col("own").alias("ref")).join(references.select("task_id", F.col("trace_id").alias("reference")), "reference")
@@ -71,7 +108,7 @@ def align_to_reference(sigs: DataFrame, traces: DataFrame, references: DataFrame
         for b in batches:
             out = []
             for t, r, mine, theirs in zip(*(b.column(n).to_pylist() for n in ("trace_id", "reference", "own", "ref")), strict=True):
-                out += [(t, r, s["idx"], s["signature"], int(k) if k >= 0 else None) for s, k in zip(mine, longest_match(fitting(theirs, mine)), strict=True)]
+                out += [(t, r, s["idx"], s["signature"], int(k) if k >= 0 else None) for s, k in zip(mine, longest_match(Fits(theirs, mine)), strict=True)]
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in OUT.split(", ")])
