@@ -164,3 +164,60 @@ def test_alignment_in_little_memory():
     got = align.longest_match(long)
     assert tracemalloc.get_traced_memory()[1] < 40_000_000 and (got >= 0).sum() > 7000 and (np.diff(got[got >= 0]) > 0).all()
     tracemalloc.stop()
+
+
+def test_gaps_need_judgements(spark):
+    import pytest
+
+    e = spark.createDataFrame([ev(0, "TOOL_CALL", "s", "search", query="q"), ev(1, "TOOL_RESULT", "env", "search", content="2 docs [d9]", refs=(0,))], COLS)
+    tr = lambda evidence, gold, ok=False: spark.createDataFrame([("t", ok, evidence, gold)], "trace_id string, success boolean, evidence array<string>, gold array<string>")
+    got = t.gap_labels(e, tr(["d1"], ["d1"])).first()
+    assert (got.label, got.prescription) == ("RG_directional", "switch query formulation") and t.gap_labels(e, tr(["d1"], ["d1"], True)).first().prescription is None
+    for bad in (tr(None, ["d1"]), tr(["d1"], None)):
+        with pytest.raises(Exception, match="no relevance judgements for trace t"):
+            t.gap_labels(e, bad).collect()
+
+
+def test_degenerate_spectra_are_noted(spark):
+    rows = spark.createDataFrame([("a", "1", True), ("a", "2", False), ("b", "3", False), ("b", "4", False), ("c", "5", False), ("d", "6", True)], "task_id string, trace_id string, success boolean")
+    got = {x.task_id: x.notes for x in t.spectrum_notes(rows).collect()}
+    assert got["a"] == "" and "no successful" in got["b"] and "only 1" not in got["b"] and "no successful" in got["c"] and "only 1" in got["c"] and got["d"].startswith("only 1")
+
+
+def test_half_answers_leave_a_trail(spark):
+    said = ["lower half", "No error in the lower half", "There is no doubt: the upper half", "middle", "lower or upper", None]
+    got = [tuple(x.h) for x in spark.createDataFrame([(s,) for s in said], "s string").select(t.half_answer(F.col("s")).alias("h")).collect()]
+    assert got == [("lower", False, None), ("upper", True, None), ("upper", False, None), (None, None, "unparseable"), (None, None, "unparseable"), (None, None, "unparseable")]
+
+
+def test_judges_errors_are_no_evidence(spark):
+    from tracewright.operators import recover as v
+
+    reruns = spark.createDataFrame([("a", "r1", 1, True), ("a", "r2", 2, False), ("b", "r3", 1, True), ("c", "r4", 1, True)], "rerun_of string, trace_id string, seq int, success boolean")
+    judge = spark.createDataFrame([("r2", None, 3.0, "x"), ("r3", "error", None, None), ("r1", None, 9.0, "y")], "trace_id string, status string, score double, summary string")
+    got = {x.trace_id: (x.rerun_id, x.improved, x.judge_score, x.judge_summary, x.judge_available) for x in v.verify_closed_loop(reruns, judge).collect()}
+    assert got == {"a": ("r2", False, 3.0, "x", True), "b": ("r3", True, None, None, False), "c": ("r4", True, None, None, False)}
+
+
+def test_sparse_calls_and_leaks(spark):
+    from tracewright.operators import evaluate as e
+
+    calls = spark.createDataFrame([("t", True, None, None, 5, 2, None), ("t", None, 0, 30, None, None, None), ("t", True, 3, 10, 7, 1, 6)], "tag string, ok boolean, http_requests int, latency_ms int, tokens int, prompt_tokens int, completion_tokens int")
+    m = e.call_metrics(calls).first()
+    assert (m.n_calls, round(m.ok_rate, 4), round(m.http_per_call, 4), round(m.repair_rate, 4), m.p50, m.latest, m.tokens, m.prompt_tokens, m.completion_tokens) == (3, 0.6667, 1.6667, 0.3333, 10, 30, 12, 3, 6)
+    said = spark.createDataFrame([(k, "j", "has qrels" if k % 2 else "has QRELS", None) for k in range(30)], "record int, tag string, prompt string, response string")
+    assert [(x.word, x.n_calls, x.records) for x in e.leak_scan(said).collect()] == [("qrels", 15, [1, 3, 5, 7, 9, 11, 13, 15, 17, 19])]
+
+
+def test_scores_are_tallied(spark):
+    from tracewright.sources import formats as f
+
+    hyps = spark.createDataFrame([("a", "x", 1, None, 0.5, "sbfl", "why " * 50), ("a", "y", 1, "FM-1.1", 0.9, "judge", "because"), ("a", "z", 7, None, 0.9, "judge", "b")], "trace_id string, agent string, step int, code string, confidence double, algo string, root_cause string")
+    spans = spark.createDataFrame([("a", 1, "s1")], "trace_id string, step int, span_id string")
+    p = f.score_payloads(hyps, spans, run_id="r", longest=30)
+    rows = [(x.name, x.value, x.data_type, x.comment, x.metadata["algo"]) for x in p.orderBy("emit_order").collect()]
+    assert rows == [("blamed-step", "FM-1.1", "CATEGORICAL", "y @ step 1: because", "judge"), ("confidence", "0.9", "NUMERIC", "confidence of the top hypothesis"[:30], "judge"), ("root-cause", "FM-1.1", "CATEGORICAL", "y @ step 1: because (run r)", "judge")]
+    traces = spark.createDataFrame([("a",), ("b",), ("c",)], "trace_id string")
+    done = spark.createDataFrame([("c", "root-cause"), ("a", "blamed-step")], "trace_id string, name string")
+    tally = lambda **x: tuple(f.score_tally(f.skip_scored(traces, p, done, **x), p).first())
+    assert tally() == (1, 0, 1, 1, 3) and tally(dry_run=True) == (0, 1, 1, 1, 3) and tally(force=True) == (1, 0, 0, 2, 3)

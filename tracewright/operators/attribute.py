@@ -36,18 +36,26 @@ def episodes(events: DataFrame, traces: DataFrame) -> DataFrame:
     return out.withColumn("utility", F.when(F.col("new") > 0, "productive").when(F.col("found") > 0, "redundant").otherwise("unproductive"))
 
 
+#: What a gap calls for, and why a spectrum says little.
+PRESCRIPTION = {"RG": "switch query formulation", "UG": "stop at saturation / enforce grounded citation"}
+DEGENERATE = {"no_success": "no successful trajectory in the group: the spectrum is degenerate", "single": "only 1 trajectory in the group: the spectrum is degenerate"}
+
+
 def gap_labels(events: DataFrame, traces: DataFrame) -> DataFrame:
-    """Retrieval or utilization gap of each trace, with its counts."""
+    """Retrieval or utilization gap of each trace, with its counts and what it calls for. A trace without relevance judgements (evidence, gold) is an error: nothing can be said of it."""
     ep = episodes(events, traces)
     agg = ep.groupBy("trace_id").agg(
         F.count("*").alias("m"), F.max(F.when(F.col("new") > 0, F.col("k"))).alias("k_star"), F.min(F.when(F.col("gold_hit"), F.col("start_idx"))).alias("first_gold_hit"), F.array_distinct(F.flatten(F.collect_list("docs"))).alias("c_m"),
     )
     reads = events.where("kind = 'TOOL_CALL' and action = 'read_doc'").where(F.col("doc_id").rlike(r"^d\d+$")).join(traces.select("trace_id", "evidence"), "trace_id")
-    reads = reads.groupBy("trace_id").agg(F.avg(F.array_contains("evidence", F.col("doc_id")).cast("double")).alias("visit_precision"))
-    j = traces.select("trace_id", "success", "gold").join(agg, "trace_id", "left").join(reads, "trace_id", "left")
+    reads = reads.groupBy("trace_id").agg(F.round(F.avg(F.array_contains("evidence", F.col("doc_id")).cast("double")), 4).alias("visit_precision"))
+    j = traces.select("trace_id", "success", "gold", "evidence").join(agg, "trace_id", "left").join(reads, "trace_id", "left")
     j = j.withColumns({"m": F.coalesce("m", F.lit(0)), "c_m": F.coalesce("c_m", F.array().cast("array<string>"))}).withColumn("g", F.array_intersect("c_m", "gold"))
-    label = F.when(F.col("success"), "correct").when(F.size("g") == 0, F.when(F.size("c_m") == 0, "RG_directional").otherwise("RG_last_hop")).when(F.size("g") == F.size("gold"), "UG_true_extraction").otherwise("UG_boundary")
-    return j.select("trace_id", label.alias("label"), "m", "k_star", F.when(F.col("k_star").isNull(), F.col("m")).otherwise(F.col("m") - 1 - F.col("k_star")).alias("wasted_tail"), "visit_precision", "first_gold_hit")
+    unjudged = F.raise_error(F.concat(F.lit("no relevance judgements for trace "), "trace_id")).cast("string")
+    label = F.when(F.col("evidence").isNull() | F.col("gold").isNull(), unjudged).when(F.col("success"), "correct").when(F.size("g") == 0, F.when(F.size("c_m") == 0, "RG_directional").otherwise("RG_last_hop")).when(F.size("g") == F.size("gold"), "UG_true_extraction").otherwise("UG_boundary")
+    j = j.withColumn("label", label)
+    cure = F.when(F.col("label").startswith("RG"), PRESCRIPTION["RG"]).when(F.col("label").startswith("UG"), PRESCRIPTION["UG"])
+    return j.select("trace_id", "label", "m", "k_star", F.when(F.col("k_star").isNull(), F.col("m")).otherwise(F.col("m") - 1 - F.col("k_star")).alias("wasted_tail"), "visit_precision", "first_gold_hit", cure.alias("prescription"))
 
 
 def gap_hypotheses(events: DataFrame, traces: DataFrame) -> DataFrame:
@@ -91,6 +99,13 @@ def spectrum(sigs: DataFrame, traces: DataFrame, lam: float = 0.9) -> DataFrame:
     return u.select("task_id", *UNIT, "n_cf", "n_cs", "n_uf", "kul", "gamma", "beta", (F.col("kul") * (1 + F.col("beta")) * (1 + F.col("gamma"))).alias("base"))
 
 
+def spectrum_notes(traces: DataFrame) -> DataFrame:
+    """(task_id, n_traces, n_passed, notes): what makes a task's spectrum degenerate, joined by '; '; empty if nothing does."""
+    n = traces.groupBy("task_id").agg(F.count("*").alias("n_traces"), F.count_if("success").alias("n_passed"))
+    notes = F.filter(F.array(F.when(F.col("n_passed") == 0, DEGENERATE["no_success"]), F.when(F.col("n_traces") == 1, DEGENERATE["single"])), lambda x: x.isNotNull())
+    return n.withColumn("notes", F.array_join(notes, "; "))
+
+
 def spectrum_ranking(sigs: DataFrame, traces: DataFrame, lam: float = 0.9, top_k: int = 5) -> DataFrame:
     """Top units of every failed trace by suspicion; the step is the unit's second occurrence if it repeats."""
     s = sigs.where("agent not in ('verifier', 'env')").withColumn("target", F.coalesce("target", F.lit("")))
@@ -159,6 +174,13 @@ def parse_half(text: Column) -> Column:
     return F.when(lower != upper, F.when(clause.rlike(NEGATION), F.when(lower, "upper").otherwise("lower")).otherwise(word))
 
 
+def half_answer(text: Column) -> Column:
+    """struct<half, negated, fault>: parse_half() with whether a denial turned it, and 'unparseable' where it names neither half or both."""
+    half, low = parse_half(text), F.lower(F.coalesce(text, F.lit("")))
+    named = F.when(F.contains(low, F.lit("lower")), "lower").otherwise("upper")
+    return F.struct(half.alias("half"), F.when(half.isNotNull(), half != named).alias("negated"), F.when(half.isNull(), "unparseable").alias("fault"))
+
+
 def claim_support(claims: DataFrame, events: DataFrame) -> DataFrame:
     """Support and verdict of each claim (trace_id, claim_id, text, claim_type, introduced): support_status, verdict, responsible_step.
 

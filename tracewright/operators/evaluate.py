@@ -91,13 +91,16 @@ def run_rounds(rounds: dict[int, tuple[DataFrame, DataFrame, DataFrame, DataFram
 
 
 def call_metrics(calls: DataFrame) -> DataFrame:
-    """calls (tag, ok, http_requests, latency_ms, tokens) -> per tag: rates, positional latency percentiles sorted[int(q n)], token sums. Calls are counted by latency first, so what is ordered within a tag are its different latencies."""
-    per = calls.groupBy("tag", "latency_ms").agg(F.count("*").alias("k"), F.sum(F.col("ok").cast("long")).alias("ok"), F.sum("http_requests").alias("http"), F.sum((F.col("http_requests") > 1).cast("long")).alias("repaired"), F.sum("tokens").alias("tokens"))
+    """calls (tag, ok, http_requests, latency_ms, tokens, and prompt_tokens, completion_tokens if known) -> per tag: rates, positional latency percentiles sorted[int(q n)], token sums. A call without a count of requests made one, one without a latency took none, one without tokens used none. Calls are counted by latency first, so what is ordered within a tag are its different latencies."""
+    parts = [c for c in ("prompt_tokens", "completion_tokens") if c in calls.columns]
+    some = lambda c, least: F.when(F.coalesce(F.col(c), F.lit(0)) == 0, least).otherwise(F.col(c))
+    calls = calls.withColumns({"http_requests": some("http_requests", 1), "latency_ms": some("latency_ms", 0), "ok": F.coalesce("ok", F.lit(False)), **{c: F.coalesce(c, F.lit(0)) for c in ("tokens", *parts)}})
+    per = calls.groupBy("tag", "latency_ms").agg(*(F.sum(c).alias(c) for c in parts), F.count("*").alias("k"), F.sum(F.col("ok").cast("long")).alias("ok"), F.sum("http_requests").alias("http"), F.sum((F.col("http_requests") > 1).cast("long")).alias("repaired"), F.sum("tokens").alias("tokens"))
     tag = Window.partitionBy("tag")
     per = per.withColumns({"upto": F.sum("k").over(tag.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "n": F.sum("k").over(tag)})
     at = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(q * F.col("n")), F.col("n") - 1), F.col("latency_ms")))
     n = F.sum("k")
-    return per.groupBy("tag").agg(n.alias("n_calls"), (F.sum("ok") / n).alias("ok_rate"), (F.sum("http") / n).alias("http_per_call"), (F.sum("repaired") / n).alias("repair_rate"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("latest"), F.sum("tokens").alias("tokens"))
+    return per.groupBy("tag").agg(n.alias("n_calls"), (F.sum("ok") / n).alias("ok_rate"), (F.sum("http") / n).alias("http_per_call"), (F.sum("repaired") / n).alias("repair_rate"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("latency_ms").alias("latest"), F.sum("tokens").alias("tokens"), *(F.sum(c).alias(c) for c in parts))
 
 
 def tag_drift(calls: DataFrame, plan: DataFrame, tolerance: float = 0.15) -> DataFrame:
@@ -107,12 +110,19 @@ def tag_drift(calls: DataFrame, plan: DataFrame, tolerance: float = 0.15) -> Dat
     return j.select("tag", "n_calls", "planned", F.coalesce(F.abs(F.col("n_calls") - F.col("planned")) > tolerance * F.col("planned"), F.lit(True)).alias("drifts"))
 
 
-def leak_scan(calls: DataFrame, words: tuple[str, ...] = (*FAULTS, *TRUTH_FIELDS), environment: tuple[str, ...] = ("feedback_match",)) -> DataFrame:
-    """calls (tag, prompt, response) -> (place, tag, word, n_calls) of forbidden words: place is prompt, environment for the prompts of tags that the environment itself sends, or response. Only prompt counts against a run."""
-    found = lambda c: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), F.lower(w)))
-    asked = calls.select(F.when(F.col("tag").isin(*environment), "environment").otherwise("prompt").alias("place"), "tag", F.explode(found("prompt")).alias("word"))
-    said = calls.select(F.lit("response").alias("place"), "tag", F.explode(found("response")).alias("word"))
-    return asked.unionByName(said).groupBy("place", "tag", "word").agg(F.count("*").alias("n_calls"))
+def leak_scan(calls: DataFrame, words: tuple[str, ...] = (*FAULTS, *TRUTH_FIELDS), environment: tuple[str, ...] = ("feedback_match",), shown: int = 10) -> DataFrame:
+    """calls (tag, prompt, response, and record: its number or name, if known) -> (place, tag, word, n_calls, and records: the first few of them) of forbidden words, as they are written: place is prompt, environment for the prompts of tags that the environment itself sends, or response. Only prompt counts against a run."""
+    found = lambda c: F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(c, w))
+    known = [c for c in ("record",) if c in calls.columns]
+    asked = calls.select(*known, F.when(F.col("tag").isin(*environment), "environment").otherwise("prompt").alias("place"), "tag", F.explode(found("prompt")).alias("word"))
+    said = calls.select(*known, F.lit("response").alias("place"), "tag", F.explode(found("response")).alias("word"))
+    key = ["place", "tag", "word"]
+    hits = asked.unionByName(said)
+    out = hits.groupBy(*key).agg(F.count("*").alias("n_calls"))
+    if not known:
+        return out
+    few = hits.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("record"))).where(F.col("_n") <= shown).groupBy(*key).agg(F.sort_array(F.collect_list("record")).alias("records"))
+    return out.join(few, key)
 
 
 def claim_coverage(claims: DataFrame, traces: DataFrame) -> DataFrame:
@@ -148,6 +158,21 @@ def trace_summaries(events: DataFrame, traces: DataFrame, hyps: DataFrame) -> Da
     return traces.select("trace_id", "success").join(n, "trace_id").join(h, "trace_id", "left").withColumn("lines", F.coalesce("lines", F.lit("")))
 
 
+STAGES = ("represent", "analyze", "classify", "attribute", "recover")
+
+
+def bundle_summaries(events: DataFrame, traces: DataFrame, artifacts: DataFrame, reruns: DataFrame) -> DataFrame:
+    """(trace_id, summary): the trace and the start of its task, its outcome and number of events, one line per artifact (trace_id, stage, name, json; by stage and name, 160 characters of it), one per rerun (rerun_of, trace_id, success)."""
+    n = events.groupBy("trace_id").agg(F.count("*").alias("n"))
+    stage = F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage"))
+    one = artifacts.select("trace_id", F.lit(0).alias("o"), stage.alias("k"), F.col("name").alias("by"), F.concat(F.lit("  artifact "), "stage", F.lit("/"), "name", F.lit(": "), F.substring("json", 1, 160)).alias("line"))
+    again = reruns.select(F.col("rerun_of").alias("trace_id"), F.lit(1).alias("o"), F.lit(0).cast("long").alias("k"), F.col("trace_id").alias("by"), F.concat(F.lit("  rerun "), "trace_id", F.lit(": "), F.when(F.col("success"), "success").otherwise("FAILURE")).alias("line"))
+    lines = one.unionByName(again).groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "k", "by", "line"))), lambda x: x["line"]).alias("lines"))
+    j = traces.select("trace_id", "task", "success").join(n, "trace_id", "left").join(lines, "trace_id", "left")
+    head = F.array(F.concat(F.lit("trace="), "trace_id", F.lit(" task='"), F.substring("task", 1, 60), F.lit("'")), F.concat(F.lit("outcome=("), F.when(F.col("success"), "success").otherwise("FAILURE"), F.lit(") events="), F.coalesce("n", F.lit(0)).cast("string")))
+    return j.select("trace_id", F.array_join(F.concat(head, F.coalesce("lines", F.array().cast("array<string>"))), "\n").alias("summary"))
+
+
 def error_tally(errors: DataFrame) -> DataFrame:
     """errors (stage, name, trace_id, error) -> per algorithm: rows and traces."""
     return errors.groupBy("stage", "name").agg(F.count("*").alias("n_errors"), F.countDistinct("trace_id").alias("n_traces"))

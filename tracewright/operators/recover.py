@@ -45,10 +45,14 @@ def attempt_ledger(reruns: DataFrame, limit: int = 3) -> DataFrame:
     return r.groupBy(F.col("rerun_of").alias("trace_id")).agg(F.count("*").alias("attempts"), first.alias("first_success"), first.isNotNull().alias("recovered"))
 
 
-def verify_closed_loop(reruns: DataFrame) -> DataFrame:
-    """The last rerun of each origin says whether it improved."""
+def verify_closed_loop(reruns: DataFrame, judge: DataFrame | None = None) -> DataFrame:
+    """The last rerun of each origin says whether it improved. judge (trace_id, status, score, summary) is what a judge said of reruns: its score and summary stand beside, unless it ended in an error, which is no evidence (judge_available false)."""
     last = F.max_by(F.struct("trace_id", "success"), F.struct("seq", "trace_id")).alias("l")
-    return reruns.groupBy(F.col("rerun_of").alias("trace_id")).agg(last).select("trace_id", F.col("l.trace_id").alias("rerun_id"), F.col("l.success").alias("improved"))
+    out = reruns.groupBy(F.col("rerun_of").alias("trace_id")).agg(last).select("trace_id", F.col("l.trace_id").alias("rerun_id"), F.col("l.success").alias("improved"))
+    if judge is None:
+        return out
+    said = judge.where("coalesce(status, '') <> 'error'").select(F.col("trace_id").alias("rerun_id"), F.col("score").alias("judge_score"), F.col("summary").alias("judge_summary"), F.lit(True).alias("judge_available"))
+    return out.join(said.dropDuplicates(["rerun_id"]), "rerun_id", "left").withColumn("judge_available", F.coalesce("judge_available", F.lit(False)))
 
 
 def trials(events: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def t1(events, traces):
     return t.episodes(events, traces).drop("docs").withColumn("k", F.col("k").cast("long"))
 
 
-@trace_query("t2_gap_labels", EP_SQL + "SELECT * FROM gl")
+@trace_query("t2_gap_labels", EP_SQL + "SELECT * REPLACE (round(visit_precision, 4) AS visit_precision), CASE WHEN label LIKE 'RG%' THEN 'switch query formulation' WHEN label LIKE 'UG%' THEN 'stop at saturation / enforce grounded citation' END AS prescription FROM gl")
 def t2(events, traces):
     return t.gap_labels(events, traces).withColumn("k_star", F.col("k_star").cast("long"))
 
@@ -78,6 +78,12 @@ def t6(events, traces):
     return t.spectrum_ranking(r.sign_actions(events), traces).withColumn("score", F.round("score", 6))
 
 
+@trace_query("t6_group_notes", """g AS (SELECT regexp_extract(trace_id, '^(u\\d+)w', 1) AS task_id, count(*) AS n_traces, count(*) FILTER (success) AS n_passed FROM tr GROUP BY ALL) SELECT *, concat_ws('; ', CASE WHEN n_passed = 0 THEN 'no successful trajectory in the group: the spectrum is degenerate' END, CASE WHEN n_traces = 1 THEN 'only 1 trajectory in the group: the spectrum is degenerate' END) AS notes FROM g""")
+def t6_notes(events, traces):
+    """Users stand for tasks, so that some have one trace, and some none that succeeded."""
+    return t.spectrum_notes(traces.withColumn("task_id", F.regexp_extract("trace_id", r"^(u\d+)w", 1)))
+
+
 def sample_pass(events):
     """Verdict JSON from primary symptoms, with steps out of range, unknown agents and codes put in by rule."""
     p = c.primary_symptom(c.symptoms(events))

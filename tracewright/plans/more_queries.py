@@ -124,6 +124,11 @@ def t10(events, traces):
     return events.select("trace_id", "idx", t.parse_half(pick(ANSWERS, F.col("idx") + F.col("k"))).alias("half"))
 
 
+@trace_query("t10_half_trail", f"a AS (SELECT trace_id, idx, lower({pick_sql(ANSWERS, 'idx + k')}) AS s FROM ev), w AS (SELECT *, CASE WHEN contains(s, 'lower') <> contains(s, 'upper') THEN CASE WHEN contains(s, 'lower') THEN 'lower' ELSE 'upper' END END AS word FROM a), c AS (SELECT *, (SELECT min_by(u.part, u.o) FROM (SELECT unnest(p) AS part, unnest(generate_series(1, len(p))) AS o FROM (SELECT regexp_split_to_array(s, '[,;:.!?\\n]') AS p)) u WHERE contains(u.part, word)) AS part FROM w) SELECT trace_id, idx, CASE WHEN word IS NOT NULL THEN regexp_matches(part, '(^|[^a-z0-9_])(not|no|nothing|none|without|cannot|clean|correct)([^a-z0-9_]|$)|[a-z0-9_]n''t') END AS negated, CASE WHEN word IS NULL THEN 'unparseable' END AS fault FROM c")
+def t10_trail(events, traces):
+    return events.select("trace_id", "idx", t.half_answer(pick(ANSWERS, F.col("idx") + F.col("k"))).alias("h")).select("trace_id", "idx", "h.negated", "h.fault")
+
+
 @trace_query("t12_refined_fields", HYP_SQL + " SELECT trace_id, algo, rank, step, coalesce(CASE WHEN step % 2 = 0 THEN 'refined at ' || step END, 'step ' || step || ' by ' || agent || ' decided the failure') AS root_cause, CASE WHEN step % 2 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM hy")
 def t12(events, traces):
     h = all_hypotheses(events, traces)

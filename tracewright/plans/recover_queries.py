@@ -45,6 +45,15 @@ def v4(events, traces):
     return v.verify_closed_loop(reruns_of(traces))
 
 
+@trace_query("v4_judge_evidence", RERUN_SQL + """, l AS (SELECT rerun_of AS trace_id, max_by(trace_id, seq) AS rerun_id, max_by(success, seq) AS improved FROM ru GROUP BY rerun_of), n AS (SELECT trace_id AS rerun_id, count(*) AS n FROM ev GROUP BY ALL)
+SELECT trace_id, rerun_id, improved, CASE WHEN n % 3 = 0 THEN (n % 11)::DOUBLE END AS judge_score, CASE WHEN n % 3 = 0 THEN 'seen ' || n END AS judge_summary, n % 3 = 0 AS judge_available FROM l JOIN n USING (rerun_id)""")
+def v4_judge(events, traces):
+    """A third of the traces has a judge's score, a third an error in its place, the rest nothing."""
+    n = events.groupBy("trace_id").agg(F.count("*").alias("n")).where("n % 3 <> 2")
+    judge = n.select("trace_id", F.when(F.col("n") % 3 == 1, "error").alias("status"), (F.col("n") % 11).cast("double").alias("score"), F.concat(F.lit("seen "), F.col("n").cast("string")).alias("summary"))
+    return v.verify_closed_loop(reruns_of(traces), judge)
+
+
 TRIAL_SQL = "pl AS (SELECT trace_id, idx, lead(idx) OVER (PARTITION BY trace_id ORDER BY idx) AS nxt, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY idx) - 1 AS INT) AS trial FROM ev WHERE kind = 'LLM_CALL' AND content LIKE 'plan:%'), la AS (SELECT trace_id, max(idx) AS last FROM ev GROUP BY ALL), ti AS (SELECT trace_id, trial, idx AS lo, coalesce(nxt - 1, last) AS hi FROM pl JOIN la USING (trace_id) UNION ALL SELECT trace_id, 0, 0, last FROM la WHERE trace_id NOT IN (SELECT trace_id FROM pl))"
 
 
@@ -206,13 +215,26 @@ def e6(spark, sf_dir):
     return e.call_metrics(calls_of(spark, sf_dir))
 
 
+@query("e6_sparse_calls", CALL_SQL + """, s AS (SELECT tag, ok, CASE WHEN call_id % 7 = 3 THEN 1 ELSE http_requests END AS http, CASE WHEN call_id % 11 = 5 THEN 0 ELSE latency_ms END AS lat, CASE WHEN call_id % 5 = 2 THEN 0 ELSE tokens END AS tokens, CASE WHEN call_id % 5 = 2 THEN 0 ELSE tokens // 3 END AS prompt, CASE WHEN call_id % 5 <> 1 THEN 0 ELSE tokens - tokens // 3 END AS completion FROM ca)
+SELECT tag, count(*) AS n_calls, sum(http) / count(*) AS http_per_call, min(lat) AS least, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(prompt) AS BIGINT) AS prompt_tokens, CAST(sum(completion) AS BIGINT) AS completion_tokens FROM s GROUP BY tag""")
+def e6_sparse(spark, sf_dir):
+    """Calls without requests, latencies or tokens, by rule."""
+    none = lambda when, c: F.when(~when, c)
+    i, t = F.col("call_id"), F.col("tokens")
+    third = F.expr("tokens div 3")
+    c_ = calls_of(spark, sf_dir).withColumns({"http_requests": none(i % 7 == 3, F.col("http_requests")), "latency_ms": none(i % 11 == 5, F.col("latency_ms")), "prompt_tokens": none(i % 5 == 2, third), "completion_tokens": none(i % 5 != 1, t - third), "tokens": none(i % 5 == 2, t)})
+    m = e.call_metrics(c_)
+    least = c_.groupBy("tag").agg(F.min(F.coalesce("latency_ms", F.lit(0))).alias("least"))
+    return m.join(least, "tag").select("tag", "n_calls", "http_per_call", "least", "tokens", "prompt_tokens", "completion_tokens")
+
+
 @query("e7_tag_drift", CALL_SQL + ", n AS (SELECT tag, count(*) AS n_calls FROM ca GROUP BY ALL), p AS (SELECT event_type AS tag, count(DISTINCT user_id) * 20 AS planned FROM events WHERE event_type <> 'error' GROUP BY ALL) SELECT tag, coalesce(n_calls, 0) AS n_calls, planned, coalesce(abs(n_calls - planned) > 0.15 * planned, true) AS drifts FROM n FULL JOIN p USING (tag)")
 def e7(spark, sf_dir):
     plan = table(spark, sf_dir, "events").where("event_type <> 'error'").groupBy(F.col("event_type").alias("tag")).agg((F.countDistinct("user_id") * 20).alias("planned"))
     return e.tag_drift(calls_of(spark, sf_dir), plan)
 
 
-@trace_query("e8_leak_scan", "w AS (SELECT unnest(['malformed_tool_call', 'step_repetition', 'info_withholding', 'premature_termination', 'ungrounded_citation', 'disobey_task_spec', 'retrieval_detour', 'agent_deadlock', 'injected_fault', 'ground_truth', 'qrels']) AS word), " + f"p AS (SELECT kind AS tag, coalesce(content, '') || ' ' || {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')} AS prompt, {pick_sql((None, 'agent_deadlock'), 'k')} AS response FROM ev), h AS (SELECT CASE WHEN tag = 'HANDOFF' THEN 'environment' ELSE 'prompt' END AS place, tag, word FROM p JOIN w ON contains(lower(prompt), word) UNION ALL SELECT 'response', tag, word FROM p JOIN w ON contains(lower(response), word)) SELECT place, tag, word, count(*) AS n_calls FROM h GROUP BY ALL")
+@trace_query("e8_leak_scan", "w AS (SELECT unnest(['malformed_tool_call', 'step_repetition', 'info_withholding', 'premature_termination', 'ungrounded_citation', 'disobey_task_spec', 'retrieval_detour', 'agent_deadlock', 'injected_fault', 'ground_truth', 'qrels']) AS word), " + f"p AS (SELECT kind AS tag, coalesce(content, '') || ' ' || {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')} AS prompt, {pick_sql((None, 'agent_deadlock'), 'k')} AS response FROM ev), h AS (SELECT CASE WHEN tag = 'HANDOFF' THEN 'environment' ELSE 'prompt' END AS place, tag, word FROM p JOIN w ON contains(prompt, word) UNION ALL SELECT 'response', tag, word FROM p JOIN w ON contains(response, word)) SELECT place, tag, word, count(*) AS n_calls FROM h GROUP BY ALL")
 def e8(events, traces):
     """Prompts by rule that hold names of faults and of ground truth; handoffs stand for the environment's own tag."""
     calls = events.select(F.col("kind").alias("tag"), F.concat(F.coalesce("content", F.lit("")), F.lit(" "), pick((*_NAMES, "qrels", "Ground_Truth", None), F.col("idx") + F.col("k"))).alias("prompt"), pick((None, "agent_deadlock"), F.col("k")).alias("response"))
@@ -234,3 +256,21 @@ def e11(events, traces):
 @trace_query("e12_trace_summaries", HYP_SQL + ", hl AS (SELECT trace_id, string_agg(substr(concat_ws(' ', algo, agent, step, code), 1, 160), chr(10) ORDER BY concat_ws(' ', algo, agent, step, code)) AS lines FROM hy WHERE rank = 1 GROUP BY ALL), n AS (SELECT trace_id, count(*) AS n_events FROM ev GROUP BY ALL) SELECT tr.trace_id, success, n_events, coalesce(lines, '') AS lines FROM tr JOIN n USING (trace_id) LEFT JOIN hl USING (trace_id)")
 def e12(events, traces):
     return e.trace_summaries(events, traces, all_hypotheses(events, traces))
+
+
+@trace_query("e8_leaking_records", f"p AS (SELECT kind AS tag, coalesce(content, '') || ' ' || {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')} AS prompt, trace_id || '/' || lpad(CAST(idx AS VARCHAR), 5, '0') AS record FROM ev), h AS (SELECT tag, record, row_number() OVER (PARTITION BY tag ORDER BY record) AS n FROM p WHERE contains(prompt, 'qrels')) SELECT tag, count(*) AS n_calls, string_agg(record, ',' ORDER BY record) FILTER (n <= 10) AS records FROM h GROUP BY tag")
+def e8_records(events, traces):
+    calls = events.select(F.col("kind").alias("tag"), F.concat_ws("/", "trace_id", F.lpad(F.col("idx").cast("string"), 5, "0")).alias("record"), F.concat(F.coalesce("content", F.lit("")), F.lit(" "), pick((*_NAMES, "qrels", "Ground_Truth", None), F.col("idx") + F.col("k"))).alias("prompt"), F.lit(None).cast("string").alias("response"))
+    found = e.leak_scan(calls, environment=("HANDOFF",)).where("word = 'qrels'")
+    return found.select("tag", "n_calls", F.array_join("records", ",").alias("records"))
+
+
+@trace_query("e12_bundle_summaries", RERUN_SQL + """, n AS (SELECT trace_id, count(*) AS n FROM ev GROUP BY ALL),
+ar AS (SELECT trace_id, 0 AS o, CASE WHEN kind = 'VERIFIER' THEN 5 WHEN kind = 'TOOL_CALL' THEN 2 ELSE 1 END AS k, kind AS by_, '  artifact ' || CASE WHEN kind = 'VERIFIER' THEN 'recover' WHEN kind = 'TOOL_CALL' THEN 'analyze' ELSE 'represent' END || '/' || kind || ': ' || substr('{"n":' || count(*) || ',"pad":"' || repeat('x', 200) || '"}', 1, 160) AS line FROM ev GROUP BY trace_id, kind
+  UNION ALL SELECT rerun_of, 1, 0, trace_id, '  rerun ' || trace_id || ': ' || CASE WHEN success THEN 'success' ELSE 'FAILURE' END FROM ru),
+al AS (SELECT trace_id, string_agg(line, chr(10) ORDER BY o, k, by_) AS lines FROM ar GROUP BY trace_id)
+SELECT tr.trace_id, 'trace=' || tr.trace_id || ' task=''' || substr(task, 1, 60) || '''' || chr(10) || 'outcome=(' || CASE WHEN success THEN 'success' ELSE 'FAILURE' END || ') events=' || n || chr(10) || lines AS summary FROM tr JOIN n USING (trace_id) JOIN al USING (trace_id)""")
+def e12_bundles(events, traces):
+    stage = F.when(F.col("kind") == "VERIFIER", "recover").when(F.col("kind") == "TOOL_CALL", "analyze").otherwise("represent")
+    artifacts = events.groupBy("trace_id", "kind").agg(F.count("*").alias("n")).select("trace_id", stage.alias("stage"), F.col("kind").alias("name"), F.to_json(F.struct("n", F.repeat(F.lit("x"), 200).alias("pad"))).alias("json"))
+    return e.bundle_summaries(events, traces, artifacts, reruns_of(traces))

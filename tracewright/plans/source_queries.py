@@ -10,7 +10,7 @@ from tracewright.plans.registry import query, trace_query
 from tracewright.sources import formats as f
 from tracewright.sources import imports as im
 from tracewright.sources.fixtures import table
-from tracewright.tables import shared_folder
+from tracewright.tables import durable, shared_folder
 
 
 @trace_query("io1_trace_lines_round_trip", "SELECT trace_id, idx, id, kind, agent, action, content, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
@@ -303,10 +303,29 @@ def payloads(events, traces):
 
 @trace_query("io17_score_payloads", PAY_SQL + " SELECT * FROM pay")
 def io17(events, traces):
-    return payloads(events, traces).drop("value")
+    return payloads(events, traces).select("trace_id", "observation_id", "name", "emit_order")
 
 
-@trace_query("io18_incremental_skip", PAY_SQL + ", d AS (SELECT trace_id, CASE WHEN trace_id NOT IN (SELECT trace_id FROM pay) THEN 'no-hypotheses' WHEN time_window IN ('w1', 'w2') THEN 'skipped' ELSE 'written' END AS decision FROM tr) SELECT decision, count(*) AS n FROM d GROUP BY decision")
+@trace_query("io18_incremental_skip", PAY_SQL + ", d AS (SELECT trace_id, CASE WHEN time_window IN ('w1', 'w2') THEN 'skipped' WHEN trace_id NOT IN (SELECT trace_id FROM pay) THEN 'no-hypotheses' ELSE 'written' END AS decision FROM tr) SELECT decision, count(*) AS n FROM d GROUP BY decision")
 def io18(events, traces):
     old = traces.where("time_window in ('w1', 'w2')").select("trace_id", F.lit("root-cause").alias("name"))
     return f.skip_scored(traces, payloads(events, traces), old).groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@trace_query("io17_score_details", PAY_SQL + """, o2_ AS (SELECT hy.*, 's' || step AS span_id, 'cause ' || step AS why, row_number() OVER (PARTITION BY trace_id, step ORDER BY confidence DESC, agent) AS n, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, step, agent) AS b FROM hy)
+SELECT trace_id, span_id AS observation_id, 'blamed-step' AS name, coalesce(code, 'blamed') AS value, 'CATEGORICAL' AS data_type, substr(agent || ' @ step ' || step || ': ' || why, 1, 25) AS comment, agent AS by_agent, CAST(step AS VARCHAR) AS at_step, 'r7' AS run FROM o2_ WHERE n = 1
+UNION ALL SELECT trace_id, NULL, 'confidence', CAST(round(confidence, 4) AS VARCHAR), 'NUMERIC', substr('confidence of the top hypothesis (by rules, run r7)', 1, 25), agent, CAST(step AS VARCHAR), 'r7' FROM o2_ WHERE b = 1
+UNION ALL SELECT trace_id, NULL, 'root-cause', coalesce(code, 'unlabeled'), 'CATEGORICAL', substr(agent || ' @ step ' || step || ': ' || why || ' (run r7)', 1, 25), agent, CAST(step AS VARCHAR), 'r7' FROM o2_ WHERE b = 1""")
+def io17_details(events, traces):
+    spans = events.select("trace_id", F.col("idx").alias("step"), F.concat(F.lit("s"), F.col("idx").cast("string")).alias("span_id"))
+    h = all_hypotheses(events, traces).drop("rank").withColumns({"algo": F.lit("rules"), "root_cause": F.concat(F.lit("cause "), F.col("step").cast("string"))})
+    m = lambda k: F.try_element_at("metadata", F.lit(k))
+    return f.score_payloads(h, spans, run_id="r7", longest=25).select("trace_id", "observation_id", "name", "value", "data_type", "comment", m("agent").alias("by_agent"), m("step").alias("at_step"), m("run_id").alias("run"))
+
+
+@trace_query("io18_dry_run_tally", PAY_SQL + """, d AS (SELECT trace_id, CASE WHEN time_window IN ('w1', 'w2') THEN 'skipped' WHEN trace_id NOT IN (SELECT trace_id FROM pay) THEN 'no-hypotheses' ELSE 'dry-run' END AS decision FROM tr)
+SELECT CAST(0 AS BIGINT) AS written, count(*) FILTER (decision = 'dry-run') AS dry_run, count(*) FILTER (decision = 'skipped') AS skipped, count(*) FILTER (decision = 'no-hypotheses') AS no_hypotheses, (SELECT count(*) FROM pay JOIN d USING (trace_id) WHERE decision = 'dry-run') AS n_scores FROM d""")
+def io18_tally(events, traces):
+    p = durable(payloads(events, traces))  # read twice
+    old = traces.where("time_window in ('w1', 'w2')").select("trace_id", F.lit("root-cause").alias("name"))
+    return f.score_tally(f.skip_scored(traces, p, old, dry_run=True), p)

@@ -210,22 +210,41 @@ def pull_window(traces: DataFrame, tags: list[str], since, limit: int | None = N
     return t if limit is None else t.orderBy(F.col("timestamp").desc(), "trace_id").limit(limit)
 
 
-def score_payloads(hyps: DataFrame, spans: DataFrame) -> DataFrame:
-    """hyps with trace_id, agent, step, code, confidence and spans (trace_id, step, span_id) -> payload rows in order: each blamed span once (highest confidence), then the confidence, and the root cause last."""
-    h = hyps.join(spans, ["trace_id", "step"], "left")
+def score_payloads(hyps: DataFrame, spans: DataFrame, run_id: str = "", longest: int = 500) -> DataFrame:
+    """hyps with trace_id, agent, step, code, confidence (and algo, root_cause, if known) and spans (trace_id, step, span_id) -> payload rows in order: each blamed span once (highest confidence), then the confidence, and the root cause last: it is the marker that a trace is done.
+
+    Columns: trace_id, observation_id, name, value, data_type, comment (cut at `longest`), metadata (agent, step, confidence, algo, run_id), emit_order.
+    """
+    known = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in hyps.columns else F.lit(default)
+    h = hyps.withColumns({"_algo": known("algo", "tracewright"), "_why": known("root_cause", "")}).join(spans, ["trace_id", "step"], "left")
+    text = lambda c: F.col(c).cast("string")
+    said = F.concat("agent", F.lit(" @ step "), text("step"), F.lit(": "), "_why")
+    run = f", run {run_id}" if run_id else ""
+    meta = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in {"agent": F.col("agent"), "step": text("step"), "confidence": text("confidence"), "algo": F.col("_algo"), "run_id": F.lit(run_id or None).cast("string")}.items())), lambda e: e["v"].isNotNull()))
+    row = lambda name, value, kind, comment, order, span=None: (
+        "trace_id", (F.lit(None).cast("string") if span is None else span).alias("observation_id"), F.lit(name).alias("name"), value.alias("value"), F.lit(kind).alias("data_type"), F.substring(comment, 1, longest).alias("comment"), meta.alias("metadata"), order.alias("emit_order"))
     best = Window.partitionBy("trace_id").orderBy(F.col("confidence").desc(), "step", "agent")
     once = Window.partitionBy("trace_id", "span_id").orderBy(F.col("confidence").desc(), "step", "agent")
-    code = F.coalesce("code", F.lit("blamed"))
-    blamed = h.where("span_id is not null").withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("emit_order", F.row_number().over(best)).select("trace_id", F.col("span_id").alias("observation_id"), F.lit("blamed-step").alias("name"), code.alias("value"), "emit_order")
+    blamed = h.where("span_id is not null").withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("_o", F.row_number().over(best))
+    blamed = blamed.select(*row("blamed-step", F.coalesce("code", F.lit("blamed")), "CATEGORICAL", said, F.col("_o"), F.col("span_id")))
     top = h.withColumn("_n", F.row_number().over(best)).where("_n = 1")
-    conf = top.select("trace_id", F.lit(None).cast("string").alias("observation_id"), F.lit("confidence").alias("name"), F.round("confidence", 4).cast("string").alias("value"), F.lit(1_000_000).alias("emit_order"))
-    root = top.select("trace_id", F.lit(None).cast("string").alias("observation_id"), F.lit("root-cause").alias("name"), F.coalesce("code", F.lit("unlabeled")).alias("value"), F.lit(1_000_001).alias("emit_order"))
+    by = F.concat(F.lit("confidence of the top hypothesis (by "), "_algo", F.lit(f"{run})"))
+    conf = top.select(*row("confidence", F.round("confidence", 4).cast("string"), "NUMERIC", by, F.lit(1_000_000)))
+    root = top.select(*row("root-cause", F.coalesce("code", F.lit("unlabeled")), "CATEGORICAL", F.concat(said, F.lit(f" ({run[2:]})" if run else "")), F.lit(1_000_001)))
     return blamed.unionByName(conf).unionByName(root)
 
 
-def skip_scored(traces: DataFrame, payloads: DataFrame, scores: DataFrame, force: bool = False) -> DataFrame:
-    """(trace_id, decision): no-hypotheses, skipped where the marker is written already, else written."""
+def skip_scored(traces: DataFrame, payloads: DataFrame, scores: DataFrame, force: bool = False, dry_run: bool = False) -> DataFrame:
+    """(trace_id, decision): skipped where the marker is written already (unless forced), else no-hypotheses, else dry-run or written."""
     has = payloads.select("trace_id", F.lit(True).alias("_has")).distinct()
     done = scores.where("name = 'root-cause'").select("trace_id", F.lit(True).alias("_done")).distinct()
     j = traces.select("trace_id").join(has, "trace_id", "left").join(done, "trace_id", "left")
-    return j.select("trace_id", F.when(F.col("_has").isNull(), "no-hypotheses").when(F.col("_done") & F.lit(not force), "skipped").otherwise("written").alias("decision"))
+    return j.select("trace_id", F.when(F.col("_done") & F.lit(not force), "skipped").when(F.col("_has").isNull(), "no-hypotheses").otherwise("dry-run" if dry_run else "written").alias("decision"))
+
+
+def score_tally(decisions: DataFrame, payloads: DataFrame) -> DataFrame:
+    """One row: traces by decision (written, dry_run, skipped, no_hypotheses), and n_scores: payloads of the written or tried ones."""
+    kinds = ("written", "dry-run", "skipped", "no-hypotheses")
+    n = decisions.agg(*(F.count_if(F.col("decision") == k).alias(k.replace("-", "_")) for k in kinds))
+    sent = payloads.join(decisions.where("decision in ('written', 'dry-run')"), "trace_id", "left_semi").agg(F.count("*").alias("n_scores"))
+    return n.crossJoin(sent)  # one row each
