@@ -84,3 +84,12 @@ def test_query(spark):
     want = slow_resample([tuple(r) for r in read("documents").select("doc_id", "text").collect()], [r[0] for r in read("benchmark").select("text").collect()])
     got = [tuple(r) for r in queries.op13_line_resampling(spark, SF).collect()]
     assert sorted(got, key=key) == sorted(want, key=key) and 0 < sum(r[4] is not None for r in got) < len(got)
+
+
+def test_sql():
+    import duckdb
+
+    for t in ("documents", "benchmark"):
+        duckdb.sql(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = slow_resample(duckdb.sql("SELECT doc_id, text FROM documents").fetchall(), [r[0] for r in duckdb.sql("SELECT text FROM benchmark").fetchall()])
+    assert sorted(duckdb.sql(f"SELECT doc_id, n_features, weight, score, rank FROM ({importance.RESAMPLE_SQL})").fetchall(), key=key) == sorted(want, key=key)

@@ -272,3 +272,27 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, least_w
     rank = F.col("before") + F.col("place") + 1
     out = rows.join(F.broadcast(spans), "part")
     return out.select("doc_id", "n_features", "weight", "score", F.when(rank <= drawn, rank).alias("rank"))
+
+
+#: CRC-32 is folded byte by byte with its table; an n-gram's goes on from that of the n-gram without its last word, each different one once.
+RESAMPLE_SQL = r"""
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) AS c FROM range(256) r(i))),
+texts AS (SELECT 'd' AS side, doc_id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'b', NULL, row_number() OVER (), text FROM benchmark),
+cut AS (SELECT side, doc_id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM texts),
+w AS (SELECT side, r, unnest(ws) AS w1, generate_subscripts(ws, 1) AS pos FROM cut),
+g AS MATERIALIZED (SELECT side, r, w1, lead(w1) OVER (PARTITION BY side, r ORDER BY pos) AS w2, lead(w1, 2) OVER (PARTITION BY side, r ORDER BY pos) AS w3 FROM w),
+word AS MATERIALIZED (SELECT w1 AS word, list_prepend(32::BIGINT, list_transform(regexp_extract_all(hex(encode(w1)), '..'), lambda h: ('0x' || h)::BIGINT)) AS bytes FROM (SELECT DISTINCT w1 FROM w)),
+c1 AS MATERIALIZED (SELECT word AS w1, list_reduce(list_prepend(4294967295::BIGINT, bytes[2:]), lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8)) AS s FROM word, t),
+c2 AS MATERIALIZED (SELECT x.w1, x.w2, list_reduce(list_prepend(c1.s, bytes), lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8)) AS s FROM (SELECT DISTINCT w1, w2 FROM g WHERE w2 IS NOT NULL) x JOIN c1 USING (w1) JOIN word ON word = w2, t),
+c3 AS MATERIALIZED (SELECT x.w1, x.w2, x.w3, list_reduce(list_prepend(c2.s, bytes), lambda a, b: xor(t.t[(xor(a, b) & 255) + 1], a >> 8)) AS s FROM (SELECT DISTINCT w1, w2, w3 FROM g WHERE w3 IS NOT NULL) x JOIN c2 USING (w1, w2) JOIN word ON word = w3, t),
+f AS MATERIALIZED (SELECT side, r, xor(s, 4294967295) % 10000 AS b FROM g JOIN c1 USING (w1) UNION ALL SELECT side, r, xor(s, 4294967295) % 10000 FROM g JOIN c2 USING (w1, w2) UNION ALL SELECT side, r, xor(s, 4294967295) % 10000 FROM g JOIN c3 USING (w1, w2, w3)),
+n AS (SELECT b, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY b),
+al AS (SELECT count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f),
+gain AS (SELECT n.b, CAST(floor(1000 * ln((n.t + 1)::DOUBLE * (al.s + 10000)::DOUBLE / ((n.s + 1)::DOUBLE * (al.t + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n, al),
+wt AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN gain USING (b) WHERE side = 'd' GROUP BY r),
+sc AS (SELECT doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM cut LEFT JOIN wt USING (r) WHERE side = 'd'),
+ra AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS o, count(*) OVER (PARTITION BY words >= 20) AS n FROM sc)
+SELECT doc_id, n_features, weight, score, CASE WHEN words >= 20 AND o <= 5 * n // 100 THEN o END AS rank FROM ra
+"""

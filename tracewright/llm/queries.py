@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .chat import digest_examples, expand_examples, probe_conversation
 from .counts import prefix_counts, whole_counts
 from .decontam import find_contamination
-from .importance import resample
+from .importance import RESAMPLE_SQL, resample
 from .licenses import LICENSE_SQL, scan_licenses
 from .manifest import MANIFEST_SQL, audit_documents, every_fifth
 from .mixing import MIX_SQL, mix_to_targets
@@ -93,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_sentences": LICENSE_SQL, "op3_warc_revisits": WARC_SQL, "op5_mix_targets": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL}
+    return {"op1_license_sentences": LICENSE_SQL, "op3_warc_revisits": WARC_SQL, "op5_mix_targets": MIX_SQL, "op11_merkle_manifest": MANIFEST_SQL, "op13_line_resampling": RESAMPLE_SQL}
