@@ -11,7 +11,9 @@ def _load():
 
 
 def all_queries():
-    return _load().QUERIES
+    """All queries by name; a cheap one first, as a session's first query also pays for its start."""
+    found = _load().QUERIES
+    return {k: found[k] for k in ("r2_kind_admission", *found)}
 
 
 def all_sql():

@@ -23,7 +23,7 @@ def streamed(events, traces):
     )
     spans = spans.unionByName(spans.where("ordinal % 5 = 1"))
     spans.repartition(3, F.xxhash64("trace_id", "span_id") % 3).write.json(f"{folder}/in")
-    options = {"delay": "400 days", "silence_ms": 3_600_000, "files_a_batch": 2}
+    options = {"delay": "400 days", "silence_ms": 3_600_000}
     ingest(spark, f"{folder}/in", folder, **options)
     end = spans.limit(1).select(F.lit("end").alias("trace_id"), F.lit("s").alias("span_id"), F.lit("SPAN").alias("kind"), F.lit("a").alias("agent"), F.timestamp_seconds(F.lit(4_000_000_000)).alias("at"))
     end.write.mode("append").json(f"{folder}/in")
