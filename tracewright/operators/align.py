@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT = "trace_id string, reference string, idx int, signature string, ref_place int"
+#: Pairs of a table that is made whole.
+SMALL = 1 << 20
 #: Effects that count as one another: both say that the action holds. OFF-ANCHOR counts as any effect.
 HOLDS, ANY = ("SURVIVED", "JUSTIFIED"), "OFF-ANCHOR"
 
@@ -32,6 +34,11 @@ class Fits:
         self.free = self.y == self.any
         self.shape = (len(self.a), len(self.b))
 
+    def whole(self) -> Matrix:
+        """All rows at once."""
+        effect = (self.x[:, None] == self.y[None, :]) | (self.x == self.any)[:, None] | self.free[None, :]
+        return Matrix((self.a[:, None] == self.b[None, :]) & effect)
+
     def row(self, r: int, first: int = 0) -> np.ndarray:
         """Row r from column `first` on."""
         same = self.b[first:] == self.a[r]
@@ -50,8 +57,7 @@ class Matrix:
 
 def fitting(reference: list[dict], own: list[dict]) -> np.ndarray:
     """[reference, own]: whether two signatures match."""
-    fits = Fits(reference, own)
-    return np.array([fits.row(r) for r in range(fits.shape[0])], bool).reshape(fits.shape)
+    return Fits(reference, own).whole().fit
 
 
 def _above(below: np.ndarray, fit: np.ndarray) -> np.ndarray:
@@ -65,13 +71,16 @@ def _above(below: np.ndarray, fit: np.ndarray) -> np.ndarray:
 def longest_match(fit: np.ndarray | Fits) -> np.ndarray:
     """For every column its row, or -1: the longest common subsequence that, from the start on, takes a fitting pair whenever both sides stand at one, and else leaves out of the reference as long as that costs nothing.
 
-    Lengths of what follows from row r and column k on grow from the last row up; the walk goes down from the first. So every B-th row is kept, B the square root of their number, and the rows between two of them are made again when the walk comes there, from its column on: memory is (rows / B + B) columns, not rows times columns.
+    Lengths of what follows from row r and column k on grow from the last row up; the walk goes down from the first. So every B-th row is kept, B the square root of their number, and the rows between two of them are made again when the walk comes there, from its column on: memory is (rows / B + B) columns, not rows times columns. Small tables are made once, whole.
     """
     fits = Matrix(fit) if isinstance(fit, np.ndarray) else fit
     rows, cols = fits.shape
-    step = max(1, math.isqrt(rows))
+    small = rows * cols <= SMALL
+    if small and isinstance(fits, Fits):
+        fits = fits.whole()
+    step = max(1, rows if small else math.isqrt(rows))
     kept, length = {rows: np.zeros(cols + 1, np.int32)}, np.zeros(cols + 1, np.int32)
-    for r in range(rows - 1, 0, -1):
+    for r in range(rows - 1, 0 if not small else rows, -1):
         length = _above(length, fits.row(r))
         if r % step == 0:
             kept[r] = length

@@ -40,9 +40,8 @@ def shorten(text: Column, limit: int = 400) -> Column:
     return F.when(F.length(s) > limit, F.concat(F.substring(s, 1, limit - 3), F.lit("..."))).otherwise(s)
 
 
-def _preorder(nodes: DataFrame) -> DataFrame:
-    """nodes (trace_id, node, span_id, up: node of the parent or null, ordinal) -> trace_id, node, span_id, ups, own, idx, depth, size, by pointer doubling. own: how far idx is from the parent's."""
-    state = durable(nodes.select("*", F.array("up").alias("ups"), F.lit(1).cast("long").alias("size")))
+def _preorder(state: DataFrame) -> tuple[DataFrame, int]:
+    """A written table (trace_id, node, span_id, up: node of the parent or null, ordinal, ups: [up], size: 1) -> (trace_id, node, span_id, ups, own, idx, depth, size, by pointer doubling; own: how far idx is from the parent's), and what depth is at most."""
     rounds, live = 0, None
     while (now := state.where("up is not null").count()) not in (0, live):
         live, rounds = now, rounds + 1
@@ -58,7 +57,7 @@ def _preorder(nodes: DataFrame) -> DataFrame:
         far = walk.select("trace_id", F.col("node").alias("_up"), F.col("idx").alias("_idx"), F.col("depth").alias("_depth"))
         add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
         walk = walk.join(far, ["trace_id", "_up"], "left").select("trace_id", "node", "span_id", "ups", "own", add("idx"), add("depth"), "size")
-    return walk
+    return walk, 2**rounds
 
 
 def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -71,16 +70,17 @@ def flatten_spans(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("ordinal", "parent_span_id"))
     s = s.withColumn("_n", nth).withColumn("node", F.when(F.col("_n") == 1, F.col("span_id")).otherwise(F.concat("span_id", F.lit("\0"), F.col("_n").cast("string"))))
     there = s.where("_n = 1").select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_has"))
-    nodes = durable(s.join(there, ["trace_id", "parent_span_id"], "left").select("trace_id", "node", "span_id", F.when(F.col("_has"), F.col("parent_span_id")).alias("up"), "ordinal"))
+    up = F.when(F.col("_has"), F.col("parent_span_id"))
+    nodes = durable(s.join(there, ["trace_id", "parent_span_id"], "left").select("trace_id", "node", "span_id", up.alias("up"), "ordinal", F.array(up).alias("ups"), F.lit(1).cast("long").alias("size")))
     again = nodes.where("node <> span_id")
     if not again.isEmpty():
-        first = durable(_preorder(nodes.where("node = span_id")).select("trace_id", "span_id", "idx", "size"))
+        first = durable(_preorder(nodes.where("node = span_id"))[0].select("trace_id", "span_id", "idx", "size"))
         parent = first.select("trace_id", F.col("span_id").alias("up"), F.col("idx").alias("_at"))
-        below = again.join(first, ["trace_id", "span_id"]).join(parent, ["trace_id", "up"]).where((F.col("_at") >= F.col("idx")) & (F.col("_at") < F.col("idx") + F.col("size")))
-        nodes = nodes.join(below.select("trace_id", "node"), ["trace_id", "node"], "left_anti").select(nodes.columns)
-    walk, name = _preorder(nodes), lambda i: F.format_string("e%03d", i)
+        below = again.select("trace_id", "node", "span_id", "up").join(first, ["trace_id", "span_id"]).join(parent, ["trace_id", "up"]).where((F.col("_at") >= F.col("idx")) & (F.col("_at") < F.col("idx") + F.col("size")))
+        nodes = durable(nodes.join(below.select("trace_id", "node"), ["trace_id", "node"], "left_anti").select(nodes.columns))
+    (walk, deepest), name = _preorder(nodes), lambda i: F.format_string("e%03d", i)
     out = walk.select("trace_id", "span_id", F.col("idx").cast("int").alias("idx"), name(F.col("idx")).alias("id"), "depth", F.when(F.get("ups", F.lit(0)).isNotNull(), name(F.col("idx") - F.col("own"))).alias("parent_id"))
-    if max_depth is not None:
+    if max_depth is not None and deepest > max_depth:
         out = durable(out)
         if not out.where(F.col("depth") > max_depth).isEmpty():
             raise ValueError(f"spans deeper than {max_depth} levels")
@@ -213,6 +213,7 @@ def judge_by_anchor(signatures: DataFrame, documents: DataFrame, traces: DataFra
 
     Anchors stay rows: what a trace reads or is shown meets them in one equi-join on task and document, before hits go back to the signatures. So no array grows with a task, and a hot task is split like any key.
     """
+    documents = durable(documents.select("task_id", "document"))
     task = traces.select("trace_id", "task_id").join(documents.groupBy("task_id").agg(F.count("*").alias("n_anchor")), "task_id").select("trace_id", "task_id", "n_anchor")
     runs = F.size(F.regexp_extract_all("document", F.lit("[0-9A-Za-z]+"), F.lit(0)))
     # how many runs of letters and digits ids have: one, or a few
@@ -220,12 +221,14 @@ def judge_by_anchor(signatures: DataFrame, documents: DataFrame, traces: DataFra
     said = F.coalesce("tool_result_content", F.lit(""))
     spans = [F.regexp_extract_all(said, F.lit(rf"(?<![0-9A-Za-z])(?=([0-9A-Za-z]+(?:[^0-9A-Za-z]+[0-9A-Za-z]+){{{n - 1}}})(?![0-9A-Za-z]))"), F.lit(1)) for n in sizes]
     look = F.when(F.col("action_class") == "FILE_READ", F.array("target")).otherwise(F.array_distinct(F.concat(*spans)) if spans else F.array().cast("array<string>"))
-    seen = signatures.where("action_class in ('FILE_READ', 'SEARCH') and effect <> 'FAILED'").join(task, "trace_id").select("trace_id", "id", "task_id", "action_class", said.alias("said"), F.explode(look).alias("core"))
+    seen = signatures.where("action_class in ('FILE_READ', 'SEARCH') and effect <> 'FAILED'").join(task, "trace_id").select("trace_id", "id", "task_id", "action_class", said.alias("said"), F.explode(look).alias("key"))
     core = F.regexp_replace("document", "^[^0-9A-Za-z]+|[^0-9A-Za-z]+$", "")
-    reads = seen.where("action_class = 'FILE_READ'").join(documents.select("task_id", F.col("document").alias("core")), ["task_id", "core"], "left_semi")
-    shown = seen.where("action_class = 'SEARCH'").join(documents.select("task_id", "document", core.alias("core")), ["task_id", "core"])
-    shown = shown.where(F.col("document").eqNullSafe(F.col("core")) | F.expr(r"rlike(said, concat('(?<![0-9A-Za-z])\\Q', document, '\\E(?![0-9A-Za-z])'))"))
-    hits = reads.select("trace_id", "id").unionByName(shown.select("trace_id", "id")).distinct().withColumn("hit", F.lit(True))
+    # a read names the whole id, a result is searched for what lies between its outer signs
+    keys = F.array(F.struct(F.lit("FILE_READ").alias("action_class"), F.col("document").alias("key")), F.struct(F.lit("SEARCH").alias("action_class"), core.alias("key")))
+    found = seen.join(documents.select("task_id", "document", F.explode(keys).alias("k")).select("task_id", "document", "k.*"), ["task_id", "action_class", "key"])
+    bare = (F.col("action_class") == "FILE_READ") | (F.col("document") == F.col("key"))
+    found = found.where(bare | F.expr(r"rlike(said, concat('(?<![0-9A-Za-z])\\Q', document, '\\E(?![0-9A-Za-z])'))"))
+    hits = found.select("trace_id", "id").distinct().withColumn("hit", F.lit(True))
     s = signatures.join(task.select("trace_id", "n_anchor"), "trace_id", "left").join(hits, ["trace_id", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     judged = F.col("n_anchor").isNotNull() & F.col("action_class").isin("FILE_READ", "SEARCH") & (F.col("effect") != "FAILED")
     return s.withColumn("effect", F.when(judged, F.when(F.col("hit"), "JUSTIFIED").otherwise("OFF-ANCHOR")).otherwise(F.col("effect")))
