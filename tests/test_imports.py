@@ -109,7 +109,8 @@ def test_messages_of_both_splits(spark):
 def test_observations_keep_unknown_keys(spark):
     cols = "trace_id string, id string, name string, type string, parent_id string, start_time string, input string, output string, level string, metadata string, top string"
     rows = [("T", "b", "search", "SPAN", "a", "2024-01-01T00:00:02Z", '{"query":"q","filters":{"year":2020}}', '"found"', None, None, "{}"), ("T", "a", "root", "SPAN", None, "2024-01-01T00:00:09Z", None, None, None, None, "{}"), ("T", "c", "late", "GENERATION", "a", "2024-01-01T00:00:01Z", None, '"x"', "ERROR", None, "{}")]
-    e = im.events_of_observations(spark.createDataFrame(rows, cols))
+    e = im.events_of_observations(spark.createDataFrame([*rows, rows[0]], cols))  # one comes twice
+    assert e.count() == 3
     lines = {x.idx: x.line for x in r.render_lines(e).collect()}
     assert lines[1].startswith("[1] LLM_CALL unknown late :: error: x") and lines[2].startswith("[2] TOOL_CALL unknown search {") and '"year' in lines[2].replace("\\", "") and '"query":"q"' in lines[2] and lines[2].endswith(":: found")
 

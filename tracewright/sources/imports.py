@@ -24,8 +24,9 @@ def _none(type_: str) -> Column:
 
 
 def events_of_spans(spans: DataFrame) -> DataFrame:
-    """Events of span trees: pre-order numbers, admitted kinds, time or else number, references to event ids (dangling ones dropped), the parent's event id, the payload and its known fields."""
-    s = durable(spans)
+    """Events of span trees: pre-order numbers, admitted kinds, time or else number, references to event ids (dangling ones dropped), the parent's event id, the payload and its known fields. Of spans of one id the first among its siblings stays."""
+    first = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("ordinal", "parent_span_id"))
+    s = durable(spans.withColumn("_n", first).where("_n = 1").drop("_n"))
     flat = durable(flatten_spans(s))
     refs = remap_refs(s.select("trace_id", "span_id", "refs"), flat)
     e = s.join(flat, ["trace_id", "span_id"]).join(refs.select("trace_id", "span_id", F.col("refs").alias("_refs")), ["trace_id", "span_id"], "left")
