@@ -71,3 +71,14 @@ def test_rounds_and_their_sum(spark):
     hyps, errors = traces.where("not success"), traces.limit(1)
     got = {r["round"]: (r.n_traces, r.n_failed, r.n_attributed, r.n_reruns, r.n_rerun_ok, r.n_errors) for r in e.run_rounds({0: (traces, hyps, traces.limit(0), errors), 1: (traces, hyps, traces, errors.limit(0))}).collect()}
     assert got == {0: (2, 1, 1, 0, 0, 1), 1: (2, 1, 1, 2, 1, 0), None: (4, 2, 2, 2, 1, 1)}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_as_long_as_the_spans_are_never_broadcast(spark):
+    rows = [("a", "r", None, 0), ("a", "x", "r", 1), ("a", "y", "x", 0), ("b", "r", None, 0), ("b", None, "r", 1)]
+    flat, split = q.checked_spans(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, ordinal int"))
+    assert "BroadcastHashJoin" not in plan_of(flat) and "BroadcastHashJoin" not in plan_of(split.good)
+    assert {(r.trace_id, r.span_id, r.idx, r.depth, r.parent_id) for r in flat.collect()} == {("a", "r", 0, 1, None), ("a", "x", 1, 2, "e000"), ("a", "y", 2, 3, "e001")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tracewright.operators.answers import unparsed
 from tracewright.operators.represent import flatten_spans
 from tracewright.sources.formats import observation_spans, source_spans
-from tracewright.tables import durable
+from tracewright.tables import durable, durable_long
 
 
 @dataclass
@@ -29,7 +29,7 @@ def quarantine(rows: DataFrame, stage: str, name: str, rules: list[tuple[Column,
     count = Observation()
     held = durable(rows.withColumn("_fault", fault).observe(count, F.count(F.lit(1)).alias("rows"), F.count("_fault").alias("bad_rows")))
     bad = held.where("_fault is not null").groupBy("trace_id").agg(F.min("_fault").alias("error"), F.count("*").alias("n_rows"))
-    errors = durable(bad.select(F.lit(stage).alias("stage"), F.lit(name).alias("name"), "trace_id", F.substring("error", 1, 500).alias("error"), "n_rows"))
+    errors = durable_long(bad.select(F.lit(stage).alias("stage"), F.lit(name).alias("name"), "trace_id", F.substring("error", 1, 500).alias("error"), "n_rows"))
     good = held.where("_fault is null").drop("_fault")
     if count.get["bad_rows"]:
         good = good.join(errors.select("trace_id"), "trace_id", "left_anti").select(rows.columns)
@@ -39,9 +39,14 @@ def quarantine(rows: DataFrame, stage: str, name: str, rules: list[tuple[Column,
     return Split(good, errors, count.get, log)
 
 
+def span_faults(spans: DataFrame) -> Split:
+    """The split alone; nothing is flattened."""
+    return quarantine(spans, "represent", "canonical_events", [(F.coalesce("span_id", F.lit("")) == "", "a span without an id")])
+
+
 def checked_spans(spans: DataFrame) -> tuple[DataFrame, Split]:
     """Flattened spans of all traces whose spans have ids, and the split."""
-    s = quarantine(spans, "represent", "canonical_events", [(F.coalesce("span_id", F.lit("")) == "", "a span without an id")])
+    s = span_faults(spans)
     return flatten_spans(s.good), s
 
 

@@ -164,14 +164,14 @@ h AS (SELECT stage, name, count(*) AS failed, string_agg(trace_id || ': ' || err
 SELECT stage, name, processed, failed, processed - failed AS ok, stage || '/' || name || ' -> ' || (processed - failed) || '/' || processed || ' traces; ' || failed || ' isolated: ' || said AS line FROM h CROSS JOIN n""")
 def e13_log(events, traces):
     """Spans and observations without ids, answers without an object, lists that are too short: each keeps its trace out of its step alone."""
-    splits = [checked_world(events)[1], q.checked_observations(observed(events))[1], q.checked_answers(answered(events), "judge_eval"), q.checked_sources(events, listed(events))[1]]
+    splits = [q.checked_spans(heap_spans(events))[1], q.checked_observations(observed(events))[1], q.checked_answers(answered(events), "judge_eval"), q.checked_sources(events, listed(events))[1]]
     return e.stage_log([s.log for s in splits], [s.errors for s in splits])
 
 
-def checked_world(events):
+def heap_spans(events):
     span_id = F.when(F.col("k") % 50 != 0, F.concat(F.lit("s"), F.col("idx").cast("string")))
     parent = F.when(F.col("idx") > 0, F.concat(F.lit("s"), F.floor((F.col("idx") - 1) / 2).cast("string")))
-    return q.checked_spans(events.select("trace_id", span_id.alias("span_id"), parent.alias("parent_span_id"), F.col("idx").alias("ordinal")))
+    return events.select("trace_id", span_id.alias("span_id"), parent.alias("parent_span_id"), F.col("idx").alias("ordinal"))
 
 
 def observed(events):
@@ -191,7 +191,7 @@ def listed(events):
 @trace_query("x6_quarantined_spans", """bad AS (SELECT trace_id, count(*) AS n_rows FROM ev WHERE k % 50 = 0 GROUP BY ALL) SELECT ev.trace_id, 'whole' AS status, count(*) AS n, CAST(max(CAST(floor(log2(idx + 1)) AS INT)) + 1 AS INT) AS depth FROM ev WHERE trace_id NOT IN (SELECT trace_id FROM bad) GROUP BY ev.trace_id UNION ALL SELECT trace_id, 'a span without an id', n_rows, NULL FROM bad""")
 def x6(events, traces):
     """Heap-shaped span trees, some of whose spans have no id: these traces give error rows, all others are flattened."""
-    flat, split = checked_world(events)
+    flat, split = q.checked_spans(heap_spans(events))
     whole = flat.groupBy("trace_id").agg(F.count("*").alias("n"), F.max("depth").alias("depth")).select("trace_id", F.lit("whole").alias("status"), "n", "depth")
     return whole.unionByName(split.errors.select("trace_id", F.col("error").alias("status"), F.col("n_rows").alias("n"), F.lit(None).cast("int").alias("depth")))
 
