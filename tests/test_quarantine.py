@@ -82,3 +82,14 @@ def test_tables_as_long_as_the_spans_are_never_broadcast(spark):
     flat, split = q.checked_spans(spark.createDataFrame(rows, "trace_id string, span_id string, parent_span_id string, ordinal int"))
     assert "BroadcastHashJoin" not in plan_of(flat) and "BroadcastHashJoin" not in plan_of(split.good)
     assert {(r.trace_id, r.span_id, r.idx, r.depth, r.parent_id) for r in flat.collect()} == {("a", "r", 0, 1, None), ("a", "x", 1, 2, "e000"), ("a", "y", 2, 3, "e001")}
+
+
+def test_the_stage_log_flattens_nothing(spark, monkeypatch):
+    """Its first split says all that the log needs of the spans."""
+    from tracewright.plans import all_queries
+    from tracewright.plans import recover_queries as p
+
+    monkeypatch.setattr(q, "flatten_spans", lambda *a, **b: pytest.fail("spans are flattened"))
+    rows = [("a", i, f"e{i:03d}", "search", 50 + i) for i in range(5)]
+    events = spark.createDataFrame(rows, "trace_id string, idx int, id string, action string, k int")
+    assert all_queries and {(r.stage, r.processed, r.failed) for r in p.e13_log(events, None).collect()} == {("represent", 1, 1), ("import", 1, 0), ("analyze", 1, 0), ("recover", 1, 1)}

@@ -164,7 +164,7 @@ h AS (SELECT stage, name, count(*) AS failed, string_agg(trace_id || ': ' || err
 SELECT stage, name, processed, failed, processed - failed AS ok, stage || '/' || name || ' -> ' || (processed - failed) || '/' || processed || ' traces; ' || failed || ' isolated: ' || said AS line FROM h CROSS JOIN n""")
 def e13_log(events, traces):
     """Spans and observations without ids, answers without an object, lists that are too short: each keeps its trace out of its step alone."""
-    splits = [q.checked_spans(heap_spans(events))[1], q.checked_observations(observed(events))[1], q.checked_answers(answered(events), "judge_eval"), q.checked_sources(events, listed(events))[1]]
+    splits = [q.span_faults(heap_spans(events)), q.checked_observations(observed(events))[1], q.checked_answers(answered(events), "judge_eval"), q.checked_sources(events, listed(events))[1]]
     return e.stage_log([s.log for s in splits], [s.errors for s in splits])
 
 
