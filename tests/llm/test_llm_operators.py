@@ -170,6 +170,46 @@ def test_vectors_against_brute_force(spark):
         assert all(got[k][2] == (got[k][1] == k) for k in range(len(rows)))
 
 
+def test_no_link_is_lost(spark):
+    """Pairs just above and below the threshold, in tiles of every size; no grid has to find them."""
+    rnd = np.random.default_rng(7)
+    base = rnd.normal(size=(400, 64))
+    side = rnd.normal(size=(400, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = np.where(np.arange(400) % 4 == 3, 0.8999, 0.9001)[:, None]
+    x = np.concatenate((base, c * base + np.sqrt(1 - c * c) * side)).astype(np.float32)
+    m = x.astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T >= 0.9
+    want = components(800, [(i, j) for i, j in zip(*np.nonzero(near), strict=True) if i < j])
+    assert near.sum() - 800 == 600
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")
+    for chunk in (4096, 150):
+        got = {r[0]: r[1:] for r in rows_of(vectors.near_vectors(df, chunk=chunk))}
+        assert all(got[k] == (near[k].sum() - 1, want[k], want[k] == k) for k in range(800))
+
+
+def test_dense_groups_in_parts(monkeypatch):
+    """A group's distances are held in parts; parts full of pairs and sparse ones agree with all cosines."""
+    rnd = np.random.default_rng(8)
+    x = np.concatenate((rnd.normal(size=16) + rnd.normal(size=(60, 16)) * 0.3, rnd.normal(size=(70, 16)))).astype(np.float32)
+    copies, own = rnd.integers(1, 4, 130), rnd.integers(0, 2, 130)
+    m = x.astype(float)
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = (m @ m.T >= 0.9) & ~np.eye(130, dtype=bool)
+    for part in ((1024, 2048), (7, 20)):
+        monkeypatch.setattr(vectors, "PART", part)
+        for keys, mask in (([0, 0], None), ([0, 1], own[:, None] != own)):
+            tile = np.zeros(130, int) if mask is None else own
+            used, links, root = vectors._links_of(vectors.space(16, 0.9, 4), 0.9, np.arange(130), copies, tile, np.tile(keys, (130, 1)), x)
+            linked = near if mask is None else near & mask
+            assert dict(zip(used.tolist(), links.tolist(), strict=True)) == {k: int(linked[k] @ copies) for k in range(130) if linked[k].any()}
+            want = components(130, [(i, j) for i, j in zip(*np.nonzero(linked), strict=True) if i < j])
+            assert all(want[k] == r for k, r in zip(used.tolist(), root.tolist(), strict=True))
+
+
 def test_vector_edges(spark):
     nan, inf = float("nan"), float("inf")
     v = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, nan]), (5, [1.0, inf]), (6, [1.0, None]), (7, [1.0, 2.0]), (8, [2.0, 4.0]), (9, [1.0, 2.0, 3.0]), (9, [1.0, 2.0, 3.0]), (None, [1.0, 2.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0])]

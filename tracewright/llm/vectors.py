@@ -1,7 +1,7 @@
 """Embedding near-duplicates: subspace pigeonhole join.
 
 Vectors of length 1 with cosine >= c are within squared distance 2 (1 - c). A fixed random rotation spreads that over all coordinates; they are split into blocks, and each block gets its share of the squared distance in proportion to its width. If two vectors link, they are within the share of at least one block. So each block is range-joined alone, and the union of what that finds is verified with exact cosines.
-The range join of a block puts the vectors into cells of shifted, turned grids as wide as the block's radius; pairs that meet in a cell of any grid and lie within the block's share are found.
+The range join of a block is exact: tiles of vectors meet every tile, and all distances of a block come from products of matrices. So no link is lost; on vectors without structure no grid can leave out cells without losing some.
 """
 
 from __future__ import annotations
@@ -13,42 +13,41 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, pick
 
-_grids: dict[tuple, Grids] = {}  # noqa: F821
+_spaces: dict[tuple, Space] = {}  # noqa: F821
+#: Distances are compared in single precision; what this adds to a share is above their error, so that verification sees every pair.
+SLACK = 1e-4
+#: Rows and columns whose distances are held at a time.
+PART = (1024, 2048)
 
 
-class Grids:
-    """Rotation, blocks and grids for one number of dimensions; the same in every task."""
+class Space:
+    """Rotation and blocks for one number of dimensions; the same in every task."""
 
-    def __init__(self, dim: int, cosine: float, blocks: int, grids: int, axes: int):
-        rng = np.random.default_rng(dim)
-        self.rotation = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    def __init__(self, dim: int, cosine: float, blocks: int):
+        self.rotation = np.linalg.qr(np.random.default_rng(dim).normal(size=(dim, dim)))[0]
         self.blocks = [b for b in np.array_split(np.arange(dim), min(blocks, dim)) if len(b)]
         self.share = [2 * (1 - cosine) * len(b) / dim for b in self.blocks]
-        self.tables = []
-        for g in range(grids):
-            for k, b in enumerate(self.blocks):
-                turn = np.linalg.qr(rng.normal(size=(len(b), len(b))))[0][:, : min(axes, len(b))]
-                width = max(np.sqrt(self.share[k]), 1e-9)
-                self.tables.append((k, turn / width, rng.random(turn.shape[1]), rng.integers(1, 2**63, turn.shape[1], np.uint64) * np.uint64(2) + np.uint64(1), np.uint64(rng.integers(0, 2**63))))
 
     def units(self, x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
+        x = x / np.abs(x).max(axis=1)[:, None]  # squares of very large or small components stay finite
         return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
-    def cells(self, turned: np.ndarray) -> np.ndarray:
-        """Key of the cell of each vector in each table: [vector, table]."""
-        out = np.empty((len(turned), len(self.tables)), np.uint64)
-        for t, (k, turn, shift, factors, salt) in enumerate(self.tables):
-            at = np.floor(turned[:, self.blocks[k]] @ turn + shift).astype(np.int64).view(np.uint64)
-            h = ((at * factors).sum(axis=1, dtype=np.uint64) ^ salt) * np.uint64(0x9E3779B97F4A7C15)
-            out[:, t] = h ^ (h >> np.uint64(31))
+    def sides(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per block two matrices; a row of one times a row of the other is the squared distance in the block."""
+        z = x @ self.rotation
+        out = []
+        for b in self.blocks:
+            zb = z[:, b]
+            n, one = (zb * zb).sum(axis=1)[:, None], np.ones((len(zb), 1))
+            out.append((np.hstack((-2 * zb, n, one)).astype(np.float32), np.hstack((zb, one, n)).astype(np.float32)))
         return out
 
 
-def grids(dim: int, *settings) -> Grids:
-    if (dim, *settings) not in _grids:
-        _grids[dim, *settings] = Grids(dim, *settings)
-    return _grids[dim, *settings]
+def space(dim: int, *settings) -> Space:
+    if (dim, *settings) not in _spaces:
+        _spaces[dim, *settings] = Space(dim, *settings)
+    return _spaces[dim, *settings]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -56,75 +55,57 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _pairs(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within adjoining groups of the given sizes."""
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    rows = np.arange(len(ends))
-    m = ends - 1 - rows
-    i = np.repeat(rows, m)
-    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-
-
-def _within(z: np.ndarray, i: np.ndarray, j: np.ndarray, block: np.ndarray, share: float) -> np.ndarray:
-    d = z[i][:, block] - z[j][:, block]
-    return np.einsum("ij,ij->i", d, d) <= share + 1e-9
-
-
-def _verified(g: Grids, cosine: float, x: np.ndarray, z: np.ndarray, i: np.ndarray, j: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of pairs found by a table, those with the cosine that no earlier table finds."""
-    ok = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-    i, j, table = i[ok], j[ok], table[ok]
-    if not len(i):
-        return i, j
-    used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
-    cells, n = g.cells(z[used]), len(i)
-    ci, cj = place[:n], place[n:]
-    for t in range(int(table.max())):
-        same = np.flatnonzero((table > t) & (cells[ci, t] == cells[cj, t]))
-        if len(same):
-            k = g.tables[t][0]
-            again = np.zeros(len(i), bool)
-            again[same] = _within(z, i[same], j[same], g.blocks[k], g.share[k])
-            i, j, table, ci, cj = (v[~again] for v in (i, j, table, ci, cj))
-    return i, j
-
-
-def _links_of(g: Grids, cosine: float, ids: np.ndarray, copies: np.ndarray, own: np.ndarray, keys: np.ndarray, x: np.ndarray) -> tuple | None:
-    """(id, links, root) from whole groups of rows; keys are (cell, grid, a, b). Pairs of small groups are taken together, those of a large one as a product of matrices."""
-    x = g.units(x)
-    z = x @ g.rotation
+def _verified(cosine: float, p: np.ndarray, q: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of p and of q with the cosine, among the pairs of a mask."""
+    i, j = np.nonzero(near)
+    if len(i) * 32 > near.size:  # many: all cosines at once, and those at the threshold again as below
+        c = (p @ q.T)[i, j]
+        keep = c >= cosine - 1e-9
+        i, j, sure = i[keep], j[keep], c[keep] > cosine + 1e-9
+    else:
+        sure = np.zeros(len(i), bool)
+    at = np.flatnonzero(~sure)
+    for k in range(0, len(at), 65536):
+        some = at[k : k + 65536]
+        sure[some] = np.einsum("ij,ij->i", p[i[some]], q[j[some]]) >= cosine
+    return i[sure], j[sure]
+
+
+def _links_of(s: Space, cosine: float, ids: np.ndarray, copies: np.ndarray, own: np.ndarray, keys: np.ndarray, x: np.ndarray) -> tuple | None:
+    """(id, links, root) from whole groups of rows; keys are (a, b), the two tiles that meet. Memory is that of the rows and of one part of their distances."""
+    x = s.units(x)
     cut = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(ids)]))
-    sizes, first = np.diff(cut), cut[:-1]
-    grid, whole = keys[first, 1], keys[first, 2] == keys[first, 3]
-    small = (sizes <= 64) & whole
-    rows = np.flatnonzero(np.repeat(small, sizes))
-    i, j = _pairs(sizes[small])
-    i, j = rows[i], rows[j]
-    table = keys[i, 1]
-    near = np.zeros(len(i), bool)
-    block_of = np.array([t[0] for t in g.tables])[table] if len(i) else table
-    for k, block in enumerate(g.blocks):
-        some = np.flatnonzero(block_of == k)
-        for at in range(0, len(some), 65536):
-            part = some[at : at + 65536]
-            near[part] = _within(z, i[part], j[part], block, g.share[k])
-    found = [(i[near], j[near], table[near])]
-    for s in np.flatnonzero(~small & (sizes > 1)):
-        r = np.arange(first[s], first[s] + sizes[s])
-        k = g.tables[grid[s]][0]
-        p, q = (r, r) if whole[s] else (r[own[r] == keys[first[s], 2]], r[own[r] == keys[first[s], 3]])
-        zp, zq = z[np.ix_(p, g.blocks[k])], z[np.ix_(q, g.blocks[k])]
-        close = (zp * zp).sum(1)[:, None] + (zq * zq).sum(1)[None, :] - 2 * zp @ zq.T <= g.share[k] + 1e-9
-        u, v = np.nonzero(np.triu(close, 1) if whole[s] else close)
-        found.append((p[u], q[v], np.full(len(u), grid[s])))
-    done = [_verified(g, cosine, x, z, *f) for f in found if len(f[0])]
-    i, j = (np.concatenate([d[k] for d in done] or [np.zeros(0, np.int64)]) for k in (0, 1))
-    if not len(i):
+    links, used, root = np.zeros(len(ids), np.int64), [], []
+    for first, end in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        tile, (a, b) = own[first:end], keys[first].tolist()
+        p, q = (first + np.flatnonzero(tile == t) for t in (a, b))
+        sides_p, sides_q = ([side[k] for side in s.sides(x[rows])] for k, rows in ((0, p), (1, q)))
+        u, v = [], []
+        for i0 in range(0, len(p), PART[0]):
+            for j0 in range(i0 // PART[1] * PART[1] if a == b else 0, len(q), PART[1]):
+                ip, jq = slice(i0, i0 + PART[0]), slice(j0, j0 + PART[1])
+                near = np.zeros((len(p[ip]), len(q[jq])), bool)
+                for side_p, side_q, share in zip(sides_p, sides_q, s.share, strict=True):
+                    near |= side_p[ip] @ side_q[jq].T <= share + SLACK
+                if a == b:
+                    near &= np.arange(i0, i0 + near.shape[0])[:, None] < np.arange(j0, j0 + near.shape[1])
+                i, j = _verified(cosine, x[p[ip]], x[q[jq]], near)
+                if len(i):
+                    i, j = p[ip][i], q[jq][j]
+                    links += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+                    rows, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+                    u.append(rows)  # of many pairs only what spans them is kept
+                    v.append(rows[_labels(len(rows), place[: len(i)], place[len(i) :])])
+        if u:
+            rows, place = np.unique(np.concatenate(u + v), return_inverse=True)
+            used.append(rows)
+            half = len(place) // 2
+            root.append(rows[_labels(len(rows), place[:half], place[half:])])
+    if not used:
         return None
-    used, place = np.unique(ids[np.concatenate((i, j))], return_inverse=True)
-    u, v = place[: len(i)], place[len(i) :]
-    links = np.bincount(u, copies[j], len(used)) + np.bincount(v, copies[i], len(used))
-    return used, links.astype(np.int64), used[_labels(len(used), u, v)]
+    # a row of a tile stands in one group for each tile that it meets
+    rows = np.concatenate(used)
+    return ids[rows], links[rows], ids[np.concatenate(root)]
 
 
 def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -141,44 +122,16 @@ def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def grid_sizes(n: int, width: int) -> tuple[int, int]:
-    """(axes, grids per block) for n vectors in blocks of `width` dimensions.
-
-    A random pair of isotropic vectors meets along one axis with probability 0.45, a pair at the threshold (in the block where it is closest) with about 0.84. Axes grow with log n so that a cell keeps about 15 vectors, and grids so that the share of found pairs stays that of 12 grids of 10 axes.
-    """
-    axes = int(np.clip(round(np.log(max(n, 2) / 15) / 0.8), 3, max(3, width)))
-    return axes, int(np.ceil(np.log(1 - 0.84**10) * 12 / np.log(1 - 0.84**axes)))
-
-
-def link_vectors(rows: DataFrame, cosine: float = 0.9, blocks: int = 4, per_block: int | None = None, axes: int | None = None, chunk: int = 2048) -> tuple[DataFrame, DataFrame]:
+def link_vectors(rows: DataFrame, cosine: float = 0.9, blocks: int = 4, chunk: int = 4096) -> tuple[DataFrame, DataFrame]:
     """rows (id, copies, x: equal-length finite non-zero vectors of one or more lengths) -> (id, links: copies of all linked ids), and edges (u, v) that span the components of the links.
 
-    A pair is counted in the first table that finds it, so pairs never leave their task. Rows of a cell with over `chunk` rows are dealt out by hash to chunks, and each pair of chunks is a task group of its own: no group holds more than about twice that, and none is cut.
+    Rows are dealt out by hash to tiles of about `chunk` rows. Each pair of tiles is a task group of its own, so a pair of rows meets once, in one task, and no group holds more than about two tiles. Compared pairs grow with the square of the rows, and every row is sent to all tiles.
     """
-    n, widest = rows.agg(F.count("*"), F.max(F.size("x"))).first()
-    fit = grid_sizes(n, -(-(widest or 1) // blocks))
-    settings = (cosine, blocks, per_block or fit[1], axes or fit[0])
-
-    def keys(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, ids = b.column(2), b.column(0).to_numpy(zero_copy_only=False)
-            dims = np.diff(x.offsets.to_numpy())
-            for dim in np.unique(dims):
-                mine = np.flatnonzero(dims == dim)
-                g = grids(int(dim), *settings)
-                cells = g.cells(g.units(_matrix(x.take(pa.array(mine)))) @ g.rotation)
-                yield pa.record_batch([pa.array(np.repeat(ids[mine], cells.shape[1])), pa.array((cells + np.uint64(dim)).view(np.int64).ravel()), pa.array(np.tile(np.arange(cells.shape[1], dtype=np.int32), len(mine)))], names=["id", "cell", "grid"])
-
-    slim = rows.select("id", "copies", "x").mapInArrow(keys, "id long, cell long, grid int")
-    counts = slim.groupBy("cell", "grid").agg(F.count("*").alias("n")).where("n > 1")
-    counts = materialize(counts.select("cell", "grid", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")), "vector-cells")
-    met = materialize(slim.join(counts, ["cell", "grid"]), "vector-keys")
-    mine = F.pmod(F.xxhash64("id", "grid"), F.col("chunks")).cast("int")
-    met = met.withColumn("c", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("id", "cell", "grid", "c", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"))
-    groups = met.join(rows.select("id", "copies", "x"), "id").repartition("cell", "grid", "a", "b").sortWithinPartitions("cell", "grid", "a", "b", "id")
+    tiles = max(1, -(-rows.count() // chunk))
+    settings = (cosine, blocks)
+    met = rows.select("id", "copies", "x", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("c")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    met = met.select("id", "copies", "x", "c", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"))
+    groups = met.repartition("a", "b").sortWithinPartitions("a", "b", "id")
 
     def run(batches):
         held: list[tuple] = []
@@ -186,14 +139,14 @@ def link_vectors(rows: DataFrame, cosine: float = 0.9, blocks: int = 4, per_bloc
         def whole(parts):
             for dim in sorted({p[4].shape[1] for p in parts}):
                 got = [np.concatenate([p[k] for p in parts if p[4].shape[1] == dim]) for k in range(5)]
-                if found := _links_of(grids(dim, *settings), cosine, *got):
+                if found := _links_of(space(dim, *settings), cosine, *got):
                     yield pa.record_batch([pa.array(f) for f in found], names=["id", "links", "root"])
 
         for b in batches:
             if not b.num_rows:
                 continue
             col = [b.column(n).to_numpy(zero_copy_only=False) for n in ("id", "copies", "c")]
-            keys = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("cell", "grid", "a", "b")], axis=1)
+            keys = np.stack([b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("a", "b")], axis=1)
             x = b.column("x")
             dims = np.diff(x.offsets.to_numpy())
             turns = np.concatenate(([0], np.flatnonzero(dims[1:] != dims[:-1]) + 1, [len(dims)])).tolist()
