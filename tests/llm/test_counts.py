@@ -100,3 +100,17 @@ def test_query(spark, both):
     docs = {r[0]: r[1] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     got = {r[0]: tuple(r[1:]) for r in queries.op12_prefix_counts(spark, SF).collect()}
     assert got == {i: (len(t.encode()), n := len(both[1].encode(t, add_special_tokens=False).ids), n > 1024) for i, t in docs.items()} and np.mean([v[2] for v in got.values()]) > 0
+
+
+def test_texts_are_learned_once(monkeypatch):
+    """The pieces of all texts are learned together; no text asks for its own again. ASCII texts are cut as others are."""
+    counter = counts.PrefixCounts(public_tokenizers.path("byte_bpe_50k.json"))
+    calls = []
+    learn = counter.learn
+    monkeypatch.setattr(counter, "learn", lambda needed: (calls.append(len(needed)), learn(needed)))
+    texts = ["It's a cat, o'clock 12,5", "they'll\tgo home_now  x", "a cat's home!"]
+    got = counter.texts(texts)
+    assert len([n for n in calls if n > 1]) == 1
+    signs = [*texts, " \t\n\v\f\r x", "a  \n b", "  ", "I've 1a2b '' 's'd \x7f", "x\n\n", *(chr(k) + " a" + chr(k) + "1" for k in range(128))]
+    assert all(counter.pieces(t) == counts.PIECE.findall(t) for t in signs)
+    assert [int(g[-1]) for g in got] == [len(counter.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]

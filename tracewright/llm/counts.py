@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from array import array
 from itertools import accumulate, chain
 
 import numpy as np
@@ -17,6 +19,8 @@ from .tokens import _tokenizer
 BLOCK = 4096
 #: Pieces that a byte-level tokenizer encodes apart from each other.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same where all signs are ASCII, and none is a blank to some tables only.
+ASCII, ASCII_PIECE = re.compile(r"[\t-\r -~]*"), re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
 #: Scripts whose letters have been the same for long; other texts are cut by the tokenizer's own, older tables.
 SETTLED = regex.compile(
     r"[\x00-\u036f\u0391-\u03a1\u03b1-\u03c9\u0400-\u0481\u048a-\u052f\u05d0-\u05ea\u0621-\u064a\u2000-\u2027\u2030-\u205e\u20a0-\u20ac\u2190-\u23ff\u2500-\u27bf\u3000-\u303f"
@@ -111,7 +115,7 @@ class PrefixCounts:
             if piece in CONTRACTIONS:
                 # a cut contraction is a sign and a word
                 row = [1, *(1 + n for n in self._letters(piece[1:-1])), row[-1]]
-            self.rows[piece] = np.array(row, "<i4").tobytes()
+            self.rows[piece] = array("i", row).tobytes()
 
     def _letters(self, word: str) -> list[int]:
         count, last = [0], [""]
@@ -125,6 +129,8 @@ class PrefixCounts:
         return self.rows[piece]
 
     def pieces(self, text: str) -> list[str]:
+        if ASCII.fullmatch(text):
+            return ASCII_PIECE.findall(text)
         if SETTLED.fullmatch(text):
             return PIECE.findall(text)
         return [text[a:e] for _, (a, e) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
@@ -132,16 +138,19 @@ class PrefixCounts:
     def _plain(self, text: str, pieces: list[str] | None = None) -> np.ndarray:
         """Counts of all prefixes of a text without added tokens."""
         pieces = self.pieces(text) if pieces is None else pieces
-        self.learn(set(pieces))
-        rows = list(map(self.rows.__getitem__, pieces))
-        flat = np.frombuffer(b"".join(rows), "<i4")
+        try:
+            rows = list(map(self.rows.__getitem__, pieces))
+        except KeyError:  # new, or forgotten since they were learned
+            self.learn(set(pieces))
+            rows = list(map(self.rows.__getitem__, pieces))
+        flat = np.frombuffer(b"".join(rows), np.intc)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         own = flat[np.cumsum(size) - 1].astype(np.int64)
         out = flat + np.repeat(np.cumsum(own) - own, size)
         for m in RUN.finditer(text):
             # a prefix that ends with a run of white space holds it as one piece
             a, e = m.span()
-            out[e - 1] = (out[a - 1] if a else 0) + np.frombuffer(self.row(m[0]), "<i4")[-1]
+            out[e - 1] = (out[a - 1] if a else 0) + np.frombuffer(self.row(m[0]), np.intc)[-1]
         return out
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
