@@ -12,6 +12,7 @@ from tracewright.plans.analyze_queries import SYM_SQL
 from tracewright.plans.noise import dressed
 from tracewright.plans.registry import trace_query
 from tracewright.plans.represent_queries import CLAIM_SQL, SIG_SQL, SUB_SQL, TREE_SQL, claim_world
+from tracewright.tables import durable_by
 
 EP_SQL = r"""
 p0 AS (SELECT *, coalesce(kind = 'TOOL_CALL' AND action = 'search', false) AS is_search, coalesce(kind = 'TOOL_CALL' AND action = 'read_doc', false) AS is_read, sum(CAST(coalesce(kind = 'TOOL_CALL' AND action = 'search', false) AS INT)) OVER (PARTITION BY trace_id ORDER BY idx) AS n FROM ev),
@@ -234,10 +235,11 @@ def t21(events, traces):
 
 
 def all_hypotheses(events, traces):
-    rank = t.spectrum_ranking(r.sign_actions(events), traces)
+    """Kept by trace: those who ask read them more than once."""
+    rank = t.spectrum_ranking(r.classify_actions(events), traces)  # effects of actions aren't asked
     sb = t.hypotheses(rank, "sbfl", F.lit(None), F.lit(0.35), F.col("rank"))
     failed = traces.where("not success").select("trace_id")
-    return t.single_pass(events).join(failed, "trace_id", "left_semi").unionByName(t.gap_hypotheses(events, traces)).unionByName(sb)
+    return durable_by(t.single_pass(events).join(failed, "trace_id", "left_semi").unionByName(t.gap_hypotheses(events, traces)).unionByName(sb), "trace_id")
 
 
 HYP_SQL = EP_SQL + ", " + SBFL_SQL + ", " + SYM_SQL + """,

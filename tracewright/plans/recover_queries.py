@@ -124,7 +124,7 @@ def judged(events, traces):
     return {"labels": s.where("u = 0").select("trace_id", F.col("rule_no").alias("pos"), "code"), "findings": s.where("u < 2").select("trace_id", (-F.col("rule_no")).alias("pos"), "code"), "recovered": v.attempt_ledger(reruns), "improved": v.verify_closed_loop(reruns)}
 
 
-@trace_query("e1_gt_evaluation", SCORE_SQL + " SELECT * FROM sco")
+@trace_query("e1_gt_evaluation", SCORE_SQL + " SELECT * FROM sco", kept=True)
 def e1(events, traces):
     return e.score_hypotheses(all_hypotheses(events, traces), traces, **judged(events, traces))
 
