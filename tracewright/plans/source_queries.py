@@ -301,7 +301,7 @@ def payloads(events, traces):
     return f.score_payloads(all_hypotheses(events, traces).drop("algo", "rank"), spans)
 
 
-@trace_query("io17_score_payloads", PAY_SQL + " SELECT * FROM pay")
+@trace_query("io17_score_payloads", PAY_SQL + " SELECT * FROM pay", kept=True)
 def io17(events, traces):
     return payloads(events, traces).select("trace_id", "observation_id", "name", "emit_order")
 
