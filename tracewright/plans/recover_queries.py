@@ -148,7 +148,7 @@ def e3(events, traces):
 @trace_query("e5_run_rounds", HYP_SQL + ", " + RERUN_SQL + """, rnd AS (SELECT trace_id, success, CAST(time_window >= 'w5' AS INT) AS round FROM tr), al AS (SELECT unnest([0, 1]) AS round),
 sm AS (SELECT al.round, (SELECT count(*) FROM rnd WHERE rnd.round = al.round) AS n_traces, (SELECT count(*) FROM rnd WHERE rnd.round = al.round AND NOT success) AS n_failed, (SELECT count(DISTINCT trace_id) FROM hy JOIN rnd USING (trace_id) WHERE rnd.round = al.round) AS n_attributed,
   (SELECT count(*) FROM ru JOIN rnd ON rnd.trace_id = ru.rerun_of WHERE rnd.round = al.round) AS n_reruns, (SELECT count(*) FROM ru JOIN rnd ON rnd.trace_id = ru.rerun_of WHERE rnd.round = al.round AND ru.success) AS n_rerun_ok, (SELECT count(DISTINCT trace_id) FROM ev JOIN rnd USING (trace_id) WHERE rnd.round = al.round AND k % 50 = 0) AS n_errors FROM al)
-SELECT round, CAST(sum(n_traces) AS BIGINT) AS n_traces, CAST(sum(n_failed) AS BIGINT) AS n_failed, CAST(sum(n_attributed) AS BIGINT) AS n_attributed, CAST(sum(n_reruns) AS BIGINT) AS n_reruns, CAST(sum(n_rerun_ok) AS BIGINT) AS n_rerun_ok, CAST(sum(n_errors) AS BIGINT) AS n_errors FROM sm GROUP BY ROLLUP (round)""")
+SELECT round, CAST(sum(n_traces) AS BIGINT) AS n_traces, CAST(sum(n_failed) AS BIGINT) AS n_failed, CAST(sum(n_attributed) AS BIGINT) AS n_attributed, CAST(sum(n_reruns) AS BIGINT) AS n_reruns, CAST(sum(n_rerun_ok) AS BIGINT) AS n_rerun_ok, CAST(sum(n_errors) AS BIGINT) AS n_errors FROM sm GROUP BY ROLLUP (round)""", kept=True)
 def e5_rounds(events, traces):
     """Windows from the fifth on are the second round; a trace with an event of every fiftieth kind is an error."""
     second = lambda d, key="trace_id": d.withColumn("_r", F.regexp_extract(key, r"w(\d+)$", 1).cast("int") >= 5)
