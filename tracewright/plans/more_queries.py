@@ -155,7 +155,7 @@ def t20(events, traces):
 
 
 @trace_query("v2_feedback_text", HYP_SQL + """, vt AS (SELECT trace_id, idx, row_number() OVER (PARTITION BY trace_id ORDER BY idx) AS round FROM ev WHERE kind = 'VERIFIER'), nt AS (SELECT vt.trace_id, step, string_agg(chr(10) || '(attempt ' || round || ' failed: at ' || vt.idx || ' -- give a more specific correction targeting the earliest decisive error at step ' || step || '.)', '' ORDER BY round) AS notes FROM vt JOIN (SELECT DISTINCT trace_id, step FROM hy) h USING (trace_id) GROUP BY ALL)
-SELECT trace_id, algo, rank, CASE WHEN step % 2 = 0 THEN 'fix ' || step ELSE 'cause ' || step END || coalesce(notes, '') AS feedback, 'Attribution reflection on the previous failed solve:' || chr(10) || 'cause ' || step || CASE WHEN step % 2 = 0 THEN chr(10) || 'Fix suggestion: fix ' || step ELSE '' END || chr(10) || '(responsible party ' || agent || ', decisive error at step ' || step || ')' AS reflection FROM hy LEFT JOIN nt USING (trace_id, step)""")
+SELECT trace_id, algo, rank, CASE WHEN step % 2 = 0 THEN 'fix ' || step ELSE 'cause ' || step END || coalesce(notes, '') AS feedback, 'Attribution reflection on the previous failed solve:' || chr(10) || 'cause ' || step || CASE WHEN step % 2 = 0 THEN chr(10) || 'Fix suggestion: fix ' || step ELSE '' END || chr(10) || '(responsible party ' || agent || ', decisive error at step ' || step || ')' AS reflection FROM hy LEFT JOIN nt USING (trace_id, step)""", kept=True)
 def v2(events, traces):
     """Attempts by rule: one for each verdict of the trace."""
     h = all_hypotheses(events, traces)
