@@ -129,7 +129,7 @@ def e1(events, traces):
     return e.score_hypotheses(all_hypotheses(events, traces), traces, **judged(events, traces))
 
 
-@trace_query("e2_kind_rollup", SCORE_SQL + " SELECT coalesce(gt_kind, 'total') AS kind, count(*) AS total, count(*) FILTER (step_hit) AS step_hits, count(*) FILTER (agent_hit) AS agent_hits, count(*) FILTER (code_hit) AS code_hits, count(*) FILTER (recovered) AS recovered, count(*) FILTER (improved) AS improved FROM sco GROUP BY ROLLUP (gt_kind)")
+@trace_query("e2_kind_rollup", SCORE_SQL + " SELECT coalesce(gt_kind, 'total') AS kind, count(*) AS total, count(*) FILTER (step_hit) AS step_hits, count(*) FILTER (agent_hit) AS agent_hits, count(*) FILTER (code_hit) AS code_hits, count(*) FILTER (recovered) AS recovered, count(*) FILTER (improved) AS improved FROM sco GROUP BY ROLLUP (gt_kind)", kept=True)
 def e2(events, traces):
     return e.rollup_by_kind(e.score_hypotheses(all_hypotheses(events, traces), traces, **judged(events, traces)))
 
