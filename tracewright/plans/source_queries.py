@@ -306,7 +306,7 @@ def io17(events, traces):
     return payloads(events, traces).select("trace_id", "observation_id", "name", "emit_order")
 
 
-@trace_query("io18_incremental_skip", PAY_SQL + ", d AS (SELECT trace_id, CASE WHEN time_window IN ('w1', 'w2') THEN 'skipped' WHEN trace_id NOT IN (SELECT trace_id FROM pay) THEN 'no-hypotheses' ELSE 'written' END AS decision FROM tr) SELECT decision, count(*) AS n FROM d GROUP BY decision")
+@trace_query("io18_incremental_skip", PAY_SQL + ", d AS (SELECT trace_id, CASE WHEN time_window IN ('w1', 'w2') THEN 'skipped' WHEN trace_id NOT IN (SELECT trace_id FROM pay) THEN 'no-hypotheses' ELSE 'written' END AS decision FROM tr) SELECT decision, count(*) AS n FROM d GROUP BY decision", kept=True)
 def io18(events, traces):
     old = traces.where("time_window in ('w1', 'w2')").select("trace_id", F.lit("root-cause").alias("name"))
     return f.skip_scored(traces, payloads(events, traces), old).groupBy("decision").agg(F.count("*").alias("n"))
