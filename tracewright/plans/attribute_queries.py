@@ -265,7 +265,7 @@ def t23(events, traces):
     return t.adjust_by_replay(cand, sample_outcomes(cand))
 
 
-@trace_query("t24_hypothesis_merge", HYP_SQL + ", sp2 AS (SELECT DISTINCT trace_id, agent, step FROM hy WHERE algo = 'rg_ug') SELECT *, algo AS source FROM hy WHERE algo = 'rg_ug' UNION ALL SELECT hy.*, algo FROM hy ANTI JOIN sp2 USING (trace_id, agent, step) WHERE algo <> 'rg_ug'")
+@trace_query("t24_hypothesis_merge", HYP_SQL + ", sp2 AS (SELECT DISTINCT trace_id, agent, step FROM hy WHERE algo = 'rg_ug') SELECT *, algo AS source FROM hy WHERE algo = 'rg_ug' UNION ALL SELECT hy.*, algo FROM hy ANTI JOIN sp2 USING (trace_id, agent, step) WHERE algo <> 'rg_ug'", kept=True)
 def t24(events, traces):
     return t.merge_hypotheses([all_hypotheses(events, traces)], superseding=("rg_ug",))
 
