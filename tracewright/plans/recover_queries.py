@@ -19,7 +19,7 @@ from tracewright.plans.source_queries import pick, pick_sql
 from tracewright.sources.fixtures import table
 
 
-@trace_query("v1_target_selection", HYP_SQL + ", b AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, step, algo DESC) AS rn FROM hy) SELECT tr.trace_id, CASE WHEN success THEN 'skipped' WHEN b.step IS NULL THEN 'skipped_no_hypothesis' ELSE 'selected' END AS status, b.step, b.agent, b.confidence FROM tr LEFT JOIN b ON b.trace_id = tr.trace_id AND rn = 1")
+@trace_query("v1_target_selection", HYP_SQL + ", b AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY confidence DESC, step, algo DESC) AS rn FROM hy) SELECT tr.trace_id, CASE WHEN success THEN 'skipped' WHEN b.step IS NULL THEN 'skipped_no_hypothesis' ELSE 'selected' END AS status, b.step, b.agent, b.confidence FROM tr LEFT JOIN b ON b.trace_id = tr.trace_id AND rn = 1", kept=True)
 def v1(events, traces):
     return v.select_target(all_hypotheses(events, traces), traces).drop("code")
 
