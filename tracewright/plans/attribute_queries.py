@@ -249,7 +249,7 @@ h2 AS (SELECT trace_id, algo, rank, agent, step, code, confidence, CAST(row_numb
 """
 
 
-@trace_query("t22_replay_candidates", HYP_SQL + "SELECT * FROM h2 WHERE place <= 3")
+@trace_query("t22_replay_candidates", HYP_SQL + "SELECT * FROM h2 WHERE place <= 3", kept=True)
 def t22(events, traces):
     return t.replay_candidates(all_hypotheses(events, traces))
 
