@@ -129,7 +129,7 @@ def t10_trail(events, traces):
     return events.select("trace_id", "idx", t.half_answer(pick(ANSWERS, F.col("idx") + F.col("k"))).alias("h")).select("trace_id", "idx", "h.negated", "h.fault")
 
 
-@trace_query("t12_refined_fields", HYP_SQL + " SELECT trace_id, algo, rank, step, coalesce(CASE WHEN step % 2 = 0 THEN 'refined at ' || step END, 'step ' || step || ' by ' || agent || ' decided the failure') AS root_cause, CASE WHEN step % 2 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM hy")
+@trace_query("t12_refined_fields", HYP_SQL + " SELECT trace_id, algo, rank, step, coalesce(CASE WHEN step % 2 = 0 THEN 'refined at ' || step END, 'step ' || step || ' by ' || agent || ' decided the failure') AS root_cause, CASE WHEN step % 2 = 0 THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM hy", kept=True)
 def t12(events, traces):
     h = all_hypotheses(events, traces)
     refined = h.where("step % 2 = 0").select("trace_id", "step", F.concat(F.lit("refined at "), F.col("step").cast("string")).alias("root_cause"), F.lit(0.8).alias("confidence")).distinct()
