@@ -259,7 +259,7 @@ def sample_outcomes(candidates):
     return candidates.where("step % 3 = 0 or step % 2 = 0").select("trace_id", "agent", "step", (F.col("step") % 3 == 0).alias("flipped"))
 
 
-@trace_query("t23_replay_adjust", HYP_SQL + "SELECT trace_id, agent, step, CASE WHEN step % 3 = 0 THEN least(1.0, confidence + 0.2) WHEN step % 2 = 0 THEN greatest(0.0, confidence - 0.3) ELSE confidence END::DOUBLE AS confidence, CASE WHEN step % 3 = 0 THEN 'validated' WHEN step % 2 = 0 THEN 'refuted' ELSE 'untested' END AS status FROM h2 WHERE place <= 3")
+@trace_query("t23_replay_adjust", HYP_SQL + "SELECT trace_id, agent, step, CASE WHEN step % 3 = 0 THEN least(1.0, confidence + 0.2) WHEN step % 2 = 0 THEN greatest(0.0, confidence - 0.3) ELSE confidence END::DOUBLE AS confidence, CASE WHEN step % 3 = 0 THEN 'validated' WHEN step % 2 = 0 THEN 'refuted' ELSE 'untested' END AS status FROM h2 WHERE place <= 3", kept=True)
 def t23(events, traces):
     cand = t.replay_candidates(all_hypotheses(events, traces))
     return t.adjust_by_replay(cand, sample_outcomes(cand))
