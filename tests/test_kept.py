@@ -20,7 +20,7 @@ def test_no_shuffle_by_trace(spark):
     assert each.count() == 100 and each.agg(F.max("n")).first()[0] == 15
 
 
-@pytest.mark.parametrize("name", ["e1_gt_evaluation", "io17_score_payloads", "t24_hypothesis_merge", "v1_target_selection"])
+@pytest.mark.parametrize("name", ["e1_gt_evaluation", "io17_score_payloads", "t24_hypothesis_merge", "v1_target_selection", "t25_candidate_is_symptom"])
 def test_events_are_derived_once(spark, name):
     files = all_queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
     assert files and not any("events.parquet" in f for f in files)

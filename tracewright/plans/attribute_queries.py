@@ -273,7 +273,7 @@ def t24(events, traces):
 FIX_SQL = "CASE fault " + " ".join(f"WHEN '{k}' THEN replace('{v}', '{{}}', CAST(step AS VARCHAR))" for k, v in SYMPTOM_FIX.items()) + " ELSE 'Re-examine the reasoning behind step ' || step || ' before continuing.' END"
 
 
-@trace_query("t25_candidate_is_symptom", HYP_SQL + ", ss AS (SELECT trace_id, step, min_by(fault, rule_no) AS fault FROM sy0 GROUP BY ALL) SELECT trace_id, agent, step, fault, fault IS NOT NULL AS is_symptom, " + FIX_SQL + " AS edit_text FROM h2 LEFT JOIN ss USING (trace_id, step) WHERE place <= 3")
+@trace_query("t25_candidate_is_symptom", HYP_SQL + ", ss AS (SELECT trace_id, step, min_by(fault, rule_no) AS fault FROM sy0 GROUP BY ALL) SELECT trace_id, agent, step, fault, fault IS NOT NULL AS is_symptom, " + FIX_SQL + " AS edit_text FROM h2 LEFT JOIN ss USING (trace_id, step) WHERE place <= 3", kept=True)
 def t25(events, traces):
     cand = t.replay_candidates(all_hypotheses(events, traces))
     return t.symptom_at(cand.select("trace_id", "agent", "step"), events)
