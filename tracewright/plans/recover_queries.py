@@ -137,7 +137,7 @@ def e2(events, traces):
 @trace_query("e3_stack_comparison", SCORE_SQL + """, st AS (SELECT 'rules' AS config, * FROM hy WHERE algo = 'single_pass' UNION ALL SELECT 'spectrum', * FROM hy WHERE algo = 'sbfl'), tp AS (SELECT *, row_number() OVER (PARTITION BY config, trace_id ORDER BY confidence DESC, algo, rank) AS rn FROM st), cf AS (SELECT unnest(['rules', 'spectrum']) AS config)
 SELECT cf.config, count(*) AS total, count(*) FILTER (tp.step = gt_step) AS step_hits, count(*) FILTER (tp.agent = gt_agent) AS agent_hits, count(*) FILTER (cf.config = 'rules' AND code_hit) AS code_hits, count(*) FILTER (cf.config = 'rules' AND recovered) AS recovered, count(*) FILTER (cf.config = 'rules' AND improved) AS improved,
   CASE WHEN cf.config = 'rules' THEN (SELECT count(*) FROM ev) ELSE 0 END AS n_calls, CASE WHEN cf.config = 'rules' THEN (SELECT string_agg(kind || '=' || n, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM ev GROUP BY kind)) ELSE '' END AS calls_by_tag, CASE WHEN cf.config = 'rules' THEN (SELECT count(*) FROM ev WHERE k % 50 = 0) ELSE 0 END AS errors
-FROM tr JOIN sco USING (trace_id) CROSS JOIN cf LEFT JOIN tp ON tp.trace_id = tr.trace_id AND tp.config = cf.config AND rn = 1 GROUP BY cf.config""")
+FROM tr JOIN sco USING (trace_id) CROSS JOIN cf LEFT JOIN tp ON tp.trace_id = tr.trace_id AND tp.config = cf.config AND rn = 1 GROUP BY cf.config""", kept=True)
 def e3(events, traces):
     """Two stacks; the calls of the first are tagged by the kinds of events, its errors are of every fiftieth kind."""
     h = all_hypotheses(events, traces)
