@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.model import EVENT_SCHEMA
 from tracewright.operators.represent import admit_kind, flatten_spans
-from tracewright.tables import durable
+from tracewright.tables import durable, durable_by
 
 TRACE_LINE = f"trace_id string, task string, events array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in EVENT_SCHEMA.replace('trace_id string, ', '').split(','))}>>, outcome struct<success:boolean,score:double,note:string>, meta string"
 #: Keys of ground truth that never leave through an export, and those that stay on this machine.
@@ -140,6 +140,7 @@ def observation_spans(observations: DataFrame, namespace: str = "own", keys: tup
     own = F.from_json(F.get_json_object("metadata", f"$['{namespace}']"), "id string, kind string, agent string, action string, phase string, refs array<string>, ts double")
     known = F.coalesce(F.col("id"), F.lit("")) != ""
     o = observations.withColumns({"own": own, "id": F.when(known, F.col("id")).otherwise(F.raise_error(F.concat(F.lit("observation without an id in trace "), F.coalesce("trace_id", F.lit("null"))))), "at": epoch(F.col("start_time"))})
+    o = durable_by(o, "trace_id")
     ids = o.select("trace_id", F.col("id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
     parents = o.select("trace_id", F.col("parent_id").alias("id"), F.lit(True).alias("_kids")).where("id is not null").distinct()
     o = o.join(ids, ["trace_id", "parent_id"], "left").join(parents, ["trace_id", "id"], "left").withColumn("parent_id", F.when(F.col("_there"), F.col("parent_id")))
