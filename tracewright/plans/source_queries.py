@@ -56,7 +56,7 @@ def io1_bad(events, traces):
     return bad.unionByName(good.agg(F.lit("good").alias("file"), F.count("*").alias("line"), F.countDistinct("trace_id").cast("string").alias("text")))
 
 
-@trace_query("io7_io8_otlp_round_trip", "SELECT trace_id, idx, id, ts, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
+@trace_query("io7_io8_otlp_round_trip", "SELECT trace_id, idx, id, ts, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev", kept=True)
 def io7(events, traces):
     return im.events_of_spans(im.from_otlp(im.to_otlp(events, traces, spans_a_document=5))[0]).select("trace_id", "idx", "id", "ts", "kind", "agent", "action", "phase", "content", "query", "doc_id", "answer", "to_agent", F.array_join("refs", ",").alias("refs"))
 

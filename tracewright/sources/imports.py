@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracewright.operators.payload import as_object, json_string, payload_json, with_fields
 from tracewright.operators.represent import admit_kind, flatten_spans, remap_refs, time_or_index
 from tracewright.sources.formats import GUARDED, guard_export, observation_spans
-from tracewright.tables import durable_long
+from tracewright.tables import durable_by, durable_long
 
 STRINGS = "array<string>"
 OUTCOME = "success boolean, score double, note string"
@@ -26,8 +26,8 @@ def _none(type_: str) -> Column:
 def events_of_spans(spans: DataFrame) -> DataFrame:
     """Events of span trees: pre-order numbers, admitted kinds, time or else number, references to event ids (dangling ones dropped), the parent's event id, the payload and its known fields. Of spans of one id the first among its siblings stays."""
     first = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("ordinal", "parent_span_id"))
-    s = durable_long(spans.withColumn("_n", first).where("_n = 1").drop("_n"))
-    flat = durable_long(flatten_spans(s))
+    s = durable_by(spans.repartition("trace_id").withColumn("_n", first).where("_n = 1").drop("_n"), "trace_id")
+    flat = durable_by(flatten_spans(s), "trace_id")
     refs = remap_refs(s.select("trace_id", "span_id", "refs"), flat)
     e = s.join(flat, ["trace_id", "span_id"]).join(refs.select("trace_id", "span_id", F.col("refs").alias("_refs")), ["trace_id", "span_id"], "left")
     e = with_fields(e.withColumn("_ts", time_or_index(F.col("ts"))))
@@ -66,7 +66,7 @@ def from_otlp(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = documents.select(doc.cast("long").alias("doc"), F.from_json("document", OTLP).alias("d")).select("doc", F.posexplode("d.resourceSpans").alias("a", "r"))
     d = d.select("doc", "a", F.posexplode("r.scopeSpans").alias("b", "s")).select("doc", "a", "b", F.posexplode("s.spans").alias("c", "p")).select(F.struct("doc", "a", "b", "c").alias("at"), "p.*")
     own = F.map_from_entries(F.filter(F.transform("attributes", lambda x: F.struct(x["key"], x["value"]["stringValue"])), lambda e: e["stringValue"].isNotNull()))
-    d = durable_long(d.where("spanId is not null").withColumn("m", F.when(F.size("attributes") > 0, own)).withColumn("traceId", F.coalesce("traceId", F.lit(""))).drop("attributes"))
+    d = durable_by(d.where("spanId is not null").withColumn("m", F.when(F.size("attributes") > 0, own)).withColumn("traceId", F.coalesce("traceId", F.lit(""))).drop("attributes"), "traceId")
     m = lambda k: F.nullif(F.try_element_at("m", F.lit(k)), F.lit(""))
     cell = F.struct("at", "parentSpanId", "name", "startTimeUnixNano", "m")
     s = d.groupBy("traceId", "spanId").agg(F.max(cell["at"]).alias("_last"), F.min("at").alias("first"), F.max_by(cell.dropFields("at"), "at").alias("p")).select("traceId", "spanId", "first", "p.*")
@@ -92,8 +92,8 @@ def from_otlp(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _attributes(pairs: dict[str, Column]) -> Column:
-    each = [F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))) for k, v in pairs.items()]
-    return F.filter(F.array(*each), lambda a: a.isNotNull())
+    each = [F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value")) for k, v in pairs.items()]
+    return F.filter(F.array(*each), lambda a: a["value"]["stringValue"].isNotNull())
 
 
 def trace_meta(traces: DataFrame, external: bool = False) -> Column:
@@ -156,7 +156,7 @@ def from_batches(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     types = F.create_map(*[F.lit(x) for kv in RECORD_TYPE.items() for x in kv])
     o = b.withColumn("is", F.coalesce(F.try_element_at(types, F.col("type")), F.when(F.col("type") == "observation-create", F.col("said")))).where("`is` is not null")
     o = o.join(heads.select("traceId"), "traceId", "left_semi").withColumn("own", F.from_json(F.get_json_object("metadata", "$.own"), f"id string, kind string, agent string, action string, phase string, refs {STRINGS}, ts double"))
-    o = durable_long(o.groupBy("traceId", "id").agg(F.min("at").alias("first"), F.max_by(F.struct("name", "parentObservationId", "input", "is", "own"), "at").alias("p")).select("traceId", "id", "first", "p.*"))
+    o = durable_by(o.groupBy("traceId", "id").agg(F.min("at").alias("first"), F.max_by(F.struct("name", "parentObservationId", "input", "is", "own"), "at").alias("p")).select("traceId", "id", "first", "p.*"), "traceId")
     alias = o.where("own.id <> ''").groupBy("traceId", F.col("own.id").alias("ref")).agg(F.max_by("id", "first").alias("target"))
     refs = o.select("traceId", "id", F.posexplode("own.refs").alias("pos", "ref")).join(alias, ["traceId", "ref"])
     refs = refs.groupBy("traceId", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "target"))), lambda x: x["target"]).alias("refs"))
