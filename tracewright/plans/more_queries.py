@@ -206,7 +206,7 @@ def e13(events, traces):
     return e.error_tally(events.where("k % 10 = 0").select(F.lit("represent").alias("stage"), F.col("kind").alias("name"), "trace_id", F.lit("bad row").alias("error")))
 
 
-@trace_query("io5_io6_batch_round_trip", "SELECT trace_id, idx, id, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev")
+@trace_query("io5_io6_batch_round_trip", "SELECT trace_id, idx, id, kind, agent, action, phase, content, query, doc_id, answer, to_agent, coalesce('e' || lpad(CAST(ref AS VARCHAR), 3, '0'), '') AS refs FROM ev", kept=True)
 def io5(events, traces):
     spans, _ = im.from_batches(im.to_batches(events, traces, records_a_batch=5))
     return im.events_of_spans(spans).select("trace_id", "idx", "id", "kind", "agent", "action", "phase", "content", "query", "doc_id", "answer", "to_agent", F.array_join("refs", ",").alias("refs"))
