@@ -1,25 +1,24 @@
 """Incremental import: spans stream in, traces are closed by a completion marker or by silence, and the batch operators run on what is closed.
 
-Two queries. The first lands raw spans as Parquet, exactly once. The second reads the landed spans, keeps a few numbers per trace as state (never its spans), and hands every micro-batch of closed traces to the batch operators, which read these traces from the landing. A micro-batch replaces its own partition of the output, so a restart repeats nothing.
+Two queries. The first lands raw spans as Parquet, exactly once. The second reads the landed spans, keeps the ids of spans until the watermark passes them (so that repetitions count once) and a few numbers per open trace as a table that each micro-batch writes anew from that of the one before, and hands the traces that a micro-batch closes to the batch operators, which read them from the landing. A micro-batch replaces its own state and its own partition of the output, so a restart repeats nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracewright.operators.payload import as_object
 from tracewright.sources.imports import events_of_spans
 
 #: A span as it arrives; `expected` stands on a completion marker: how many spans its trace has.
 SPAN = "trace_id string, span_id string, parent_span_id string, ordinal long, kind string, agent string, action string, phase string, refs array<string>, ts double, payload string, at timestamp, expected long"
-CLOSED = "trace_id string, why string, first timestamp, last timestamp, n long"
-_STATE = "n long, expected long, first timestamp, last timestamp, told long"
+#: Per trace: its spans, how many it should have, their times, how many it had when it was told (0: never), why this micro-batch tells it, if it does, and whether it leaves the state. The row without a trace holds the latest time of all spans so far.
+STATE = "trace_id string, n long, expected long, first timestamp, last timestamp, told long, why string, gone boolean"
+CLOSED = ("trace_id", "why", "first", "last", "n")
 
 
 def land_spans(spark: SparkSession, source: str, folder: str, files_a_batch: int = 100) -> StreamingQuery:
@@ -28,38 +27,27 @@ def land_spans(spark: SparkSession, source: str, folder: str, files_a_batch: int
     return spans.writeStream.format("parquet").option("path", f"{folder}/spans").option("checkpointLocation", f"{folder}/land-state").trigger(availableNow=True).start()
 
 
-def _track(silence_ms: int):
-    """Per trace: count spans, tell once when the expected number is there, or when nothing came for a while; tell again at the end if more came after that."""
-
-    def run(key: tuple, batches, state: GroupState):
-        told = []
-        if state.hasTimedOut:
-            n, _, first, last, before = state.get
-            state.remove()
-            if n != before:
-                told.append((key[0], "silence" if before == 0 else "late", first, last, n))
-        else:
-            n, expected, first, last, before = state.get if state.exists else (0, 0, None, None, 0)
-            for b in batches:
-                n += len(b)
-                said = b["expected"].max()
-                expected = expected if pd.isna(said) else max(expected, int(said))
-                a, e = b["at"].min().to_pydatetime(), b["at"].max().to_pydatetime()
-                first, last = a if first is None else min(first, a), e if last is None else max(last, e)
-            if before == 0 and expected and n >= expected:
-                told.append((key[0], "complete", first, last, n))
-                before = n
-            state.update((n, expected, first, last, before))
-            state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + silence_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(told, columns=["trace_id", "why", "first", "last", "n"])
-
-    return run
-
-
-def closed_traces(spans: DataFrame, delay: str = "10 minutes", silence_ms: int = 600_000) -> DataFrame:
-    """Stream of closed traces (CLOSED) from a stream of spans. Repeated spans count once; spans older than the watermark are left out of the count, and a trace that got more spans after it was told is told again ('late') when it falls silent."""
-    once = spans.select("trace_id", "span_id", "at", "expected").withWatermark("at", delay).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
-    return once.groupBy("trace_id").applyInPandasWithState(_track(silence_ms), CLOSED, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def new_spans(spans: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Stream of spans (trace_id, span_id, at, expected), repeated ones once; those older than the watermark are left out."""
+    return spans.select("trace_id", "span_id", "at", "expected").withWatermark("at", delay).dropDuplicatesWithinWatermark(["trace_id", "span_id"])
+
+
+def tracked(before: DataFrame, new: DataFrame, seen: int | None, delay: str = "10 minutes", silence_ms: int = 600_000) -> DataFrame:
+    """STATE after the new spans of a micro-batch, from the STATE before; `seen` is the latest time (microseconds) of all spans of earlier micro-batches, that give the watermark.
+
+    A trace is told once when the expected number is there ('complete'), or when nothing came for a while ('silence'): the watermark has passed its last span by silence_ms, and it leaves the state. If more spans came after it was told, it is told again then ('late').
+    """
+    latest = F.timestamp_micros(F.lit(seen).cast("long"))
+    kept = before.where("not gone and trace_id is not null").select("trace_id", "n", "expected", "first", "last", "told")
+    came = new.select("trace_id", F.lit(1).cast("long").alias("n"), "expected", F.col("at").alias("first"), F.col("at").alias("last"), F.lit(0).cast("long").alias("told"))
+    clock = new.sparkSession.range(1).select(F.lit(None).cast("string").alias("trace_id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("expected"), latest.alias("first"), latest.alias("last"), F.lit(0).cast("long").alias("told"))
+    s = kept.unionByName(came).unionByName(clock).groupBy("trace_id").agg(F.sum("n").alias("n"), F.max("expected").alias("expected"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("told").alias("told"))
+    trace = F.col("trace_id").isNotNull()
+    passed = F.unix_millis("last") + silence_ms < F.unix_millis(latest - F.expr(f"interval '{delay}'"))
+    gone = trace & F.coalesce(passed, F.lit(False))
+    whole = trace & (F.col("told") == 0) & F.coalesce((F.col("expected") > 0) & (F.col("n") >= F.col("expected")), F.lit(False))
+    why = F.when(whole, "complete").when(gone & (F.col("n") != F.col("told")), F.when(F.col("told") == 0, "silence").otherwise("late"))
+    return s.select("trace_id", "n", "expected", "first", "last", F.when(whole, F.col("n")).otherwise(F.col("told")).alias("told"), why.alias("why"), gone.alias("gone"))
 
 
 def once_each(spans: DataFrame) -> DataFrame:
@@ -80,19 +68,25 @@ def close_traces(spark: SparkSession, folder: str, work: Callable[[DataFrame], D
     schema = spark.read.schema(SPAN).parquet(landed).schema
     work(spark.read.schema(schema).parquet(landed).limit(0)).write.mode("overwrite").parquet(f"{folder}/out/batch=-1")  # so that there is an output before anything closes
 
-    def run(closed: DataFrame, number: int) -> None:
-        session = closed.sparkSession
+    def run(new: DataFrame, number: int) -> None:
+        session, state = new.sparkSession, [f"{folder}/state/{k % 2}" for k in (number - 1, number)]
+        before = session.read.schema(STATE).parquet(state[0]) if number else session.range(0).select(F.from_json(F.lit("{}"), STATE).alias("s")).select("s.*")
+        seen = before.agg(F.unix_micros(F.max("last"))).first()[0]
+        tracked(before, new, seen, delay, silence_ms).write.mode("overwrite").parquet(state[1])
         path = f"{folder}/closed/batch={number}"
-        closed.write.mode("overwrite").parquet(path)
-        told = session.read.schema(CLOSED).parquet(path)
+        session.read.schema(STATE).parquet(state[1]).where("why is not null").select(*CLOSED).write.mode("overwrite").parquet(path)
+        told = session.read.parquet(path)
         first, last, n = told.agg(F.min("first"), F.max("last"), F.count("*")).first()
         if n:
             spans = session.read.schema(schema).parquet(landed).where(F.col("at").between(F.lit(first), F.lit(last)))
             rows = work(spans.join(told.select("trace_id"), "trace_id", "left_semi"))
             rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
+    # ids of spans are kept on disk, not on the heap
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(landed)
-    return closed_traces(stream, delay, silence_ms).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/close-state").trigger(availableNow=True).start()
+    return new_spans(stream, delay).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/close-state").trigger(availableNow=True).start()
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
