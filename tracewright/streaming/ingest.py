@@ -51,9 +51,9 @@ def tracked(before: DataFrame, new: DataFrame, seen: int | None, delay: str = "1
 
 
 def once_each(spans: DataFrame) -> DataFrame:
-    """Landed spans without repetitions: of rows of one span the earliest, then the one with the least text."""
+    """Landed spans without repetitions: of rows of one span the earliest, then the one with the least text. They stay dealt by trace, as all that follows needs them."""
     first = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("at", F.col("payload").asc_nulls_last()))
-    return spans.withColumn("_n", first).where("_n = 1").drop("_n")
+    return spans.repartition("trace_id").withColumn("_n", first).where("_n = 1").drop("_n")
 
 
 def batch_events(spans: DataFrame) -> DataFrame:
@@ -82,9 +82,10 @@ def close_traces(spark: SparkSession, folder: str, work: Callable[[DataFrame], D
             rows = work(spans.join(told.select("trace_id"), "trace_id", "left_semi"))
             rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    # ids of spans are kept on disk, not on the heap
+    # ids of spans are kept on disk, not on the heap, with bounded memory for each executor
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(landed)
     return new_spans(stream, delay).writeStream.foreachBatch(run).option("checkpointLocation", f"{folder}/close-state").trigger(availableNow=True).start()
 
