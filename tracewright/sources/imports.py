@@ -28,7 +28,7 @@ def events_of_spans(spans: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("trace_id", "span_id").orderBy("ordinal", "parent_span_id"))
     s = durable_by(spans.repartition("trace_id").withColumn("_n", first).where("_n = 1").drop("_n"), "trace_id")
     flat = durable_by(flatten_spans(s), "trace_id")
-    refs = remap_refs(s.select("trace_id", "span_id", "refs"), flat)
+    refs = remap_refs(s.select("trace_id", "span_id", "refs").where(F.size("refs") > 0), flat)  # most spans name none
     e = s.join(flat, ["trace_id", "span_id"]).join(refs.select("trace_id", "span_id", F.col("refs").alias("_refs")), ["trace_id", "span_id"], "left")
     e = with_fields(e.withColumn("_ts", time_or_index(F.col("ts"))))
     return e.select(
