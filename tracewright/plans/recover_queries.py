@@ -234,10 +234,10 @@ def e7(spark, sf_dir):
     return e.tag_drift(calls_of(spark, sf_dir), plan)
 
 
-@trace_query("e8_leak_scan", "w AS (SELECT unnest(['malformed_tool_call', 'step_repetition', 'info_withholding', 'premature_termination', 'ungrounded_citation', 'disobey_task_spec', 'retrieval_detour', 'agent_deadlock', 'injected_fault', 'ground_truth', 'qrels']) AS word), " + f"p AS (SELECT kind AS tag, coalesce(content, '') || ' ' || {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')} AS prompt, {pick_sql((None, 'agent_deadlock'), 'k')} AS response FROM ev), h AS (SELECT CASE WHEN tag = 'HANDOFF' THEN 'environment' ELSE 'prompt' END AS place, tag, word FROM p JOIN w ON contains(prompt, word) UNION ALL SELECT 'response', tag, word FROM p JOIN w ON contains(response, word)) SELECT place, tag, word, count(*) AS n_calls FROM h GROUP BY ALL")
+@trace_query("e8_leak_scan", "w AS (SELECT unnest(['malformed_tool_call', 'step_repetition', 'info_withholding', 'premature_termination', 'ungrounded_citation', 'disobey_task_spec', 'retrieval_detour', 'agent_deadlock', 'injected_fault', 'ground_truth', 'qrels']) AS word), " + f"p AS (SELECT kind AS tag, concat_ws(' ', kind, agent, action, query, doc_id, answer, to_agent, content, {pick_sql((*_NAMES, 'qrels', 'Ground_Truth', None), 'idx + k')}) AS prompt, {pick_sql((None, 'agent_deadlock'), 'k')} AS response FROM ev), h AS (SELECT CASE WHEN tag = 'HANDOFF' THEN 'environment' ELSE 'prompt' END AS place, tag, word FROM p JOIN w ON contains(prompt, word) UNION ALL SELECT 'response', tag, word FROM p JOIN w ON contains(response, word)) SELECT place, tag, word, count(*) AS n_calls FROM h GROUP BY ALL")
 def e8(events, traces):
-    """Prompts by rule that hold names of faults and of ground truth; handoffs stand for the environment's own tag."""
-    calls = events.select(F.col("kind").alias("tag"), F.concat(F.coalesce("content", F.lit("")), F.lit(" "), pick((*_NAMES, "qrels", "Ground_Truth", None), F.col("idx") + F.col("k"))).alias("prompt"), pick((None, "agent_deadlock"), F.col("k")).alias("response"))
+    """Calls whose prompts or responses hold names of faults and of ground truth: a prompt is all texts of its event and a name by rule, and where there is no name the rest is still scanned. Handoffs stand for the environment's own tag."""
+    calls = events.select(F.col("kind").alias("tag"), F.concat_ws(" ", "kind", "agent", "action", "query", "doc_id", "answer", "to_agent", "content", pick((*_NAMES, "qrels", "Ground_Truth", None), F.col("idx") + F.col("k"))).alias("prompt"), pick((None, "agent_deadlock"), F.col("k")).alias("response"))
     return e.leak_scan(calls, environment=("HANDOFF",))
 
 
